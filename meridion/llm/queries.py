@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import token_counts
+from meridion.llm import packing, simhash_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
+        "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
