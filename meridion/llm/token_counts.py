@@ -19,7 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridion.session import materialize, table
@@ -120,15 +120,16 @@ def _cut(chunk: int, overlap: int, id_type: pa.DataType):
     return run
 
 
-_EDGE = pa.list_(pa.struct([("at", pa.int32()), ("token", pa.int32()), ("before", pa.int32())]))
-
-
 def _encode(path: str, chunk: int, overlap: int):
-    """For each piece its tokens, and the boundaries inside the two overlaps, told from the overlap's end."""
+    """For each piece its tokens, and the boundaries inside the two overlaps.
+
+    A boundary is one number: its distance from the overlap's end, then the token before it.  Those of an overlap
+    follow each other, so the number of tokens before the first of them is enough.
+    """
 
-    def boundaries(ids: np.ndarray, ends: np.ndarray, end: int, length: int) -> list[dict]:
+    def boundaries(ids: np.ndarray, ends: np.ndarray, end: int, length: int) -> tuple[list[int], int]:
         k = np.nonzero((ends > end - length) & (ends <= end))[0]
-        return [{"at": int(end - ends[i]), "token": int(ids[i]), "before": int(i) + 1} for i in k]
+        return ((end - ends[k] << 32) + ids[k]).tolist(), int(k[0]) if len(k) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
@@ -139,40 +140,38 @@ def _encode(path: str, chunk: int, overlap: int):
                 n.append(len(ids))
                 aligned = counter.identity and counter.unknown not in ids
                 first, last = piece[:overlap], piece[chunk:]
-                head.append(boundaries(ids, ends, _marked_bytes(first) + len(_MARK.encode()), _marked_bytes(first)) if k and aligned else [])
-                tail.append(boundaries(ids, ends, int(ends[-1]), _marked_bytes(last)) if followed and aligned and len(ids) else [])
+                head.append(boundaries(ids, ends, _marked_bytes(first) + len(_MARK.encode()), _marked_bytes(first)) if k and aligned else ([], 0))
+                tail.append(boundaries(ids, ends, int(ends[-1]), _marked_bytes(last)) if followed and aligned and len(ids) else ([], 0))
+            edges = [pa.array([e[i] for e in side], kind) for side in (head, tail) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("rid", "id", "n_bytes", "chunk")), pa.array(n, pa.int64()), pa.array(head, _EDGE), pa.array(tail, _EDGE)],
-                ["rid", "id", "n_bytes", "chunk", "n", "head", "tail"],
+                [*(b.column(c) for c in ("rid", "id", "n_bytes", "chunk")), pa.array(n, pa.int64()), *edges],
+                ["rid", "id", "n_bytes", "chunk", "n", "head", "head_first", "tail", "tail_first"],
             )
 
     return run
 
 
-def _seam(head: Column, tail: Column) -> Column:
-    """The splice of two neighbours as (tokens of the left one behind it, tokens of the right one before it); null: none."""
-    plain = lambda edges: F.transform(edges, lambda e: F.struct(e["at"], e["token"]))
-    at = F.array_max(F.array_intersect(plain(tail), plain(head)))["at"]
-    pick = lambda edges: F.filter(edges, lambda e: e["at"] == at)[0]["before"]
-    return F.when(at.isNotNull(), F.struct(pick(tail).alias("left"), pick(head).alias("right")))
-
-
 def _count_huge(huge: DataFrame, path: str, chunk: int, overlap: int, id_ddl: str, id_arrow: pa.DataType) -> DataFrame:
     done = None
     while True:
         pieces = huge.mapInArrow(_cut(chunk, overlap, id_arrow), f"rid long, id {id_ddl}, n_bytes long, chunk int, piece string, followed boolean")
-        edge = "array<struct<at:int,token:int,before:int>>"
         encoded = materialize(
-            pieces.repartition("rid", "chunk").mapInArrow(_encode(path, chunk, overlap), f"rid long, id {id_ddl}, n_bytes long, chunk int, n long, head {edge}, tail {edge}")
+            pieces.repartition("rid", "chunk").mapInArrow(
+                _encode(path, chunk, overlap), f"rid long, id {id_ddl}, n_bytes long, chunk int, n long, head array<long>, head_first long, tail array<long>, tail_first long"
+            )
         )
-        before = Window.partitionBy("rid").orderBy("chunk")
-        spliced = encoded.select("*", F.lag("tail").over(before).alias("prior"), F.lag("n").over(before).alias("prior_n"))
-        spliced = spliced.withColumn("seam", F.when(F.col("chunk") > 0, _seam(F.col("head"), F.col("prior"))))
+        by_text = Window.partitionBy("rid").orderBy("chunk")
+        spliced = encoded.select("*", *(F.lag(c).over(by_text).alias(f"prior_{c}") for c in ("n", "tail", "tail_first")))
+        # Any boundary of both will do; the greatest number is the one nearest to the overlap's start.
+        spliced = spliced.withColumn("at", F.array_max(F.array_intersect("head", "prior_tail")))
+        left = F.col("prior_tail_first") + F.array_position("prior_tail", F.col("at"))
+        right = F.col("head_first") + F.array_position("head", F.col("at"))
+        seam = F.col("chunk") > 0
         counted = spliced.groupBy("rid").agg(
             F.first("id").alias("id"),
             F.first("n_bytes").alias("n_bytes"),
-            F.sum(F.col("n") - F.when(F.col("chunk") > 0, F.col("prior_n") - F.col("seam.left") + F.col("seam.right")).otherwise(0)).alias("n_tokens"),
-            F.max((F.col("chunk") > 0) & F.col("seam").isNull()).alias("open"),
+            F.sum(F.col("n") - F.when(seam, F.col("prior_n") - left + right).otherwise(0)).alias("n_tokens"),
+            F.max(seam & F.col("at").isNull()).alias("open"),
         )
         closed = counted.filter(~F.col("open")).select("id", "n_bytes", "n_tokens")
         done = closed if done is None else done.unionByName(closed)
