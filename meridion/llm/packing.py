@@ -31,7 +31,7 @@ QUERY_TERMS = 24
 NEIGHBOURS = 48
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers; the memory that a worker needs is bounded by it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _PUNCTUATION = b".,!?;:*$&%#|"
 _loaded: dict[str, "WordEncoder"] = {}

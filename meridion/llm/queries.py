@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import packing, simhash_dedup, token_counts
+from meridion.llm import line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pfair_mix": pfair_mix.op2_pfair_mix,
+        "op3_rule_ledger": rule_ledger.op3_rule_ledger,
         "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
+        "op6_site_line_dedup": line_dedup.op6_site_line_dedup,
+        "op8_extendible_shards": sharding.op8_extendible_shards,
         "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_pfair_mix": pfair_mix.OP2_SQL,
+        "op3_rule_ledger": rule_ledger.OP3_SQL,
+        "op6_site_line_dedup": line_dedup.OP6_SQL,
+        "op8_extendible_shards": sharding.OP8_SQL,
+    }
