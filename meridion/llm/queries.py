@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts
+from meridion.llm import line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pfair_mix": pfair_mix.op2_pfair_mix,
         "op3_rule_ledger": rule_ledger.op3_rule_ledger,
+        "op4_exact_top_k": topk_search.op4_exact_top_k,
         "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
         "op6_site_line_dedup": line_dedup.op6_site_line_dedup,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_extendible_shards": sharding.op8_extendible_shards,
         "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
@@ -25,6 +27,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_pfair_mix": pfair_mix.OP2_SQL,
         "op3_rule_ledger": rule_ledger.OP3_SQL,
+        "op4_exact_top_k": topk_search.OP4_SQL,
         "op6_site_line_dedup": line_dedup.OP6_SQL,
+        "op7_url_filter": url_filter.OP7_SQL,
         "op8_extendible_shards": sharding.OP8_SQL,
     }
