@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
+from meridion.llm import brown_lm, line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_class_lm": brown_lm.op1_brown_class_lm,
         "op2_pfair_mix": pfair_mix.op2_pfair_mix,
         "op3_rule_ledger": rule_ledger.op3_rule_ledger,
         "op4_exact_top_k": topk_search.op4_exact_top_k,
