@@ -6,8 +6,8 @@ that is due first.  As the weights add up to Q, every block meets its window, so
 source has had less than one block more or less than its share.  The schedule repeats after Q slots, so only Q slots
 are ever worked out; where a block falls follows from its number by arithmetic.
 
-A source whose blocks run out starts again with its first one, and the mix ends with the round in which every source
-has been through all of its blocks: no document is left out, and the weights hold to the end.
+A source whose blocks run out starts again with its first one, and the mix ends with the slot by which every source has
+been through all of its blocks: no document is left out, and the weights hold to the end.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from meridion.session import table
 PERIOD = 1000
 BLOCK_DOCS = 16
 #: Documents that one task numbers at a time, on average.
-NUMBERED = 50_000
+NUMBERED = 4_000
 MOST_SOURCES = PERIOD
 _DIGEST_BITS = 48
 
@@ -104,10 +104,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
     weighed = target_weights(counts, period) if weights is None else counts.join(weights.select(F.col("site").alias("w_site"), "weight"), F.col("site").eqNullSafe(F.col("w_site"))).select("site", "docs", "weight")
     schedule = period_schedule(weighed, period).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long"))
-    rounds = schedule.agg(F.max(F.ceil(F.col("blocks") / F.col("weight"))).cast("long").alias("rounds"))
-    # Block number within the source's endless row = turn + round * weight; no more than ``period`` rows.
-    sources = schedule.groupBy("site", "weight", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("turn", "slot"))).alias("slots")).crossJoin(rounds)
-    sources = sources.select(F.col("site").alias("s_site"), "weight", "blocks", "slots", (F.col("rounds") * F.col("weight")).alias("taken"))
+    sources = schedule.groupBy("site", "weight", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("turn", "slot"))).alias("slots"))  # ``period`` entries in all
+    last = F.col("blocks") - 1
+    ends = F.max(F.floor(last / F.col("weight")).cast("long") * period + F.element_at("slots", last % F.col("weight"))).over(Window.partitionBy()) + 1
+    taken = F.floor(F.col("end") / period).cast("long") * F.col("weight") + F.size(F.filter(F.map_values("slots"), lambda x: x < F.col("end") % period))
+    sources = sources.withColumn("end", ends).select(F.col("site").alias("s_site"), "weight", "blocks", "slots", taken.alias("taken"))
     met = placed.join(F.broadcast(sources), F.col("site").eqNullSafe(F.col("s_site")))
     # Passes of the source that reach this block: block + epoch * blocks < taken.
     epochs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1 - F.col("block")) / F.col("blocks")).cast("long"))
@@ -137,9 +138,10 @@ e(slot, pick, done) AS (
                        THEN (((e.done[i] + 1) * {PERIOD} + p.p[i] - 1) // p.p[i]) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS pick
     FROM e, p WHERE e.slot + 1 < {PERIOD})),
 t AS (SELECT pick AS number, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM e WHERE slot >= 0),
-r AS (SELECT max(ceil(blocks::DOUBLE / weight))::BIGINT AS rounds FROM w),
+r AS (SELECT max(((blocks - 1) // weight) * {PERIOD} + t.slot) + 1 AS finish FROM w JOIN t ON t.number = w.number AND t.turn = (blocks - 1) % weight),
 i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY digest, doc_id NULLS FIRST) - 1 AS i FROM d),
-b AS (SELECT i.doc_id, i.source, i // {BLOCK_DOCS} AS block, i % {BLOCK_DOCS} AS place, w.number, w.weight, w.blocks, r.rounds * w.weight AS taken
+b AS (SELECT i.doc_id, i.source, i // {BLOCK_DOCS} AS block, i % {BLOCK_DOCS} AS place, w.number, w.weight, w.blocks,
+             (r.finish // {PERIOD}) * w.weight + (SELECT count(*) FROM t WHERE t.number = w.number AND t.slot < r.finish % {PERIOD}) AS taken
       FROM i JOIN w ON i.source IS NOT DISTINCT FROM w.source, r),
 x AS (SELECT *, unnest(range(0, (taken - 1 - block) // blocks + 1)) AS epoch FROM b)
 SELECT x.doc_id, x.source, x.block::BIGINT AS block, x.epoch::BIGINT AS epoch,
