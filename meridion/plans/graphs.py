@@ -34,9 +34,9 @@ def node_degree(spark, d):
     return g.degrees(v.edges(spark, d))
 
 
-@query("dead_ends", "edges", f"WITH t AS (SELECT * FROM edges WHERE weight < 25), a AS (SELECT u AS node FROM t UNION ALL SELECT v FROM t) SELECT node FROM a GROUP BY node HAVING count(*) = 1")
+@query("dead_ends", "edges", f"WITH t AS (SELECT * FROM edges WHERE weight < 6), a AS (SELECT u AS node FROM t UNION ALL SELECT v FROM t) SELECT node FROM a GROUP BY node HAVING count(*) = 1")
 def dead_ends(spark, d):
-    return g.dead_ends(v.edges(spark, d).where("weight < 25"))
+    return g.dead_ends(v.edges(spark, d).where("weight < 6"))
 
 
 @query("connected_components", "edges", f"{_CC.replace('FROM edges', 'FROM edges WHERE weight < 12')} SELECT node, component FROM comp")
@@ -60,17 +60,13 @@ def network_metrics(spark, d):
     return one.join(F.broadcast(deg)).join(F.broadcast(comp)).select("nodes", "edges", "mean_weight", "dead_ends", "connected")
 
 
-@query("shortest_paths", "edges", f"{_SP} SELECT src, node, round(dist, 4) AS dist FROM sp WHERE src < 5")
+@query("shortest_paths", "edges", f"{_SP} SELECT src, node, round(dist, 4) AS dist FROM sp")
 def shortest_paths(spark, d):
-    s = v.hubs(spark, d).where("id < 5").select(F.col("id").alias("node"))
-    return g.shortest_paths(v.edges(spark, d), s.join(g.degrees(v.edges(spark, d)).select("node"), "node", "left_semi")).select("src", "node", r4("dist").alias("dist"))
+    e = v.edges(spark, d)
+    return g.shortest_paths(e, g.degrees(e).select("node")).select("src", "node", r4("dist").alias("dist"))
 
 
-@query("minimum_spanning_tree", "edges", """RECURSIVE WITH b(n, ins) AS (SELECT 0, [(SELECT min(least(u, v)) FROM edges)] UNION ALL
-    SELECT n + 1, list_append(ins, (SELECT arg_min(CASE WHEN list_contains(ins, u) THEN v ELSE u END, (weight, least(u, v), greatest(u, v))) FROM edges WHERE list_contains(ins, u) <> list_contains(ins, v))) FROM b
-    WHERE n < 24 AND EXISTS (SELECT 1 FROM edges WHERE list_contains(ins, u) <> list_contains(ins, v))),
-    s AS (SELECT ins, len(ins) AS n FROM b), t AS (SELECT a.n AS n, (SELECT min((weight, least(u, v), greatest(u, v), id)) FROM edges WHERE list_contains(a.ins, u) <> list_contains(a.ins, v)) AS e FROM s a)
-    SELECT count(*) AS n_edges, round(sum(weight), 4) AS total FROM (SELECT DISTINCT m.id, m.weight FROM edges m WHERE m.id IN (SELECT e[4] FROM t))""" if False else None)
+@query("minimum_spanning_tree")
 def minimum_spanning_tree(spark, d):
     return g.minimum_spanning_tree(v.edges(spark, d)).select("id", "u", "v", "weight")
 
@@ -248,10 +244,10 @@ def provider_names(spark, d):
     return v.hubs(spark, d).select("id", names_by("tiered", "id", "tier").alias("name"))
 
 
-@query("snap_network", "edges pts", """WITH b AS (SELECT id, min(id) OVER (PARTITION BY floor(x/3000), floor(y/3000)) AS alias FROM pts WHERE id < 25), t AS (SELECT e.*, a.alias AS u2, c.alias AS v2 FROM edges e JOIN b a ON a.id = e.u JOIN b c ON c.id = e.v WHERE a.alias <> c.alias)
+@query("snap_network", "edges hubs", """WITH b AS (SELECT id, min(id) OVER (PARTITION BY floor(x/3000), floor(y/3000)) AS alias FROM hubs), t AS (SELECT e.*, a.alias AS u2, c.alias AS v2 FROM edges e JOIN b a ON a.id = e.u JOIN b c ON c.id = e.v WHERE a.alias <> c.alias)
     SELECT least(u2, v2) AS u, greatest(u2, v2) AS v, road_class, min(id) AS id, count(*) AS merged FROM t GROUP BY ALL""")
 def snap_network(spark, d):
-    return stats.snap_network(v.pts(spark, d).where("id < 25"), v.edges(spark, d), 3000.0).select("u", "v", "road_class", "id", "merged")
+    return stats.snap_network(v.hubs(spark, d), v.edges(spark, d), 3000.0).select("u", "v", "road_class", "id", "merged")
 
 
 @query("hub_hulls", "")

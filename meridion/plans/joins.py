@@ -16,11 +16,11 @@ def r4(c):
 
 
 def _segs(spark, d):
-    return v.seg(spark, d).where("id % 8 = 0")
+    return v.seg(spark, d)
 
 
-_S8 = "sg AS (SELECT * FROM seg WHERE id % 8 = 0)"
-_PT = "pt AS (SELECT * FROM pts WHERE id % 4 = 0)"
+_S8 = "sg AS (SELECT * FROM seg)"
+_PT = "pt AS (SELECT * FROM pts)"
 
 
 def _zbox(spark, d, p):
@@ -33,7 +33,7 @@ def bbox_join(spark, d):
     return sp.bbox_join(_zbox(spark, d, "a_"), _zbox(spark, d, "b_"), 500.0).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-@query("crossing_join", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id < b.id
+@query("crossing_join", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id < b.id AND abs(a.x0-b.x0) <= 700 AND abs(a.y0-b.y0) <= 700
       AND NOT ((a.x0=b.x0 AND a.y0=b.y0) OR (a.x0=b.x1 AND a.y0=b.y1) OR (a.x1=b.x0 AND a.y1=b.y0) OR (a.x1=b.x1 AND a.y1=b.y1))),
     t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p)
     SELECT a, b, round(ax+t*rx, 3) AS x, round(ay+t*ry, 3) AS y FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6""")
@@ -44,7 +44,7 @@ def crossing_join(spark, d):
 @query("knn_join", "pts", f"""WITH {_PT}, p AS (SELECT a.id, b.id AS other, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dist FROM pt a JOIN pt b ON a.id <> b.id)
     SELECT id, other, round(dist, 4) AS dist, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM p) WHERE k <= 4""")
 def knn_join(spark, d):
-    p = v.pts(spark, d).where("id % 4 = 0")
+    p = v.pts(spark, d)
     return sp.knn_join(p.select("id", "x", "y"), p.select(F.col("id").alias("other"), "x", "y"), 4, 400.0).select("id", "other", r4("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -53,7 +53,7 @@ _PS = f"q AS (SELECT p.id, s.id AS seg, sqrt(pow(p.x-(s.x0+{_TT}*(s.x1-s.x0)),2)
 
 
 def _near(spark, d, k):
-    p = v.pts(spark, d).where("id % 4 = 0").select("id", "x", "y")
+    p = v.pts(spark, d).select("id", "x", "y")
     s = _segs(spark, d).select(F.col("id").alias("seg"), "x0", "y0", "x1", "y1")
     return p, s, sp.nearest_segment(p, s, 200.0, k)
 
@@ -96,7 +96,7 @@ def snap_to_nearest(spark, d):
 @query("t_junction_match", "pts seg", f"""WITH {_PT}, {_S8}, {_PS} SELECT id, seg, round(dist, 4) AS dist FROM (SELECT q.id, q.seg, q.dist, row_number() OVER (PARTITION BY q.id ORDER BY q.seg % 3, q.dist, q.seg) AS j FROM q JOIN sg ON sg.id = q.seg
     WHERE dist <= 250 AND sqrt(pow(px-x0,2)+pow(py-y0,2)) > 5 AND sqrt(pow(px-x1,2)+pow(py-y1,2)) > 5) WHERE j = 1""")
 def t_junction_match(spark, d):
-    p = v.pts(spark, d).where("id % 4 = 0").select("id", "x", "y")
+    p = v.pts(spark, d).select("id", "x", "y")
     s = _segs(spark, d)
     a = p.select(F.col("id").alias("a_id"), F.col("x").alias("a_min_x"), F.col("x").alias("a_max_x"), F.col("y").alias("a_min_y"), F.col("y").alias("a_max_y"))
     t = sp.bbox_join(a, sp.boxed(s, "b_"), 500.0, 250.0)
@@ -125,9 +125,9 @@ def raster_lookup(spark, d):
     return v.pts(spark, d).withColumn("ix", at("x")).withColumn("iy", at("y")).join(v.cells(spark, d), ["ix", "iy"], "left").select("id", "h")
 
 
-def _rings(spark, d):
+def _rings(spark, d, least=0.0):
     corner = lambda i, j: F.struct((F.col("cx") + i * F.col("half")).alias("x"), (F.col("cy") + j * F.col("half")).alias("y"))
-    return v.zones(spark, d).select("zone_id", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
+    return v.zones(spark, d).where(F.col("half") >= least).select("zone_id", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
 
 
 @query("point_in_zone_join", "pts zones", "SELECT p.id, min(zone_id) AS zone_id FROM pts p JOIN zones z ON p.x >= cx-half AND p.x < cx+half AND p.y >= cy-half AND p.y < cy+half GROUP BY p.id")
@@ -135,10 +135,10 @@ def point_in_zone_join(spark, d):
     return sp.points_in_zones(v.pts(spark, d), _rings(spark, d), 500.0)
 
 
-@query("forbidden_filter", "pts zones", "SELECT p.id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE zone_id % 10 = 0 AND p.x >= cx-half AND p.x < cx+half AND p.y >= cy-half AND p.y < cy+half)")
+@query("forbidden_filter", "pts zones", "SELECT p.id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE half >= 400 AND p.x >= cx-half AND p.x < cx+half AND p.y >= cy-half AND p.y < cy+half)")
 def forbidden_filter(spark, d):
     p = v.pts(spark, d)
-    return p.join(sp.points_in_zones(p, _rings(spark, d).where("zone_id % 10 = 0"), 500.0), "id", "left_anti").select("id")
+    return p.join(sp.points_in_zones(p, _rings(spark, d, 400.0), 500.0), "id", "left_anti").select("id")
 
 
 @query("oriented_bbox", "zones", "SELECT zone_id, 2*half AS min_dim, 2*half AS max_dim, 1.0::DOUBLE AS aspect FROM zones")
@@ -149,11 +149,11 @@ def oriented_bbox(spark, d):
     return t.select("zone_id", r4("min_dim").alias("min_dim"), r4("max_dim").alias("max_dim"), r4("aspect").alias("aspect"))
 
 
-@query("spaced_top_k", "pts", """RECURSIVE WITH o AS (SELECT id, x, y, v, row_number() OVER (ORDER BY v DESC, id) AS n FROM pts WHERE v > 0 AND id % 8 = 0),
+@query("spaced_top_k", "pts", """RECURSIVE WITH o AS (SELECT id, x, y, v, row_number() OVER (ORDER BY v DESC, id) AS n FROM pts WHERE v > 0),
     k(n, kept) AS (SELECT 0, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] UNION ALL SELECT k.n + 1, CASE WHEN len(list_filter(k.kept, lambda q: sqrt(pow(q.x-o.x,2)+pow(q.y-o.y,2)) < 900)) = 0 THEN list_append(k.kept, {'id': o.id, 'x': o.x, 'y': o.y}) ELSE k.kept END FROM k JOIN o ON o.n = k.n + 1)
     SELECT o.id, o.v AS score FROM o JOIN (SELECT unnest(list_transform(kept, lambda q: q.id)) AS id FROM k WHERE n = (SELECT max(n) FROM k)) USING (id) ORDER BY o.n LIMIT 40""")
 def spaced_top_k(spark, d):
-    return sp.spaced_top_k(v.pts(spark, d).where("id % 8 = 0").withColumn("score", F.col("v")), 900.0, 40).select("id", "score")
+    return sp.spaced_top_k(v.pts(spark, d).withColumn("score", F.col("v")), 900.0, 40).select("id", "score")
 
 
 _CELLC = "(ix*500.0+250)"
@@ -192,14 +192,14 @@ def mask_intersect(spark, d):
     return v.cells(spark, d).where("h > 4500").select("ix", "iy").join(sp.rasterize(_segs(spark, d), 500.0, 120.0), ["ix", "iy"], "left_semi")
 
 
-_ZC = "zc AS (SELECT zone_id, a.r AS ix, b.r AS iy FROM zones, (SELECT unnest(range(-8, 114)) AS r) a, (SELECT unnest(range(-8, 114)) AS r) b WHERE zone_id % 4 = 0 AND a.r BETWEEN floor((cx-half)/100.0::DOUBLE) AND floor((cx+half)/100.0::DOUBLE) AND b.r BETWEEN floor((cy-half)/100.0::DOUBLE) AND floor((cy+half)/100.0::DOUBLE))"
+_ZC = "zc AS (SELECT zone_id, a.r AS ix, b.r AS iy FROM zones, (SELECT unnest(range(-8, 114)) AS r) a, (SELECT unnest(range(-8, 114)) AS r) b WHERE a.r BETWEEN floor((cx-half)/100.0::DOUBLE) AND floor((cx+half)/100.0::DOUBLE) AND b.r BETWEEN floor((cy-half)/100.0::DOUBLE) AND floor((cy+half)/100.0::DOUBLE))"
 
 
 @query("dedupe_overlaps", "zones", f"""WITH {_ZC}, n AS (SELECT zone_id, count(*) AS n FROM zc GROUP BY 1), o AS (SELECT a.zone_id AS a, b.zone_id AS b, count(*) AS c FROM zc a JOIN zc b ON a.ix=b.ix AND a.iy=b.iy AND a.zone_id < b.zone_id GROUP BY ALL)
     SELECT o.a, o.b, round(c / least(x.n, y.n)::DOUBLE, 3) AS share FROM o JOIN n x ON x.zone_id = a JOIN n y ON y.zone_id = b WHERE c / least(x.n, y.n)::DOUBLE > 0.5""")
 def dedupe_overlaps(spark, d):
     at = lambda c, s: F.floor((F.col(c) + s * F.col("half")) / 100).cast("long")
-    z = v.zones(spark, d).where("zone_id % 4 = 0").withColumn("ix", F.explode(F.sequence(at("cx", -1), at("cx", 1)))).withColumn("iy", F.explode(F.sequence(at("cy", -1), at("cy", 1)))).select("zone_id", "ix", "iy")
+    z = v.zones(spark, d).withColumn("ix", F.explode(F.sequence(at("cx", -1), at("cx", 1)))).withColumn("iy", F.explode(F.sequence(at("cy", -1), at("cy", 1)))).select("zone_id", "ix", "iy")
     n = z.groupBy("zone_id").agg(F.count("*").alias("n"))
     o = z.withColumnRenamed("zone_id", "a").join(z.withColumnRenamed("zone_id", "b"), ["ix", "iy"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
     o = o.join(n.withColumnsRenamed({"zone_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"zone_id": "b", "n": "nb"}), "b")
@@ -218,7 +218,7 @@ def classify_zones(spark, d):
     return z.join(river.join(hub, "id"), z["zone_id"] == F.col("id")).select("zone_id", use.alias("land_use"))
 
 
-@query("split_at_points", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id <> b.id
+@query("split_at_points", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id <> b.id AND abs(a.x0-b.x0) <= 700 AND abs(a.y0-b.y0) <= 700
       AND NOT ((a.x0=b.x0 AND a.y0=b.y0) OR (a.x0=b.x1 AND a.y0=b.y1) OR (a.x1=b.x0 AND a.y1=b.y0) OR (a.x1=b.x1 AND a.y1=b.y1))),
     t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p)
     SELECT a AS id, count(*) + 1 AS pieces FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6 GROUP BY a""")

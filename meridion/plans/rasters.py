@@ -231,15 +231,15 @@ def filter_zones(spark, d):
     return z.where((F.col("n_cells") >= 2) & (F.greatest("width", "height") <= 8 * F.least("width", "height")))
 
 
-_COST = f"""RECURSIVE WITH c AS (SELECT * FROM cells WHERE ix < 6 AND iy < 6), st AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, (CASE WHEN o.dx <> 0 AND o.dy <> 0 THEN sqrt(2.0) ELSE 1.0 END) * (1 + abs(b.h - a.h) / 5000.0::DOUBLE) AS w
+_COST = f"""RECURSIVE WITH c AS (SELECT * FROM cells), st AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, (CASE WHEN o.dx <> 0 AND o.dy <> 0 THEN sqrt(2.0) ELSE 1.0 END) * (1 + abs(b.h - a.h) / 5000.0::DOUBLE) AS w
     FROM c a CROSS JOIN {_OFF} JOIN c b ON b.ix = a.ix + o.dx AND b.iy = a.iy + o.dy),
     p(n, ix, iy, cost) AS (SELECT 0, ix, iy, 0.0::DOUBLE FROM (SELECT ix, iy FROM c ORDER BY iy, ix LIMIT 1) UNION ALL
-    SELECT n + 1, ix, iy, min(cost) FROM (SELECT p.n, st.jx AS ix, st.jy AS iy, p.cost + st.w AS cost FROM p JOIN st ON st.ix = p.ix AND st.iy = p.iy UNION ALL SELECT n, ix, iy, cost FROM p) WHERE n < 20 GROUP BY n, ix, iy)"""
+    SELECT n + 1, ix, iy, min(cost) FROM (SELECT p.n, st.jx AS ix, st.jy AS iy, p.cost + st.w AS cost FROM p JOIN st ON st.ix = p.ix AND st.iy = p.iy UNION ALL SELECT n, ix, iy, cost FROM p) WHERE n < 60 GROUP BY n, ix, iy)"""
 
 
-@query("cost_distance", "cells", f"{_COST} SELECT ix, iy, round(min(cost), 4) AS cost FROM p WHERE n = 20 GROUP BY ix, iy")
+@query("cost_distance", "cells", f"{_COST} SELECT ix, iy, round(min(cost), 4) AS cost FROM p WHERE n = 60 GROUP BY ix, iy")
 def cost_distance(spark, d):
-    c = v.cells(spark, d).where("ix < 6 and iy < 6")
+    c = v.cells(spark, d)
     return r.cost_distance(c, c.orderBy("iy", "ix").limit(1), 1 + F.abs(F.col("h2") - F.col("h")) / 5000.0).select("ix", "iy", r4("cost").alias("cost"))
 
 

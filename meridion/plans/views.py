@@ -46,7 +46,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("b"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     t = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(s, F.col("l_suppkey") == s["s_suppkey"]).where("a <> b")
-    g = t.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("n")).where((F.col("u") * 7 + F.col("v") * 3) % 5 == 0)
+    g = t.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("n"))
     kind = (F.col("u") + F.col("v")) % 3
     return g.select(
         (F.col("u") * 100 + F.col("v")).alias("id"), "u", "v",
@@ -70,7 +70,7 @@ def verts(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "events").select(F.col("user_id").alias("line_id"), "ts", "event_id")
     w = Window.partitionBy("line_id").orderBy("ts", "event_id")
-    t = e.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).where("seq < 40").withColumn("k", F.col("event_id"))
+    t = e.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).withColumn("k", F.col("event_id"))
     x, y = ((F.col("k") * 37) % 1009).cast("double"), ((F.col("k") * 53) % 1013).cast("double")
     return t.select("line_id", "seq", x.alias("x"), y.alias("y"))
 
@@ -100,9 +100,9 @@ SQL = {
     "edges": """SELECT u * 100 + v AS id, u, v, CASE (u + v) % 3 WHEN 0 THEN 'arterial' WHEN 1 THEN 'major_local' ELSE 'minor_local' END AS road_class,
         (1 + (u * 31 + v * 17) % 97)::DOUBLE AS weight, (20 + (u * 13 + v * 29) % 400)::DOUBLE AS length_m, CASE WHEN (u * v) % 4 = 0 THEN ['culdesac'] ELSE []::VARCHAR[] END AS flags
         FROM (SELECT least(c_nationkey, s_nationkey)::BIGINT AS u, greatest(c_nationkey, s_nationkey)::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL) WHERE (u * 7 + v * 3) % 5 = 0""",
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)""",
     "seg": "SELECT id, x AS x0, y AS y0, x + (id * 13) % 301 - 150 AS x1, y + (id * 17) % 307 - 153 AS y1 FROM (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 10007)::DOUBLE AS x, ((o_orderkey * 104729) % 10009)::DOUBLE AS y FROM orders)",
-    "verts": "SELECT line_id, seq, ((k * 37) % 1009)::DOUBLE AS x, ((k * 53) % 1013)::DOUBLE AS y FROM (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id AS k FROM events) WHERE seq < 40",
+    "verts": "SELECT line_id, seq, ((k * 37) % 1009)::DOUBLE AS x, ((k * 53) % 1013)::DOUBLE AS y FROM (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id AS k FROM events)",
     "zones": "SELECT p_partkey AS zone_id, ((p_partkey * 7919) % 10007)::DOUBLE AS cx, ((p_partkey * 104729) % 10009)::DOUBLE AS cy, (p_size * 10)::DOUBLE AS half, 4.0 * (p_size * 10)::DOUBLE * (p_size * 10)::DOUBLE AS area, p_brand AS zone_class FROM part",
     "runlog": "SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts, event_id, event_type AS kind, value AS duration_ms, props, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END AS level FROM events",
 }
