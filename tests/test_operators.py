@@ -141,3 +141,24 @@ def test_stroke_and_widths(spark):
     n = spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 20.0, 1.0), (3, 10.0, 10.0)], "id long, x double, y double")
     e = spark.createDataFrame([(1, 0, 1, "arterial"), (2, 1, 2, "arterial"), (3, 1, 3, "arterial")], "id long, u long, v long, road_class string")
     assert {r.id: r.stroke for r in graph.strokes(e, n).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_progress_is_told_and_its_errors_are_not_passed_on(spark):
+    from meridion.streaming.progress import ProgressListener, counted
+
+    df, seen = counted(spark.range(7), "load")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 7
+    told = []
+    ProgressListener(lambda *x: told.append(x))._tell("a", 0.5, "b")
+    ProgressListener(lambda *x: 1 / 0)._tell("a", 0.5, "b")
+    assert told == [("a", 0.5, "b")]
+
+
+def test_names_from_a_pandas_provider(spark):
+    from meridion.functions import providers
+
+    providers.register("loud", providers.from_pandas(lambda hub: "H" + hub.astype(str)))
+    assert [r.n for r in spark.range(2).select(providers.names_by("loud", "id").alias("n")).collect()] == ["H0", "H1"]
+    with pytest.raises(KeyError):
+        providers.names_by("none", "id")
