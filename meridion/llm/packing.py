@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 import math
 import os
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ QUERY_TERMS = 24
 NEIGHBOURS = 48
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers; the memory that a worker needs is bounded by it.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
+#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from 256 on in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _PUNCTUATION = b".,!?;:*$&%#|"
 _loaded: dict[str, "WordEncoder"] = {}
 
@@ -55,26 +59,57 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _run(self, run: str) -> bytes:
+        """A run of lower-case letters is one word to the merges, so the cutting rules need not look at it again."""
+        return np.array([t.id for t in self.model.model.tokenize(run)], self.dtype).tobytes()
+
+    def _learn(self, words: Iterable[bytes]) -> None:
         """A run of marks behind a letter or digit is a piece of its own, so both parts are looked up apart."""
-        split = {w: _parts(w) for w in words}
-        new = list({p for ps in split.values() for p in ps if p not in self.known})
-        self.known.update(zip(new, self._library([p.decode() for p in new]), strict=True))
-        self.known.update({w: b"".join(map(self.known.__getitem__, ps)) for w, ps in split.items()})
+        known, rest = self.known, []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if not core.isalpha():  # ASCII letters only
+                rest.append(w)
+                continue
+            low = core.lower()
+            ids = known.get(low)
+            if ids is None:
+                ids = known[low] = self._run(low.decode())
+            if len(core) < len(w):
+                marks = w[len(core) :]
+                if marks not in known:
+                    known[marks] = self._library([marks.decode()])[0]
+                ids += known[marks]
+            known[w] = ids
+        split = {w: _parts(w) for w in rest}
+        new = {p for ps in split.values() for p in ps if p not in known}
+        plain = {p: r for p in new if (r := _letters(p)) is not None}
+        known.update((p, self._run(r.encode().decode("latin-1").translate(_BYTE_LETTERS))) for p, r in plain.items())
+        odd = [p for p in new if p not in plain]
+        known.update(zip(odd, self._library([p.decode() for p in odd]), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in split.items())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [x + self.end for x in self._library(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = [t.encode().split() for t in texts]
-        if new := {w for ws in words for w in ws if w not in self.known}:
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in words]
+        if len(self.known) > REMEMBERED:  # what is still met moves on, the rest is forgotten one turn later
+            self.known, self.older = {}, self.known
+        words, out = [t.encode().split() for t in texts], []
+        for ws in words:
+            ids = list(map(self.known.get, ws))
+            if None in ids:
+                new = {w for w, i in zip(ws, ids, strict=True) if i is None}
+                met = {w: i for w in new if (i := self.older.get(w)) is not None}
+                self.known.update(met)
+                self._learn(new - met.keys())
+                ids = map(self.known.__getitem__, ws)
+            out.append(b"".join(ids) + self.end)
+        return out
 
 
 def _cuts_at_space(rules: dict) -> bool:
@@ -82,7 +117,15 @@ def _cuts_at_space(rules: dict) -> bool:
     cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
     removed = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and r"[^\s\p{L}\p{N}]+" in cuts[0]["pattern"].get("Regex", "")
     plain = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in rules.get("added_tokens", []))
-    return steps == ["NFC", "Replace", "Lowercase"] and removed and plain and not rules.get("post_processor")
+    by_bytes = len(cuts) == 2 and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    return steps == ["NFC", "Replace", "Lowercase"] and removed and by_bytes and plain and not rules.get("post_processor")
+
+
+def _letters(word: bytes) -> str | None:
+    """The word in lower case if it is nothing but letters that the vocabulary's rules change no further."""
+    text = word.decode()
+    low = text.lower()
+    return low if low.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text) else None
 
 
 def _parts(word: bytes) -> list[bytes]:
@@ -91,9 +134,7 @@ def _parts(word: bytes) -> list[bytes]:
         text = core.decode()
         last = text[-1].lower()[-1]  # lower case can end with a mark
         if last.isalpha() or last.isascii() and last.isdigit():
-            return [core.lower() if text.isascii() and text.isalpha() else core, word[len(core) :]]
-    elif core.isalpha():  # ASCII letters only
-        return [core.lower()]
+            return [core, word[len(core) :]]
     return [word]
 
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 PATH = public_tokenizers.path(VOCABULARY)
 ODD = [
     "", " ", "Hello, WORLD!!", "it's I'LL we're 's", "a<|endoftext|>b <|ENDOFTEXT|>", "<|startoftext|>.", "x-. y_, z1;", "ÉÈ, été! ςΣ. é, ́.", "ab cd\x1fef\x85gh",
-    "你好, 世界。", "1,234.5", "foo-,", "İ. ıI!", "²,", "a b|", "###", "***$$$ %%%", "A", "aB.", "\x00.", "'s.", "don't.", "ǅ. ﬁ,",
+    "你好, 世界。", "1,234.5", "foo-,", "İ. ıI!", "²,", "a b|", "###", "***$$$ %%%", "A", "aB.", "\x00.", "'s.", "don't.", "ǅ. ﬁ,", "ÉTÉ été e\u0301t ΑΣ Σ ªº ß ẞ ŉ ǰ ﬀ 한국어 \u1112\u1161 𝐀𝐁 Ⅷ",
 ]
 
 
