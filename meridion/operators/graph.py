@@ -182,8 +182,14 @@ def incident_pairs(edges: DataFrame) -> DataFrame:
     return t.join(t.withColumnRenamed("a", "b"), "node").where("a <> b")
 
 
+# Degrees by which a street may turn and still go on; factor for a change of class.
+MAX_TURN = {"arterial": 15.0, "major_local": 18.0}
+LOCAL_TURN = 22.0
+CLASS_MISMATCH = 0.3
+
+
 def continuation_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, a, b, score): how straight b goes on from a, by angle and class; turns over 60 degrees have none."""
+    """(node, a, b, score): how straight b goes on from a, by angle and class; too sharp a turn for both has none."""
     xy = nodes.select(F.col("id").alias("n"), "x", "y")
     far = adjacency(edges.select("id", "u", "v", "road_class"))
     far = far.join(xy.select(F.col("n").alias("node"), F.col("x").alias("x0"), F.col("y").alias("y0")), "node").join(xy.select(F.col("n").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1")), "other")
@@ -191,8 +197,10 @@ def continuation_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = far.select(*(F.col(c).alias(f"a_{c}") for c in far.columns)), far.select(*(F.col(c).alias(f"b_{c}") for c in far.columns))
     t = a.join(b, (F.col("a_node") == F.col("b_node")) & (F.col("a_id") != F.col("b_id")))
     turn = 180 - g.angle_between("a_dx", "a_dy", "b_dx", "b_dy", 0.0)
-    score = (1 - turn / 60) * F.when(F.col("a_road_class") == F.col("b_road_class"), 1.0).otherwise(0.6)
-    return t.withColumn("turn", turn).where("turn < 60").select(F.col("a_node").alias("node"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(score, 6).alias("score"))
+    most = lambda c: F.coalesce(*(F.when(c == k, x) for k, x in MAX_TURN.items()), F.lit(LOCAL_TURN))
+    t = t.withColumn("turn", turn).withColumn("most", F.greatest(most(F.col("a_road_class")), most(F.col("b_road_class"))))
+    score = (1 - F.col("turn") / F.col("most")) * F.when(F.col("a_road_class") == F.col("b_road_class"), 1.0).otherwise(CLASS_MISMATCH)
+    return t.where("turn < most").select(F.col("a_node").alias("node"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(score, 6).alias("score"))
 
 
 def mutual_best(candidates: DataFrame) -> DataFrame:

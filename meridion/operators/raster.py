@@ -6,6 +6,8 @@ shuffle with nothing collected, whatever the raster's shape or gaps.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +73,10 @@ def slope(cells: DataFrame, step: float) -> DataFrame:
 def hillshade(cells: DataFrame, step: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """Light on each cell in [0, 1]."""
     t = slope(cells, step)
-    tilt, aspect = F.atan("slope"), F.atan2(-F.col("gx"), F.col("gy"))
+    tilt, aspect = F.lit(math.pi / 2) - F.atan("slope"), F.atan2(-F.col("gx"), F.col("gy"))
     az, alt = F.radians(F.lit(azimuth)), F.radians(F.lit(altitude))
-    light = F.sin(alt) * F.cos(tilt) + F.cos(alt) * F.sin(tilt) * F.cos(az - aspect)
-    return t.select("ix", "iy", F.least(F.lit(1.0), F.greatest(F.lit(0.0), light)).alias("shade"))
+    light = F.sin(alt) * F.sin(tilt) + F.cos(alt) * F.cos(tilt) * F.cos(az - aspect)
+    return t.select("ix", "iy", ((F.least(F.lit(1.0), F.greatest(F.lit(-1.0), light)) + 1) / 2).alias("shade"))
 
 
 def flow_direction(cells: DataFrame) -> DataFrame:
@@ -134,9 +136,54 @@ def normalize(cells: DataFrame, value: str = "h") -> DataFrame:
     return cells.join(F.broadcast(r)).withColumn("norm", F.when(F.col("_span") < 1e-9, 0.0).otherwise((F.col(value) - F.col("_low")) / F.col("_span"))).drop("_low", "_span")
 
 
-def terrain_class(height: Column, steep: Column, river: Column) -> Column:
-    """0 floodplain, 5 peak, 4 cliff, 3 hill, 2 upland, 1 plain: the first that holds."""
-    return F.when(river <= 0.06, 0).when(height >= 0.85, 5).when(steep >= 0.7, 4).when(height >= 0.6, 3).when(height >= 0.4, 2).otherwise(1)
+def terrain_class(height: Column, steep: Column, river: Column, extent: float) -> Column:
+    """Code of normalised height and slope and the distance to water: the last class of this list that holds.
+
+    1 plain, 2 rolling, 3 high hill, 4 mountain, 5 ridge, 0 floodplain.
+    """
+    near = river < max(55.0, extent * 0.04)
+    rolling = (steep >= 0.18) & (steep < 0.36)
+    hill = ((steep >= 0.36) & (steep < 0.58)) | ((height > 0.62) & (steep > 0.22))
+    mountain = (steep >= 0.58) | ((height > 0.78) & (steep > 0.34))
+    ridge = (height > 0.9) & (steep > 0.55)
+    return F.when(near & (height < 0.48), 0).when(ridge, 5).when(mountain, 4).when(hill, 3).when(rolling, 2).otherwise(1)
+
+
+def river_access(dist: Column, extent: float) -> Column:
+    """Best at a small distance from water, falling off like a bell on both sides."""
+    off = dist - max(40.0, extent * 0.08)
+    return F.exp(-(off * off) / (2 * max(60.0, extent * 0.12) ** 2))
+
+
+def flood_risk(dist: Column, height: Column, extent: float) -> Column:
+    near = F.exp(-(dist * dist) / (2 * max(30.0, extent * 0.04) ** 2))
+    return _unit(0.65 * near + 0.35 * _unit(1 - height))
+
+
+def suitability(height: Column, steep: Column, dist: Column, flood: Column, radial: Column, extent: float) -> Column:
+    """``radial``: distance from the centre with the border's middle at one."""
+    return _unit(0.42 * (1 - _unit(steep)) + 0.28 * river_access(dist, extent) + 0.18 * _unit(1 - radial) + 0.12 * (1 - _unit(height)) - 0.35 * flood)
+
+
+def resource_scores(height: Column, steep: Column, suit: Column, flood: Column) -> dict[str, Column]:
+    return {
+        "agri": _unit(0.65 * suit + 0.2 * (1 - flood) + 0.15 * (1 - steep)),
+        "ore": _unit(0.6 * height + 0.4 * steep),
+        "forest": _unit(0.4 * (1 - suit) + 0.35 * (1 - flood) + 0.25 * (1 - F.abs(steep - 0.45) * 2)),
+    }
+
+
+# How much a site of each kind attracts people.
+RESOURCE_WEIGHTS = {"water": 0.55, "agri": 0.45, "ore": 0.25, "forest": 0.18}
+OTHER_WEIGHT = 0.15
+
+
+def site_weight(kind: Column) -> Column:
+    return F.coalesce(*(F.when(kind == k, w) for k, w in RESOURCE_WEIGHTS.items()), F.lit(OTHER_WEIGHT))
+
+
+def _unit(c: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
 def contours(cells: DataFrame, levels: int) -> DataFrame:

@@ -117,8 +117,8 @@ def incident_pairs(spark, d):
 
 
 _CONT = """fr AS (SELECT a.node, a.id, e.road_class, h2.x - h1.x AS dx, h2.y - h1.y AS dy FROM (SELECT id, u AS node, v AS other FROM edges UNION ALL SELECT id, v, u FROM edges) a JOIN edges e USING (id) JOIN hubs h1 ON h1.id = a.node JOIN hubs h2 ON h2.id = a.other),
-    sc AS (SELECT a.node, a.id AS a, b.id AS b, 180 - degrees(acos(least(1.0, greatest(-1.0, (a.dx*b.dx+a.dy*b.dy) / (sqrt(a.dx*a.dx+a.dy*a.dy)*sqrt(b.dx*b.dx+b.dy*b.dy)))))) AS turn, CASE WHEN a.road_class = b.road_class THEN 1.0 ELSE 0.6 END AS m FROM fr a JOIN fr b ON a.node = b.node AND a.id <> b.id),
-    co AS (SELECT node, a, b, round((1 - turn/60) * m::DOUBLE, 6) AS score FROM sc WHERE turn < 60), be AS (SELECT node, a, arg_min(b, (-score, b)) AS b FROM co GROUP BY ALL),
+    sc AS (SELECT a.node, a.id AS a, b.id AS b, 180 - degrees(acos(least(1.0, greatest(-1.0, (a.dx*b.dx+a.dy*b.dy) / (sqrt(a.dx*a.dx+a.dy*a.dy)*sqrt(b.dx*b.dx+b.dy*b.dy)))))) AS turn, greatest(CASE a.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE 22 END, CASE b.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE 22 END)::DOUBLE AS mt, CASE WHEN a.road_class = b.road_class THEN 1.0 ELSE 0.3 END AS m FROM fr a JOIN fr b ON a.node = b.node AND a.id <> b.id),
+    co AS (SELECT node, a, b, round((1 - turn/mt) * m::DOUBLE, 6) AS score FROM sc WHERE turn < mt), be AS (SELECT node, a, arg_min(b, (-score, b)) AS b FROM co GROUP BY ALL),
     mb AS (SELECT x.node, x.a, x.b FROM be x JOIN be y ON x.node = y.node AND x.a = y.b AND x.b = y.a WHERE x.a < x.b)"""
 
 

@@ -53,7 +53,7 @@ def slope(spark, d):
     return r.slope(v.cells(spark, d), float(S)).select("ix", "iy", r4("slope").alias("slope"))
 
 
-@query("hillshade", "cells", f"""{_GRAD} SELECT ix, iy, round(least(1.0, greatest(0.0, sin(radians(45.0))*cos(atan(sqrt(gx*gx+gy*gy))) + cos(radians(45.0))*sin(atan(sqrt(gx*gx+gy*gy)))*cos(radians(315.0) - atan2(-gx, gy)))), 4) AS shade FROM g""")
+@query("hillshade", "cells", f"""{_GRAD} SELECT ix, iy, round((least(1.0, greatest(-1.0, sin(radians(45.0))*sin(pi()/2-atan(sqrt(gx*gx+gy*gy))) + cos(radians(45.0))*cos(pi()/2-atan(sqrt(gx*gx+gy*gy)))*cos(radians(315.0) - atan2(-gx, gy)))) + 1) / 2, 4) AS shade FROM g""")
 def hillshade(spark, d):
     return r.hillshade(v.cells(spark, d), float(S)).select("ix", "iy", r4("shade").alias("shade"))
 
@@ -126,30 +126,30 @@ def nearest_point_distance(spark, d):
     return _near_sites(spark, d).select("ix", "iy", r4("dist").alias("dist"))
 
 
-_CLASS = f"""{_GRAD}, {_NEAR}, z AS (SELECT ix, iy, (g.h - min(g.h) OVER ()) / (max(g.h) OVER () - min(g.h) OVER ()) AS hn, sqrt(gx*gx+gy*gy) AS sl, dist / 10240.0::DOUBLE AS rv FROM g JOIN near USING (ix, iy)),
-    q AS (SELECT ix, iy, hn, (sl - min(sl) OVER ()) / (max(sl) OVER () - min(sl) OVER ()) AS sn, rv FROM z)"""
+_CLASS = f"""{_GRAD}, {_NEAR}, z AS (SELECT ix, iy, (g.h - min(g.h) OVER ()) / (max(g.h) OVER () - min(g.h) OVER ()) AS hn, sqrt(gx*gx+gy*gy) AS sl, dist AS rv FROM g JOIN near USING (ix, iy)),
+    q AS (SELECT ix, iy, hn, (sl - min(sl) OVER ()) / (max(sl) OVER () - min(sl) OVER ()) AS sn, sl / (max(sl) OVER () + 1e-9) AS sm, rv FROM z)"""
 
 
 def _surface(spark, d):
-    """ix, iy, hn, sn, rv: normalised height and slope, share of the extent to the nearest site."""
+    """ix, iy, hn, sn, slope, rv: normalised height and slope, the slope, the distance to the nearest site."""
     s = r.normalize(r.normalize(r.slope(v.cells(spark, d), float(S))).withColumnRenamed("norm", "hn"), "slope").withColumnRenamed("norm", "sn")
-    return s.join(_near_sites(spark, d).select("ix", "iy", (F.col("dist") / v.EXTENT).alias("rv")), ["ix", "iy"])
+    return s.join(_near_sites(spark, d).select("ix", "iy", F.col("dist").alias("rv")), ["ix", "iy"])
 
 
-@query("terrain_class", "cells sites", f"""{_CLASS} SELECT ix, iy, (CASE WHEN rv <= 0.06 THEN 0 WHEN hn >= 0.85 THEN 5 WHEN sn >= 0.7 THEN 4 WHEN hn >= 0.6 THEN 3 WHEN hn >= 0.4 THEN 2 ELSE 1 END)::BIGINT AS code FROM q""")
+@query("terrain_class", "cells sites", f"""{_CLASS} SELECT ix, iy, (CASE WHEN rv < 409.6 AND hn < 0.48 THEN 0 WHEN hn > 0.9 AND sn > 0.55 THEN 5 WHEN sn >= 0.58 OR (hn > 0.78 AND sn > 0.34) THEN 4 WHEN (sn >= 0.36 AND sn < 0.58) OR (hn > 0.62 AND sn > 0.22) THEN 3 WHEN sn >= 0.18 AND sn < 0.36 THEN 2 ELSE 1 END)::BIGINT AS code FROM q""")
 def terrain_class(spark, d):
-    return _surface(spark, d).select("ix", "iy", r.terrain_class(F.col("hn"), F.col("sn"), F.col("rv")).cast("long").alias("code"))
+    return _surface(spark, d).select("ix", "iy", r.terrain_class(F.col("hn"), F.col("sn"), F.col("rv"), v.EXTENT).cast("long").alias("code"))
 
 
-_SUIT = f"""{_CLASS}, fl AS (SELECT *, least(1.0, greatest(0.0, 0.65 * least(1.0, greatest(0.0, 1 - rv * 8)) + 0.35 * (1 - hn))) AS flood FROM q),
-    su AS (SELECT *, least(1.0, greatest(0.0, 0.42 * (1 - sn) + 0.28 * (1 - rv) + 0.18 * least(1.0, greatest(0.0, 1 - sqrt(pow(ix*500.0-5120,2)+pow(iy*500.0-5120,2)) / 7240.8)) + 0.12 * (1 - hn) - 0.35 * flood)) AS suit FROM fl)"""
+_SUIT = f"""{_CLASS}, fl AS (SELECT *, least(1.0, greatest(0.0, 0.65 * exp(-(rv*rv) / (2*409.6*409.6)) + 0.35 * (1 - hn))) AS flood FROM q),
+    su AS (SELECT *, least(1.0, greatest(0.0, 0.42 * (1 - sn) + 0.28 * exp(-pow(rv-819.2,2) / (2*1228.8*1228.8)) + 0.18 * least(1.0, greatest(0.0, 1 - sqrt(pow(ix/10.0-1,2)+pow(iy/10.0-1,2)))) + 0.12 * (1 - hn) - 0.35 * flood)) AS suit FROM fl)"""
 
 
 def _suitability(spark, d):
     t = _surface(spark, d)
-    centre = g.clip(1 - g.distance(F.col("ix") * 500.0, F.col("iy") * 500.0, 5120.0, 5120.0) / 7240.8)
-    t = t.withColumn("flood", g.clip(0.65 * g.clip(1 - F.col("rv") * 8) + 0.35 * (1 - F.col("hn"))))
-    return t.withColumn("suit", g.clip(0.42 * (1 - F.col("sn")) + 0.28 * (1 - F.col("rv")) + 0.18 * centre + 0.12 * (1 - F.col("hn")) - 0.35 * F.col("flood")))
+    radial = g.length(F.col("ix") / 10.0 - 1, F.col("iy") / 10.0 - 1)
+    t = t.withColumn("flood", r.flood_risk(F.col("rv"), F.col("hn"), v.EXTENT))
+    return t.withColumn("suit", r.suitability(F.col("hn"), F.col("sn"), F.col("rv"), F.col("flood"), radial, v.EXTENT))
 
 
 @query("suitability_flood", "cells sites", f"{_SUIT} SELECT ix, iy, round(flood, 4) AS flood, round(suit, 4) AS suit FROM su")
@@ -157,13 +157,14 @@ def suitability_flood(spark, d):
     return _suitability(spark, d).select("ix", "iy", r4("flood").alias("flood"), r4("suit").alias("suit"))
 
 
-_KERN = """kn AS (SELECT c.ix, c.iy, coalesce(sum(CASE WHEN dist <= 2800 THEN quality * exp(-dist*dist / (2*700.0*700.0)) END), 0) AS w FROM (SELECT c.ix, c.iy, s.quality, sqrt(pow(c.ix*500.0-s.x,2)+pow(c.iy*500.0-s.y,2)) AS dist FROM cells c, sites s) c GROUP BY ALL)"""
+_KERN = """kn AS (SELECT c.ix, c.iy, coalesce(sum(CASE WHEN dist <= 2800 THEN wt * quality * exp(-dist*dist / (2*700.0*700.0)) END), 0) AS w FROM (SELECT c.ix, c.iy, s.quality, CASE s.kind WHEN 0 THEN 0.55 WHEN 1 THEN 0.45 WHEN 2 THEN 0.25 ELSE 0.18 END::DOUBLE AS wt, sqrt(pow(c.ix*500.0-s.x,2)+pow(c.iy*500.0-s.y,2)) AS dist FROM cells c, sites s) c GROUP BY ALL)"""
 
 
 def _kernel(spark, d):
     c = _cells_at(spark, d)
-    near = sp.within_distance(c.select(F.col("cell").alias("id"), "x", "y"), v.sites(spark, d).select(F.col("id").alias("site"), "x", "y", "quality"), 2800.0)
-    w = near.groupBy("id").agg(F.sum(F.col("quality") * F.exp(-F.col("dist") * F.col("dist") / (2 * 700.0 * 700.0))).alias("w"))
+    near = sp.within_distance(c.select(F.col("cell").alias("id"), "x", "y"), v.sites(spark, d).select(F.col("id").alias("site"), "x", "y", "quality", "kind"), 2800.0)
+    kind = F.element_at(F.array(*map(F.lit, r.RESOURCE_WEIGHTS)), (F.col("kind") + 1).cast("int"))
+    w = near.groupBy("id").agg(F.sum(r.site_weight(kind) * F.col("quality") * F.exp(-F.col("dist") * F.col("dist") / (2 * 700.0 * 700.0))).alias("w"))
     return c.join(w, c["cell"] == w["id"], "left").select("ix", "iy", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
@@ -192,16 +193,19 @@ def green_score(spark, d):
     return _population(spark, d).select("ix", "iy", r4(0.55 * F.col("flood") + 0.25 * (1 - F.col("pop")) + 0.20 * (1 - F.col("suit"))).alias("green"))
 
 
-@query("resource_scores", "cells sites", f"""{_SUIT} SELECT ix, iy, round(0.5 * (1 - sn) + 0.3 * (1 - rv) + 0.2 * (1 - hn), 4) AS agri, round(0.6 * hn + 0.4 * sn, 4) AS ore, round(0.5 * hn + 0.3 * (1 - suit) + 0.2 * flood, 4) AS forest FROM su""")
+@query("resource_scores", "cells sites", f"""{_SUIT} SELECT ix, iy, round(least(1.0, greatest(0.0, 0.65 * suit + 0.2 * (1 - flood) + 0.15 * (1 - sn))), 4) AS agri, round(least(1.0, greatest(0.0, 0.6 * hn + 0.4 * sn)), 4) AS ore, round(least(1.0, greatest(0.0, 0.4 * (1 - suit) + 0.35 * (1 - flood) + 0.25 * (1 - abs(sn - 0.45) * 2))), 4) AS forest FROM su""")
 def resource_scores(spark, d):
-    hn, sn, rv = F.col("hn"), F.col("sn"), F.col("rv")
-    return _suitability(spark, d).select("ix", "iy", r4(0.5 * (1 - sn) + 0.3 * (1 - rv) + 0.2 * (1 - hn)).alias("agri"), r4(0.6 * hn + 0.4 * sn).alias("ore"), r4(0.5 * hn + 0.3 * (1 - F.col("suit")) + 0.2 * F.col("flood")).alias("forest"))
+    scores = r.resource_scores(F.col("hn"), F.col("sn"), F.col("suit"), F.col("flood"))
+    return _suitability(spark, d).select("ix", "iy", *(r4(c).alias(k) for k, c in scores.items()))
 
 
-@query("hub_score", "cells sites", f"""{_CLASS} SELECT ix, iy, round(0.45 * (1 - sn) + 0.35 * (1 - rv) + 0.20 * (1 - sqrt(pow(ix*500.0-5120,2)+pow(iy*500.0-5120,2)) / 7240.8) - CASE WHEN rv * 10240 < 25 THEN 0.5 ELSE 0 END, 4) AS score FROM q""")
+@query("hub_score", "cells sites", f"""{_CLASS} SELECT ix, iy, round(0.45 * (1 - least(1.0, sm)) + 0.35 * exp(-pow(rv-819.2,2) / (2*1228.8*1228.8)) + 0.20 * greatest(0.0, 1 - sqrt(pow(ix*500.0-5120,2)+pow(iy*500.0-5120,2)) / 7680) - CASE WHEN rv < 25 THEN 0.5 ELSE 0 END, 4) AS score FROM q""")
 def hub_score(spark, d):
-    centre = 1 - g.distance(F.col("ix") * 500.0, F.col("iy") * 500.0, 5120.0, 5120.0) / 7240.8
-    return _surface(spark, d).select("ix", "iy", r4(0.45 * (1 - F.col("sn")) + 0.35 * (1 - F.col("rv")) + 0.20 * centre - F.when(F.col("rv") * v.EXTENT < 25, 0.5).otherwise(0.0)).alias("score"))
+    t = _surface(spark, d)
+    t = t.join(F.broadcast(t.agg((F.max("slope") + 1e-9).alias("top"))))
+    centre = F.greatest(F.lit(0.0), 1 - g.distance(F.col("ix") * 500.0, F.col("iy") * 500.0, 5120.0, 5120.0) / (v.EXTENT * 0.75))
+    score = 0.45 * (1 - F.least(F.lit(1.0), F.col("slope") / F.col("top"))) + 0.35 * r.river_access(F.col("rv"), v.EXTENT) + 0.20 * centre - F.when(F.col("rv") < 25, 0.5).otherwise(0.0)
+    return t.select("ix", "iy", r4(score).alias("score"))
 
 
 @query("contour_segments", "cells", """WITH b AS (SELECT a.ix, a.iy, a.h AS h0, e.h AS h1, x.h AS h2, n.h AS h3 FROM cells a JOIN cells e ON e.ix=a.ix+1 AND e.iy=a.iy JOIN cells x ON x.ix=a.ix+1 AND x.iy=a.iy+1 JOIN cells n ON n.ix=a.ix AND n.iy=a.iy+1),
