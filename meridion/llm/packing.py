@@ -1,7 +1,10 @@
 """Lexical retrieval packing of token windows (operator 9).
 
-Documents are dealt to shards of bounded text by a hash of their id.  Each shard is one small BM25 index:
-terms are token ids, postings are arrays.  A window starts with a seed (what is left of the last cut document,
+Terms are token ids; their weights are those of the whole corpus, counted once.  Documents are dealt to shards of
+bounded text by retrieval over the whole corpus: a sample of its documents (pivots) is an index, each document goes to
+the pivot with the best BM25 score for it, and what is too large for one shard is divided again by pivots of its own.
+So copies and documents on one subject meet in one shard wherever they were stored.  Each shard is one small BM25
+index with postings as arrays.  A window starts with a seed (what is left of the last cut document,
 else the longest unused one); the index returns its unused neighbours by BM25 score, and they fill the window
 greedily: those that fit whole in the order of their scores, then the best of the others is cut at the window's
 end and its rest becomes the next seed.  Only the last sequence of a shard can be short.
@@ -9,6 +12,7 @@ end and its rest becomes the next seed.  Only the last sequence of a shard can b
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
@@ -17,10 +21,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridion.session import table
+from meridion.session import ScratchTables, table
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -31,6 +35,14 @@ SHARD_BYTES = 4 << 20
 QUERY_TERMS = 24
 NEIGHBOURS = 48
 K1, B = 1.2, 0.75
+#: Pivots that divide the corpus or one part of it: so many at most, and so many for each shard that it fills.
+PIVOTS = 256
+PIVOTS_A_SHARD = 4
+#: Pivots that are sent to every task, at most.
+SENT_PIVOTS = 4096
+#: A part that keeps more than this share of what was divided is not divided by retrieval again: its documents are so
+#: much alike that any of them are neighbours, and they are dealt evenly.
+NO_PROGRESS = 0.9
 #: Words whose ids a worker remembers; the memory that a worker needs is bounded by it.
 REMEMBERED = 200_000
 
@@ -151,15 +163,123 @@ def _tokenise(path: str, end_id: int):
             for at in range(0, b.num_rows, 2048):
                 some = b.slice(at, 2048)
                 ids = encoder.encode_all(some.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("shard"), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["id", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("size"), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["id", "size", "ids"])
 
     return run
 
 
+def _frequencies(dtype: np.dtype, terms: int):
+    """Documents that hold each term: one row per term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(terms, np.int64)
+        for b in batches:
+            for ids in b.column("ids"):
+                df[np.unique(np.frombuffer(ids.as_buffer(), dtype))] += 1
+        found = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], ["term", "df"])
+
+    return run
+
+
+class CorpusStatistics:
+    """Weights of terms and the mean length, over all documents; as large as the vocabulary."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.mean = max(1.0, mean)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weights(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's terms and what each adds to its score for a seed that holds the term."""
+        t, c = np.unique(doc, return_counts=True)
+        return t, self.idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(doc) / self.mean))
+
+
+def corpus_statistics(tokens: DataFrame, dtype: np.dtype, terms: int) -> CorpusStatistics:
+    n, length = tokens.agg(F.count("*"), F.sum(F.octet_length("ids").cast("long"))).head()
+    df = np.zeros(terms, np.int64)
+    for r in tokens.select("ids").mapInArrow(_frequencies(dtype, terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the vocabulary at most
+        df[r.term] = r.df
+    return CorpusStatistics(n, (length or 0) / dtype.itemsize / max(1, n), df)
+
+
+class PivotIndex:
+    """BM25 over a few documents: which of them a document retrieves first."""
+
+    def __init__(self, pivots: list[np.ndarray], statistics: CorpusStatistics):
+        found = [statistics.weights(p) for p in pivots]
+        self.terms, row = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+        self.weights = np.zeros((len(self.terms), len(pivots)), np.float32)
+        self.weights[row, np.repeat(np.arange(len(pivots)), [len(t) for t, _ in found])] = np.concatenate([w for _, w in found])
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Of each pivot, for a document with these terms."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return self.weights[at[self.terms[at] == terms]].sum(axis=0)
+
+    def best(self, terms: np.ndarray) -> int:
+        """Ties go to the first pivot."""
+        return int(np.argmax(self.scores(terms)))
+
+
+def _place(tree: dict[int, tuple[int, list[bytes]]], statistics: CorpusStatistics, dtype: np.dtype, columns: list[str]):
+    """The part of each row: from the root down, always to the first child plus the number of the best pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = {p: (first, PivotIndex([np.frombuffer(x, dtype) for x in pivots], statistics)) for p, (first, pivots) in tree.items()}
+        for b in batches:
+            parts = []
+            for x in b.column("ids"):
+                terms, part = np.unique(np.frombuffer(x.as_buffer(), dtype)), 0
+                while (down := indexes.get(part)) is not None:
+                    part = down[0] + down[1].best(terms)
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(parts, pa.int64())], [*columns, "part"])
+
+    return run
+
+
+def _chain(statistics: CorpusStatistics, dtype: np.dtype):
+    """Pivots of one part, numbered anew so that each is followed by the one that it retrieves first of those left."""
+
+    def run(pivots: pa.Table) -> pa.Table:
+        pivots = pivots.sort_by("number")
+        docs = [np.frombuffer(p, dtype) for p in pivots.column("ids").to_pylist()]
+        index = PivotIndex(docs, statistics)
+        order, left = [0], np.ones(len(docs), bool)
+        left[0] = False
+        while left.any():
+            order.append(int(np.argmax(np.where(left, index.scores(np.unique(docs[order[-1]])), -1.0))))
+            left[order[-1]] = False
+        return pa.table([pivots.column("part"), pivots.column("number"), pivots.column("ids").take(pa.array(order))], names=["part", "number", "ids"])
+
+    return run
+
+
+def _divide_part(statistics: CorpusStatistics, dtype: np.dtype, id_type: pa.DataType):
+    """Rows of one part by its own pivots."""
+    schema = pa.schema([("id", id_type), ("rid", pa.int64()), ("size", pa.int64()), ("h", pa.int64()), ("ids", pa.binary()), ("part", pa.int64())])
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        pivots = pivots.sort_by("number")
+        index = PivotIndex([np.frombuffer(p, dtype) for p in pivots.column("ids").to_pylist()], statistics)
+        number = pivots.column("number").to_pylist()
+        part = [number[index.best(np.unique(np.frombuffer(x, dtype)))] for x in rows.column("ids").to_pylist()]
+        return pa.table([*(rows.column(c) for c in _TOKENS), pa.array(part, pa.int64())], schema=schema)
+
+    return run
+
+
+_TOKENS = ["id", "rid", "size", "h", "ids"]
+
+
 class ShardIndex:
-    """BM25 over the documents of a shard; a used document is no longer returned."""
+    """BM25 over the documents of a shard, by the corpus's statistics; a used document is no longer returned."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], statistics: CorpusStatistics | None = None):
         n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         self.lengths = np.array([len(d) for d in docs], np.float64)
@@ -170,8 +290,8 @@ class ShardIndex:
         self.terms, starts = np.unique(terms[order], return_index=True)
         self.starts = np.append(starts, len(terms))
         df = np.diff(self.starts)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.lengths / max(1.0, self.lengths.mean()))
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)) if statistics is None else statistics.idf[self.terms]
+        norm = K1 * (1 - B + B * self.lengths / (max(1.0, self.lengths.mean()) if statistics is None else statistics.mean))
         self.docs = doc[order]
         tf = counts[order]
         self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
@@ -195,9 +315,9 @@ class ShardIndex:
         return best[np.lexsort((best, -scores[best]))][:most].tolist()
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, statistics: CorpusStatistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces as (document, start, length, sequence, offset) of documents given longest first."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, statistics)
     pieces, sequence, following = [], 0, 0
     seed, start = None, 0
     while True:
@@ -246,7 +366,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
         sequence += 1
 
 
-def _pack(window: int, dtype: np.dtype, id_type: pa.DataType):
+def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: CorpusStatistics):
     schema = pa.schema([("id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(shard: pa.Table) -> pa.Table:
@@ -254,7 +374,7 @@ def _pack(window: int, dtype: np.dtype, id_type: pa.DataType):
         order = sorted(range(len(keys)), key=lambda i: (-len(blobs[i]), keys[i] is not None, keys[i] or 0, blobs[i]))
         docs = [np.frombuffer(blobs[i], dtype) for i in order]
         number = shard.column("shard")[0].as_py() << 32
-        rows = pack_shard(docs, window)
+        rows = pack_shard(docs, window, statistics)
         wide = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in rows]
         return pa.table(
             [
@@ -272,7 +392,94 @@ def _pack(window: int, dtype: np.dtype, id_type: pa.DataType):
     return run
 
 
-def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    """Bytes of each part.  There are a few for each shard, so this is a small share of the corpus."""
+    return {r.part: r.size for r in rows.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+
+
+def _pivots(light: DataFrame, tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(part, number, ids): of each part in ``wanted`` (part, most, first) at most ``most`` documents of different ids."""
+    kinds = light.join(F.broadcast(wanted), "part").groupBy("part", "h", "most", "first").agg(F.min("rid").alias("rid"))
+    # Some more than wanted by the hash's size alone, so that no window holds a whole part.
+    found = kinds.groupBy("part").agg(F.count("*").alias("kinds"))
+    drawn = kinds.join(F.broadcast(found), "part").where(F.pmod(F.xxhash64("h"), F.lit(1 << 31)) * F.col("kinds") <= F.lit(4 << 31) * F.col("most"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("h"), "h"))
+    drawn = drawn.withColumn("at", at).where("at <= most").select("part", "rid", (F.col("first") + F.col("at") - 1).alias("number"))
+    return tokens.select("rid", "ids").join(F.broadcast(drawn), "rid").select("part", "number", "ids")
+
+
+def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics, dtype: np.dtype, shard_bytes: int, total: int, most_sent: int = SENT_PIVOTS) -> DataFrame:
+    """(id, ids, shard) of each row of ``tokens``: shards of neighbours.
+
+    A part of more than ``shard_bytes`` is divided; parts that come from one and fit are put together up to that size.
+    Rows without anything to tell them apart are dealt evenly, by their numbers.  As long as all pivots are
+    ``most_sent`` at most they are sent to the rows, which stay where they are; below that, parts are shuffled.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, kind = tokens.sparkSession, tokens.schema["id"].dataType
+    if total <= shard_bytes:
+        return tokens.select("id", "ids", F.lit(0).cast("long").alias("shard"))
+    ddl = f"id {kind.simpleString()}, rid long, size long, h long, ids binary, part long"
+    tree, sizes, following, first_shard = {}, {0: total}, 1, 0
+    rows = tokens.withColumn("part", F.lit(0).cast("long"))
+    light, shards, settled, sent = rows, [], [], True
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        numbers = spark.createDataFrame(shards, "part long, shard long, n long")
+        return rows.join(F.broadcast(numbers), "part").select("id", "ids", (F.col("shard") + F.pmod(F.xxhash64("rid"), F.col("n"))).alias("shard"))
+
+    while sizes:
+        wanted, parent = [], {}
+        for p in sorted(sizes):
+            salts = math.ceil(sizes[p] / shard_bytes)
+            most = min(PIVOTS, PIVOTS_A_SHARD * salts)
+            wanted.append((p, most, following, salts))
+            parent |= dict.fromkeys(range(following, following + most), p)
+            following += most
+        known = spark.createDataFrame(wanted, "part long, most int, first long, salts long")
+        pivots = _pivots(light, rows, known.select("part", "most", "first")).groupBy("part").applyInArrow(_chain(statistics, dtype), "part long, number long, ids binary")
+        if sent and following <= max(most_sent, PIVOTS):
+            first = {p: f for p, _, f, _ in wanted}
+            for r in pivots.orderBy("number").collect():
+                tree.setdefault(r.part, (first[r.part], []))[1].append(bytes(r.ids))
+            light = tables.put(tokens.mapInArrow(_place(tree, statistics, dtype, ["rid", "size", "h"]), "rid long, size long, h long, part long"))
+        else:
+            if sent:  # the parts that are settled so far are taken from here, the others go on
+                sent, rows = False, tokens.mapInArrow(_place(tree, statistics, dtype, _TOKENS), ddl) if tree else rows
+                settled += [numbered(rows)] if shards else []
+                shards = []
+            # A part of any size is spread over tasks of one shard's bytes each; its pivots go to each of them.
+            salts = F.broadcast(known.select("part", "salts"))
+            salted = rows.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts"))).select(*_TOKENS, "part", "salt")
+            copies = pivots.join(salts, "part").select("part", "number", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+            light = rows = tables.put(salted.groupBy("part", "salt").cogroup(copies.groupBy("part", "salt")).applyInArrow(_divide_part(statistics, dtype, to_arrow_type(kind)), ddl))
+        children = {r.part: r.size for r in light.groupBy("part").agg(F.sum("size").alias("size")).collect()}  # a few for each shard
+        again, held = {}, {}
+        for p in sorted(children.keys() & parent.keys()):
+            size, of = children[p], parent[p]
+            if size > shard_bytes and size <= NO_PROGRESS * sizes[of]:
+                again[p] = size
+            elif size > shard_bytes:
+                n = math.ceil(size / shard_bytes)
+                shards.append((p, first_shard, n))
+                first_shard += n
+            else:
+                shard, full = held.get(of, (None, 0))
+                if shard is None or full + size > shard_bytes:
+                    shard, full, first_shard = first_shard, 0, first_shard + 1
+                held[of] = shard, full + size
+                shards.append((p, shard, 1))
+        sizes = again
+        if not sent and shards:
+            settled.append(numbered(rows))
+            shards = []
+    if sent:
+        settled.append(numbered(tokens.mapInArrow(_place(tree, statistics, dtype, _TOKENS), ddl)))
+    return functools.reduce(DataFrame.unionAll, settled)
+
+
+def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, most_sent: int = SENT_PIVOTS) -> DataFrame:
     """One row per piece: id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
     Every id of every row of ``docs`` lies in exactly one piece.  A null text counts as empty and packs as its end
@@ -282,17 +489,20 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     from pyspark.sql.pandas.types import to_arrow_type
     from tokenizers import Tokenizer
 
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).head()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    # The text takes part so that rows that share an id do not share a shard.
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    ddl = kind.simpleString()
-    tokens = dealt.mapInArrow(_tokenise(vocabulary_path, end_id), f"id {ddl}, shard long, ids binary")
-    dtype = np.dtype("<u2" if Tokenizer.from_file(vocabulary_path).get_vocab_size() <= 1 << 16 else "<u4")
-    packed = tokens.groupBy("shard").applyInArrow(
-        _pack(window, dtype, to_arrow_type(kind)), f"id {ddl}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.octet_length(text).cast("long") + 64).alias("size"))
+    ddl, terms = kind.simpleString(), Tokenizer.from_file(vocabulary_path).get_vocab_size()
+    dtype = np.dtype("<u2" if terms <= 1 << 16 else "<u4")
+    terms = max(terms, end_id + 1)
+    tables = ScratchTables(spark)
+    encoded = rows.mapInArrow(_tokenise(vocabulary_path, end_id), f"id {ddl}, size long, ids binary")
+    tokens = tables.put(encoded.select("id", F.monotonically_increasing_id().alias("rid"), "size", F.xxhash64("ids").alias("h"), "ids"))
+    total = tokens.agg(F.sum("size")).head()[0] or 0
+    statistics = corpus_statistics(tokens, dtype, terms)
+    dealt = deal(tokens, tables, statistics, dtype, shard_bytes, total, most_sent)
+    packed = dealt.groupBy("shard").applyInArrow(
+        _pack(window, dtype, to_arrow_type(kind), statistics), f"id {ddl}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
     return packed.withColumnRenamed("id", id_col)
 

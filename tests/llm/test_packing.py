@@ -1,8 +1,10 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
+from meridion.llm import packing
 from meridion.llm.packing import VOCABULARY, WINDOW, ShardIndex, WordEncoder, op9_retrieval_packing, pack
 from tokenizers import Tokenizer
 
@@ -79,3 +81,50 @@ def test_neighbours_rank_as_bm25():
         return out
 
     assert index.neighbours(0, 10) == sorted((d for d in (1, 3, 4)), key=lambda d: (-score(d), d))
+
+
+@pytest.mark.parametrize("most_sent", [4096, 0])
+def test_shards_are_dealt_by_retrieval_over_the_whole_corpus(spark, monkeypatch, most_sent):
+    """Documents on one subject lie in few shards although their ids and texts hash anywhere; all weigh terms alike."""
+    monkeypatch.setattr(packing, "PIVOTS", 16)
+    words = [f"{a}{b}" for a in ("water", "stone", "paper", "light", "green", "sound", "north", "glass") for b in ("house", "field", "works", "road", "man", "line")]
+    subjects = [words[k * 6 : k * 6 + 6] for k in range(8)]
+    texts = [" ".join(subjects[i % 8][(i * j + j) % 6] for j in range(1, 40)) + f" number {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = pack(df, PATH, window=256, shard_bytes=20_000, most_sent=most_sent).select("doc_id", "sequence_id").collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.doc_id].add(r.sequence_id >> 32)
+    assert set(shards) == set(range(400)) and all(len(s) == 1 for s in shards.values())
+    assert len(set.union(*shards.values())) >= 5
+    together = 0
+    for k in range(8):
+        at = [next(iter(shards[i])) for i in range(k, 400, 8)]
+        together += max(at.count(s) for s in set(at))
+    # A hash of the id leaves about a fifth of a subject in its best shard.
+    assert together > 0.6 * 400
+
+
+def test_equal_documents_and_oversized_parts_are_dealt_evenly(spark):
+    from meridion.llm.packing import digest
+
+    texts = ["copy of one text " * 30] * 300 + [f"other text {i} about {i * 7} things " * 20 for i in range(100)]
+    df = spark.createDataFrame([(i % 350, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = defaultdict(list)
+    for i, t in enumerate(library(texts)):
+        want[i % 350].append(t)
+    rows = pack(df, PATH, shard_bytes=16_000)
+    held = Counter(r.sequence_id >> 32 for r in rows.select("sequence_id", "doc_id").collect())
+    assert max(held.values()) < 100
+    check(digest(rows).collect(), want)
+
+
+def test_shard_index_takes_the_statistics_of_the_corpus():
+    from meridion.llm.packing import CorpusStatistics
+
+    docs = [np.array(x, "<u2") for x in ([5, 6], [5, 8], [6, 9])]
+    df = np.zeros(10, np.int64)
+    df[[5, 6, 8, 9]] = 900, 2, 5, 5
+    index = ShardIndex(docs, CorpusStatistics(1000, 2.0, df))
+    index.unused[0] = False
+    assert index.neighbours(0, 10) == [2, 1]  # 5 is rare in the shard only as 6 is
