@@ -20,8 +20,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars is that of the new text."""
-    out = line_dedup.drop_boilerplate(docs)
+    """Texts without the boilerplate lines of their source; n_chars is that of the new text.
+
+    Copies of a page count once, so that they keep their lines and near-dedup leaves one of them.
+    """
+    out = line_dedup.drop_boilerplate(docs, copies=False)
     columns = [F.col("clean").alias(c) if c == "text" else F.char_length("clean").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
     return out.select(*columns)
 

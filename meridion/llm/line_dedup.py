@@ -22,8 +22,16 @@ def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES))
 
 
-def boilerplate(docs: DataFrame, site: Column, text: Column, max_permille: int = MAX_PERMILLE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, line, pages, site_pages): the 128-bit digests of lines to drop, with their counts."""
+def boilerplate(docs: DataFrame, site: Column, text: Column, max_permille: int = MAX_PERMILLE, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(site, line, pages, site_pages): the 128-bit digests of lines to drop, with their counts.
+
+    Without ``copies`` pages of a site with the same text count as one page, in both counts.
+    """
+    if not copies:
+        # A page's lines are the same for all copies; one digest per page is shuffled with them.
+        page = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+        docs = docs.select(site.alias("site"), page.alias("page"), text.alias("text")).where("site is not null").groupBy("site", "page").agg(F.first("text").alias("text"))
+        site, text = F.col("site"), F.col("text")
     # Within a page a line counts once, so pages are counted without a distinct over all rows.
     rows = docs.select(site.alias("site"), F.array_distinct(_digests(text)).alias("lines")).where("site is not null")
     totals = rows.groupBy("site").agg(F.count("*").alias("site_pages"))
@@ -40,17 +48,17 @@ def _digests(text: Column) -> Column:
     )
 
 
-def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_permille: int = MAX_PERMILLE, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_permille: int = MAX_PERMILLE, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(row, clean, n_lines, n_dropped): each row of ``docs``, and its text without its site's boilerplate lines.
 
     Lines are compared without white space at their ends; lines without a word are neither counted nor dropped.  A
     row with a null site belongs to no site and loses nothing; a null text stays null and has no line; a page that
-    occurs twice counts twice; an empty table gives an empty one.  The row is kept in a struct of its own, so no
+    occurs twice counts twice, or once without ``copies``; an empty table gives an empty one.  The row is kept in a struct of its own, so no
     column name can clash.  Rows are numbered where they are read, so ``docs`` has to be a table or a checkpoint.
     """
     site, text = F.col(f"`{site_col}`"), F.col(f"`{text_col}`")
     numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), site.alias("site"), text.alias("t"), F.monotonically_increasing_id().alias("rid"))
-    bad = boilerplate(docs, site, text, max_permille, min_pages).select("site", "line")
+    bad = boilerplate(docs, site, text, max_permille, min_pages, copies).select("site", "line")
     lines = numbered.select("rid", "site", F.posexplode(_digests(F.col("t"))).alias("at", "line")).where("line is not null and site is not null")
     # Sites of any size are joined by site and line together, which spreads a large site over all tasks.
     hits = lines.join(bad, ["site", "line"]).groupBy("rid").agg(F.collect_set("at").alias("at"))

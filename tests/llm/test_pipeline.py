@@ -42,3 +42,21 @@ def test_run_and_odd_rows(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in got} <= {1, 4, None} and {1, None} <= {r.doc_id for r in got}
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_one_of_many_copies_stays_whole(spark, tmp_path):
+    copied = "\n".join(" ".join(f"{w}{k}" for w in ("stone", "river", "cloud", "maple", "copper")) for k in range(12))
+    pages = [(i, copied, "en", "a", len(copied)) for i in range(40)]
+    for i in range(40, 160):
+        text = "\n".join(["Home"] + [" ".join(f"{w}{i * 13 + k}" for w in ("window", "garden", "letter", "summer")) for k in range(9)])
+        pages.append((i, text, "en", "a", len(text)))
+    docs = spark.createDataFrame(pages, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.drop_site_lines(spark, docs, "").write.parquet(f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    assert all(texts[i] == copied for i in range(40))
+    assert not any("Home" in texts[i] for i in range(40, 160))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.keep_one_of_each_group(spark, lines, "").collect()}
+    assert kept[0] == copied and not kept.keys() & set(range(1, 40))
