@@ -31,9 +31,6 @@ WINDOW = 2048
 END_ID = 1
 #: Bytes of text in a shard, on average; a shard is what one task holds.
 SHARD_BYTES = 4 << 20
-#: Terms of a seed that are looked up, and neighbours that are tried for one window.
-QUERY_TERMS = 24
-NEIGHBOURS = 48
 K1, B = 1.2, 0.75
 #: Pivots that divide the corpus or one part of it: so many at most, and so many for each shard that it fills.
 PIVOTS = 256
@@ -298,21 +295,19 @@ class ShardIndex:
         self.of_doc = found
         self.unused = np.ones(n, bool)
 
-    def neighbours(self, seed: int, most: int) -> list[int]:
-        """Unused documents that share a weighty term with the seed: best score first, ties by place in the shard."""
-        t, c = self.of_doc[seed]
-        k = np.searchsorted(self.terms, t)
-        value = self.idf[k] * c / (c + K1)
-        scores = np.zeros(len(self.unused))
-        for j in k[np.lexsort((t, -value))[:QUERY_TERMS]]:
-            at = slice(self.starts[j], self.starts[j + 1])
-            scores[self.docs[at]] += self.weights[at]
+    def ranked(self, seed: int) -> np.ndarray:
+        """All unused documents that share a term with the seed: best score first, ties by place in the shard."""
+        k = np.searchsorted(self.terms, self.of_doc[seed][0])
+        counts = self.starts[k + 1] - self.starts[k]
+        at = np.repeat(self.starts[k] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        scores = np.bincount(self.docs[at], self.weights[at], len(self.unused))
         scores[~self.unused] = 0
         best = np.nonzero(scores)[0]
-        if len(best) > most:
-            cut = np.partition(scores[best], len(best) - most)[len(best) - most]
-            best = best[scores[best] >= cut]
-        return best[np.lexsort((best, -scores[best]))][:most].tolist()
+        return best[np.lexsort((best, -scores[best]))]
+
+    def neighbours(self, seed: int, most: int) -> list[int]:
+        """The first of ``ranked``."""
+        return self.ranked(seed)[:most].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int, statistics: CorpusStatistics | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -338,16 +333,21 @@ def pack_shard(docs: list[np.ndarray], window: int, statistics: CorpusStatistics
         pieces.append((seed, start, left, sequence, 0))
         used = left
         cut = None
-        for other in index.neighbours(seed, NEIGHBOURS):
-            n = len(docs[other])
-            if n <= window - used:
+        ranked = near = index.ranked(seed)
+        sizes = index.lengths[near]
+        while used < window and len(near):
+            fits = sizes <= window - used
+            near, sizes = near[fits], sizes[fits]
+            # As many as fit one after the other; the first that does not is passed over in the next turn.
+            n = int(np.searchsorted(np.cumsum(sizes), window - used, side="right"))
+            for other, length in zip(near[:n].tolist(), sizes[:n].astype(int).tolist(), strict=True):
                 index.unused[other] = False
-                pieces.append((other, 0, n, sequence, used))
-                used += n
-                if used == window:
-                    break
-            elif cut is None:
-                cut = other
+                pieces.append((other, 0, length, sequence, used))
+                used += length
+            near, sizes = near[n:], sizes[n:]
+        left_out = ranked[index.unused[ranked]]  # none of them fitted when it was its turn
+        if len(left_out):
+            cut = int(left_out[0])
         seed, start = None, 0
         while used < window:
             if cut is None:

@@ -128,3 +128,31 @@ def test_shard_index_takes_the_statistics_of_the_corpus():
     index = ShardIndex(docs, CorpusStatistics(1000, 2.0, df))
     index.unused[0] = False
     assert index.neighbours(0, 10) == [2, 1]  # 5 is rare in the shard only as 6 is
+
+
+def test_window_draws_neighbours_until_it_is_full():
+    """More than 48 short neighbours fill a window, and one behind 48 that do not fit is taken; unrelated ones are not."""
+    far = [np.full(12, 9, "<u2")] * 80
+    near = [np.array([5, 6], "<u2")] * 90
+    docs = [np.array([5] * 30, "<u2"), *far, *near]
+    first = [d for d, _, _, q, _ in packing.pack_shard(docs, 200) if q == 0]
+    assert first[0] == 0 and len(first) == 86 and all(d > 80 for d in first[1:])
+    # the seed leaves room for 4: 60 better ones are too long
+    docs = [np.array([5] * 196, "<u2"), *[np.array([5] * 6, "<u2")] * 60, *[np.array([7] * 4, "<u2")] * 3, np.array([5, 7, 7, 7], "<u2")]
+    assert [d for d, _, _, q, _ in packing.pack_shard(docs, 200) if q == 0] == [0, 64]
+
+
+def test_all_terms_of_a_seed_count():
+    seed = np.arange(2, 60, dtype="<u2")
+    docs = [seed, *[np.array([t], "<u2") for t in range(2, 60)], np.array([99], "<u2")]
+    index = ShardIndex(docs)
+    index.unused[0] = False
+    assert index.neighbours(0, 100) == list(range(1, 59))
+
+
+def test_best_neighbour_that_does_not_fit_is_cut():
+    docs = [np.array([5, 6, 7, 8, 5, 6], "<u2"), np.array([5, 6, 7, 8, 9, 9], "<u2"), np.array([5] + [9] * 20, "<u2"), np.array([5, 6, 7, 8], "<u2")]
+    rows = packing.pack_shard(sorted(docs, key=len, reverse=True), 24)
+    assert sum(n for _, _, n, *_ in rows) == sum(map(len, docs))
+    # long [5, 9..] is the seed; of the others the best that fits no more is cut at the window's end
+    assert [(o, n) for _, _, n, q, o in rows if q == 0][-1][0] + [n for _, _, n, q, _ in rows if q == 0][-1] == 24
