@@ -1,13 +1,13 @@
 """Lexical retrieval packing of token windows (operator 9).
 
-Terms are token ids; their weights are those of the whole corpus, counted once.  Documents are dealt to shards of
-bounded text by retrieval over the whole corpus: a sample of its documents (pivots) is an index, each document goes to
-the pivot with the best BM25 score for it, and what is too large for one shard is divided again by pivots of its own.
-So copies and documents on one subject meet in one shard wherever they were stored.  Each shard is one small BM25
-index with postings as arrays.  A window starts with a seed (what is left of the last cut document,
-else the longest unused one); the index returns its unused neighbours by BM25 score, and they fill the window
-greedily: those that fit whole in the order of their scores, then the best of the others is cut at the window's
-end and its rest becomes the next seed.  Only the last sequence of a shard can be short.
+Terms are token ids; their weights are those of the whole corpus, counted once.  Documents are dealt to shards by
+retrieval over the whole corpus: a sample of its documents (pivots) is an index, each document goes to the pivot with
+the best BM25 score for it, and what is too large for one task is divided again by pivots of its own.  So copies and
+documents on one subject meet in one shard wherever they were stored.  A shard is divided the same way into indexes of
+bounded size, with postings as arrays.  A window starts with a seed (what is left of the last cut document, else the
+longest unused one); the index returns its unused neighbours by BM25 score, and they fill the window greedily: those
+that fit whole in the order of their scores, then the best of the others is cut at the window's end and its rest
+becomes the next seed.  Only the last sequence of an index can be short.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import functools
 import json
 import math
 import os
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +29,12 @@ from meridion.session import ScratchTables, table
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
-#: Bytes of text in a shard, on average; a shard is what one task holds.
+#: Bytes of text in a shard, about; a shard is what one task holds.
 SHARD_BYTES = 4 << 20
+#: A part of so many times that size, at most, is a shard as it is.
+MOST = 4
+#: Ids in one index, at most (but for a larger document).
+INDEX_IDS = 400_000
 K1, B = 1.2, 0.75
 #: Pivots that divide the corpus or one part of it: so many at most, and so many for each shard that it fills.
 PIVOTS = 256
@@ -41,20 +45,22 @@ SENT_PIVOTS = 4096
 #: much alike that any of them are neighbours, and they are dealt evenly.
 NO_PROGRESS = 0.9
 #: Words whose ids a worker remembers; the memory that a worker needs is bounded by it.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: Texts that are encoded at a time, at most, and their bytes (one text can have more).
+_BATCH_ROWS, _BATCH_BYTES = 4096, 16 << 20
 
-#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from 256 on in order.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_PUNCTUATION = b".,!?;:*$&%#|"
+#: A run of marks behind such a letter or digit, at the end of a word, is a piece of its own under the vocabulary's
+#: rules: these characters stay letters or digits when they are normalised, and none of them ends in a mark.
+_MARKS_BEHIND = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$&%#|]+)([ \n]|$)"
 _loaded: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Ids of whole texts by the vocabulary file of a worker.
 
-    If the vocabulary's own rules are seen to cut every text at white space, texts are encoded word by word and
-    each word's ids are remembered; otherwise the library encodes whole texts.
+    If the vocabulary's own rules are seen to cut every text at white space, a batch of texts is cut into words, each
+    different word is encoded by the library once and remembered, and the texts are put together from their words;
+    otherwise the library encodes whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -66,59 +72,59 @@ class WordEncoder:
             rules = json.load(f)
         self.by_word = _cuts_at_space(rules)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.end = end_id
+        self._forget()
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Word by place; of each place the end of its ids in ``ids``."""
+        self.known: dict[bytes, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
 
-    def _run(self, run: str) -> bytes:
-        """A run of lower-case letters is one word to the merges, so the cutting rules need not look at it again."""
-        return np.array([t.id for t in self.model.model.tokenize(run)], self.dtype).tobytes()
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        """A run of marks behind a letter or digit is a piece of its own, so both parts are looked up apart."""
-        known, rest = self.known, []
+    def _learn(self, words: list[bytes]) -> None:
+        """A word of lower-case letters is one word to the merges, so the cutting rules need not look at it."""
+        merges, plain, odd, found = self.model.model.tokenize, [], [], []
         for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if not core.isalpha():  # ASCII letters only
-                rest.append(w)
-                continue
-            low = core.lower()
-            ids = known.get(low)
-            if ids is None:
-                ids = known[low] = self._run(low.decode())
-            if len(core) < len(w):
-                marks = w[len(core) :]
-                if marks not in known:
-                    known[marks] = self._library([marks.decode()])[0]
-                ids += known[marks]
-            known[w] = ids
-        split = {w: _parts(w) for w in rest}
-        new = {p for ps in split.values() for p in ps if p not in known}
-        plain = {p: r for p in new if (r := _letters(p)) is not None}
-        known.update((p, self._run(r.encode().decode("latin-1").translate(_BYTE_LETTERS))) for p, r in plain.items())
-        odd = [p for p in new if p not in plain]
-        known.update(zip(odd, self._library([p.decode() for p in odd]), strict=True))
-        known.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in split.items())
+            (plain if w.isalpha() and w.islower() else odd).append(w)  # both hold for ASCII letters only
+        for w in plain:
+            found.append([t.id for t in merges(w.decode())])
+        found += [e.ids for e in self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]
+        n = len(self.known)
+        self.known.update(zip(plain + odd, range(n, n + len(words)), strict=True))
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), self.dtype, int(lens.sum()))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, the end of each text in them); each text's last id is the end's."""
+        if not self.by_word:
+            found = [[*e.ids, self.end] for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for f in found for i in f], self.dtype), np.cumsum([len(f) for f in found])
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special strings are met in lower case only
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKS_BEHIND, r"\1 \2\3"))
+        last = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        place = [self.known.get(w) for w in different]
+        if new := [w for w, k in zip(different, place, strict=True) if k is None]:
+            self._learn(new)
+            place = [self.known[w] for w in different]
+        place = np.array(place, np.int64)[coded.indices.to_numpy()]
+        starts, lens = self.ends[place], self.ends[place + 1] - self.ends[place]
+        after = np.cumsum(lens)
+        n = int(after[-1]) if len(after) else 0
+        at = np.repeat(starts - (after - lens), lens) + np.arange(n)
+        ends = np.concatenate([[0], after])[last[1:] - last[0]] + np.arange(1, len(texts) + 1)
+        out, inside = np.full(n + len(texts), self.end, self.dtype), np.ones(n + len(texts), bool)
+        inside[ends - 1] = False
+        out[inside] = self.ids[at]
+        return out, ends
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [x + self.end for x in self._library(texts)]
-        if len(self.known) > REMEMBERED:  # what is still met moves on, the rest is forgotten one turn later
-            self.known, self.older = {}, self.known
-        words, out = [t.encode().split() for t in texts], []
-        for ws in words:
-            ids = list(map(self.known.get, ws))
-            if None in ids:
-                new = {w for w, i in zip(ws, ids, strict=True) if i is None}
-                met = {w: i for w in new if (i := self.older.get(w)) is not None}
-                self.known.update(met)
-                self._learn(new - met.keys())
-                ids = map(self.known.__getitem__, ws)
-            out.append(b"".join(ids) + self.end)
-        return out
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _cuts_at_space(rules: dict) -> bool:
@@ -130,51 +136,63 @@ def _cuts_at_space(rules: dict) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and removed and by_bytes and plain and not rules.get("post_processor")
 
 
-def _letters(word: bytes) -> str | None:
-    """The word in lower case if it is nothing but letters that the vocabulary's rules change no further."""
-    text = word.decode()
-    low = text.lower()
-    return low if low.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text) else None
-
-
-def _parts(word: bytes) -> list[bytes]:
-    core = word.rstrip(_PUNCTUATION)
-    if core and len(core) < len(word):
-        text = core.decode()
-        last = text[-1].lower()[-1]  # lower case can end with a mark
-        if last.isalpha() or last.isascii() and last.isdigit():
-            return [core, word[len(core) :]]
-    return [word]
-
-
 def _encoder(path: str, end_id: int) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path, end_id)
     return _loaded[path]
 
 
+def _bounded(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text."""
+    size = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + _BATCH_BYTES, side="right"))
+        end = min(max(end, at + 1), at + _BATCH_ROWS)
+        yield b.slice(at, end - at)
+        at = end
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                some = b.slice(at, 2048)
-                ids = encoder.encode_all(some.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("size"), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["id", "size", "ids"])
+            for some in _bounded(b, "text"):
+                ids, ends = encoder.encode(some.column("text"))
+                offsets = np.concatenate([[0], ends]) * encoder.dtype.itemsize
+                if offsets[-1] >= 1 << 31:
+                    raise ValueError("the ids of one text do not fit a binary value of Spark")
+                blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("size"), blobs], ["id", "size", "ids"])
 
     return run
 
 
+#: Numbers that the statistics keep beside the terms: documents and their ids.
+_DOCUMENTS, _IDS = -1, -2
+
+
+def _terms(doc: np.ndarray) -> np.ndarray:
+    """The different terms of a document in their order."""
+    doc = np.sort(doc, kind="stable")  # a radix sort for 16 bits
+    keep = np.ones(len(doc), bool)
+    keep[1:] = doc[1:] != doc[:-1]
+    return doc[keep]
+
+
 def _frequencies(dtype: np.dtype, terms: int):
-    """Documents that hold each term: one row per term and task."""
+    """Documents that hold each term, and the totals: one row per term and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(terms, np.int64)
+        df, docs, length = np.zeros(terms, np.int64), 0, 0
         for b in batches:
+            docs += b.num_rows
             for ids in b.column("ids"):
-                df[np.unique(np.frombuffer(ids.as_buffer(), dtype))] += 1
+                doc = np.frombuffer(ids.as_buffer(), dtype)
+                length += len(doc)
+                df[_terms(doc)] += 1
         found = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array([*found.tolist(), _DOCUMENTS, _IDS]), pa.array([*df[found].tolist(), docs, length])], ["term", "df"])
 
     return run
 
@@ -193,11 +211,14 @@ class CorpusStatistics:
 
 
 def corpus_statistics(tokens: DataFrame, dtype: np.dtype, terms: int) -> CorpusStatistics:
-    n, length = tokens.agg(F.count("*"), F.sum(F.octet_length("ids").cast("long"))).head()
-    df = np.zeros(terms, np.int64)
+    df, totals = np.zeros(terms, np.int64), {}
     for r in tokens.select("ids").mapInArrow(_frequencies(dtype, terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the vocabulary at most
-        df[r.term] = r.df
-    return CorpusStatistics(n, (length or 0) / dtype.itemsize / max(1, n), df)
+        if r.term >= 0:
+            df[r.term] = r.df
+        else:
+            totals[r.term] = r.df
+    n = totals.get(_DOCUMENTS, 0)
+    return CorpusStatistics(n, totals.get(_IDS, 0) / max(1, n), df)
 
 
 class PivotIndex:
@@ -205,15 +226,17 @@ class PivotIndex:
 
     def __init__(self, pivots: list[np.ndarray], statistics: CorpusStatistics):
         found = [statistics.weights(p) for p in pivots]
-        self.terms, row = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-        self.weights = np.zeros((len(self.terms), len(pivots)), np.float32)
+        terms, row = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+        #: Row of each term in the weights; the last row is for terms that no pivot has.
+        self.row = np.full(len(statistics.idf), len(terms), np.int32)
+        self.row[terms] = np.arange(len(terms))
+        self.weights = np.zeros((len(terms) + 1, len(pivots)), np.float32)
         self.weights[row, np.repeat(np.arange(len(pivots)), [len(t) for t, _ in found])] = np.concatenate([w for _, w in found])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Of each pivot, for a document with these terms."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        return self.weights[at[self.terms[at] == terms]].sum(axis=0)
+        at = self.row[terms]
+        return self.weights[at[at < len(self.weights) - 1]].sum(axis=0)
 
     def best(self, terms: np.ndarray) -> int:
         """Ties go to the first pivot."""
@@ -228,7 +251,7 @@ def _place(tree: dict[int, tuple[int, list[bytes]]], statistics: CorpusStatistic
         for b in batches:
             parts = []
             for x in b.column("ids"):
-                terms, part = np.unique(np.frombuffer(x.as_buffer(), dtype)), 0
+                terms, part = _terms(np.frombuffer(x.as_buffer(), dtype)), 0
                 while (down := indexes.get(part)) is not None:
                     part = down[0] + down[1].best(terms)
                 parts.append(part)
@@ -247,7 +270,7 @@ def _chain(statistics: CorpusStatistics, dtype: np.dtype):
         order, left = [0], np.ones(len(docs), bool)
         left[0] = False
         while left.any():
-            order.append(int(np.argmax(np.where(left, index.scores(np.unique(docs[order[-1]])), -1.0))))
+            order.append(int(np.argmax(np.where(left, index.scores(_terms(docs[order[-1]])), -1.0))))
             left[order[-1]] = False
         return pa.table([pivots.column("part"), pivots.column("number"), pivots.column("ids").take(pa.array(order))], names=["part", "number", "ids"])
 
@@ -264,7 +287,7 @@ def _divide_part(statistics: CorpusStatistics, dtype: np.dtype, id_type: pa.Data
         pivots = pivots.sort_by("number")
         index = PivotIndex([np.frombuffer(p, dtype) for p in pivots.column("ids").to_pylist()], statistics)
         number = pivots.column("number").to_pylist()
-        part = [number[index.best(np.unique(np.frombuffer(x, dtype)))] for x in rows.column("ids").to_pylist()]
+        part = [number[index.best(_terms(np.frombuffer(x, dtype)))] for x in rows.column("ids").to_pylist()]
         return pa.table([*(rows.column(c) for c in _TOKENS), pa.array(part, pa.int64())], schema=schema)
 
     return run
@@ -274,7 +297,13 @@ _TOKENS = ["id", "rid", "size", "h", "ids"]
 
 
 class ShardIndex:
-    """BM25 over the documents of a shard, by the corpus's statistics; a used document is no longer returned."""
+    """BM25 over documents of one shard, by the corpus's statistics; a used document is no longer returned.
+
+    Postings of rare terms are lists; those of terms that more than one in _DENSE documents have are rows with a
+    weight for each document, so that together they are no larger than _DENSE times the lists.
+    """
+
+    _DENSE = 12
 
     def __init__(self, docs: list[np.ndarray], statistics: CorpusStatistics | None = None):
         n = len(docs)
@@ -285,25 +314,34 @@ class ShardIndex:
         doc = np.repeat(np.arange(n), [len(t) for t, _ in found])
         order = np.argsort(terms, kind="stable")
         self.terms, starts = np.unique(terms[order], return_index=True)
-        self.starts = np.append(starts, len(terms))
-        df = np.diff(self.starts)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)) if statistics is None else statistics.idf[self.terms]
+        df = np.diff(np.append(starts, len(terms)))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)) if statistics is None else statistics.idf[self.terms]
         norm = K1 * (1 - B + B * self.lengths / (max(1.0, self.lengths.mean()) if statistics is None else statistics.mean))
-        self.docs = doc[order]
-        tf = counts[order]
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.of_doc = found
+        tf, doc = counts[order], doc[order]
+        weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
+        often = df * self._DENSE > n
+        #: Place of each term among the rows, or else among the lists.
+        self.often, self.place = often, np.where(often, np.cumsum(often), np.cumsum(~often)) - 1
+        dense = np.repeat(often, df)
+        self.rows = np.zeros((int(often.sum()), n))
+        self.rows[np.repeat(self.place, df)[dense], doc[dense]] = weights[dense]
+        self.docs, self.weights = doc[~dense], weights[~dense]
+        self.starts = np.concatenate([[0], np.cumsum(df[~often])])
+        self.of_doc = [np.searchsorted(self.terms, t) for t, _ in found]
         self.unused = np.ones(n, bool)
 
     def ranked(self, seed: int) -> np.ndarray:
         """All unused documents that share a term with the seed: best score first, ties by place in the shard."""
-        k = np.searchsorted(self.terms, self.of_doc[seed][0])
+        k = self.of_doc[seed]
+        often = self.often[k]
+        k, scores = self.place[k], self.rows[self.place[k[often]]].sum(axis=0)
+        k = k[~often]
         counts = self.starts[k + 1] - self.starts[k]
         at = np.repeat(self.starts[k] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        scores = np.bincount(self.docs[at], self.weights[at], len(self.unused))
+        scores = scores + np.bincount(self.docs[at], self.weights[at], len(self.unused))
         scores[~self.unused] = 0
         best = np.nonzero(scores)[0]
-        return best[np.lexsort((best, -scores[best]))]
+        return best[np.argsort(-scores[best], kind="stable")]
 
     def neighbours(self, seed: int, most: int) -> list[int]:
         """The first of ``ranked``."""
@@ -366,15 +404,65 @@ def pack_shard(docs: list[np.ndarray], window: int, statistics: CorpusStatistics
         sequence += 1
 
 
-def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: CorpusStatistics):
+def divide(docs: list[np.ndarray], statistics: CorpusStatistics, most_ids: int) -> list[list[int]]:
+    """Places of ``docs`` by indexes of at most ``most_ids`` ids (a larger document has one of its own).
+
+    Documents go to the pivot that they retrieve first, again and again; neighbouring small parts are put together,
+    and what retrieval does not divide is cut evenly.
+    """
+    lens = np.array([len(d) for d in docs], np.int64)
+    terms, out = [_terms(d) for d in docs], []
+
+    def held(some: np.ndarray) -> list[np.ndarray]:
+        """Runs of at most ``most_ids`` each."""
+        runs, full = [[]], 0
+        for k in some.tolist():
+            if runs[-1] and full + lens[k] > most_ids:
+                runs, full = [*runs, []], 0
+            runs[-1].append(k)
+            full += int(lens[k])
+        return [np.array(r) for r in runs]
+
+    todo = [np.arange(len(docs))]
+    while todo:
+        some = todo.pop()
+        size = int(lens[some].sum())
+        if size <= most_ids or len(some) == 1:
+            out.append(some)
+            continue
+        wanted = min(len(some), PIVOTS, PIVOTS_A_SHARD * -(-size // most_ids))
+        pivots = {docs[some[k * len(some) // wanted]].tobytes(): docs[some[k * len(some) // wanted]] for k in range(wanted)}
+        index = PivotIndex(list(pivots.values()), statistics)
+        best = np.array([index.best(terms[k]) for k in some.tolist()])
+        some = some[np.argsort(best, kind="stable")]
+        best = np.sort(best)
+        small = []
+        for part in np.split(some, np.nonzero(np.diff(best))[0] + 1):
+            n = int(lens[part].sum())
+            if n > NO_PROGRESS * size:
+                out += held(part)
+            elif n > most_ids:
+                todo.append(part)
+            else:
+                small.append(part)
+        if small:
+            out += held(np.concatenate(small))
+    return [x.tolist() for x in out if len(x)]
+
+
+def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: CorpusStatistics, index_ids: int):
     schema = pa.schema([("id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(shard: pa.Table) -> pa.Table:
         keys, blobs = shard.column("id").to_pylist(), shard.column("ids").to_pylist()
         order = sorted(range(len(keys)), key=lambda i: (-len(blobs[i]), keys[i] is not None, keys[i] or 0, blobs[i]))
         docs = [np.frombuffer(blobs[i], dtype) for i in order]
-        number = shard.column("shard")[0].as_py() << 32
-        rows = pack_shard(docs, window, statistics)
+        number, rows = shard.column("shard")[0].as_py() << 32, []
+        for some in divide(docs, statistics, index_ids):
+            some.sort()  # longest first
+            found = pack_shard([docs[k] for k in some], window, statistics)
+            rows += [(some[d], s, n, number + q, o) for d, s, n, q, o in found]
+            number += 1 + max(q for *_, q, _ in found)
         wide = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in rows]
         return pa.table(
             [
@@ -383,7 +471,7 @@ def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: Corpus
                 pa.array([n for _, _, n, *_ in rows], pa.int64()),
                 pa.array(wide, pa.binary()),
                 pa.array([len(docs[d]) for d, *_ in rows], pa.int64()),
-                pa.array([number + q for *_, q, _ in rows], pa.int64()),
+                pa.array([q for *_, q, _ in rows], pa.int64()),
                 pa.array([o for *_, o in rows], pa.int64()),
             ],
             schema=schema,
@@ -411,7 +499,8 @@ def _pivots(light: DataFrame, tokens: DataFrame, wanted: DataFrame) -> DataFrame
 def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics, dtype: np.dtype, shard_bytes: int, total: int, most_sent: int = SENT_PIVOTS) -> DataFrame:
     """(id, ids, shard) of each row of ``tokens``: shards of neighbours.
 
-    A part of more than ``shard_bytes`` is divided; parts that come from one and fit are put together up to that size.
+    A part of more than ``MOST * shard_bytes`` is divided; smaller ones are shards, and those that come from one part are put
+    together up to ``shard_bytes``.
     Rows without anything to tell them apart are dealt evenly, by their numbers.  As long as all pivots are
     ``most_sent`` at most they are sent to the rows, which stay where they are; below that, parts are shuffled.
     """
@@ -458,9 +547,9 @@ def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics,
         again, held = {}, {}
         for p in sorted(children.keys() & parent.keys()):
             size, of = children[p], parent[p]
-            if size > shard_bytes and size <= NO_PROGRESS * sizes[of]:
+            if size > MOST * shard_bytes and size <= NO_PROGRESS * sizes[of]:
                 again[p] = size
-            elif size > shard_bytes:
+            elif size > MOST * shard_bytes:
                 n = math.ceil(size / shard_bytes)
                 shards.append((p, first_shard, n))
                 first_shard += n
@@ -479,7 +568,7 @@ def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics,
     return functools.reduce(DataFrame.unionAll, settled)
 
 
-def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, most_sent: int = SENT_PIVOTS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, index_ids: int = INDEX_IDS, most_sent: int = SENT_PIVOTS) -> DataFrame:
     """One row per piece: id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
     Every id of every row of ``docs`` lies in exactly one piece.  A null text counts as empty and packs as its end
@@ -490,8 +579,8 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     from tokenizers import Tokenizer
 
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.octet_length(text).cast("long") + 64).alias("size"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), (F.octet_length(text).cast("long") + 64).alias("size"))
     ddl, terms = kind.simpleString(), Tokenizer.from_file(vocabulary_path).get_vocab_size()
     dtype = np.dtype("<u2" if terms <= 1 << 16 else "<u4")
     terms = max(terms, end_id + 1)
@@ -502,7 +591,7 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     statistics = corpus_statistics(tokens, dtype, terms)
     dealt = deal(tokens, tables, statistics, dtype, shard_bytes, total, most_sent)
     packed = dealt.groupBy("shard").applyInArrow(
-        _pack(window, dtype, to_arrow_type(kind), statistics), f"id {ddl}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        _pack(window, dtype, to_arrow_type(kind), statistics, index_ids), f"id {ddl}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
     return packed.withColumnRenamed("id", id_col)
 

@@ -156,3 +156,70 @@ def test_best_neighbour_that_does_not_fit_is_cut():
     assert sum(n for _, _, n, *_ in rows) == sum(map(len, docs))
     # long [5, 9..] is the seed; of the others the best that fits no more is cut at the window's end
     assert [(o, n) for _, _, n, q, o in rows if q == 0][-1][0] + [n for _, _, n, q, _ in rows if q == 0][-1] == 24
+
+
+def plain_pack(docs, window):
+    """The rule word by word: scores by the formula, one document at a time."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+
+    def score(seed, d):
+        found = Counter(docs[d].tolist())
+        idf = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) for t in found}
+        return sum(idf[t] * found[t] * 2.2 / (found[t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in sorted(set(docs[seed].tolist())) if t in found)
+
+    unused, pieces, sequence, rest = set(range(n)), [], 0, None
+    while rest or unused:
+        seed, start = rest or (min(unused), 0)
+        unused.discard(seed)
+        rest, used = None, min(window, len(docs[seed]) - start)
+        pieces.append((seed, start, used, sequence, 0))
+        if start + used < len(docs[seed]):
+            rest, sequence = (seed, start + used), sequence + 1
+            continue
+        near = sorted((d for d in unused if score(seed, d) > 0), key=lambda d: (-round(score(seed, d), 9), d))
+        for d in near:
+            if used + len(docs[d]) <= window:
+                unused.discard(d)
+                pieces.append((d, 0, len(docs[d]), sequence, used))
+                used += len(docs[d])
+        order = [d for d in near if d in unused][:1] + sorted(unused)
+        for d in dict.fromkeys(order):
+            if used < window:
+                unused.discard(d)
+                took = min(len(docs[d]), window - used)
+                pieces.append((d, 0, took, sequence, used))
+                used += took
+                rest = (d, took) if took < len(docs[d]) else None
+        sequence += 1
+    return pieces
+
+
+@pytest.mark.parametrize("seed,window,dense", [(1, 64, 12), (2, 64, 1), (3, 40, 500), (4, 200, 12)])
+def test_shard_is_packed_as_a_plain_version_packs_it(seed, window, dense, monkeypatch):
+    monkeypatch.setattr(ShardIndex, "_DENSE", dense)
+    rng = np.random.default_rng(seed)
+    docs = [rng.zipf(1.5, int(k)).clip(1, 300).astype("<u2") for k in rng.integers(1, 90, 70)]
+    docs = sorted([*docs, docs[3], docs[3], docs[8]], key=len, reverse=True)
+    assert packing.pack_shard(docs, window) == plain_pack(docs, window)
+
+
+def test_local_division_keeps_every_document_and_the_bound():
+    from meridion.llm.packing import CorpusStatistics, divide
+
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(k % 7 * 50, k % 7 * 50 + 60, int(n)).astype("<u2") for k, n in enumerate(rng.integers(1, 200, 300))] + [np.full(50, 9, "<u2")] * 80
+    statistics = CorpusStatistics(len(docs), 100.0, np.full(1000, 5))
+    parts = divide(docs, statistics, 2000)
+    assert sorted(k for p in parts for k in p) == list(range(len(docs)))
+    assert all(sum(len(docs[k]) for k in p) <= 2000 or len(p) == 1 for p in parts)
+
+
+def test_letters_of_every_kind_with_and_without_marks():
+    """All code points, before and behind punctuation: normal forms that end in a mark among them."""
+    import unicodedata
+
+    points = [c for k in range(0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.category(c := chr(k)) != "Cn"]
+    texts = ["".join(f"a{c}. {c}, {c}{c}! x{c}A{c}; " for c in points[k : k + 50]) for k in range(0, len(points), 50)]
+    encoder = WordEncoder(PATH, 1)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(texts)] == library(texts)
