@@ -36,6 +36,9 @@ MOST = 4
 #: Ids in one index, at most (but for a larger document).
 INDEX_IDS = 400_000
 K1, B = 1.2, 0.75
+#: One row in SAMPLE, but SAMPLE_SHARDS shards of text at least, is looked at to choose pivots and to foresee the
+#: sizes of parts; all rows are dealt.
+SAMPLE, SAMPLE_SHARDS = 8, 16
 #: Pivots that divide the corpus or one part of it: so many at most, and so many for each shard that it fills.
 PIVOTS = 256
 PIVOTS_A_SHARD = 4
@@ -45,7 +48,7 @@ SENT_PIVOTS = 4096
 #: much alike that any of them are neighbours, and they are dealt evenly.
 NO_PROGRESS = 0.9
 #: Words whose ids a worker remembers; the memory that a worker needs is bounded by it.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Texts that are encoded at a time, at most, and their bytes (one text can have more).
 _BATCH_ROWS, _BATCH_BYTES = 4096, 16 << 20
 
@@ -104,24 +107,30 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKS_BEHIND, r"\1 \2\3"))
         last = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        different = coded.dictionary.cast(pa.binary()).to_pylist()
+        different = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        place = [self.known.get(w) for w in different]
+        place = list(map(self.known.get, different))
         if new := [w for w, k in zip(different, place, strict=True) if k is None]:
             self._learn(new)
-            place = [self.known[w] for w in different]
-        place = np.array(place, np.int64)[coded.indices.to_numpy()]
-        starts, lens = self.ends[place], self.ends[place + 1] - self.ends[place]
-        after = np.cumsum(lens)
-        n = int(after[-1]) if len(after) else 0
-        at = np.repeat(starts - (after - lens), lens) + np.arange(n)
-        ends = np.concatenate([[0], after])[last[1:] - last[0]] + np.arange(1, len(texts) + 1)
-        out, inside = np.full(n + len(texts), self.end, self.dtype), np.ones(n + len(texts), bool)
+            place = list(map(self.known.get, different))
+        met = self._blobs(np.array(place, np.int64)).take(coded.indices)
+        after = np.frombuffer(met.buffers()[1], "i4")[: len(met) + 1] // self.dtype.itemsize
+        ids = np.frombuffer(met.buffers()[2], self.dtype)[: after[-1]] if len(met) else self.ids[:0]
+        ends = after[last - last[0]][1:] + np.arange(1, len(texts) + 1)
+        out, inside = np.full(len(ids) + len(texts), self.end, self.dtype), np.ones(len(ids) + len(texts), bool)
         inside[ends - 1] = False
-        out[inside] = self.ids[at]
+        out[inside] = ids
         return out, ends
 
+    def _blobs(self, place: np.ndarray) -> pa.Array:
+        """The ids of some words, as binary values."""
+        starts, lens = self.ends[place], self.ends[place + 1] - self.ends[place]
+        after = np.cumsum(lens)
+        at = np.repeat(starts - (after - lens), lens) + np.arange(after[-1] if len(after) else 0)
+        offsets = np.concatenate([[0], after]) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(self.ids[at])])
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         ids, ends = self.encode(pa.array(texts, pa.string()))
         return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
@@ -480,18 +489,14 @@ def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: Corpus
     return run
 
 
-def _sizes(rows: DataFrame) -> dict[int, int]:
-    """Bytes of each part.  There are a few for each shard, so this is a small share of the corpus."""
-    return {r.part: r.size for r in rows.groupBy("part").agg(F.sum("size").alias("size")).collect()}
-
-
 def _pivots(light: DataFrame, tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """(part, number, ids): of each part in ``wanted`` (part, most, first) at most ``most`` documents of different ids."""
-    kinds = light.join(F.broadcast(wanted), "part").groupBy("part", "h", "most", "first").agg(F.min("rid").alias("rid"))
+    kinds = light.join(F.broadcast(wanted), "part").groupBy("part", "h", "most", "first").agg(F.min("rid").alias("rid"), F.min("size").alias("size"))
     # Some more than wanted by the hash's size alone, so that no window holds a whole part.
-    found = kinds.groupBy("part").agg(F.count("*").alias("kinds"))
-    drawn = kinds.join(F.broadcast(found), "part").where(F.pmod(F.xxhash64("h"), F.lit(1 << 31)) * F.col("kinds") <= F.lit(4 << 31) * F.col("most"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("h"), "h"))
+    found = kinds.groupBy("part").agg(F.count("*").alias("kinds"), F.percentile_approx("size", 0.5).alias("usual"))
+    drawn = kinds.join(F.broadcast(found), "part").where(F.pmod(F.xxhash64("h"), F.lit(1 << 31)) * F.col("kinds") <= F.lit(8 << 31) * F.col("most"))
+    # A long pivot shares terms with every document, so those of the part's usual size are taken.
+    at = F.row_number().over(Window.partitionBy("part").orderBy(F.abs(F.col("size") - F.col("usual")), F.xxhash64("h"), "h"))
     drawn = drawn.withColumn("at", at).where("at <= most").select("part", "rid", (F.col("first") + F.col("at") - 1).alias("number"))
     return tokens.select("rid", "ids").join(F.broadcast(drawn), "rid").select("part", "number", "ids")
 
@@ -499,10 +504,10 @@ def _pivots(light: DataFrame, tokens: DataFrame, wanted: DataFrame) -> DataFrame
 def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics, dtype: np.dtype, shard_bytes: int, total: int, most_sent: int = SENT_PIVOTS) -> DataFrame:
     """(id, ids, shard) of each row of ``tokens``: shards of neighbours.
 
-    A part of more than ``MOST * shard_bytes`` is divided; smaller ones are shards, and those that come from one part are put
-    together up to ``shard_bytes``.
-    Rows without anything to tell them apart are dealt evenly, by their numbers.  As long as all pivots are
-    ``most_sent`` at most they are sent to the rows, which stay where they are; below that, parts are shuffled.
+    A part of more than ``MOST * shard_bytes`` is divided; smaller ones are shards, and those that come from one part
+    are put together up to ``shard_bytes``.  Rows without anything to tell them apart are dealt evenly, by their
+    numbers.  As long as all pivots are ``most_sent`` at most, they are chosen in a sample of the rows and sent to all
+    rows, which stay where they are; below that, whole parts are shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -511,8 +516,10 @@ def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics,
         return tokens.select("id", "ids", F.lit(0).cast("long").alias("shard"))
     ddl = f"id {kind.simpleString()}, rid long, size long, h long, ids binary, part long"
     tree, sizes, following, first_shard = {}, {0: total}, 1, 0
-    rows = tokens.withColumn("part", F.lit(0).cast("long"))
-    light, shards, settled, sent = rows, [], [], True
+    share = min(1.0, max(1 / SAMPLE, SAMPLE_SHARDS * shard_bytes / total))
+    sample = tables.put(tokens.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 31)) < int(share * (1 << 31))))
+    light = rows = sample.withColumn("part", F.lit(0).cast("long"))
+    shards, settled, sent = [], [], True
 
     def numbered(rows: DataFrame) -> DataFrame:
         numbers = spark.createDataFrame(shards, "part long, shard long, n long")
@@ -532,10 +539,14 @@ def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics,
             first = {p: f for p, _, f, _ in wanted}
             for r in pivots.orderBy("number").collect():
                 tree.setdefault(r.part, (first[r.part], []))[1].append(bytes(r.ids))
-            light = tables.put(tokens.mapInArrow(_place(tree, statistics, dtype, ["rid", "size", "h"]), "rid long, size long, h long, part long"))
+            for p, _, _, n in wanted:
+                if p not in tree:  # too few rows to have one in the sample
+                    shards.append((p, first_shard, n))
+                    first_shard += n
+            light = tables.put(sample.mapInArrow(_place(tree, statistics, dtype, ["rid", "size", "h"]), "rid long, size long, h long, part long"))
         else:
             if sent:  # the parts that are settled so far are taken from here, the others go on
-                sent, rows = False, tokens.mapInArrow(_place(tree, statistics, dtype, _TOKENS), ddl) if tree else rows
+                sent, rows = False, tokens.mapInArrow(_place(tree, statistics, dtype, _TOKENS), ddl)
                 settled += [numbered(rows)] if shards else []
                 shards = []
             # A part of any size is spread over tasks of one shard's bytes each; its pivots go to each of them.
@@ -543,10 +554,11 @@ def deal(tokens: DataFrame, tables: ScratchTables, statistics: CorpusStatistics,
             salted = rows.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts"))).select(*_TOKENS, "part", "salt")
             copies = pivots.join(salts, "part").select("part", "number", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
             light = rows = tables.put(salted.groupBy("part", "salt").cogroup(copies.groupBy("part", "salt")).applyInArrow(_divide_part(statistics, dtype, to_arrow_type(kind)), ddl))
-        children = {r.part: r.size for r in light.groupBy("part").agg(F.sum("size").alias("size")).collect()}  # a few for each shard
+        part_bytes = F.sum("size") / (share if sent else 1.0)
+        children = {r.part: r.size for r in light.groupBy("part").agg(part_bytes.alias("size")).collect()}  # a few for each shard
         again, held = {}, {}
-        for p in sorted(children.keys() & parent.keys()):
-            size, of = children[p], parent[p]
+        for p, of in parent.items():
+            size = children.get(p, 0.0)
             if size > MOST * shard_bytes and size <= NO_PROGRESS * sizes[of]:
                 again[p] = size
             elif size > MOST * shard_bytes:
