@@ -8,7 +8,8 @@ other, and the pair across it stands in the right-hand one.  Where an overlap ha
 document is encoded again with larger chunks and a wider overlap, up to one chunk for the whole of it.
 
 Shorter documents are spliced the same way at boundaries that the vocabulary itself proves: if no piece has
-a word mark behind another character, no merge crosses a space that follows a non-space.
+a word mark behind another character, no merge crosses a space that follows a non-space.  A literal word mark is the
+same as a space there, because the model writes spaces as that mark.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ class PieceCounter:
         if len(self.known) > REMEMBERED:
             self.known = dict(self.last_space)
         known = self.known
-        parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        parts = [_SEGMENT.findall(" " + t.replace(_MARK, " ")) if t else [] for t in texts]
         new = list({s for p in parts for s in p if s not in known})
         # A segment has its own word mark as its first space, which the encoder puts in front of any text.
         known.update(zip(new, map(len, self.model.encode([s[1:] for s in new], num_threads=1)), strict=True))
@@ -187,17 +188,19 @@ def count_tokens(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens): one row for each row of ``docs``.
 
-    A null text counts as empty (no bytes, no tokens); a null id is kept; repeated rows give repeated rows;
-    an empty table gives an empty one; other columns are not looked at.
+    A null text counts as empty (no bytes, no tokens); a null id is kept; repeated rows give repeated rows; texts of any
+    length are counted whole, and alike at any ``chunk_chars``; an empty table gives an empty one; other columns are not
+    looked at.
     """
     if not 0 < overlap_chars < chunk_chars:
         raise ValueError("the overlap has to be shorter than a chunk")
     id_ddl = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     size = F.char_length("text")
     small = rows.filter(size <= chunk_chars).mapInArrow(_count_small(model_path), f"id {id_ddl}, n_bytes long, n_tokens long")
-    huge = rows.filter(size > chunk_chars).withColumn("rid", F.monotonically_increasing_id())
+    # Numbers have to stay when a lost task runs again, so they are written down.
+    huge = materialize(rows.filter(size > chunk_chars).withColumn("rid", F.monotonically_increasing_id()))
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = small.unionByName(_count_huge(huge, model_path, chunk_chars, overlap_chars, id_ddl, to_arrow_type(docs.schema[id_col].dataType)))

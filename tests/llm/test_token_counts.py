@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -35,3 +37,13 @@ def test_query_on_whole_table(spark, sf_dir):
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(docs)
     small = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH, chunk_chars=500, overlap_chars=60)
     assert {r.doc_id: r.n_tokens for r in small.collect()} == want
+
+
+@pytest.mark.parametrize("chunk,overlap", [(1 << 15, 512), (9, 4)])
+def test_marks_beside_spaces_count_as_in_the_library(spark, chunk, overlap):
+    rng = random.Random(7)
+    letters = [*"▁▁▁   abAé.\n\t", "你", "\U0001f600", "\x00", "<s>", "<0x0A>"]
+    texts = ["▁ ", "a ▁ ▁ b", " ▁", *("".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "`doc.id` long, `a.text` string").repartition(4)
+    got = {r["doc.id"]: r.n_tokens for r in count_tokens(df, PATH, "doc.id", "a.text", chunk_chars=chunk, overlap_chars=overlap).collect()}
+    assert got == dict(enumerate(library(texts)))
