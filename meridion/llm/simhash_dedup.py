@@ -8,10 +8,15 @@ A key that more than ``PAIR_LIMIT`` fingerprints share is not joined with itself
 ``radius`` bits are linked through the values between them: each one files itself under every value at most
 ``radius // 2`` bits (and, for an odd radius, one more) from the part outside the key, and whoever meets under a
 value is close.  This finds the same components with rows in proportion to the group.
+
+``near_copies`` is the same search for edited copies, which 3-word shingles put many bits apart: the candidates come
+from a fingerprint of single words (an edit changes few of them) within WORD_RADIUS bits, and a pair is kept if the
+fingerprints of shingles are within CHECK_RADIUS bits too, as those of unrelated texts in one language never are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +33,11 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints under one key that are still compared pair by pair.
 PAIR_LIMIT = 24
+#: Of ``near_copies``: bits between fingerprints of words and of shingles, blocks in a key, fingerprints under one key
+#: that are joined, and those of a larger key that are compared at a time.
+WORD_RADIUS, CHECK_RADIUS = 6, 12
+KEY_BLOCKS = 3
+JOINED, COMPARED = 64, 2048
 
 
 def _fingerprint(words: list[bytes], size: int, digest) -> int:
@@ -62,7 +72,7 @@ def _fingerprints(size: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
     ddl = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInArrow(_fingerprints(shingle), f"id {ddl}, fp long")
 
 
@@ -145,3 +155,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_fingerprint(words: list[bytes], digest) -> int:
+    """Different words, weighted by the length of their counts in bits."""
+    if not words:
+        return 0
+    counts = Counter(words)
+    hashes = np.fromiter((digest(w, SEED) for w in counts), np.uint64, len(counts))
+    weights = np.fromiter((n.bit_length() for n in counts.values()), np.int64, len(counts))
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):  # bits of a bounded number of words at a time
+        total += weights[at : at + 65536] @ np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(total * 2 > weights.sum(), bitorder="little").view("<i8")[0])
+
+
+def _both_fingerprints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            texts = [t.encode().lower().split() for t in b.column("text").to_pylist()]
+            fps = [pa.array(list(f), pa.int64()) for f in ((_word_fingerprint(t, digest) for t in texts), (_fingerprint(t, size, digest) for t in texts))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *fps], ["id", "fp", "shingles"])
+
+    return run
+
+
+def _close(radius: int, check: int) -> Column:
+    """A pair that is close, in one of its two orders."""
+    near = (_distance(F.col("fp"), F.col("o_fp")) <= radius) & (_distance(F.col("shingles"), F.col("o_shingles")) <= check)
+    return near & (F.col("node") < F.col("o_node"))
+
+
+def _forest(radius: int, check: int):
+    """Links that join what is close within one block of a key, or between two: a star for each component."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        node, fp, shingles = (np.concatenate([np.array(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("nodes", "fps", "shingles"))
+        fp, shingles = fp.view(np.uint64), shingles.view(np.uint64)  # bits of a negative number are those of its absolute value
+        lens = [len(x) for x in rows.column("nodes").to_pylist()]
+        of = np.repeat(side, lens)
+        left = np.ones(len(node), bool)
+        u, v = [], []
+        for root in range(len(node)):
+            if not left[root]:
+                continue
+            left[root], reached = False, [root]
+            for k in reached:  # grows
+                rest = np.nonzero(left)[0]
+                met = (np.bitwise_count(fp[rest] ^ fp[k]) <= radius) & (np.bitwise_count(shingles[rest] ^ shingles[k]) <= check)
+                if len(lens) > 1:  # pairs inside a block are compared elsewhere
+                    met &= of[rest] != of[k]
+                found = rest[met]
+                left[found] = False
+                reached.extend(found.tolist())
+            u += [int(node[root])] * (len(reached) - 1)
+            v += node[reached[1:]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def wide_links(nodes: DataFrame, radius: int = WORD_RADIUS, check: int = CHECK_RADIUS, blocks: int = KEY_BLOCKS, joined: int = JOINED, compared: int = COMPARED) -> DataFrame:
+    """(u, v): links between rows of ``nodes`` (node, fp, shingles) whose components are those of all close pairs.
+
+    Of ``radius + blocks`` blocks two close fingerprints share ``blocks``, which make a key.  Rows under a key that
+    more than ``joined`` share are compared in blocks of ``compared`` rows, each of which gives a forest of links
+    instead of its pairs.
+    """
+    masks = F.array(*(F.lit(_signed(_mask(list(c)))) for c in combinations(_blocks(radius + blocks), blocks)))
+    keyed = nodes.select("node", "fp", "shingles", F.posexplode(masks).alias("part", "mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+    shared = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(keyed.join(shared, ["part", "key"]))
+    few = met.where(F.col("n") <= joined)
+    other = few.select("part", "key", *(F.col(c).alias(f"o_{c}") for c in ("node", "fp", "shingles")))
+    pairs = few.join(other, ["part", "key"]).where(_close(radius, check)).select(F.col("node").alias("u"), F.col("o_node").alias("v"))
+    many = met.where(F.col("n") > joined).withColumn("of", F.ceil(F.col("n") / compared))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
+    lists = (F.collect_list(c).alias(name) for c, name in (("node", "nodes"), ("fp", "fps"), ("shingles", "shingles")))
+    packed = many.groupBy("part", "key", "block", "of").agg(*lists)  # about ``compared`` rows each
+    each = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("with"))
+    each = each.select("part", "key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("side"), "nodes", "fps", "shingles")
+    forest = each.groupBy("part", "key", "a", "b").applyInArrow(_forest(radius, check), "u long, v long")
+    return pairs.unionByName(forest).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WORD_RADIUS, check: int = CHECK_RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(id, component_id): for each row the smallest id among the copies and edited copies it is linked to, its own included.
+
+    Nulls, empty texts, repeated rows and empty tables are taken as by ``near_duplicates``; a text of any length counts
+    whole; other columns are not looked at.
+    """
+    ddl = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    marked = materialize(rows.mapInArrow(_both_fingerprints(shingle), f"id {ddl}, fp long, shingles long"))
+    nodes = materialize(marked.groupBy("fp", "shingles").agg(F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
+    grouped = connected_components(wide_links(nodes.drop("first_id"), radius, check))
+    of = nodes.join(grouped, "node", "left").select("fp", "shingles", "first_id", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = of.join(least, "component").select("fp", "shingles", "component_id")
+    return marked.join(named, ["fp", "shingles"]).select(F.col("id").alias(id_col), "component_id")

@@ -4,7 +4,7 @@ import corpus_pipeline
 from helpers import sql_rows
 from meridion.llm.rule_ledger import OP3_SQL
 from test_packing import check, library
-from test_simhash import groups, plain
+from test_simhash import copy_groups
 
 
 def test_stages_one_by_one(spark, sf_dir, tmp_path):
@@ -22,7 +22,7 @@ def test_stages_one_by_one(spark, sf_dir, tmp_path):
     assert set(rows[2]) == set(rows[1]) and all(r.n_chars == len(r.text) for r in rows[2].values())
     assert any(rows[2][i].text != rows[1][i].text for i in rows[1])
     ids = sorted(rows[2])
-    smallest = groups(ids, [plain(rows[2][i].text) for i in ids])
+    smallest = copy_groups(ids, [rows[2][i].text for i in ids])
     assert set(rows[3]) == {i for i, g in zip(ids, smallest, strict=True) if i == g}
     mixed = Counter(r.doc_id for r in out[4].collect())
     assert set(mixed) == set(rows[3]) and all(rows[4][i] == rows[3][i] for i in rows[3])
