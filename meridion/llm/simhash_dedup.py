@@ -37,7 +37,7 @@ PAIR_LIMIT = 24
 #: that are joined, and those of a larger key that are compared at a time.
 WORD_RADIUS, CHECK_RADIUS = 6, 12
 KEY_BLOCKS = 3
-JOINED, COMPARED = 64, 2048
+JOINED, COMPARED = 32, 2048
 
 
 def _fingerprint(words: list[bytes], size: int, digest) -> int:
@@ -183,66 +183,96 @@ def _both_fingerprints(size: int):
     return run
 
 
-def _close(radius: int, check: int) -> Column:
-    """A pair that is close, in one of its two orders."""
-    near = (_distance(F.col("fp"), F.col("o_fp")) <= radius) & (_distance(F.col("shingles"), F.col("o_shingles")) <= check)
-    return near & (F.col("node") < F.col("o_node"))
-
-
 def _forest(radius: int, check: int):
-    """Links that join what is close within one block of a key, or between two: a star for each component."""
+    """Links that join what is close within one block of a key, or between two: a star for each component.
+
+    Rows that have the same ``comp`` already are joined from the start.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         side = rows.column("side").to_numpy()
-        node, fp, shingles = (np.concatenate([np.array(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("nodes", "fps", "shingles"))
+        comp, fp, shingles = (np.concatenate([np.array(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("comps", "fps", "checks"))
         fp, shingles = fp.view(np.uint64), shingles.view(np.uint64)  # bits of a negative number are those of its absolute value
-        lens = [len(x) for x in rows.column("nodes").to_pylist()]
+        lens = [len(x) for x in rows.column("comps").to_pylist()]
         of = np.repeat(side, lens)
-        left = np.ones(len(node), bool)
-        u, v = [], []
-        for root in range(len(node)):
+        order = np.argsort(comp, kind="stable")
+        comp, fp, shingles, of = comp[order], fp[order], shingles[order], of[order]
+        names, first = np.unique(comp, return_index=True)
+        last = np.append(first[1:], len(comp))
+        number = np.repeat(np.arange(len(names)), last - first)
+        left, u, v = np.ones(len(names), bool), [], []
+        for root in range(len(names)):
             if not left[root]:
                 continue
             left[root], reached = False, [root]
-            for k in reached:  # grows
-                rest = np.nonzero(left)[0]
-                met = (np.bitwise_count(fp[rest] ^ fp[k]) <= radius) & (np.bitwise_count(shingles[rest] ^ shingles[k]) <= check)
-                if len(lens) > 1:  # pairs inside a block are compared elsewhere
-                    met &= of[rest] != of[k]
-                found = rest[met]
-                left[found] = False
-                reached.extend(found.tolist())
-            u += [int(node[root])] * (len(reached) - 1)
-            v += node[reached[1:]].tolist()
+            for c in reached:  # grows
+                for k in range(first[c], last[c]):
+                    rest = np.nonzero(left[number])[0]
+                    if not len(rest):
+                        break
+                    met = (np.bitwise_count(fp[rest] ^ fp[k]) <= radius) & (np.bitwise_count(shingles[rest] ^ shingles[k]) <= check)
+                    if len(lens) > 1:  # pairs inside a block are compared elsewhere
+                        met &= of[rest] != of[k]
+                    found = np.unique(number[rest[met]])
+                    left[found] = False
+                    reached.extend(found.tolist())
+            u += [int(names[root])] * (len(reached) - 1)
+            v += names[reached[1:]].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def wide_links(nodes: DataFrame, radius: int = WORD_RADIUS, check: int = CHECK_RADIUS, blocks: int = KEY_BLOCKS, joined: int = JOINED, compared: int = COMPARED) -> DataFrame:
-    """(u, v): links between rows of ``nodes`` (node, fp, shingles) whose components are those of all close pairs.
+def _parts(radius: int, blocks: int) -> tuple[list[int], list[int]]:
+    """Masks of the keys: the first ones, which find most links, and all others.
 
-    Of ``radius + blocks`` blocks two close fingerprints share ``blocks``, which make a key.  Rows under a key that
-    more than ``joined`` share are compared in blocks of ``compared`` rows, each of which gives a forest of links
-    instead of its pairs.
+    With nine blocks on a three by three grid the first ones are its lines, and any five blocks hold a line: the first
+    keys find every pair within four bits.
     """
-    masks = F.array(*(F.lit(_signed(_mask(list(c)))) for c in combinations(_blocks(radius + blocks), blocks)))
-    keyed = nodes.select("node", "fp", "shingles", F.posexplode(masks).alias("part", "mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
-    shared = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keyed.join(shared, ["part", "key"]))
+    cut, first, other = _blocks(radius + blocks), [], []
+    for c in combinations(range(radius + blocks), blocks):
+        line = sum(k // blocks for k in c) % blocks == 0 and sum(k % blocks for k in c) % blocks == 0
+        (first if line else other).append(_signed(_mask([cut[k] for k in c])))
+    return first, other
+
+
+def _wide_links(nodes: DataFrame, masks: list[int], radius: int, check: int, joined: int, compared: int) -> DataFrame:
+    """(u, v): links between different ``comp`` of ``nodes`` (node, fp, shingles, comp) by the keys of some masks."""
+    mask = F.posexplode(F.array(*map(F.lit, masks))).alias("part", "mask")
+    keyed = nodes.select("node", "comp", "fp", mask).select("node", "comp", F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    # Keys of one row, or of rows that are joined already, have nothing to add.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key", "n")
+    met = materialize(keyed.select("node", "key").join(shared, "key").join(nodes, "node"))
     few = met.where(F.col("n") <= joined)
-    other = few.select("part", "key", *(F.col(c).alias(f"o_{c}") for c in ("node", "fp", "shingles")))
-    pairs = few.join(other, ["part", "key"]).where(_close(radius, check)).select(F.col("node").alias("u"), F.col("o_node").alias("v"))
+    other = few.select("key", *(F.col(c).alias(f"o_{c}") for c in ("comp", "fp", "shingles")))
+    near = (_distance(F.col("fp"), F.col("o_fp")) <= radius) & (_distance(F.col("shingles"), F.col("o_shingles")) <= check)
+    pairs = few.join(other, "key").where(near & (F.col("comp") < F.col("o_comp"))).select(F.col("comp").alias("u"), F.col("o_comp").alias("v"))
     many = met.where(F.col("n") > joined).withColumn("of", F.ceil(F.col("n") / compared))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
-    lists = (F.collect_list(c).alias(name) for c, name in (("node", "nodes"), ("fp", "fps"), ("shingles", "shingles")))
-    packed = many.groupBy("part", "key", "block", "of").agg(*lists)  # about ``compared`` rows each
+    lists = (F.collect_list(c).alias(name) for c, name in (("comp", "comps"), ("fp", "fps"), ("shingles", "checks")))
+    packed = many.groupBy("key", "block", "of").agg(*lists)  # about ``compared`` rows each
     each = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("with"))
-    each = each.select("part", "key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("side"), "nodes", "fps", "shingles")
-    forest = each.groupBy("part", "key", "a", "b").applyInArrow(_forest(radius, check), "u long, v long")
+    each = each.select("key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("side"), "comps", "fps", "checks")
+    forest = each.groupBy("key", "a", "b").applyInArrow(_forest(radius, check), "u long, v long")
     return pairs.unionByName(forest).distinct()
 
 
+def wide_components(nodes: DataFrame, radius: int = WORD_RADIUS, check: int = CHECK_RADIUS, blocks: int = KEY_BLOCKS, joined: int = JOINED, compared: int = COMPARED) -> DataFrame:
+    """(node, comp): the component of each of ``nodes`` (node, fp, shingles) under links between close pairs.
+
+    Of ``radius + blocks`` blocks two close fingerprints share ``blocks``, which make a key.  Rows under a key that
+    more than ``joined`` share are compared in blocks of ``compared`` rows, each of which gives a forest of links
+    instead of its pairs.  The first keys find nearly all; the others look for links between components only, so that
+    a large group of copies is not linked again under each of its keys.
+    """
+    nodes = nodes.withColumn("comp", F.col("node"))
+    for masks in _parts(radius, blocks):
+        if masks:
+            grouped = connected_components(_wide_links(nodes, masks, radius, check, joined, compared)).withColumnsRenamed({"node": "comp", "component": "new"})
+            nodes = materialize(nodes.join(grouped, "comp", "left").select("node", "fp", "shingles", F.coalesce("new", "comp").alias("comp")))
+    return nodes.select("node", "comp")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WORD_RADIUS, check: int = CHECK_RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, component_id): for each row the smallest id among the copies and edited copies it is linked to, its own included.
 
@@ -253,8 +283,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     marked = materialize(rows.mapInArrow(_both_fingerprints(shingle), f"id {ddl}, fp long, shingles long"))
     nodes = materialize(marked.groupBy("fp", "shingles").agg(F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    grouped = connected_components(wide_links(nodes.drop("first_id"), radius, check))
-    of = nodes.join(grouped, "node", "left").select("fp", "shingles", "first_id", F.coalesce("component", "node").alias("component"))
+    of = nodes.join(wide_components(nodes.drop("first_id"), radius, check), "node").select("fp", "shingles", "first_id", F.col("comp").alias("component"))
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of.join(least, "component").select("fp", "shingles", "component_id")
     return marked.join(named, ["fp", "shingles"]).select(F.col("id").alias(id_col), "component_id")

@@ -104,7 +104,7 @@ def edited(rng, words, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("joined,compared", [(64, 2048), (2, 7)])
+@pytest.mark.parametrize("joined,compared", [(32, 2048), (2, 7)])
 def test_edited_copies_equal_brute_force(spark, monkeypatch, joined, compared):
     """Also where every key is too large to be joined, and with nulls, empty texts, repeats and clashing columns."""
     rng = random.Random(3)
@@ -112,7 +112,7 @@ def test_edited_copies_equal_brute_force(spark, monkeypatch, joined, compared):
     texts = [edited(rng, b, rng.randrange(8)) for b in bases for _ in range(7)] + [None, "", " ", " ".join(bases[0]), " ".join(bases[0])]
     ids = [None if k == 5 else k * 3 % 500 for k in range(len(texts))]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, fp int, node int")
-    monkeypatch.setattr(simhash_dedup.wide_links, "__defaults__", (6, 12, 3, joined, compared))
+    monkeypatch.setattr(simhash_dedup.wide_components, "__defaults__", (6, 12, 3, joined, compared))
     got = Counter((r.doc_id, r.component_id) for r in near_copies(df).collect())
     assert got == Counter(zip(ids, copy_groups(ids, texts), strict=True))
     assert near_copies(df.limit(0)).count() == 0
