@@ -23,12 +23,17 @@ def _covered(df: DataFrame, box: tuple[Column, Column, Column, Column], size: fl
     return df.withColumn("_cx", x).withColumn("_cy", F.explode(F.sequence(_cell(box[1], size), _cell(box[3], size))))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt by cell: the join needs that where no side is small, and a small table is not left to one task."""
+    return df.repartition("_cx", "_cy")
+
+
 def bbox_join(a: DataFrame, b: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
     """Pairs of rows whose boxes (a_min_x.., b_min_x..) overlap, each pair once: in the lowest cell that both touch."""
     left = _covered(a, tuple(F.col(f"a_{c}") for c in ("min_x", "min_y", "max_x", "max_y")), size)
     right = _covered(b, tuple(F.col(f"b_{c}") + s * pad for c, s in (("min_x", -1), ("min_y", -1), ("max_x", 1), ("max_y", 1))), size)
     own = (F.col("_cx") == F.greatest(_cell(F.col("a_min_x"), size), _cell(F.col("b_min_x") - pad, size))) & (F.col("_cy") == F.greatest(_cell(F.col("a_min_y"), size), _cell(F.col("b_min_y") - pad, size)))
-    return left.join(right, ["_cx", "_cy"]).where(own & g.boxes_overlap("a_", "b_", pad + g.TINY)).drop("_cx", "_cy")
+    return _spread(left).join(right, ["_cx", "_cy"]).where(g.boxes_overlap("a_", "b_", pad + g.TINY) & own).drop("_cx", "_cy")
 
 
 def boxed(segments: DataFrame, prefix: str) -> DataFrame:
@@ -124,7 +129,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, first: float, k: int
     def near(rows, radius):
         filed = _covered(s, (ends[0] - radius, ends[1] - radius, ends[2] + radius, ends[3] + radius), radius)
         at = rows.select("id", "x", "y", _cell(F.col("x"), radius).alias("_cx"), _cell(F.col("y"), radius).alias("_cy"))
-        met = at.join(filed, ["_cx", "_cy"]).withColumn("dist", g.segment_distance("x", "y", "x0", "y0", "x1", "y1")).where(F.col("dist") <= radius)
+        met = _spread(at).join(filed, ["_cx", "_cy"]).withColumn("dist", g.segment_distance("x", "y", "x0", "y0", "x1", "y1")).where(F.col("dist") <= radius)
         t = g.along_segment("x", "y", "x0", "y0", "x1", "y1")
         met = met.withColumn("t", t).withColumn("px", F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0"))).withColumn("py", F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0")))
         return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "seg", "dist", "px", "py", "t", "rank")
@@ -147,12 +152,14 @@ def points_in_zones(points: DataFrame, zones: DataFrame, size: float) -> DataFra
     """(id, zone_id): the first zone (zone_id, ring) that holds each point; points in none are left out."""
     ring = F.col("ring")
     ends = lambda f, k: f(F.transform(ring, lambda p: p[k]))
-    filed = _covered(zones, (ends(F.array_min, "x"), ends(F.array_min, "y"), ends(F.array_max, "x"), ends(F.array_max, "y")), size)
+    box = [ends(f, k).alias(f"_{n}{k}") for f, n in ((F.array_min, "lo"), (F.array_max, "hi")) for k in ("x", "y")]
+    filed = _covered(zones.select("zone_id", "ring", *box), tuple(F.col(c) for c in ("_lox", "_loy", "_hix", "_hiy")), size)
     at = points.select("id", "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
     following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     passes = F.zip_with(ring, following, lambda a, b: F.when(((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]), 1).otherwise(0))
     inside = F.aggregate(passes, F.lit(0), lambda n, p: n + p) % 2 == 1
-    return at.join(filed, ["_cx", "_cy"]).where(inside).groupBy("id").agg(F.min("zone_id").alias("zone_id"))
+    boxed_in = F.col("x").between(F.col("_lox"), F.col("_hix")) & F.col("y").between(F.col("_loy"), F.col("_hiy"))
+    return _spread(at).join(filed, ["_cx", "_cy"]).where(boxed_in & inside).groupBy("id").agg(F.min("zone_id").alias("zone_id"))
 
 
 def rasterize(segments: DataFrame, size: float, radius: float) -> DataFrame:

@@ -38,7 +38,7 @@ def bbox_join(spark, d):
     t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p)
     SELECT a, b, round(ax+t*rx, 3) AS x, round(ay+t*ry, 3) AS y FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6""")
 def crossing_join(spark, d):
-    return sp.crossing_join(_segs(spark, d), 256.0).select("a", "b", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return sp.crossing_join(_segs(spark, d), 128.0).select("a", "b", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("knn_join", "pts", f"""WITH {_PT}, p AS (SELECT a.id, b.id AS other, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dist FROM pt a JOIN pt b ON a.id <> b.id)
@@ -236,21 +236,50 @@ def classify_zones(spark, d):
     return t.select(F.col("id").alias("zone_id"), use.alias("land_use"))
 
 
-@query("split_at_points", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id <> b.id AND abs(a.x0-b.x0) <= 700 AND abs(a.y0-b.y0) <= 700
+_TOLERANCE = 0.6
+_CULDESAC = "CASE WHEN id % 4 = 0 THEN '-cul' ELSE '' END"
+
+
+def _streets(spark, d):
+    """The segments as edges of a street network."""
+    k = F.col("id")
+    flags = F.when(k % 4 == 0, F.array(F.lit("culdesac"))).otherwise(F.array().cast("array<string>"))
+    kind = F.when(k % 3 == 0, "arterial").when(k % 3 == 1, "major_local").otherwise("minor_local")
+    return _segs(spark, d).select("id", "x0", "y0", "x1", "y1", kind.alias("road_class"), flags.alias("flags"))
+
+
+@query("split_at_points", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1 AS a1x, a.y1 AS a1y, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1 AS c1x, b.y1 AS c1y, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy FROM sg a JOIN sg b ON a.id < b.id AND abs(a.x0-b.x0) <= 400 AND abs(a.y0-b.y0) <= 400
       AND NOT ((a.x0=b.x0 AND a.y0=b.y0) OR (a.x0=b.x1 AND a.y0=b.y1) OR (a.x1=b.x0 AND a.y1=b.y0) OR (a.x1=b.x1 AND a.y1=b.y1))),
-    t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p)
-    SELECT a AS id, count(*) + 1 AS pieces FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6 GROUP BY a""")
+    t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p),
+    h AS (SELECT *, ax+t*rx AS x, ay+t*ry AS y FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6),
+    f AS (SELECT * FROM h WHERE least(sqrt(pow(x-ax,2)+pow(y-ay,2)), sqrt(pow(x-a1x,2)+pow(y-a1y,2)), sqrt(pow(x-cx,2)+pow(y-cy,2)), sqrt(pow(x-c1x,2)+pow(y-c1y,2))) > 1.5),
+    c AS (SELECT id, f.x, f.y, sqrt(pow(f.x-x0,2)+pow(f.y-y0,2)) AS along FROM (SELECT a AS id, x, y FROM f UNION ALL SELECT b, x, y FROM f) f JOIN sg USING (id)),
+    k AS (SELECT id, x, y, along FROM (SELECT *, along - lag(along) OVER (PARTITION BY id ORDER BY along, x, y) AS gap FROM c) WHERE gap IS NULL OR gap > {_TOLERANCE}),
+    s AS (SELECT id, x, y, along FROM k UNION ALL SELECT id, x0, y0, 0 FROM sg),
+    q AS (SELECT id, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w - 1 AS piece, count(*) OVER (PARTITION BY id) AS n FROM s WINDOW w AS (PARTITION BY id ORDER BY along, x, y))
+    SELECT CASE WHEN n = 1 THEN id::VARCHAR ELSE id::VARCHAR || {_CULDESAC} || '-s' || piece::VARCHAR END AS id, id AS parent, piece, round(x, 3) AS x0, round(y, 3) AS y0, round(coalesce(nx, x1), 3) AS x1, round(coalesce(ny, y1), 3) AS y1,
+      CASE id % 3 WHEN 0 THEN 'arterial' WHEN 1 THEN 'major_local' ELSE 'minor_local' END AS road_class, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS n_flags FROM q JOIN sg USING (id)""")
 def split_at_points(spark, d):
-    c = sp.crossing_join(_segs(spark, d), 256.0)
-    return c.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg((F.count("*") + 1).alias("pieces"))
+    from meridion.operators import topology
+
+    e = _streets(spark, d)
+    t = topology.split_at_points(e, topology.crossing_points(e, _TOLERANCE), _TOLERANCE)
+    return t.select("id", "parent", "piece", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")), "road_class", F.size("flags").alias("n_flags"))
+
+
+def _cleaned(spark, d):
+    from meridion.operators import topology
+
+    return topology.topology_cleanup(_streets(spark, d), 4.0, 10.0, _TOLERANCE, 60.0)
 
 
 @query("topology_cleanup", "")
 def topology_cleanup(spark, d):
-    """Snap, junctions, crossings, pruning in their order, with the count of each step."""
-    e, s = v.edges(spark, d), _segs(spark, d)
-    from meridion.operators.graph import prune_dangles
+    """The edges that are left after snapping, junctions, crossings and pruning."""
+    return _cleaned(spark, d)[0].select("id", "parent", "piece", "u", "v", "road_class", F.round("length_m", 3).alias("length_m"))
+
 
-    steps = {"edges": e.count(), "crossings": sp.crossing_join(s, 256.0).count(), "kept": prune_dangles(e, 200.0).count()}
-    kinds = e.groupBy("road_class").agg(F.count("*").alias("n"))
-    return kinds.select("road_class", "n", *(F.lit(x).cast("long").alias(k) for k, x in steps.items()))
+@query("topology_counts", "")
+def topology_counts(spark, d):
+    """What each step of the cleaning did."""
+    return _cleaned(spark, d)[1]

@@ -1,6 +1,9 @@
 """Small literal inputs of the operators."""
 
 import math
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from meridion.functions import geometry as g
@@ -162,3 +165,79 @@ def test_names_from_a_pandas_provider(spark):
     assert [r.n for r in spark.range(2).select(providers.names_by("loud", "id").alias("n")).collect()] == ["H0", "H1"]
     with pytest.raises(KeyError):
         providers.names_by("none", "id")
+
+
+def _brute_cleanup(edges, snap, reach, tolerance, shortest):
+    """The same steps over plain lists: edges as {id: [x0, y0, x1, y1]} with class and flags by id."""
+    from math import dist
+
+    nodes = sorted({(e[k], e[k + 1]) for e in edges.values() for k in (0, 2)})
+    to = {n: min(m for m in nodes if dist(n, m) <= snap) for n in nodes}
+    snapped, moves = {}, 0
+    for i, (a, b, c, d) in edges.items():
+        p, q = to[a, b], to[c, d]
+        if p == q:
+            p, q = (a, b), (c, d)
+        moves += (p != (a, b)) + (q != (c, d))
+        snapped[i] = (*p, *q)
+    key = lambda x, y: f"{round(x * 1000)}:{round(y * 1000)}"
+    degree = Counter(key(*e[k : k + 2]) for e in snapped.values() for k in (0, 2))
+
+    def foot(p, e):
+        (x0, y0, x1, y1), (x, y) = e, p
+        t = min(1, max(0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2)))
+        return x0 + t * (x1 - x0), y0 + t * (y1 - y0)
+
+    clear = lambda p, e: min(dist(p, e[:2]), dist(p, e[2:])) > max(2 * tolerance, 1.5)
+    joined, cuts, junctions = {i: list(e) for i, e in snapped.items()}, defaultdict(list), 0
+    for i, e in snapped.items():
+        for k in (0, 2):
+            p = e[k : k + 2]
+            found = [(dist(p, f), j, f) for j, o in snapped.items() if j != i and dist(p, f := foot(p, o)) <= reach and clear(f, o)]
+            if degree[key(*p)] == 1 and found:
+                _, j, f = min(found)
+                joined[i][k : k + 2] = f
+                cuts[j].append(f)
+                junctions += 1
+    crossings = 0
+    for i, j in combinations(sorted(joined), 2):
+        (ax, ay, bx, by), (cx, cy, dx, dy) = joined[i], joined[j]
+        den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+        if {(ax, ay), (bx, by)} & {(cx, cy), (dx, dy)} or abs(den) <= 1e-6:
+            continue
+        t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+        p = (ax + t * (bx - ax), ay + t * (by - ay))
+        if -1e-6 <= t <= 1 + 1e-6 and -1e-6 <= u <= 1 + 1e-6 and clear(p, joined[i]) and clear(p, joined[j]):
+            crossings += 1
+            cuts[i].append(p)
+            cuts[j].append(p)
+    pieces = {}
+    for i, e in joined.items():
+        at = sorted((dist(p, e[:2]), p) for p in cuts[i] if min(dist(p, e[:2]), dist(p, e[2:])) > max(tolerance, 1))
+        at = [p for k, (a, p) in enumerate(at) if k == 0 or a - at[k - 1][0] > max(tolerance, 0.5)]
+        ends = [tuple(e[:2]), *at, tuple(e[2:])]
+        for k, (p, q) in enumerate(zip(ends, ends[1:], strict=False)):
+            pieces[str(i) if len(ends) == 2 else f"{i}{'-cul' if i % 4 == 0 else ''}-s{k}"] = (i, key(*p), key(*q), dist(p, q))
+    degree = Counter(n for _, u, v, _ in pieces.values() for n in (u, v))
+    gone = {k for k, (i, u, v, n) in pieces.items() if 1 in (degree[u], degree[v]) and i % 3 and i % 4 and n < shortest and not (i % 3 == 2 and n >= 25)}
+    counts = {"snapped": moves, "t_junctions": junctions, "crossings": crossings, "pieces": len(pieces), "pruned": len(gone)}
+    return {k: (i, u, v, round(n, 3)) for k, (i, u, v, n) in pieces.items() if k not in gone}, counts
+
+
+def test_topology_cleanup_equals_brute_force(spark):
+    from meridion.operators.topology import topology_cleanup
+
+    rng = random.Random(4)
+    at = lambda: float(rng.randrange(600))
+    edges = {i: [at(), at(), 0.0, 0.0] for i in range(1, 130)}
+    for e in edges.values():
+        e[2:] = [e[0] + rng.randrange(-110, 111), e[1] + rng.randrange(10, 111)]
+    edges[130], edges[131] = [10.0, 10.0, 90.0, 10.0], [50.0, 40.0, 50.0, 13.0]  # an end three metres from a street
+    kinds = {0: "arterial", 1: "major_local", 2: "minor_local"}
+    df = spark.createDataFrame([(i, *e, kinds[i % 3], ["culdesac"] if i % 4 == 0 else []) for i, e in edges.items()], "id long, x0 double, y0 double, x1 double, y1 double, road_class string, flags array<string>")
+    kept, counts = topology_cleanup(df, 6.0, 9.0, 0.6, 60.0)
+    want, steps = _brute_cleanup(edges, 6.0, 9.0, 0.6, 60.0)
+    assert {r.step: r.n for r in counts.collect()} == steps and all(steps.values())
+    assert {r.id: (r.parent, r.u, r.v, round(r.length_m, 3)) for r in kept.collect()} == want
+    none = topology_cleanup(df.limit(0), 6.0, 9.0, 0.6, 60.0)
+    assert none[0].count() == 0 and {r.n for r in none[1].collect()} == {0}
