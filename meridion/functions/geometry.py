@@ -83,6 +83,16 @@ def angle_between(ax, ay, bx, by, undefined: float = 180.0) -> Column:
     return F.when(n <= TINY, undefined).otherwise(F.degrees(F.acos(clip((ax * bx + ay * by) / n, -1.0, 1.0))))
 
 
+def crossing(a: tuple[str, str, str, str], b: tuple[str, str, str, str], eps: float = TINY) -> tuple[Column, Column, Column]:
+    """(whether two segments cross in a point, its x, its y)."""
+    ax, ay, bx, by = map(F.col, a)
+    cx, cy, dx, dy = map(F.col, b)
+    rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
+    den = rx * sy - ry * sx
+    t, u = ((cx - ax) * sy - (cy - ay) * sx) / den, ((cx - ax) * ry - (cy - ay) * rx) / den
+    return (F.abs(den) > eps) & t.between(-eps, 1 + eps) & u.between(-eps, 1 + eps), ax + t * rx, ay + t * ry
+
+
 def meeting(a: tuple[str, str, str, str], b: tuple[str, str, str, str], eps: float = TINY) -> tuple[Column, Column, Column]:
     """(kind, x, y) of two segments: 'point' with where they cross, 'overlap' with an end on both, or 'none'."""
     ax, ay, bx, by = map(F.col, a)
