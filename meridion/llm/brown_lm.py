@@ -3,7 +3,8 @@
 Words are assigned to classes; a word's probability after another is that of its class after the other's class, times
 that of the word within its class, both smoothed.  Words that are a fixed share of all tokens or more (of which there
 can be only MOST_WORDS, at any size of the corpus) are clustered by exchange: in each round half of them move to the
-class under which their neighbours on both sides are most probable.  All other words are in classes of their looks
+class under which their neighbours on both sides are most probable; a round after which the training tokens are less
+likely is taken back.  All other words are in classes of their looks
 (digits, marks, last letters), each of which also keeps one place for words that were not met in training.
 
 The vocabulary is never in one place.  Texts are encoded once, by batches of bounded text, each with a dictionary of
@@ -208,6 +209,12 @@ def _score(classes: np.ndarray, transition: np.ndarray, within: np.ndarray, tota
     return run
 
 
+def likelihood(m: np.ndarray) -> float:
+    """What the classes add to the log-likelihood of the training tokens, from the counts of class pairs."""
+    share = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return share(m) - share(m.sum(axis=1)) - share(m.sum(axis=0))
+
+
 def smoothed(m: np.ndarray, of: np.ndarray, names: list[tuple], rest: dict[int, tuple[int, int]], classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(log10 of class after class, log10 of what a class's counts, one more each, are divided by).
 
@@ -281,11 +288,21 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         return m
 
     words = near.where(F.col("symbol") < n_words)
-    for turn in range(rounds if n_words > 1 else 0):
-        for r in words.mapInArrow(_exchange(of, matrix(), classes, turn), "symbol int, class int").collect():  # most_words at most
+    best, failed = None, 0
+    for turn in range((rounds if n_words > 1 else 0) + 1):
+        m = matrix()
+        found = likelihood(m)
+        if best is None or found >= best[0]:
+            best, failed = (found, of.copy(), m), 0
+        else:  # words that move together can spoil each other's gain: back, and on with the other half
+            failed += 1
+            of, m = best[1].copy(), best[2]
+        if turn == rounds or failed == 2 or n_words < 2:
+            break
+        for r in words.mapInArrow(_exchange(of, m, classes, turn), "symbol int, class int").collect():  # most_words at most
             of[r.symbol] = r["class"]
 
-    m = matrix()
+    _, of, m = best
     transition, within = smoothed(m, of, names, rest, classes)
     out = symbols.mapInArrow(_score(of, transition, within, total, id_type), f"id {ddl}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -61,3 +62,21 @@ def test_nulls_repeats_and_empty(spark):
 def test_planes_round_trip():
     a = np.array([0, 1, 255, 256, 1 << 20, (1 << 32) - 1], np.uint32)
     assert (_from_planes(_planes(a)) == a).all() and len(brown_lm._planes(a[:0])) == 0
+
+
+def test_exchange_makes_training_tokens_more_likely_round_by_round(spark, monkeypatch):
+    from meridion.llm import brown_lm
+
+    rng = random.Random(2)
+    kinds = [[f"{c}{k}" for k in range(12)] for c in ("noun", "verb", "adj")]
+    texts = [" ".join(rng.choice(kinds[k % 3]) for k in range(30)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    plain = brown_lm.smoothed
+    monkeypatch.setattr(brown_lm, "smoothed", lambda m, *rest: seen.append(brown_lm.likelihood(m)) or plain(m, *rest))
+    totals = []
+    for rounds in (0, 1, 2, 4, 8):
+        rows = brown_lm.score_documents(df, F.lit(False), classes=4, rounds=rounds).collect()
+        totals.append(sum(r.score for r in rows))
+    assert seen == sorted(seen) and seen[-1] > seen[0]
+    assert totals[-1] > totals[0]
