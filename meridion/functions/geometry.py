@@ -89,8 +89,9 @@ def crossing(a: tuple[str, str, str, str], b: tuple[str, str, str, str], eps: fl
     cx, cy, dx, dy = map(F.col, b)
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     den = rx * sy - ry * sx
-    t, u = ((cx - ax) * sy - (cy - ay) * sx) / den, ((cx - ax) * ry - (cy - ay) * rx) / den
-    return (F.abs(den) > eps) & t.between(-eps, 1 + eps) & u.between(-eps, 1 + eps), ax + t * rx, ay + t * ry
+    over = F.when(F.abs(den) > eps, den)
+    t, u = ((cx - ax) * sy - (cy - ay) * sx) / over, ((cx - ax) * ry - (cy - ay) * rx) / over
+    return over.isNotNull() & t.between(-eps, 1 + eps) & u.between(-eps, 1 + eps), ax + t * rx, ay + t * ry
 
 
 def meeting(a: tuple[str, str, str, str], b: tuple[str, str, str, str], eps: float = TINY) -> tuple[Column, Column, Column]:
