@@ -241,3 +241,9 @@ def test_topology_cleanup_equals_brute_force(spark):
     assert {r.id: (r.parent, r.u, r.v, round(r.length_m, 3)) for r in kept.collect()} == want
     none = topology_cleanup(df.limit(0), 6.0, 9.0, 0.6, 60.0)
     assert none[0].count() == 0 and {r.n for r in none[1].collect()} == {0}
+
+
+def test_parallel_segments_do_not_cross(spark):
+    rows = [(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 1.0, 10.0, 1.0), (3, 2.0, 0.0, 8.0, 0.0), (4, 5.0, -5.0, 5.0, 5.0), (5, 3.0, 3.0, 3.0, 3.0)]
+    found = spatial.crossing_join(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double"), 4.0).collect()
+    assert sorted((r.a, r.b, r.x, r.y) for r in found) == [(1, 4, 5.0, 0.0), (2, 4, 5.0, 1.0), (3, 4, 5.0, 0.0)]
