@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,26 +54,32 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the tree did not settle")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """(src, node, dist, hops, prev): least distance from every source, all sources at once; prev ties to the smallest.
-
-    Iterative: only distances that the last round improved are looked at again.
-    """
-    adj = materialize(adjacency(simple(edges)).select("node", "other", "weight"))
+def _distances(adj: DataFrame, sources: DataFrame, max_rounds: int) -> DataFrame:
+    """(src, node, dist) of all sources at once; only distances that the last round improved are looked at again."""
     state = materialize(sources.select(F.col("node").alias("src"), "node", F.lit(0.0).alias("dist")).distinct())
     delta = state
     for _ in range(max_rounds):
         out = delta.join(adj, "node").select("src", F.col("other").alias("node"), (F.col("dist") + F.col("weight")).alias("d")).groupBy("src", "node").agg(F.min("d").alias("d"))
         delta = materialize(out.join(state, ["src", "node"], "left").where("dist is null or d < dist - 1e-9").select("src", "node", F.col("d").alias("dist")))
         if delta.isEmpty():
-            break
+            return state
         state = materialize(state.unionByName(delta).groupBy("src", "node").agg(F.min("dist").alias("dist")))
-    else:
-        raise RuntimeError("paths did not settle")
+    raise RuntimeError("paths did not settle")
+
+
+def _last_steps(state: DataFrame, adj: DataFrame) -> DataFrame:
+    """(src, prev, node): the steps that least distances end with."""
     back = state.join(adj, "node").select("src", F.col("other").alias("to"), F.col("node").alias("prev"), (F.col("dist") + F.col("weight")).alias("d"))
     best = back.join(state.select("src", F.col("node").alias("to"), F.col("dist").alias("at")), ["src", "to"]).where("abs(d - at) < 1e-9 and to <> src")
-    prev = best.groupBy("src", "to").agg(F.min("prev").alias("prev"))
-    return state.join(prev.withColumnRenamed("to", "node"), ["src", "node"], "left")
+    return best.select("src", "prev", F.col("to").alias("node"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """(src, node, dist, prev): least distance from every source; prev ties to the smallest."""
+    adj = materialize(adjacency(simple(edges)).select("node", "other", "weight"))
+    state = _distances(adj, sources, max_rounds)
+    prev = _last_steps(state, adj).groupBy("src", "node").agg(F.min("prev").alias("prev"))
+    return state.join(prev, ["src", "node"], "left")
 
 
 def trace_paths(paths: DataFrame, pairs: DataFrame, max_hops: int = 1000) -> DataFrame:
@@ -125,54 +129,40 @@ def capacity(road_class: Column, length_m: Column) -> Column:
     return F.when(road_class == "arterial", 1200.0).otherwise(420.0) * F.least(F.lit(1.8), F.greatest(F.lit(0.6), length_m / 140))
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(u, v, score): shares of shortest paths between all pairs that use each edge (Brandes, exact).
+def _spread(start: DataFrame, steps: DataFrame, at: str, to: str, max_rounds: int) -> DataFrame:
+    """(src, node, x): ``start``'s values carried along the steps from ``at`` to ``to``, added up over all walks."""
+    now, total = start, start
+    for n in range(max_rounds):
+        moved = now.withColumnRenamed("node", at).join(steps, ["src", at]).groupBy("src", to).agg(F.sum("x").alias("x"))
+        now = materialize(moved.withColumnRenamed(to, "node"))
+        if now.isEmpty():
+            return materialize(total.groupBy("src", "node").agg(F.sum("x").alias("x")))
+        total = total.unionByName(now)
+        if n % 8 == 7:
+            total = materialize(total.groupBy("src", "node").agg(F.sum("x").alias("x")))
+    raise RuntimeError("shortest paths have a cycle: weights have to be above zero")
+
+
+def edge_betweenness(edges: DataFrame, block_rows: int = 50_000_000, max_rounds: int = 10_000) -> DataFrame:
+    """(u, v, score): shares of shortest paths between all pairs that use each edge (exact); weights above zero.
 
-    Sources are dealt over the tasks; each task holds the network, which is broadcast: to be used up to about 10^5 edges.
+    Numbers of paths go forward over the last steps of shortest paths, shares of what lies behind go backward, all by
+    joins and sums of (source, node) rows.  Sources are taken in blocks of about ``block_rows`` such rows.
     """
-    e = simple(edges).select("u", "v", "weight")
-    size = e.count()
-    if size > 200_000:
-        raise ValueError("the network is too large for exact betweenness; filter it or take sources of a part")
-    rows = edges.sparkSession.sparkContext.broadcast([tuple(r) for r in e.collect()])
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-
-        near: dict = {}
-        for u, v, w in rows.value:
-            near.setdefault(u, []).append((v, w))
-            near.setdefault(v, []).append((u, w))
-        for b in batches:
-            total: dict = {}
-            for s in b["node"].tolist():
-                dist, count, before, order, heap = {s: 0.0}, {s: 1.0}, {}, [], [(0.0, s)]
-                final = set()
-                while heap:
-                    d, x = heapq.heappop(heap)
-                    if x in final:
-                        continue
-                    final.add(x)
-                    order.append(x)
-                    for y, w in near[x]:
-                        n = d + w
-                        if y not in dist or n < dist[y] - 1e-9:
-                            dist[y], count[y], before[y] = n, count[x], [x]
-                            heapq.heappush(heap, (n, y))
-                        elif abs(n - dist[y]) <= 1e-9 and y not in final:
-                            count[y] += count[x]
-                            before[y].append(x)
-                owed = dict.fromkeys(order, 0.0)
-                for y in reversed(order):
-                    for x in before.get(y, []):
-                        c = count[x] / count[y] * (1 + owed[y])
-                        owed[x] += c
-                        k = (x, y) if x < y else (y, x)
-                        total[k] = total.get(k, 0.0) + c
-            yield pd.DataFrame([(u, v, c) for (u, v), c in total.items()], columns=["u", "v", "c"])
-
-    got = nodes.repartition("node").mapInPandas(run, "u long, v long, c double").groupBy("u", "v").agg((F.sum("c") / 2).alias("score"))
+    e = materialize(simple(edges).select("u", "v", "weight"))
+    adj = materialize(adjacency(e.withColumn("id", F.lit(0))).select("node", "other", "weight"))
+    nodes = materialize(adj.select("node").distinct())
+    blocks = nodes.count() ** 2 // block_rows + 1
+    got = None
+    for k in range(blocks):
+        state = _distances(adj, nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k), max_rounds)
+        steps = materialize(_last_steps(state, adj))
+        along = steps.withColumnRenamed("node", "next")
+        count = _spread(state.where("src = node").select("src", "node", F.lit(1.0).alias("x")), along, "prev", "next", max_rounds)
+        behind = _spread(count.where("src <> node").withColumn("x", 1 / F.col("x")), along, "next", "prev", max_rounds)
+        used = steps.join(count.withColumnsRenamed({"node": "prev", "x": "c"}), ["src", "prev"]).join(behind, ["src", "node"])
+        part = used.groupBy(F.least("prev", "node").alias("u"), F.greatest("prev", "node").alias("v")).agg((F.sum(F.col("c") * F.col("x")) / 2).alias("score"))
+        got = materialize(part if got is None else got.unionByName(part).groupBy("u", "v").agg(F.sum("score").alias("score")))
     return e.select("u", "v").join(got, ["u", "v"], "left").select("u", "v", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridion.session import materialize
+
 # Smallest scale at which minor classes are drawn; order of drawing.
 LOD_SCALE = 1.35
 RENDER_ORDER = {"minor_local": 0, "major_local": 1, "arterial": 2}
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """(.., name): each row's place from 1 in an order without ties; rows are ranged over tasks, none sees them all."""
+    place = F.monotonically_increasing_id()  # partition and place in it, after the sort
+    t = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
+    t = t.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before, starts = 0, []
+    for r in t.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        starts.append((r["_part"], before))
+        before += r.n
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    return t.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_at", "_part", "_row", "_before")
+
+
 def lod_filter(edges: DataFrame, scale: float) -> DataFrame:
     """Edges that are drawn at a scale, with their order of drawing."""
     rank = F.coalesce(*(F.when(F.col("road_class") == k, n) for k, n in RENDER_ORDER.items()), F.lit(2))
     t = edges if scale >= LOD_SCALE else edges.where("road_class <> 'minor_local'")
-    return t.withColumn("draw_order", F.row_number().over(Window.orderBy(rank, F.desc("length_m"), "id")).cast("long"))
+    return numbered(t.withColumn("_rank", rank), [F.asc("_rank"), F.desc("length_m"), F.asc("id")], "draw_order").drop("_rank")
 
 
 def first_per_bucket(points: DataFrame, size: float) -> DataFrame:
@@ -44,10 +59,11 @@ def assign_tiers(points: DataFrame, score: Column, sizes: tuple[int, ...]) -> Da
 
 def main_and_branches(lines: DataFrame, key: str, branches: int) -> DataFrame:
     """The main line by (flow, length) and the branches that are long and strong enough beside it."""
-    order = Window.orderBy(F.desc("flow"), F.desc("length"), key)
-    t = lines.withColumn("_n", F.row_number().over(order)).withColumn("_ml", F.first("length").over(order)).withColumn("_mf", F.first("flow").over(order))
-    good = (F.col("_n") == 1) | ((F.col("length") >= F.greatest(F.lit(120.0), 0.2 * F.col("_ml"))) & (F.col("flow") >= F.greatest(F.lit(2.0), 0.06 * F.col("_mf"))))
-    return t.where(good).orderBy("_n").limit(branches + 1).withColumn("main", F.col("_n") == 1).drop("_n", "_ml", "_mf")
+    order = [F.desc("flow"), F.desc("length"), F.asc(key)]
+    main = lines.orderBy(*order).limit(1).select(F.struct(key, "flow", "length")).scalar()
+    t = lines.withColumn("_m", main)
+    good = (F.col(key) == F.col(f"_m.{key}")) | ((F.col("length") >= F.greatest(F.lit(120.0), 0.2 * F.col("_m.length"))) & (F.col("flow") >= F.greatest(F.lit(2.0), 0.06 * F.col("_m.flow"))))
+    return t.where(good).orderBy(*order).limit(branches + 1).withColumn("main", F.col(key) == F.col(f"_m.{key}")).drop("_m")
 
 
 def priority_select(items: DataFrame, most: int, min_length: float, with_grid: bool) -> DataFrame:

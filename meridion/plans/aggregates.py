@@ -82,9 +82,7 @@ def priority_select(spark, d):
 
 @query("sort_by_area", "zones", "SELECT zone_id, row_number() OVER (ORDER BY area DESC, zone_id) AS place FROM zones")
 def sort_by_area(spark, d):
-    from pyspark.sql import Window
-
-    return v.zones(spark, d).select("zone_id", F.row_number().over(Window.orderBy(F.desc("area"), "zone_id")).cast("long").alias("place"))
+    return stats.numbered(v.zones(spark, d).select("zone_id", "area"), [F.desc("area"), F.asc("zone_id")], "place").select("zone_id", "place")
 
 
 @query("recombine", "edges", "SELECT id, CASE WHEN road_class = 'arterial' THEN weight * 2 ELSE weight END AS weight FROM edges")

@@ -70,7 +70,7 @@ def explode_traces(spark, d):
 
 
 def _streamed(spark, d, transform):
-    """The run log through a file stream to its end; the memory sink's rows."""
+    """The run log through a file stream to its end; the rows of its sink."""
     from meridion.streaming import feeds
 
     path = f"{ScratchTables(spark).root}/feed"

@@ -65,15 +65,29 @@ def ring_buffer(stream: DataFrame, keep: int) -> DataFrame:
 
 
 def run_once(spark: SparkSession, path: str, transform: Callable[[DataFrame], tuple[DataFrame, str]]) -> DataFrame:
-    """All that a folder holds through a stream; the rows that the sink got, as a table."""
-    schema = spark.read.parquet(path).schema
-    stream, mode = transform(read_feed(spark, path, schema))
-    name = f"feed_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
-def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"):
-    """Each micro-batch to the caller's function, exactly once per batch number."""
-    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).start()
+    """All that a folder holds through a stream; the rows that the sink got, as a table.
+
+    Each micro-batch is a folder of its own in the shared folder, written over when the batch is run again, so that no
+    row is kept in the driver or twice.  In mode "complete" the last batch is the result.
+    """
+    stream, mode = transform(read_feed(spark, path, spark.read.parquet(path).schema))
+    root = f"{shared_folder(spark)}/feed_{uuid.uuid4().hex}"
+    to_sink(stream, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={n}"), f"{root}/state", mode, once=True).awaitTermination()
+    ran = _batches(spark, f"{root}/rows")
+    if not ran:
+        return spark.createDataFrame([], stream.schema)
+    kept = [max(ran)] if mode == "complete" else ran
+    return spark.read.schema(stream.schema).parquet(*(f"{root}/rows/batch={n}" for n in kept))
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = False):
+    """Each micro-batch to the caller's function, with its number, by which a batch run again is known; ``once``: end with the input."""
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

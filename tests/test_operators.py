@@ -11,6 +11,7 @@ from meridion.functions import text as s
 from meridion.operators import events, graph, polyline, raster, spatial, stats
 from meridion.operators.components import connected_components
 from meridion.sources import documents as docs
+from meridion.streaming import feeds
 from pyspark.sql import functions as F
 
 
@@ -247,3 +248,53 @@ def test_parallel_segments_do_not_cross(spark):
     rows = [(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 1.0, 10.0, 1.0), (3, 2.0, 0.0, 8.0, 0.0), (4, 5.0, -5.0, 5.0, 5.0), (5, 3.0, 3.0, 3.0, 3.0)]
     found = spatial.crossing_join(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double"), 4.0).collect()
     assert sorted((r.a, r.b, r.x, r.y) for r in found) == [(1, 4, 5.0, 0.0), (2, 4, 5.0, 1.0), (3, 4, 5.0, 0.0)]
+
+
+def test_numbering_equals_sorting(spark):
+    rows = [(i, (i * 37) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, size long").repartition(7)
+    got = {r.id: r.place for r in stats.numbered(df, [F.desc("size"), F.asc("id")], "place").collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert stats.numbered(df.limit(0), [F.asc("id")], "place").count() == 0
+
+
+def test_betweenness_in_blocks_equals_all_paths(spark):
+    """Against a listing of all shortest paths, with ties, two components and sources in several blocks."""
+    rows = [(1, 2, 1.0), (2, 3, 1.0), (1, 4, 1.0), (4, 3, 1.0), (3, 5, 2.0), (1, 5, 4.0), (5, 6, 1.0), (10, 11, 3.0)]
+    near = {}
+    for u, v, w in rows:
+        near.setdefault(u, {})[v] = w
+        near.setdefault(v, {})[u] = w
+    found = {}
+
+    def walk(path, cost):
+        found.setdefault((path[0], path[-1]), []).append((cost, path))
+        for y, w in near[path[-1]].items():
+            if y not in path:
+                walk([*path, y], cost + w)
+
+    for x in near:
+        walk([x], 0.0)
+    want = {(u, v): 0.0 for u, v, _ in ((min(u, v), max(u, v), w) for u, v, w in rows)}
+    for (a, b), paths in found.items():
+        best = min(c for c, _ in paths)
+        short = [p for c, p in paths if c == best]
+        for p in short if a < b else []:
+            for x, y in zip(p, p[1:]):
+                want[min(x, y), max(x, y)] += 1 / len(short)
+    e = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "id long, u long, v long, weight double")
+    for block_rows in (10**6, 30):
+        got = {(r.u, r.v): r.score for r in graph.edge_betweenness(e, block_rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_streams_keep_rows_in_files(spark, tmp_path, monkeypatch):
+    """Several micro-batches: appended rows of all batches, the last state of a complete stream; an empty feed."""
+    path = str(tmp_path / "feed")
+    spark.range(30).selectExpr("id % 3 AS run_id", "id AS seq", "timestamp_seconds(id) AS ts", "'k' AS kind").repartition(4).write.parquet(path)
+    monkeypatch.setattr(feeds, "read_feed", lambda s, p, schema: s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(p))
+    assert feeds.run_once(spark, path, lambda s: (s, "append")).count() == 30
+    assert sorted((r.run_id, r.n) for r in feeds.run_once(spark, path, lambda s: (feeds.status(s), "complete")).collect()) == [(0, 10), (1, 10), (2, 10)]
+    empty = str(tmp_path / "empty")
+    spark.read.parquet(path).limit(0).write.parquet(empty)
+    assert feeds.run_once(spark, empty, lambda s: (s, "append")).count() == 0
