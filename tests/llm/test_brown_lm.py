@@ -80,3 +80,64 @@ def test_exchange_makes_training_tokens_more_likely_round_by_round(spark, monkey
         totals.append(sum(r.score for r in rows))
     assert seen == sorted(seen) and seen[-1] > seen[0]
     assert totals[-1] > totals[0]
+
+
+def _plain(rows, classes, most_words):
+    """The model of one round of the rarer words and none of the frequent ones, word by word; (score by row, rarer words that moved)."""
+    texts = [(i, words(t), h) for i, t, h in rows]
+    count = Counter(w for _, t, h in texts if not h for w in t)
+    total = sum(count.values())
+    often = sorted((w for w in count if count[w] * most_words >= total), key=lambda w: (-count[w], w))
+    n = classes + brown_lm.LOOKS
+    look = {w: classes + (0 if w == b"\n" else brown_lm._looks(w)) for _, t, _ in texts for w in t}
+    of = dict(look) | {w: k % classes for k, w in enumerate(often)}
+    pairs = Counter((a, b) for _, t, h in texts if not h for a, b in zip([t[-1], *t], t))
+
+    def matrix():
+        m = np.zeros((n, n))
+        for (a, b), k in pairs.items():
+            m[of[a], of[b]] += k
+        return m
+
+    m = matrix()
+    p = np.log((m + 0.1) / (m.sum(axis=1, keepdims=True) + 0.1 * n))
+    share = np.log(m.sum(axis=0) + 1.0)
+    move = {}
+    for w in sorted(set(count) - set(often)):
+        gain = sum(k * (p[of[a]] - share) for (a, b), k in pairs.items() if b == w) + sum(k * p[:, of[b]] for (a, b), k in pairs.items() if a == w)
+        best = int(gain[:classes].argmax())
+        move[w] = best if gain[best] > gain[look[w]] else look[w]
+    assert not set(move) & set(often)
+    start = brown_lm.likelihood(m)
+    of |= move
+    m = matrix()
+    assert brown_lm.likelihood(m) >= start
+    once = np.zeros((n, n))
+    for (a, b), k in pairs.items():
+        if count[b] == 1 and b not in often:
+            once[of[a], look[b]] += k
+    tokens, kinds = np.zeros(n), np.zeros(n)
+    for w, c in count.items():
+        tokens[of[w]] += c
+        kinds[of[w]] += 1
+    places = np.concatenate([np.zeros(classes), np.ones(brown_lm.LOOKS)]) + once.sum(axis=0)
+    usual = np.where(kinds + places > 0, tokens + once.sum(axis=0) + 1, 0)
+    after = (m + once + n * usual / usual.sum()) / ((m + once).sum(axis=1, keepdims=True) + n)
+    assert np.allclose(after.sum(axis=1), 1)
+    score = {i: sum(math.log10(after[of[a], of[b]] * (count[b] + 1) / max(1, (tokens + kinds + places)[of[b]])) for a, b in zip([t[-1], *t], t)) for i, t, _ in texts}
+    return score, sum(move[w] != look[w] for w in move)
+
+
+def test_rarer_words_move_as_in_a_plain_model(spark, monkeypatch):
+    """Every word met in training is exchanged; in many buckets and batches as in one."""
+    rng = random.Random(5)
+    kinds = [[f"{c}{'abcdefgh'[k % 8]}{'xyz'[k % 3]}" for k in range(40)] for c in ("no", "ve", "ad")]
+    rows = [(i, " ".join(rng.choice(kinds[k % 3][: rng.choice((3, 40))]) for k in range(rng.randrange(1, 40))) + f" once{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", i % 7 == 2) for i in range(100)]
+    want, moved = _plain(rows, 3, 30)
+    assert moved > 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    for bucket_words, batch_bytes in ((10**6, 1 << 20), (20, 600)):
+        monkeypatch.setattr(brown_lm, "BUCKET_WORDS", bucket_words)
+        monkeypatch.setattr(brown_lm, "BATCH_BYTES", batch_bytes)
+        got = {r.doc_id: r.score for r in score_documents(df, F.col("h"), classes=3, rounds=0, most_words=30, rare_rounds=1).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want), bucket_words
