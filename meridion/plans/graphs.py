@@ -254,3 +254,28 @@ def snap_network(spark, d):
 def hub_hulls(spark, d):
     t = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id")).join(v.pts(spark, d), "id")
     return stats.convex_hulls(t, "g").select("g", F.size("ring").alias("corners"), r4("area").alias("area"))
+
+
+_TRADE = _ADJ.replace("FROM edges", "FROM trade")
+
+
+@query("trade_degree", "trade", f"WITH {_TRADE} SELECT node, count(*) AS degree FROM adj GROUP BY node")
+def trade_degree(spark, d):
+    return g.degrees(v.trade(spark, d))
+
+
+@query("trade_components", "trade", f"{_CC.replace('FROM edges', 'FROM trade')} SELECT node, component FROM comp")
+def trade_components(spark, d):
+    return cc(v.trade(spark, d))
+
+
+@query("trade_paths", "trade trade_hubs", f"""RECURSIVE WITH {_TRADE}, p(n, src, node, dist) AS (SELECT 0, node, node, 0.0::DOUBLE FROM trade_hubs UNION ALL
+    SELECT n + 1, src, node, min(dist) FROM (SELECT p.n, p.src, adj.other AS node, p.dist + adj.weight AS dist FROM p JOIN adj USING (node) UNION ALL SELECT n, src, node, dist FROM p) WHERE n < 40 GROUP BY n, src, node)
+    SELECT src, node, round(dist, 4) AS dist FROM p WHERE n = 40""")
+def trade_paths(spark, d):
+    return g.shortest_paths(v.trade(spark, d), v.trade_hubs(spark, d)).select("src", "node", r4("dist").alias("dist"))
+
+
+@query("trade_spanning_tree")
+def trade_spanning_tree(spark, d):
+    return g.minimum_spanning_tree(v.trade(spark, d)).select("id", "u", "v", "weight")

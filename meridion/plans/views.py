@@ -57,6 +57,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def trade(spark: SparkSession, d: str) -> DataFrame:
+    """undirected network of suppliers (even nodes) and the parts that they sold (odd nodes): id, u, v, weight; grows with the tables."""
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p")).distinct()
+    return t.select((F.col("s") * 10000000000 + F.col("p")).alias("id"), (F.col("s") * 2).alias("u"), (F.col("p") * 2 + 1).alias("v"), (1 + (F.col("s") * 31 + F.col("p") * 17) % 97).cast("double").alias("weight"))
+
+
+def trade_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """node: each nation's supplier of the highest balance (ties: the larger key)."""
+    t = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.max(F.struct("s_acctbal", "s_suppkey")).alias("m"))
+    return t.select((F.col("m.s_suppkey").cast("long") * 2).alias("node"))
+
+
 def seg(spark: SparkSession, d: str) -> DataFrame:
     """segments: id, x0, y0, x1, y1."""
     k = F.col("o_orderkey")
@@ -101,6 +113,8 @@ SQL = {
         (1 + (u * 31 + v * 17) % 97)::DOUBLE AS weight, (20 + (u * 13 + v * 29) % 400)::DOUBLE AS length_m, CASE WHEN (u * v) % 4 = 0 THEN ['culdesac'] ELSE []::VARCHAR[] END AS flags
         FROM (SELECT least(c_nationkey, s_nationkey)::BIGINT AS u, greatest(c_nationkey, s_nationkey)::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)""",
+    "trade": "SELECT s * 10000000000 + p AS id, s * 2 AS u, p * 2 + 1 AS v, (1 + (s * 31 + p * 17) % 97)::DOUBLE AS weight FROM (SELECT DISTINCT l_suppkey::BIGINT AS s, l_partkey::BIGINT AS p FROM lineitem)",
+    "trade_hubs": "SELECT arg_max(s_suppkey, (s_acctbal, s_suppkey))::BIGINT * 2 AS node FROM supplier GROUP BY s_nationkey",
     "seg": "SELECT id, x AS x0, y AS y0, x + (id * 13) % 301 - 150 AS x1, y + (id * 17) % 307 - 153 AS y1 FROM (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 10007)::DOUBLE AS x, ((o_orderkey * 104729) % 10009)::DOUBLE AS y FROM orders)",
     "verts": "SELECT line_id, seq, ((k * 37) % 1009)::DOUBLE AS x, ((k * 53) % 1013)::DOUBLE AS y FROM (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id AS k FROM events)",
     "zones": "SELECT p_partkey AS zone_id, ((p_partkey * 7919) % 10007)::DOUBLE AS cx, ((p_partkey * 104729) % 10009)::DOUBLE AS cy, (p_size * 10)::DOUBLE AS half, 4.0 * (p_size * 10)::DOUBLE * (p_size * 10)::DOUBLE AS area, p_brand AS zone_class FROM part",

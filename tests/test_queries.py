@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = """world_to_cell segment_intersection project_to_segment angle_between validate_rules config_fingerprint sanitize_payload parse_sse_frames
     slope flow_direction flow_accumulation minmax_normalize contour_segments structure_tensor segmentize interpolate_along locate_along chaikin_smooth resample
     bbox_join crossing_join split_at_points knn_join within_distance_join snap_to_nearest point_in_zone_join raster_lookup mask_intersect percentiles nearest_rank_quantile band_rates
-    dominant_class count_by_class node_degree mutual_best od_demand ring_buffer_tail job_status idle_gaps phase_progress fold_latest_state assemble_document write_layers stream_job_status""".split()
+    dominant_class count_by_class node_degree mutual_best od_demand ring_buffer_tail job_status idle_gaps phase_progress fold_latest_state assemble_document write_layers stream_job_status sort_by_area main_and_branches trade_degree""".split()
 
 
 def plain(x):
