@@ -34,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local runs and tests) a temporary folder of the machine is taken.
+    Where it is unset a local run takes a temporary folder of the machine; on a cluster, whose executors could not read
+    that, it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(known)
     elif not spark.sparkContext.getCheckpointDir():

@@ -4,12 +4,14 @@ import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import pytest
 from meridion.functions import geometry as g
 from meridion.functions import text as s
 from meridion.operators import events, graph, polyline, raster, spatial, stats
 from meridion.operators.components import connected_components
+from meridion.session import shared_folder
 from meridion.sources import documents as docs
 from meridion.streaming import feeds
 from pyspark.sql import functions as F
@@ -298,3 +300,9 @@ def test_streams_keep_rows_in_files(spark, tmp_path, monkeypatch):
     empty = str(tmp_path / "empty")
     spark.read.parquet(path).limit(0).write.parquet(empty)
     assert feeds.run_once(spark, empty, lambda s: (s, "append")).count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
