@@ -16,6 +16,7 @@ import functools
 import json
 import math
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,9 +53,26 @@ REMEMBERED = 500_000
 #: Texts that are encoded at a time, at most, and their bytes (one text can have more).
 _BATCH_ROWS, _BATCH_BYTES = 4096, 16 << 20
 
-#: A run of marks behind such a letter or digit, at the end of a word, is a piece of its own under the vocabulary's
-#: rules: these characters stay letters or digits when they are normalised, and none of them ends in a mark.
-_MARKS_BEHIND = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$&%#|]+)([ \n]|$)"
+#: A run of these marks behind an ASCII or Latin-1 letter or a digit, at the end of a word, is a piece of its own under
+#: the vocabulary's rules: those characters stay letters or digits when they are normalised, and none ends in a mark.
+_MARKS = bytes(b in b".,!?;:*$&%#|" for b in range(256))
+_ASCII_LETTERS = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: The byte that leads Latin-1 letters in UTF-8, the bytes behind it that are no letters, words of letters alone.
+_LATIN, _NO_LETTERS = 0xC3, [0x97, 0xB7]
+_LETTERS = re.compile(rb"(?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _spelling() -> dict[int, int]:
+    """The characters that spell the bytes behind ``_LATIN`` to the merges, of lower-case letters.
+
+    The byte-level rule keeps bytes that are visible as Latin-1 and numbers the others from 256.
+    """
+    hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
+    lower = {b: b + 32 if b < 0x9F else b for b in range(0x80, 0xC0)}
+    return {b: 256 + hidden.index(c) if c in hidden else c for b, c in lower.items()}
+
+
+_SPELLING = _spelling()
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -84,12 +102,12 @@ class WordEncoder:
         self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
 
     def _learn(self, words: list[bytes]) -> None:
-        """A word of lower-case letters is one word to the merges, so the cutting rules need not look at it."""
+        """A word of ASCII and Latin-1 letters is one word to the merges, so the cutting rules need not look at it."""
         merges, plain, odd, found = self.model.model.tokenize, [], [], []
         for w in words:
-            (plain if w.isalpha() and w.islower() else odd).append(w)  # both hold for ASCII letters only
+            (plain if w.isalpha() and w.islower() or _LETTERS.fullmatch(w) else odd).append(w)
         for w in plain:
-            found.append([t.id for t in merges(w.decode())])
+            found.append([t.id for t in merges(w.decode() if w.isascii() else w.decode("latin-1").translate(_SPELLING))])
         found += [e.ids for e in self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]
         n = len(self.known)
         self.known.update(zip(plain + odd, range(n, n + len(words)), strict=True))
@@ -104,7 +122,7 @@ class WordEncoder:
             return np.array([i for f in found for i in f], self.dtype), np.cumsum([len(f) for f in found])
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special strings are met in lower case only
             texts = pc.ascii_lower(texts)
-        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKS_BEHIND, r"\1 \2\3"))
+        words = pc.ascii_split_whitespace(_marks_apart(texts))
         last = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         different = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
@@ -136,6 +154,30 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def _marks_apart(texts: pa.Array) -> pa.Array:
+    """The texts with a space before each run of marks that ends a word behind a letter or digit."""
+    texts = texts.cast(pa.string())
+    data = texts.buffers()[2] if len(texts) else None
+    if not data:
+        return texts
+    ends = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    at = np.flatnonzero(np.frombuffer(raw.tobytes().translate(_MARKS), bool))
+    text = np.searchsorted(ends, at, side="right") - 1
+    apart = (np.diff(at) > 1) | (np.diff(text) > 0)
+    first, last = np.append(True, apart)[: len(at)], np.append(apart, True)[: len(at)]
+    start, end, text = at[first], at[last] + 1, text[first]
+    before, second = raw[start - 1], raw[np.maximum(start - 2, 0)]
+    letter = _ASCII_LETTERS[before] | ((second == _LATIN) & (before >= 0x80) & (before < 0xC0) & ~np.isin(before, _NO_LETTERS))
+    behind = raw[np.minimum(end, len(raw) - 1)]
+    closed = (end == ends[text + 1]) | (behind == ord(" ")) | (behind == ord("\n"))
+    start = start[letter & closed & (start > ends[text])]
+    ends = ends + np.searchsorted(start, ends)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("one text does not fit a string value of Arrow")
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(np.insert(raw, start, ord(" ")))])
+
+
 def _cuts_at_space(rules: dict) -> bool:
     steps = [s["type"] for s in (rules.get("normalizer") or {}).get("normalizers", [])]
     cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -189,6 +231,13 @@ def _terms(doc: np.ndarray) -> np.ndarray:
     return doc[keep]
 
 
+def _counted(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different terms of a document in their order, and how often each occurs."""
+    doc = np.sort(doc, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return doc[at], np.diff(at, append=len(doc))
+
+
 def _frequencies(dtype: np.dtype, terms: int):
     """Documents that hold each term, and the totals: one row per term and task."""
 
@@ -215,7 +264,7 @@ class CorpusStatistics:
 
     def weights(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A document's terms and what each adds to its score for a seed that holds the term."""
-        t, c = np.unique(doc, return_counts=True)
+        t, c = _counted(doc)
         return t, self.idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(doc) / self.mean))
 
 
@@ -316,7 +365,7 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray], statistics: CorpusStatistics | None = None):
         n = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [_counted(d) for d in docs]
         self.lengths = np.array([len(d) for d in docs], np.float64)
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
         counts = np.concatenate([c for _, c in found]).astype(np.float64)

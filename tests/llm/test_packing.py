@@ -1,7 +1,10 @@
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from meridion.llm import packing
@@ -223,3 +226,18 @@ def test_letters_of_every_kind_with_and_without_marks():
     texts = ["".join(f"a{c}. {c}, {c}{c}! x{c}A{c}; " for c in points[k : k + 50]) for k in range(0, len(points), 50)]
     encoder = WordEncoder(PATH, 1)
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(texts)] == library(texts)
+
+
+def test_latin_words_are_spelt_as_the_library_spells_them():
+    draw = random.Random(5)
+    letters = "aeinst" + "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(5000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(PATH, 1).encode_all(texts)] == library(texts)
+
+
+def test_marks_are_set_apart_within_each_text():
+    draw = random.Random(7)
+    texts = ["", ".", "a.", "é.", "..", "a", *("".join(draw.choice("ab7ß÷ñ.,!| \n\t日_'") for _ in range(draw.randint(0, 20))) for _ in range(20000))]
+    want = [re.sub(r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$&%#|]+)(?=[ \n]|\Z)", r"\1 \2", t) for t in texts]
+    assert packing._marks_apart(pa.array(["x, ", *texts]).slice(1)).to_pylist() == want
+    assert [packing._marks_apart(pa.array(t, pa.string())).to_pylist() for t in ([], [""], ["."])] == [[], [""], ["."]]
