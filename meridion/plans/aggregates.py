@@ -62,9 +62,9 @@ def area_share(spark, d):
     return v.cells(spark, d).agg(F.round(high / F.count("*"), 6).alias("share"), (high * 250000.0).alias("area"))
 
 
-@query("stage_metrics", "edges cells", "SELECT 'traffic' AS stage, count(*) AS n, round(max(weight), 4) AS top FROM edges UNION ALL SELECT 'terrain', count(*), round(max(h), 4) FROM cells")
+@query("stage_metrics", "edges cells", "SELECT 'traffic' AS stage, count(*) AS n, round(max(weight), 4) AS top, round(avg(weight), 4) AS mean FROM edges UNION ALL SELECT 'terrain', count(*), round(max(h), 4), round(avg(h), 4) FROM cells")
 def stage_metrics(spark, d):
-    one = lambda t, name, c: t.agg(F.count("*").alias("n"), r4(F.max(c)).alias("top")).select(F.lit(name).alias("stage"), "n", "top")
+    one = lambda t, name, c: t.agg(F.count("*").alias("n"), r4(F.max(c)).alias("top"), r4(F.avg(c)).alias("mean")).select(F.lit(name).alias("stage"), "n", "top", "mean")
     return one(v.edges(spark, d), "traffic", "weight").unionByName(one(v.cells(spark, d), "terrain", "h"))
 
 

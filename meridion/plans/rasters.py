@@ -222,9 +222,15 @@ _LABEL = """RECURSIVE WITH k AS (SELECT ix, iy, iy * 1000000007 + ix AS k FROM c
     w(k, z) AS (SELECT k, k FROM k UNION SELECT e.v, w.z FROM w JOIN e ON e.u = w.k), z AS (SELECT k, min(z) AS zone FROM w GROUP BY k)"""
 
 
-@query("label_zones", "cells", f"{_LABEL} SELECT ix, iy, zone FROM k JOIN z USING (k)")
+@query("label_zones", "cells", f"""{_LABEL}, x AS (SELECT min(ix) AS ax, max(ix) AS bx, min(iy) AS ay, max(iy) AS by_ FROM cells), t AS (SELECT zone, bool_or(ix IN (ax, bx) OR iy IN (ay, by_)) AS border FROM k JOIN z USING (k), x GROUP BY zone)
+    SELECT ix, iy, zone, border FROM k JOIN z USING (k) JOIN t USING (zone)""")
 def label_zones(spark, d):
-    return r.label_zones(v.cells(spark, d).where("h > 4500")).select("ix", "iy", "zone")
+    """Zones of cells, and whether a zone touches the border of the raster."""
+    c = v.cells(spark, d)
+    rim = c.agg(F.min("ix").alias("ax"), F.max("ix").alias("bx"), F.min("iy").alias("ay"), F.max("iy").alias("by"))
+    z = r.label_zones(c.where("h > 4500")).select("ix", "iy", "zone")
+    border = z.join(F.broadcast(rim)).groupBy("zone").agg(F.bool_or(F.col("ix").isin(F.col("ax"), F.col("bx")) | F.col("iy").isin(F.col("ay"), F.col("by"))).alias("border"))
+    return z.join(border, "zone").select("ix", "iy", "zone", "border")
 
 
 @query("filter_zones", "cells", f"""{_LABEL} SELECT zone, count(*) AS n_cells, count(*) * 250000.0::DOUBLE AS area, max(ix) - min(ix) + 1 AS width, max(iy) - min(iy) + 1 AS height FROM k JOIN z USING (k) GROUP BY zone
