@@ -56,10 +56,15 @@ def circular_mean_bearing(spark, d):
     return stats.circular_mean(s, ["line_id"], "b").select("line_id", F.round("mean", 2).alias("mean"))
 
 
-@query("area_share", "cells", "SELECT round(count(*) FILTER (WHERE h > 4500) / count(*)::DOUBLE, 6) AS share, count(*) FILTER (WHERE h > 4500) * 250000.0::DOUBLE AS area FROM cells")
+@query("area_share", "cells verts", """WITH s AS (SELECT line_id, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM verts WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+    l AS (SELECT line_id, sum(sqrt(pow(x1-x0,2)+pow(y1-y0,2))) AS length, count(*) AS flow FROM s WHERE x1 IS NOT NULL AND sqrt(pow(x1-x0,2)+pow(y1-y0,2)) > 1e-6 GROUP BY 1)
+    SELECT round(count(*) FILTER (WHERE h > 4500) / count(*)::DOUBLE, 6) AS share, count(*) FILTER (WHERE h > 4500) * 250000.0::DOUBLE AS area, (SELECT round(arg_max(length, (flow, length)), 3) FROM l) AS main_length FROM cells""")
 def area_share(spark, d):
+    """Covered share and area, and the length of the line of most flow (ties: the longer)."""
     high = F.count_if(F.col("h") > 4500)
-    return v.cells(spark, d).agg(F.round(high / F.count("*"), 6).alias("share"), (high * 250000.0).alias("area"))
+    lines = p.segmentize(v.verts(spark, d)).groupBy("line_id").agg(F.sum("len").alias("length"), F.count("*").alias("flow"))
+    main = lines.agg(F.round(F.max(F.struct("flow", "length"))["length"], 3).alias("main_length"))
+    return v.cells(spark, d).agg(F.round(high / F.count("*"), 6).alias("share"), (high * 250000.0).alias("area")).join(F.broadcast(main))
 
 
 @query("stage_metrics", "edges cells", "SELECT 'traffic' AS stage, count(*) AS n, round(max(weight), 4) AS top, round(avg(weight), 4) AS mean FROM edges UNION ALL SELECT 'terrain', count(*), round(max(h), 4), round(avg(h), 4) FROM cells")

@@ -51,13 +51,14 @@ def largest_component_ratio(spark, d):
 
 
 @query("network_metrics", "edges", f"""{_CC}, dg AS (SELECT node, count(*) AS n FROM adj GROUP BY 1) SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(weight), 4) FROM edges) AS mean_weight,
-    (SELECT count(*) FROM dg WHERE n = 1) AS dead_ends, (SELECT count(DISTINCT component) FROM comp) = 1 AS connected""")
+    (SELECT count(*) FROM dg WHERE n = 1) AS dead_ends, (SELECT count(DISTINCT component) FROM comp) = 1 AS connected,
+    (SELECT round(max(n) / sum(n)::DOUBLE, 6) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) AS connectivity""")
 def network_metrics(spark, d):
     e = v.edges(spark, d)
     one = e.agg(F.count("*").alias("edges"), r4(F.avg("weight")).alias("mean_weight"))
     deg = g.degrees(e).agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") == 1).alias("dead_ends"))
-    comp = cc(e).agg((F.countDistinct("component") == 1).alias("connected"))
-    return one.join(F.broadcast(deg)).join(F.broadcast(comp)).select("nodes", "edges", "mean_weight", "dead_ends", "connected")
+    comp = cc(e).groupBy("component").agg(F.count("*").alias("n")).agg((F.count("*") == 1).alias("connected"), F.round(F.max("n") / F.sum("n"), 6).alias("connectivity"))
+    return one.join(F.broadcast(deg)).join(F.broadcast(comp)).select("nodes", "edges", "mean_weight", "dead_ends", "connected", "connectivity")
 
 
 @query("shortest_paths", "edges", f"{_SP} SELECT src, node, round(dist, 4) AS dist FROM sp")
