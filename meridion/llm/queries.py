@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import brown_lm, line_dedup, packing, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
+from meridion.llm import brown_lm, line_dedup, packing, periodic_runs, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_extendible_shards": sharding.op8_extendible_shards,
         "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     }
 
 
