@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import brown_lm, line_dedup, packing, periodic_runs, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
+from meridion.llm import brown_lm, line_dedup, merkle, packing, periodic_runs, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_site_line_dedup": line_dedup.OP6_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_extendible_shards": sharding.OP8_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
     }
