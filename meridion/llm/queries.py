@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import brown_lm, line_dedup, merkle, packing, periodic_runs, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter
+from meridion.llm import brown_lm, line_dedup, merkle, packing, periodic_runs, pfair_mix, rule_ledger, sharding, simhash_dedup, token_counts, topk_search, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_extendible_shards": sharding.op8_extendible_shards,
         "op9_retrieval_packing": packing.op9_retrieval_packing,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_warc": warc.op11_warc,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_site_line_dedup": line_dedup.OP6_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_extendible_shards": sharding.OP8_SQL,
+        "op11_warc": warc.OP11_SQL,
         "op13_merkle_manifest": merkle.OP13_SQL,
     }
