@@ -111,11 +111,11 @@ def mix(
     n_docs, n_sites = sizes.agg(F.sum("docs"), F.count("*")).head()
     sizes = sizes.select("site", "bytes")
     period = period or max(PERIOD, SLOTS_A_SOURCE * n_sites)
-    # Digest ranges, so that a source of any size is numbered by many tasks.
-    ranges = max(1, -(-(n_docs or 0) // numbered))
+    # Digest ranges, by first bits, so that a source of any size is numbered by many tasks.
+    bits = min(_DIGEST_BITS, max(0, -(-(n_docs or 0) // numbered) - 1).bit_length())
     digest = F.md5(F.coalesce("key", F.lit("")))
     head = F.conv(F.substring(digest, 1, _DIGEST_BITS // 4), 16, 10).cast("long")
-    rows = rows.select("row", "site", "key", "size", digest.alias("digest"), F.floor(head * F.lit(ranges) / F.lit(1 << _DIGEST_BITS)).cast("long").alias("range"))
+    rows = rows.select("row", "site", "key", "size", digest.alias("digest"), F.shiftright(head, _DIGEST_BITS - bits).alias("range"))
     by_range = rows.groupBy("site", "range").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("site").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.select(F.col("site").alias("o_site"), F.col("range").alias("o_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -75,3 +75,9 @@ def test_weights_have_to_cover_the_sources(spark, weights):
     else:
         with pytest.raises(ValueError):
             mix(df, weights=given, period=10)
+
+
+def test_any_number_of_digest_ranges_gives_one_order(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('x', int(id % 7)) AS text")
+    few, many = (mix(docs, numbered=n, block_bytes=4096).select("row.doc_id", "site", "block", "epoch", "slot", "place") for n in (40_000, 1))
+    assert few.exceptAll(many).isEmpty() and few.count() == many.count() >= 40_000
