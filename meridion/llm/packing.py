@@ -513,7 +513,7 @@ def _pack(window: int, dtype: np.dtype, id_type: pa.DataType, statistics: Corpus
 
     def run(shard: pa.Table) -> pa.Table:
         keys, blobs = shard.column("id").to_pylist(), shard.column("ids").to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (-len(blobs[i]), keys[i] is not None, keys[i] or 0, blobs[i]))
+        order = sorted(range(len(keys)), key=lambda i: (-len(blobs[i]), keys[i] is not None, 0 if keys[i] is None else keys[i], blobs[i]))
         docs = [np.frombuffer(blobs[i], dtype) for i in order]
         number, rows = shard.column("shard")[0].as_py() << 32, []
         for some in divide(docs, statistics, index_ids):

@@ -241,3 +241,8 @@ def test_marks_are_set_apart_within_each_text():
     want = [re.sub(r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$&%#|]+)(?=[ \n]|\Z)", r"\1 \2", t) for t in texts]
     assert packing._marks_apart(pa.array(["x, ", *texts]).slice(1)).to_pylist() == want
     assert [packing._marks_apart(pa.array(t, pa.string())).to_pylist() for t in ([], [""], ["."])] == [[], [""], ["."]]
+
+
+def test_text_ids_may_be_empty(spark):
+    df = spark.createDataFrame([("", "ab c"), ("x", "ab c"), (None, "ab c"), ("a", "ab c")], "doc_id string, text string")
+    assert sorted((r.doc_id for r in pack(df, PATH).collect()), key=str) == sorted(["", "x", None, "a"], key=str)
