@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridion.operators.components import connected_components
+from meridion.operators.polyline import cumulative, moving_average
+from meridion.operators.walks import along, follow
 from meridion.session import materialize
 
 # The eight neighbours (dy, dx) in the order that settles ties.
@@ -112,22 +114,30 @@ def river_mask(accumulated: DataFrame, share: float) -> DataFrame:
     return accumulated.join(F.broadcast(top), F.col("acc") >= F.col("least")).drop("least")
 
 
-def trace_chains(rivers: DataFrame, min_cells: int = 2, max_rounds: int = 10_000) -> DataFrame:
-    """(head, seq, ix, iy, flow): from each river cell that no river cell drains into, down to the outlet."""
+def trace_chains(rivers: DataFrame, min_cells: int = 2) -> DataFrame:
+    """(head, seq, ix, iy, flow): from each river cell that no river cell drains into, down to the outlet.
+
+    ``flow`` is what drains through the head.  Chains share their lower ways.
+    """
     cell = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    t = materialize(rivers.select(cell("ix", "iy").alias("c"), cell("to_x", "to_y").alias("to"), "acc"))
-    heads = t.join(t.where("c <> to").select(F.col("to").alias("c")).distinct(), "c", "left_anti")
-    now = heads.select(F.col("c").alias("head"), F.col("acc").alias("flow"), F.lit(0).alias("seq"), "c", "to")
-    done = now = materialize(now)
-    for n in range(1, max_rounds):
-        onward = now.where("c <> to").select("head", "flow", F.col("to").alias("c"))
-        now = materialize(onward.join(t.select("c", "to"), "c").select("head", "flow", F.lit(n).alias("seq"), "c", "to"))
-        if now.isEmpty():
-            break
-        done = done.unionByName(now)
-        done = materialize(done) if n % 8 == 0 else done
-    size = F.count("*").over(Window.partitionBy("head"))
-    return done.withColumn("n", size).where(F.col("n") >= min_cells).select("head", "seq", F.col("c.x").alias("ix"), F.col("c.y").alias("iy"), "flow")
+    t = materialize(rivers.select(cell("ix", "iy").alias("k"), cell("to_x", "to_y").alias("to"), "acc"))
+    on = t.where("k <> to").select("k", "to").join(t.select(F.col("k").alias("to")), "to", "left_semi")
+    heads = t.join(on.select(F.col("to").alias("k")).distinct(), "k", "left_anti").select(F.col("k").alias("walk"), "k", F.col("acc").alias("flow"))
+    size = F.count("*").over(Window.partitionBy("walk"))
+    walks = follow(on, heads).withColumn("n", size).where(F.col("n") >= min_cells)
+    return walks.join(heads.select("walk", "flow"), "walk").select(F.col("walk").alias("head"), F.col("pos").alias("seq"), F.col("k.x").alias("ix"), F.col("k.y").alias("iy"), "flow")
+
+
+def river_lines(rivers: DataFrame, step: float, min_length: float) -> DataFrame:
+    """(head, seq, x, y, flow, length): chains as lines of cells ``step`` apart, smoothed over three points.
+
+    Lines shorter than ``min_length`` after smoothing are left out.
+    """
+    by_line = Window.partitionBy("line_id")
+    verts = trace_chains(rivers).select(F.col("head").alias("line_id"), "seq", (F.col("ix") * step).alias("x"), (F.col("iy") * step).alias("y"), "flow")
+    smooth = moving_average(verts).join(verts.select("line_id", "seq", "flow"), ["line_id", "seq"])
+    t = cumulative(smooth).withColumn("length", F.max("cum").over(by_line)).where(F.col("length") >= min_length)
+    return t.select(F.col("line_id").alias("head"), "seq", "x", "y", "flow", "length")
 
 
 def normalize(cells: DataFrame, value: str = "h") -> DataFrame:
@@ -202,6 +212,73 @@ def contours(cells: DataFrame, levels: int) -> DataFrame:
     return t.withColumn("level", level).withColumn("edges", edges).where(F.size("edges") > 0).select("level_no", "level", "ix", "iy", "edges")
 
 
+# The sides of a square that its contour joins, by which corners are at the level or above (8 for the corner
+# at (x, y), 4 at (x + 1, y), 2 at (x + 1, y + 1), 1 at (x, y + 1)).  Sides: 0 from the first corner to the second, 1 from
+# the second to the third, and so on around.
+CONTOUR_CASES = {
+    0: [],
+    1: [(3, 2)],
+    2: [(2, 1)],
+    3: [(3, 1)],
+    4: [(0, 1)],
+    5: [(0, 3), (1, 2)],
+    6: [(0, 2)],
+    7: [(0, 3)],
+    8: [(0, 3)],
+    9: [(0, 2)],
+    10: [(0, 1), (2, 3)],
+    11: [(0, 1)],
+    12: [(3, 1)],
+    13: [(2, 1)],
+    14: [(3, 2)],
+    15: [],
+}
+_CORNERS = [(0, 0), (1, 0), (1, 1), (0, 1)]
+
+
+def contour_segments(cells: DataFrame, levels: int, step: float = 1.0) -> DataFrame:
+    """(level_no, share, ix, iy, part, a, b): the contours of ``levels`` inner levels, one segment a row.
+
+    ``share``: the level within the range of heights.  ``a`` and ``b`` are the ends (x, y, edge) in cells times ``step``,
+    interpolated on the square's sides; ``edge`` names the side of the raster, the same for both squares beside it.  A
+    square with a missing corner has no contour, nor has a flat raster.
+    """
+    t = around(cells, offsets=[(0, 1), (1, 1), (1, 0)]).where(F.size("near") == 3)
+    t = t.select("ix", "iy", F.array(F.col("h"), *(F.element_at("near", k) for k in range(3))).alias("c"))
+    r = cells.agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    t = t.join(F.broadcast(r)).where(F.col("high") - F.col("low") >= 1e-9).withColumn("level_no", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    t = t.withColumn("level", F.col("low") + (F.col("high") - F.col("low")) * F.col("level_no") / (levels + 1))
+    above = [F.when(F.col("c")[k] >= F.col("level"), 8 >> k).otherwise(0) for k in range(4)]
+    pair = lambda p: F.struct(F.lit(p[0]).alias("i"), F.lit(p[1]).alias("j"))
+    none = F.array().cast("array<struct<i: int, j: int>>")
+    table = F.array(*(F.array(*map(pair, pairs)) if pairs else none for pairs in CONTOUR_CASES.values()))
+    t = t.select("*", F.posexplode(F.get(table, above[0] + above[1] + above[2] + above[3])).alias("part", "s"))
+
+    def end(side: Column) -> Column:
+        def on(k: int) -> Column:
+            (ax, ay), (bx, by) = _CORNERS[k], _CORNERS[(k + 1) % 4]
+            v0, v1 = F.col("c")[k], F.col("c")[(k + 1) % 4]
+            w = _unit(F.when(F.abs(v1 - v0) < 1e-9, 0.5).otherwise((F.col("level") - v0) / (v1 - v0)))
+            edge = F.struct((F.col("ix") + min(ax, bx)).alias("ix"), (F.col("iy") + min(ay, by)).alias("iy"), F.lit("x" if ay == by else "y").alias("axis"))
+            return F.struct(((F.col("ix") + ax + (bx - ax) * w) * step).alias("x"), ((F.col("iy") + ay + (by - ay) * w) * step).alias("y"), edge.alias("edge"))
+
+        return F.when(side == 0, on(0)).when(side == 1, on(1)).when(side == 2, on(2)).otherwise(on(3))
+
+    share = (F.col("level") - F.col("low")) / (F.col("high") - F.col("low"))
+    return t.select("level_no", share.alias("share"), "ix", "iy", "part", end(F.col("s.i")).alias("a"), end(F.col("s.j")).alias("b"))
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """(level_no, line, seq, x, y): segments of ``contour_segments`` joined to lines over the sides that they share.
+
+    ``line``: the first side of its line; a closed line ends with the point that it began with.
+    """
+    node = lambda p: F.struct("level_no", F.col(f"{p}.edge.ix").alias("ix"), F.col(f"{p}.edge.iy").alias("iy"), F.col(f"{p}.edge.axis").alias("axis"))
+    t = materialize(segments.select(F.struct("level_no", "ix", "iy", "part").alias("id"), node("a").alias("u"), node("b").alias("v"), "a", "b"))
+    points = t.select(F.col("u").alias("n"), "a.x", "a.y").unionByName(t.select(F.col("v").alias("n"), "b.x", "b.y")).groupBy("n").agg(F.min(F.struct("x", "y")).alias("p"))
+    return along(t.select("id", "u", "v")).join(points, "n").select("chain.level_no", F.col("chain").alias("line"), "seq", "p.x", "p.y")
+
+
 def label_zones(mask: DataFrame) -> DataFrame:
     """(ix, iy, zone): connected regions of cells (4 neighbours), named by their smallest cell."""
     key = F.col("iy") * 1_000_000_007 + F.col("ix")
@@ -217,6 +294,46 @@ def zone_summary(zones: DataFrame, size: float) -> DataFrame:
     )
 
 
+def zone_widths(zones: DataFrame) -> DataFrame:
+    """(ix, iy, zone, depth): cells of ``zones`` (ix, iy, zone) with the steps to the nearest cell outside their zone.
+
+    The distance transform of steps along rows and columns: first within each row, then, with what the rows gave, within
+    each column; running minima of both directions, no iteration.
+    """
+    row, column = Window.partitionBy("zone", "iy").orderBy("ix"), Window.partitionBy("zone", "ix").orderBy("iy")
+    t = _runs(zones.select("ix", "iy", "zone"), "ix", row)
+    run = Window.partitionBy("zone", "iy", "_run")
+    t = t.withColumn("g", F.least(F.col("ix") - F.min("ix").over(run), F.max("ix").over(run) - F.col("ix")) + 1).drop("_run")
+    t = _runs(t, "iy", column)
+    run = Window.partitionBy("zone", "ix", "_run")
+    ordered = run.orderBy("iy")
+    before = F.min(F.col("g") - F.col("iy")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + F.col("iy")
+    behind = F.min(F.col("g") + F.col("iy")).over(ordered.rowsBetween(0, Window.unboundedFollowing)) - F.col("iy")
+    rim = F.least(F.col("iy") - F.min("iy").over(run), F.max("iy").over(run) - F.col("iy")) + 1
+    return t.select("ix", "iy", "zone", F.least(before, behind, rim).alias("depth"))
+
+
+def _runs(t: DataFrame, c: str, w: Window) -> DataFrame:
+    """Cells with the number of their run of neighbours, as _run."""
+    return t.withColumn("_new", F.when(F.lag(c).over(w) == F.col(c) - 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w)).drop("_new")
+
+
+def filter_zones(zones: DataFrame, size: float, min_area: float, min_width: float, max_span: float, max_aspect: float, max_area: float) -> DataFrame:
+    """(zone, n_cells, area, width, span, aspect, split): zones of enough area and width that do not touch the border.
+
+    ``width``: of the widest part, as the steps across it; ``span`` and ``aspect`` of the box.  ``split``: larger, longer or
+    more stretched than allowed.  The border is that of all zones' cells.
+    """
+    deep = zone_widths(zones).groupBy("zone").agg(F.max("depth").alias("depth"), F.count("*").alias("n_cells"), *(f(c).alias(f"{n}_{c[1]}") for c in ("ix", "iy") for f, n in ((F.min, "min"), (F.max, "max"))))
+    rim = zones.agg(*(f(c).alias(f"rim_{n}_{c[1]}") for c in ("ix", "iy") for f, n in ((F.min, "min"), (F.max, "max"))))
+    w, h = F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1
+    t = deep.select("zone", "n_cells", (F.col("n_cells") * size * size).alias("area"), ((2 * F.col("depth") - 1) * size).alias("width"), (F.greatest(w, h) * size).alias("span"), (F.greatest(w, h) / F.least(w, h)).alias("aspect"), *(f"{n}_{c}" for n in ("min", "max") for c in "xy"))
+    inner = t.join(F.broadcast(rim)).where(" and ".join(f"{n}_{c} <> rim_{n}_{c}" for n in ("min", "max") for c in "xy"))
+    good = inner.where((F.col("area") >= min_area) & (F.col("width") >= min_width))
+    split = (F.col("area") > max_area) | (F.col("span") > max_span) | (F.col("aspect") > max_aspect)
+    return good.select("zone", "n_cells", "area", "width", "span", "aspect", split.alias("split"))
+
+
 def cost_distance(cells: DataFrame, sources: DataFrame, step_cost: Column, max_rounds: int = 1000) -> DataFrame:
     """(ix, iy, cost): least cost to reach each cell from a source over eight neighbours.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meridion.functions import geometry as g
 from meridion.operators import raster as r
+from meridion.operators import routes
 from meridion.operators import spatial as sp
 from meridion.plans import views as v
 from meridion.plans.registry import query
@@ -103,6 +104,17 @@ def trace_chains(spark, d):
     return t.select(F.col("head.x").alias("hx"), F.col("head.y").alias("hy"), F.col("seq").cast("long").alias("seq"), "ix", "iy", "flow")
 
 
+_SMOOTH = _CHAINS.replace("cells", "surface").replace("0.3::DOUBLE", "0.02::DOUBLE") + """, sm AS (SELECT hx, hy, flow, seq, avg(ix * 20.0::DOUBLE) OVER w AS x, avg(iy * 20.0::DOUBLE) OVER w AS y FROM ch WHERE n >= 2 WINDOW w AS (PARTITION BY hx, hy ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+    ln AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM sm WINDOW w AS (PARTITION BY hx, hy ORDER BY seq)), tl AS (SELECT *, sum(step) OVER (PARTITION BY hx, hy) AS length FROM ln)"""
+
+
+@query("river_lines", "surface", f"{_SMOOTH} SELECT hx, hy, seq, flow, round(x, 3) AS x, round(y, 3) AS y, round(length, 3) AS length FROM tl WHERE length >= 60")
+def river_lines(spark, d):
+    """Rivers of the growing surface as smoothed lines."""
+    t = r.river_lines(r.river_mask(r.flow_accumulation(r.flow_direction(v.surface(spark, d))), 0.02), 20.0, 60.0)
+    return t.select(F.col("head.x").alias("hx"), F.col("head.y").alias("hy"), "seq", "flow", *(F.round(c, 3).alias(c) for c in ("x", "y", "length")))
+
+
 @query("minmax_normalize", "cells", "SELECT ix, iy, round((h - (SELECT min(h) FROM cells)) / (SELECT max(h) - min(h) FROM cells), 4) AS norm FROM cells")
 def minmax_normalize(spark, d):
     return r.normalize(v.cells(spark, d)).select("ix", "iy", r4("norm").alias("norm"))
@@ -208,15 +220,45 @@ def hub_score(spark, d):
     return t.select("ix", "iy", r4(score).alias("score"))
 
 
-@query("contour_segments", "cells", """WITH b AS (SELECT a.ix, a.iy, a.h AS h0, e.h AS h1, x.h AS h2, n.h AS h3 FROM cells a JOIN cells e ON e.ix=a.ix+1 AND e.iy=a.iy JOIN cells x ON x.ix=a.ix+1 AND x.iy=a.iy+1 JOIN cells n ON n.ix=a.ix AND n.iy=a.iy+1),
+@query("contour_hits", "cells", """WITH b AS (SELECT a.ix, a.iy, a.h AS h0, e.h AS h1, x.h AS h2, n.h AS h3 FROM cells a JOIN cells e ON e.ix=a.ix+1 AND e.iy=a.iy JOIN cells x ON x.ix=a.ix+1 AND x.iy=a.iy+1 JOIN cells n ON n.ix=a.ix AND n.iy=a.iy+1),
     l AS (SELECT k AS level_no, (SELECT min(h) FROM cells) + (SELECT max(h) - min(h) FROM cells) * k / 5.0::DOUBLE AS lv FROM (SELECT unnest(range(1, 5)) AS k)),
     e AS (SELECT level_no, ix, iy, e.edge, (lv - e.a) / (e.b - e.a) AS t FROM b, l, LATERAL (VALUES (0, h0, h1), (1, h1, h2), (2, h3, h2), (3, h0, h3)) e(edge, a, b) WHERE (e.a >= lv) <> (e.b >= lv))
     SELECT level_no, ix, iy, edge::BIGINT AS edge, round(t, 4) AS t FROM e""")
-def contour_segments(spark, d):
+def contour_hits(spark, d):
+    """The sides of squares that contours cross."""
     t = r.contours(v.cells(spark, d), 4).select("level_no", "ix", "iy", F.explode("edges").alias("e"))
     return t.select(F.col("level_no").cast("long").alias("level_no"), "ix", "iy", F.col("e.edge").cast("long").alias("edge"), r4("e.t").alias("t"))
 
 
+def _side(k: int) -> str:
+    """The end of a segment on a square's side, in SQL: x, y and the share of the way along it."""
+    (ax, ay), (bx, by) = r._CORNERS[k], r._CORNERS[(k + 1) % 4]
+    v0, v1 = f"h{k}", f"h{(k + 1) % 4}"
+    w = f"least(1.0, greatest(0.0, CASE WHEN abs({v1} - {v0}) < 1e-9 THEN 0.5 ELSE (lv - {v0}) / ({v1} - {v0}) END))"
+    return f"{{'x': (ix + {ax} + {bx - ax} * {w}) * 20.0::DOUBLE, 'y': (iy + {ay} + {by - ay} * {w}) * 20.0::DOUBLE}}"
+
+
+_CASES = ", ".join(f"({case}, {part}, {i}, {j})" for case, pairs in r.CONTOUR_CASES.items() for part, (i, j) in enumerate(pairs))
+_END = lambda c: f"CASE {c} WHEN 0 THEN {_side(0)} WHEN 1 THEN {_side(1)} WHEN 2 THEN {_side(2)} ELSE {_side(3)} END"
+
+
+@query("contour_segments", "surface", f"""WITH b AS (SELECT a.ix, a.iy, a.h AS h0, e.h AS h1, x.h AS h2, n.h AS h3 FROM surface a JOIN surface e ON e.ix=a.ix+1 AND e.iy=a.iy JOIN surface x ON x.ix=a.ix+1 AND x.iy=a.iy+1 JOIN surface n ON n.ix=a.ix AND n.iy=a.iy+1),
+    l AS (SELECT k AS level_no, lo + (hi - lo) * k / 5.0::DOUBLE AS lv, lo, hi FROM (SELECT min(h) AS lo, max(h) AS hi FROM surface), (SELECT unnest(range(1, 5)) AS k)),
+    t(kind, part, i, j) AS (VALUES {_CASES}),
+    g AS (SELECT *, {_END("i")} AS a, {_END("j")} AS z FROM b, l, t WHERE kind = (h0 >= lv)::INT * 8 + (h1 >= lv)::INT * 4 + (h2 >= lv)::INT * 2 + (h3 >= lv)::INT)
+    SELECT level_no, ix, iy, part::BIGINT AS part, round((lv - lo) / (hi - lo), 6) AS share, round(a.x, 3) AS x0, round(a.y, 3) AS y0, round(z.x, 3) AS x1, round(z.y, 3) AS y1 FROM g""")
+def contour_segments(spark, d):
+    t = r.contour_segments(v.surface(spark, d), 4, 20.0)
+    return t.select(F.col("level_no").cast("long").alias("level_no"), "ix", "iy", F.col("part").cast("long").alias("part"), F.round("share", 6).alias("share"), *(F.round(f"{e}.{c}", 3).alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"))
+
+
+@query("contour_lines", "surface")
+def contour_lines(spark, d):
+    """The contours of the whole surface as lines."""
+    t = r.contour_lines(r.contour_segments(v.surface(spark, d), 4, 20.0))
+    return t.select(F.col("level_no").cast("long").alias("level_no"), *(F.col(f"line.{c}").alias(f"line_{c}") for c in ("ix", "iy", "axis")), "seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 _LABEL = """RECURSIVE WITH k AS (SELECT ix, iy, iy * 1000000007 + ix AS k FROM cells WHERE h > 4500),
     e AS (SELECT a.k AS u, b.k AS v FROM k a JOIN k b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
     w(k, z) AS (SELECT k, k FROM k UNION SELECT e.v, w.z FROM w JOIN e ON e.u = w.k), z AS (SELECT k, min(z) AS zone FROM w GROUP BY k)"""
@@ -233,12 +275,18 @@ def label_zones(spark, d):
     return z.join(border, "zone").select("ix", "iy", "zone", "border")
 
 
-@query("filter_zones", "cells", f"""{_LABEL} SELECT zone, count(*) AS n_cells, count(*) * 250000.0::DOUBLE AS area, max(ix) - min(ix) + 1 AS width, max(iy) - min(iy) + 1 AS height FROM k JOIN z USING (k) GROUP BY zone
-    HAVING count(*) >= 2 AND greatest(max(ix) - min(ix) + 1, max(iy) - min(iy) + 1) <= 8 * least(max(ix) - min(ix) + 1, max(iy) - min(iy) + 1)""")
+@query("filter_zones", "cells", f"""{_LABEL}, q AS (SELECT ix, iy, zone FROM k JOIN z USING (k)),
+    r1 AS (SELECT *, ix - row_number() OVER (PARTITION BY zone, iy ORDER BY ix) AS run FROM q),
+    r2 AS (SELECT ix, iy, zone, least(ix - min(ix) OVER w, max(ix) OVER w - ix) + 1 AS g FROM r1 WINDOW w AS (PARTITION BY zone, iy, run)),
+    c1 AS (SELECT *, iy - row_number() OVER (PARTITION BY zone, ix ORDER BY iy) AS run FROM r2),
+    c2 AS (SELECT zone, ix, iy, (SELECT min(o.g + abs(o.iy - c.iy)) FROM c1 o WHERE o.zone = c.zone AND o.ix = c.ix AND o.run = c.run) AS g, least(iy - min(iy) OVER w, max(iy) OVER w - iy) + 1 AS rim FROM c1 c WINDOW w AS (PARTITION BY zone, ix, run)),
+    m AS (SELECT zone, max(least(g, rim)) AS depth, count(*) AS n_cells, min(ix) AS ax, max(ix) AS bx, min(iy) AS ay, max(iy) AS by_ FROM c2 GROUP BY zone),
+    o AS (SELECT min(ix) AS oax, max(ix) AS obx, min(iy) AS oay, max(iy) AS oby FROM q),
+    f AS (SELECT zone, n_cells, n_cells * 250000.0::DOUBLE AS area, (2 * depth - 1) * 500.0::DOUBLE AS width, greatest(bx - ax + 1, by_ - ay + 1) * 500.0::DOUBLE AS span, greatest(bx - ax + 1, by_ - ay + 1) / least(bx - ax + 1, by_ - ay + 1)::DOUBLE AS aspect FROM m, o WHERE ax <> oax AND bx <> obx AND ay <> oay AND by_ <> oby)
+    SELECT zone, n_cells, area, width, span, round(aspect, 6) AS aspect, area > 1000000 OR span > 1400 OR aspect > 2.5 AS split FROM f WHERE area >= 250000 AND width >= 500""")
 def filter_zones(spark, d):
-    z = r.zone_summary(r.label_zones(v.cells(spark, d).where("h > 4500")), float(S))
-    z = z.select("zone", "n_cells", "area", (F.col("max_x") - F.col("min_x") + 1).alias("width"), (F.col("max_y") - F.col("min_y") + 1).alias("height"))
-    return z.where((F.col("n_cells") >= 2) & (F.greatest("width", "height") <= 8 * F.least("width", "height")))
+    z = r.label_zones(v.cells(spark, d).where("h > 4500"))
+    return r.filter_zones(z, float(S), 250_000.0, 500.0, 1400.0, 2.5, 1_000_000.0).withColumn("aspect", F.round("aspect", 6))
 
 
 _COST = f"""RECURSIVE WITH c AS (SELECT * FROM cells), st AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, (CASE WHEN o.dx <> 0 AND o.dy <> 0 THEN sqrt(2.0) ELSE 1.0 END) * (1 + abs(b.h - a.h) / 5000.0::DOUBLE) AS w
@@ -253,6 +301,58 @@ def cost_distance(spark, d):
     return r.cost_distance(c, c.orderBy("iy", "ix").limit(1), 1 + F.abs(F.col("h2") - F.col("h")) / 5000.0).select("ix", "iy", r4("cost").alias("cost"))
 
 
+_DEGREE = "minor_local", "arterial"
+_FACTORS = [routes.ROUTE_FACTORS[k] for k in _DEGREE]
+
+
+def _route_cells(spark, d):
+    """The open cells of the surface for two road classes: field, ix, iy, rate, toll."""
+    s = v.surface(spark, d)
+    steep = r.slope(s.select("ix", "iy", "h"), 20.0).select("ix", "iy", "h", "slope")
+    top = steep.agg(F.max("slope").alias("top"))
+    t = steep.join(s.where("open").select("ix", "iy"), ["ix", "iy"]).join(F.broadcast(top)).withColumn("steep", F.col("slope") / (F.col("top") + 1e-9))
+    kinds = F.array(*(F.struct(F.lit(k).cast("long").alias("field"), routes.route_rate(F.col("steep"), a).alias("rate"), F.when(F.col("h") < 30, b).otherwise(0.0).alias("toll")) for k, (a, b) in enumerate(_FACTORS)))
+    return t.select("ix", "iy", F.explode(kinds).alias("k")).select("k.field", "ix", "iy", "k.rate", "k.toll")
+
+
+def _route_sources(spark, d):
+    """The first open cell of the surface for the one class, the last for the other."""
+    cell = F.struct("iy", "ix")
+    t = v.surface(spark, d).where("open").agg(F.array(F.struct(F.lit(0).cast("long").alias("field"), F.min(cell).alias("c")), F.struct(F.lit(1).cast("long").alias("field"), F.max(cell).alias("c"))).alias("s"))
+    return t.select(F.explode("s").alias("s")).select("s.field", "s.c.ix", "s.c.iy")
+
+
+_ROUTES = f"""RECURSIVE WITH g AS (SELECT ix, iy, h, open, CASE WHEN e IS NOT NULL AND w IS NOT NULL THEN (e - w) / 40.0::DOUBLE WHEN e IS NOT NULL THEN (e - h) / 20.0::DOUBLE WHEN w IS NOT NULL THEN (h - w) / 20.0::DOUBLE ELSE 0.0 END AS gx,
+      CASE WHEN s IS NOT NULL AND n IS NOT NULL THEN (s - n) / 40.0::DOUBLE WHEN s IS NOT NULL THEN (s - h) / 20.0::DOUBLE WHEN n IS NOT NULL THEN (h - n) / 20.0::DOUBLE ELSE 0.0 END AS gy
+      FROM (SELECT *, lead(h) OVER a AS e, lag(h) OVER a AS w, lead(h) OVER b AS s, lag(h) OVER b AS n FROM surface WINDOW a AS (PARTITION BY iy ORDER BY ix), b AS (PARTITION BY ix ORDER BY iy))),
+    p AS MATERIALIZED (SELECT *, sqrt(gx * gx + gy * gy) / ((SELECT max(sqrt(gx * gx + gy * gy)) FROM g) + 1e-9::DOUBLE) AS steep FROM g WHERE open),
+    c AS MATERIALIZED (SELECT field, ix, iy, 1.0::DOUBLE + factor * (steep * steep) AS rate, CASE WHEN h < 30 THEN water ELSE 0.0::DOUBLE END AS toll FROM p, (VALUES {", ".join(f"({k}::BIGINT, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(_FACTORS))}) k(field, factor, water)),
+    s AS (SELECT 0::BIGINT AS field, m.ix, m.iy FROM (SELECT min({{'iy': iy, 'ix': ix}}) AS m FROM p) UNION ALL SELECT 1, m.ix, m.iy FROM (SELECT max({{'iy': iy, 'ix': ix}}) AS m FROM p)),
+    o AS (SELECT dx, dy, CASE WHEN dx <> 0 AND dy <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0 END AS len FROM {_OFF}),
+    r(field, ix, iy, cost) USING KEY (field, ix, iy) AS (SELECT field, ix, iy, 0.0::DOUBLE FROM s UNION
+      SELECT n.field, n.ix, n.iy, n.cost FROM (SELECT c.field, c.ix, c.iy, min(r.cost + (o.len * c.rate + c.toll)) AS cost FROM r, o JOIN c ON c.field = r.field AND c.ix = r.ix + o.dx AND c.iy = r.iy + o.dy GROUP BY ALL) n
+      LEFT JOIN recurring.r old ON old.field = n.field AND old.ix = n.ix AND old.iy = n.iy WHERE old.cost IS NULL OR n.cost < old.cost)"""
+
+
+@query("route_costs", "surface", f"{_ROUTES} SELECT field, ix, iy, round(cost, 4) AS cost FROM r")
+def route_costs(spark, d):
+    return routes.route_costs(_route_cells(spark, d), _route_sources(spark, d)).select("field", "ix", "iy", r4("cost").alias("cost"))
+
+
+@query("route_paths", "surface", f"""{_ROUTES}, b AS MATERIALIZED (SELECT field, ix, iy, from_x, from_y FROM (SELECT c.field, c.ix, c.iy, r.ix AS from_x, r.iy AS from_y, row_number() OVER (PARTITION BY c.field, c.ix, c.iy ORDER BY r.cost + (o.len * c.rate + c.toll), r.iy, r.ix) AS k
+      FROM r, o JOIN c ON c.field = r.field AND c.ix = r.ix + o.dx AND c.iy = r.iy + o.dy) WHERE k = 1 AND (field, ix, iy) NOT IN (SELECT field, ix, iy FROM s)),
+    q AS (SELECT s_suppkey * 2 + field AS path, field, (s_suppkey * 7919) % w AS ix, (s_suppkey * 104729) % w AS iy FROM supplier, (SELECT floor(sqrt(count(*) * 4))::BIGINT AS w FROM orders), (VALUES (0::BIGINT), (1)) f(field)),
+    t(path, n, field, ix, iy) AS (SELECT path, 0::BIGINT, field, ix, iy FROM q WHERE (field, ix, iy) IN (SELECT field, ix, iy FROM r) UNION ALL SELECT path, n + 1, t.field, b.from_x, b.from_y FROM t JOIN b ON b.field = t.field AND b.ix = t.ix AND b.iy = t.iy)
+    SELECT path, max(n) OVER (PARTITION BY path) - n AS seq, t.ix, t.iy, round(cost, 4) AS cost FROM t JOIN r USING (field, ix, iy)""")
+def route_paths(spark, d):
+    """The ways to every supplier's cell for two road classes."""
+    width = v.table(spark, d, "orders").agg(F.floor(F.sqrt(F.count("*") * 4)).cast("long").alias("w"))
+    k = F.col("s_suppkey").cast("long")
+    goals = v.table(spark, d, "supplier").join(F.broadcast(width)).select(k.alias("k"), (k * 7919 % F.col("w")).alias("ix"), (k * 104729 % F.col("w")).alias("iy"), F.explode(F.array(*(F.lit(f).cast("long") for f in (0, 1)))).alias("field"))
+    t = routes.route_paths(_route_cells(spark, d), _route_sources(spark, d), goals.select((F.col("k") * 2 + F.col("field")).alias("path"), "field", "ix", "iy"))
+    return t.select("path", "seq", "ix", "iy", r4("cost").alias("cost"))
+
+
 @query("structure_tensor", "cells seg", """WITH s AS (SELECT floor((x0+x1)/2/500)::BIGINT AS ix, floor((y0+y1)/2/500)::BIGINT AS iy, (x1-x0) AS dx, (y1-y0) AS dy FROM seg),
     t AS (SELECT ix, iy, sum(dx*dx) AS xx, sum(dx*dy) AS xy, sum(dy*dy) AS yy FROM s GROUP BY ALL)
     SELECT ix, iy, round(CASE WHEN degrees(atan2(xy, (xx-yy)/2)/2) < 0 THEN degrees(atan2(xy, (xx-yy)/2)/2) + 180 ELSE degrees(atan2(xy, (xx-yy)/2)/2) END, 4) AS angle, round(2*sqrt((xx-yy)/2*(xx-yy)/2 + xy*xy)/(xx+yy), 4) AS anisotropy FROM t JOIN cells USING (ix, iy)""")

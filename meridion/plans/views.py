@@ -28,6 +28,17 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return bin_points(pts(spark, d), CELL).select("ix", "iy", "h")
 
 
+def surface(spark: SparkSession, d: str) -> DataFrame:
+    """dense raster, four cells an order, as wide as high: ix, iy, h, open; grows with the tables."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    width = o.agg(F.floor(F.sqrt(F.count("*") * 4)).cast("long").alias("w"))
+    t = o.select(F.col("o_orderkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select("o_orderkey", (F.col("o_orderkey") * 4 + F.col("j")).alias("i"), "j")
+    t = t.join(F.broadcast(width), F.col("i") < F.col("w") * F.col("w")).select("o_orderkey", "j", (F.col("i") % F.col("w")).alias("ix"), F.expr("i div w").alias("iy"))
+    ridge = lambda c, n: F.abs(c % (2 * n) - n)
+    h = 3 * ridge(F.col("ix") * 2 + F.col("iy"), 97) + 2 * ridge(F.abs(F.col("ix") - F.col("iy") * 3), 61) + (F.col("o_orderkey") * 7919) % 13
+    return t.select("ix", "iy", h.cast("double").alias("h"), ((F.col("o_orderkey") * 31 + F.col("j") * 17) % 97 >= 12).alias("open"))
+
+
 def sites(spark: SparkSession, d: str) -> DataFrame:
     q = (F.pmod(F.col("s_acctbal"), F.lit(100.0)) / 100).alias("quality")
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), *_hashed("s_suppkey"), (F.col("s_suppkey") % 4).alias("kind"), F.round(q, 4).alias("quality"), F.lit(700.0).alias("radius"))
@@ -107,6 +118,8 @@ def runlog(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "pts": "SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y, c_acctbal AS v FROM customer",
     "cells": "SELECT floor(x / 500)::BIGINT AS ix, floor(y / 500)::BIGINT AS iy, round(avg(v), 4) AS h FROM pts GROUP BY ALL",
+    "surface": """SELECT ix, iy, (3 * abs((ix * 2 + iy) % 194 - 97) + 2 * abs(abs(ix - iy * 3) % 122 - 61) + (k * 7919) % 13)::DOUBLE AS h, (k * 31 + j * 17) % 97 >= 12 AS open
+        FROM (SELECT k, j, (k * 4 + j) % w AS ix, (k * 4 + j) // w AS iy FROM (SELECT o_orderkey AS k, unnest(range(4)) AS j FROM orders), (SELECT floor(sqrt(count(*) * 4))::BIGINT AS w FROM orders) WHERE k * 4 + j < w * w)""",
     "sites": "SELECT s_suppkey AS id, ((s_suppkey * 7919) % 10007)::DOUBLE AS x, ((s_suppkey * 104729) % 10009)::DOUBLE AS y, s_suppkey % 4 AS kind, round(((s_acctbal % 100) + 100) % 100 / 100, 4) AS quality, 700.0::DOUBLE AS radius FROM supplier",
     "hubs": "SELECT n_nationkey::BIGINT AS id, ((n_nationkey::BIGINT * 7919) % 10007)::DOUBLE AS x, ((n_nationkey::BIGINT * 104729) % 10009)::DOUBLE AS y, (CASE WHEN n_nationkey = 0 THEN 1 WHEN n_nationkey <= 4 THEN 2 ELSE 3 END)::BIGINT AS tier FROM nation",
     "edges": """SELECT u * 100 + v AS id, u, v, CASE (u + v) % 3 WHEN 0 THEN 'arterial' WHEN 1 THEN 'major_local' ELSE 'minor_local' END AS road_class,
