@@ -42,11 +42,12 @@ def boxed(segments: DataFrame, prefix: str) -> DataFrame:
     return t.select(*(F.col(c).alias(prefix + c) for c in t.columns))
 
 
-def crossing_join(segments: DataFrame, size: float) -> DataFrame:
-    """(a, b, x, y): pairs of segments that cross in a point, without pairs that share an end."""
+def crossing_join(segments: DataFrame, size: float, sharing: bool = False) -> DataFrame:
+    """(a, b, x, y): pairs of segments that cross in a point, without pairs that share an end, unless ``sharing``."""
     pairs = bbox_join(boxed(segments, "a_"), boxed(segments, "b_"), size).where("a_id < b_id")
     same = lambda i, j: (F.col(f"a_x{i}") == F.col(f"b_x{j}")) & (F.col(f"a_y{i}") == F.col(f"b_y{j}"))
-    pairs = pairs.where(~(same(0, 0) | same(0, 1) | same(1, 0) | same(1, 1)))
+    if not sharing:
+        pairs = pairs.where(~(same(0, 0) | same(0, 1) | same(1, 0) | same(1, 1)))
     crosses, x, y = g.crossing(("a_x0", "a_y0", "a_x1", "a_y1"), ("b_x0", "b_y0", "b_x1", "b_y1"))
     return pairs.where(crosses).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), x.alias("x"), y.alias("y"))
 

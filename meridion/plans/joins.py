@@ -262,24 +262,83 @@ def _streets(spark, d):
 def split_at_points(spark, d):
     from meridion.operators import topology
 
-    e = _streets(spark, d)
-    t = topology.split_at_points(e, topology.crossing_points(e, _TOLERANCE), _TOLERANCE)
-    return t.select("id", "parent", "piece", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")), "road_class", F.size("flags").alias("n_flags"))
+    nodes, e = topology.straight_network(_streets(spark, d))
+    t = topology.split_at_points(nodes, e, topology.crossing_points(e, _TOLERANCE), _TOLERANCE)[1]
+    end = lambda k: (F.element_at("path", -1) if k else F.element_at("path", 1))
+    return t.select("id", "parent", "piece", *(F.round(end(k)[c], 3).alias(f"{c}{k}") for k in (0, 1) for c in "xy"), "road_class", F.size("flags").alias("n_flags"))
+
+
+def _bent_streets(spark, d):
+    """Streets of three straight parts that share nodes: their ends lie on a lattice."""
+    k = F.col("id")
+    kind = F.when(k % 3 == 0, "arterial").when(k % 3 == 1, "major_local").otherwise("minor_local")
+    flags = F.when(k % 4 == 0, F.array(F.lit("culdesac"))).otherwise(F.array().cast("array<string>"))
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0 = F.floor(F.col("x0") / 100) * 100, F.floor(F.col("y0") / 100) * 100
+    x1, y1 = x0 + (k * 7 % 3 - 1) * 100, y0 + (k * 11 % 2 + 1) * 100
+    path = F.array(at(x0, y0), at(x0 + 20 + k % 17, y0 + 30), at(x0 - 10 + k % 13, y0 + 60 + k % 7), at(x1, y1))
+    name = lambda x, y: F.concat_ws(":", x.cast("long").cast("string"), y.cast("long").cast("string"))
+    edges = _segs(spark, d).select("id", name(x0, y0).alias("u"), name(x1, y1).alias("v"), path.alias("path"), kind.alias("road_class"), flags.alias("flags"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("path")[0].alias("p")), F.struct(F.col("v").alias("id"), F.col("path")[3].alias("p")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.min("e.p").alias("p")).select("id", "p.x", "p.y"), edges
+
+
+_BENT = """bs AS (SELECT id, x, y, x + (id * 7 % 3 - 1) * 100 AS xe, y + (id * 11 % 2 + 1) * 100 AS ye FROM (SELECT id, floor(x0/100)*100 AS x, floor(y0/100)*100 AS y FROM seg)),
+    sg AS (SELECT id, 0 AS seg, x AS x0, y AS y0, x + 20 + id % 17 AS x1, y + 30 AS y1 FROM bs UNION ALL SELECT id, 1, x + 20 + id % 17, y + 30, x - 10 + id % 13, y + 60 + id % 7 FROM bs UNION ALL SELECT id, 2, x - 10 + id % 13, y + 60 + id % 7, xe, ye FROM bs),
+    sl AS (SELECT *, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS len, sum(sqrt(pow(x1-x0,2)+pow(y1-y0,2))) OVER (PARTITION BY id ORDER BY seg) - sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS start FROM sg)"""
+
+
+@query("split_polylines", "seg", f"""WITH {_BENT}, c AS (SELECT *, floor(least(x0,x1)/200)::BIGINT AS bx, floor(least(y0,y1)/200)::BIGINT AS by_ FROM sl),
+    f AS (SELECT DISTINCT a.id AS ia, a.seg AS sa, b.id AS ib, b.seg AS sb FROM (SELECT *, unnest([bx-1, bx, bx+1]) AS gx FROM c) a JOIN c b ON b.bx = a.gx AND b.by_ BETWEEN a.by_ - 1 AND a.by_ + 1 AND a.id < b.id),
+    p AS (SELECT a.id AS ia, b.id AS ib, a.x0 AS ax, a.y0 AS ay, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0 AS cx, b.y0 AS cy, b.x1-b.x0 AS sx, b.y1-b.y0 AS sy, a.start AS a0, a.len AS al, b.start AS b0, b.len AS bl FROM f JOIN sl a ON a.id = f.ia AND a.seg = f.sa JOIN sl b ON b.id = f.ib AND b.seg = f.sb),
+    t AS (SELECT *, rx*sy-ry*sx AS den, ((cx-ax)*sy-(cy-ay)*sx)/nullif(rx*sy-ry*sx,0) AS t, ((cx-ax)*ry-(cy-ay)*rx)/nullif(rx*sy-ry*sx,0) AS u FROM p),
+    h AS (SELECT *, ax+t*rx AS x, ay+t*ry AS y FROM t WHERE abs(den) > 1e-6 AND t BETWEEN -1e-6 AND 1+1e-6 AND u BETWEEN -1e-6 AND 1+1e-6),
+    k AS (SELECT h.* FROM h JOIN bs a ON a.id = ia JOIN bs b ON b.id = ib WHERE least(sqrt(pow(h.x-a.x,2)+pow(h.y-a.y,2)), sqrt(pow(h.x-a.xe,2)+pow(h.y-a.ye,2)), sqrt(pow(h.x-b.x,2)+pow(h.y-b.y,2)), sqrt(pow(h.x-b.xe,2)+pow(h.y-b.ye,2))) > 1.5),
+    m AS (SELECT ia AS id, a0 + least(1, greatest(0, t)) * al AS along FROM k UNION ALL SELECT ib, b0 + least(1, greatest(0, u)) * bl FROM k),
+    q AS (SELECT id, along FROM (SELECT *, along - lag(along) OVER (PARTITION BY id ORDER BY along) AS gap FROM m) WHERE gap IS NULL OR gap > {_TOLERANCE}),
+    e AS (SELECT id, along AS a, lead(along) OVER w AS z, row_number() OVER w - 1 AS piece FROM (SELECT id, along FROM q UNION ALL SELECT id, 0.0 FROM bs) WINDOW w AS (PARTITION BY id ORDER BY along)),
+    l AS (SELECT id, start + len AS total FROM sl WHERE seg = 2)
+    SELECT id AS parent, piece, round(coalesce(z, total) - a, 3) AS length_m, 2 + (SELECT count(*) FROM sl WHERE sl.id = e.id AND seg > 0 AND start > a + 1e-5 AND start < coalesce(z, total) - 1e-5) AS n_points FROM e JOIN l USING (id)""")
+def split_polylines(spark, d):
+    """Pieces of bent streets at their crossings: lengths and numbers of points."""
+    from meridion.operators import topology
+
+    nodes, e = _bent_streets(spark, d)
+    t = topology.split_at_points(nodes, e, topology.crossing_points(e, _TOLERANCE), _TOLERANCE)[1]
+    return t.select("parent", "piece", F.round("length_m", 3).alias("length_m"), F.size("path").cast("long").alias("n_points"))
+
+
+@query("snap_nodes", "seg", """RECURSIVE WITH ed AS (SELECT id, id % 3 = 0 AS main, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank, x0, y0, x1, y1 FROM seg),
+    en AS (SELECT (x0 * 1000)::BIGINT || ':' || (y0 * 1000)::BIGINT AS id, x0 AS x, y0 AS y, main, rank FROM ed UNION ALL SELECT (x1 * 1000)::BIGINT || ':' || (y1 * 1000)::BIGINT, x1, y1, main, rank FROM ed),
+    n AS (SELECT id, min(x) AS x, min(y) AS y, min(rank) AS rank, NOT bool_or(main) AS free FROM en GROUP BY id),
+    c AS (SELECT *, floor(x/25)::BIGINT AS cx, floor(y/25)::BIGINT AS cy FROM n),
+    p AS (SELECT a.id, b.id AS other, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dist, b.rank, b.free, b.x, b.y FROM (SELECT *, unnest([cx-1, cx, cx+1]) AS gx FROM c WHERE free) a JOIN c b ON b.cx = a.gx AND b.cy BETWEEN a.cy - 1 AND a.cy + 1 AND a.id <> b.id WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 25),
+    w(id, m) AS (SELECT id, id FROM n WHERE free UNION SELECT p.other, w.m FROM w JOIN p ON p.id = w.id AND p.free),
+    k AS (SELECT id, min(m) AS cluster FROM w GROUP BY id),
+    a AS (SELECT cluster, arg_min(other, (dist, rank, other)) AS anchor FROM p JOIN k USING (id) WHERE NOT free GROUP BY cluster),
+    b AS (SELECT cluster, arg_min(id, (rank, id)) AS best FROM k JOIN n USING (id) GROUP BY cluster)
+    SELECT id, coalesce(anchor, best) AS moves_to FROM k JOIN b USING (cluster) LEFT JOIN a USING (cluster) WHERE id <> coalesce(anchor, best)""")
+def snap_nodes(spark, d):
+    """The nodes of the streets that become one with another, within 25 m."""
+    from meridion.operators import topology
+
+    moves = topology.snap_nodes(*topology.straight_network(_streets(spark, d)), 25.0)[2]
+    return moves.select("id", F.col("to").alias("moves_to"))
 
 
 def _cleaned(spark, d):
     from meridion.operators import topology
 
-    return topology.topology_cleanup(_streets(spark, d), 4.0, 10.0, _TOLERANCE, 60.0)
+    return topology.topology_cleanup(*_bent_streets(spark, d), 4.0, 10.0, _TOLERANCE, 60.0)
 
 
 @query("topology_cleanup", "")
 def topology_cleanup(spark, d):
     """The edges that are left after snapping, junctions, crossings and pruning."""
-    return _cleaned(spark, d)[0].select("id", "parent", "piece", "u", "v", "road_class", F.round("length_m", 3).alias("length_m"))
+    return _cleaned(spark, d)[1].select("id", "parent", "piece", "u", "v", "road_class", F.round("length_m", 3).alias("length_m"), F.size("path").alias("n_points"))
 
 
 @query("topology_counts", "")
 def topology_counts(spark, d):
     """What each step of the cleaning did."""
-    return _cleaned(spark, d)[1]
+    return _cleaned(spark, d)[2]

@@ -174,15 +174,25 @@ def _brute_cleanup(edges, snap, reach, tolerance, shortest):
     """The same steps over plain lists: edges as {id: [x0, y0, x1, y1]} with class and flags by id."""
     from math import dist
 
-    nodes = sorted({(e[k], e[k + 1]) for e in edges.values() for k in (0, 2)})
-    to = {n: min(m for m in nodes if dist(n, m) <= snap) for n in nodes}
-    snapped, moves = {}, 0
-    for i, (a, b, c, d) in edges.items():
-        p, q = to[a, b], to[c, d]
-        if p == q:
-            p, q = (a, b), (c, d)
-        moves += (p != (a, b)) + (q != (c, d))
-        snapped[i] = (*p, *q)
+    main = {(e[k], e[k + 1]) for i, e in edges.items() for k in (0, 2) if i % 3 == 0}
+    rank = {}
+    for i, e in edges.items():
+        for k in (0, 2):
+            rank[e[k], e[k + 1]] = min(i % 3, rank.get((e[k], e[k + 1]), 3))
+    name = lambda n: f"{round(n[0] * 1000)}:{round(n[1] * 1000)}"
+    to, left = {n: n for n in main}, set(rank) - main
+    while left:
+        cluster, new = set(), {left.pop()}
+        while new:
+            cluster |= new
+            new = {m for m in left if any(dist(m, n) <= snap for n in new)}
+            left -= new
+        near = [(dist(n, m), rank[m], name(m), m) for n in cluster for m in main if dist(n, m) <= snap]
+        best = min(near)[3] if near else min(cluster, key=lambda n: (rank[n], name(n)))
+        to |= {n: best for n in cluster}
+    moves = sum(m != n for n, m in to.items())
+    snapped = {i: (*to[a, b], *to[c, d]) for i, (a, b, c, d) in edges.items() if to[a, b] != to[c, d]}
+    collapsed = len(edges) - len(snapped)
     key = lambda x, y: f"{round(x * 1000)}:{round(y * 1000)}"
     degree = Counter(key(*e[k : k + 2]) for e in snapped.values() for k in (0, 2))
 
@@ -197,7 +207,7 @@ def _brute_cleanup(edges, snap, reach, tolerance, shortest):
         for k in (0, 2):
             p = e[k : k + 2]
             found = [(dist(p, f), j, f) for j, o in snapped.items() if j != i and dist(p, f := foot(p, o)) <= reach and clear(f, o)]
-            if degree[key(*p)] == 1 and found:
+            if degree[key(*p)] == 1 and i % 3 and found:
                 _, j, f = min(found)
                 joined[i][k : k + 2] = f
                 cuts[j].append(f)
@@ -223,12 +233,12 @@ def _brute_cleanup(edges, snap, reach, tolerance, shortest):
             pieces[str(i) if len(ends) == 2 else f"{i}{'-cul' if i % 4 == 0 else ''}-s{k}"] = (i, key(*p), key(*q), dist(p, q))
     degree = Counter(n for _, u, v, _ in pieces.values() for n in (u, v))
     gone = {k for k, (i, u, v, n) in pieces.items() if 1 in (degree[u], degree[v]) and i % 3 and i % 4 and n < shortest and not (i % 3 == 2 and n >= 25)}
-    counts = {"snapped": moves, "t_junctions": junctions, "crossings": crossings, "pieces": len(pieces), "pruned": len(gone)}
+    counts = {"snapped": moves, "collapsed": collapsed, "t_junctions": junctions, "crossings": crossings, "pieces": len(pieces), "pruned": len(gone)}
     return {k: (i, u, v, round(n, 3)) for k, (i, u, v, n) in pieces.items() if k not in gone}, counts
 
 
 def test_topology_cleanup_equals_brute_force(spark):
-    from meridion.operators.topology import topology_cleanup
+    from meridion.operators.topology import straight_network, topology_cleanup
 
     rng = random.Random(4)
     at = lambda: float(rng.randrange(600))
@@ -236,14 +246,59 @@ def test_topology_cleanup_equals_brute_force(spark):
     for e in edges.values():
         e[2:] = [e[0] + rng.randrange(-110, 111), e[1] + rng.randrange(10, 111)]
     edges[130], edges[131] = [10.0, 10.0, 90.0, 10.0], [50.0, 40.0, 50.0, 13.0]  # an end three metres from a street
+    edges[133] = [300.0, 900.0, 303.0, 900.0]  # shorter than the radius
     kinds = {0: "arterial", 1: "major_local", 2: "minor_local"}
     df = spark.createDataFrame([(i, *e, kinds[i % 3], ["culdesac"] if i % 4 == 0 else []) for i, e in edges.items()], "id long, x0 double, y0 double, x1 double, y1 double, road_class string, flags array<string>")
-    kept, counts = topology_cleanup(df, 6.0, 9.0, 0.6, 60.0)
+    nodes, kept, counts = topology_cleanup(*straight_network(df), 6.0, 9.0, 0.6, 60.0)
     want, steps = _brute_cleanup(edges, 6.0, 9.0, 0.6, 60.0)
     assert {r.step: r.n for r in counts.collect()} == steps and all(steps.values())
-    assert {r.id: (r.parent, r.u, r.v, round(r.length_m, 3)) for r in kept.collect()} == want
-    none = topology_cleanup(df.limit(0), 6.0, 9.0, 0.6, 60.0)
-    assert none[0].count() == 0 and {r.n for r in none[1].collect()} == {0}
+    place = {n.id: f"{round(n.x * 1000)}:{round(n.y * 1000)}" for n in nodes.collect()}
+    assert {r.id: (r.parent, place[r.u], place[r.v], round(r.length_m, 3)) for r in kept.collect()} == want
+    none = topology_cleanup(*straight_network(df.limit(0)), 6.0, 9.0, 0.6, 60.0)
+    assert none[1].count() == 0 and {r.n for r in none[2].collect()} == {0}
+
+
+def test_snapping_joins_clusters_once_and_tears_nothing_off(spark):
+    from meridion.operators.topology import snap_nodes
+
+    def snapped(xs, edges, radius, kinds=None):
+        nodes = spark.createDataFrame([(k, float(x), 0.0) for k, x in enumerate(xs)], "id long, x double, y double")
+        path = lambda u, v: [(float(xs[u]), 0.0), (float(xs[u] + xs[v]) / 2, 50.0), (float(xs[v]), 0.0)] if abs(xs[u] - xs[v]) > radius else [(float(xs[u]), 0.0), (float(xs[v]), 0.0)]
+        rows = [(f"e{k}", u, v, path(u, v), (kinds or {}).get(k, "minor_local"), []) for k, (u, v) in enumerate(edges)]
+        e = spark.createDataFrame(rows, "id string, u long, v long, path array<struct<x: double, y: double>>, road_class string, flags array<string>")
+        first = snap_nodes(nodes, e, radius)
+        assert snap_nodes(first[0], first[1], radius)[2].isEmpty()
+        return {n.id: n.x for n in first[0].collect()}, {x.id: (x.u, x.v, x.path[0].x, x.path[-1].x) for x in first[1].collect()}, first[3].count()
+
+    # steps of three metres are one cluster: all of it meets at one node
+    assert snapped([0, 3, 6, 9, 100], [(0, 4), (1, 4), (2, 4), (3, 4)], 4.0) == ({0: 0.0, 4: 100.0}, {f"e{k}": (0, 4, 0.0, 100.0) for k in range(4)}, 0)
+    # an edge within the cluster collapses, and its neighbours still meet
+    assert snapped([0, 3, 3.5, 200], [(0, 3), (1, 2), (2, 3)], 4.0) == ({0: 0.0, 3: 200.0}, {"e0": (0, 3, 0.0, 200.0), "e2": (0, 3, 0.0, 200.0)}, 1)
+    # arterials stay where they are, and draw others to the nearest of them
+    found = snapped([0, 3, 5, 500, 600], [(0, 3), (1, 4), (2, 3)], 4.0, {0: "arterial", 2: "arterial"})
+    assert found == ({0: 0.0, 2: 5.0, 3: 500.0, 4: 600.0}, {"e0": (0, 3, 0.0, 500.0), "e1": (2, 4, 5.0, 600.0), "e2": (2, 3, 5.0, 500.0)}, 0)
+
+
+def test_pieces_of_polylines_keep_their_points(spark):
+    from meridion.operators.topology import crossing_points, path_length, split_at_points
+
+    lines = {"a": [(0, 0), (40, 10), (80, 0), (120, 10)], "b": [(20, -30), (20, 40)], "c": [(40, -30), (40, 10), (40, 60)], "d": [(80, 40), (100, -20), (110, 40)], "e": [(300, 0), (400, 0)]}
+    nodes = spark.createDataFrame([(f"{k}{n}", float(p[i][0]), float(p[i][1])) for k, p in lines.items() for n, i in ((0, 0), (1, -1))], "id string, x double, y double")
+    rows = [(k, f"{k}0", f"{k}1", [(float(x), float(y)) for x, y in p], ["culdesac"] if k == "b" else [], k.upper()) for k, p in lines.items()]
+    e = spark.createDataFrame(rows, "id string, u string, v string, path array<struct<x: double, y: double>>, flags array<string>, label string")
+    new, pieces = split_at_points(nodes, e, crossing_points(e, 0.6), 0.6)
+    got = {p.id: p for p in pieces.withColumn("measured", path_length(F.col("path"))).collect()}
+    assert set(got) == {"a-s0", "a-s1", "a-s2", "a-s3", "a-s4", "b-cul-s0", "b-cul-s1", "c-s0", "c-s1", "d-s0", "d-s1", "d-s2", "e"}
+    assert all(abs(p.length_m - p.measured) < 1e-9 and p.label == p.parent.upper() for p in got.values())
+    for k, p in lines.items():
+        mine = sorted((x for x in got.values() if x.parent == k), key=lambda x: x.piece)
+        total = sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(p, p[1:]))
+        assert abs(sum(x.length_m for x in mine) - total) < 1e-9
+        assert (mine[0].u, mine[-1].v) == (f"{k}0", f"{k}1") and all(x.v == y.u for x, y in zip(mine, mine[1:]))
+        assert set(p) <= {(q.x, q.y) for x in mine for q in x.path}
+    assert got["a-s1"].v == got["c-s0"].v and got["a-s0"].v == got["b-cul-s0"].v  # crossings are shared nodes
+    place = {n.id: (n.x, n.y) for n in new.collect()}
+    assert all(place[x.u] == tuple(x.path[0]) and place[x.v] == tuple(x.path[-1]) for x in got.values())
 
 
 def test_parallel_segments_do_not_cross(spark):
