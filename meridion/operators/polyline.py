@@ -75,12 +75,38 @@ def resample(verts: DataFrame, spacing: float) -> DataFrame:
     return t.select("line_id", "k", (F.col("x") + w * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + w * (F.col("y1") - F.col("y"))).alias("y"))
 
 
+# Fixed values, in metres: a last piece that is shorter goes with the one before it, or goes altogether.
+MERGED_TAIL, DROPPED_TAIL = 14.0, 8.0
+
+
 def chunks(verts: DataFrame, most: float) -> DataFrame:
-    """(line_id, chunk, length): lines cut into pieces of at most ``most``; the last is what is left."""
-    t = cumulative(verts).groupBy("line_id").agg(F.max("cum").alias("total"))
-    n = F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("long")
-    t = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return t.select("line_id", "chunk", F.least(F.lit(float(most)), F.col("total") - F.col("chunk") * most).alias("length"))
+    """(line_id, chunk, seq, x, y): lines cut by length into pieces of ``most``, with the points where they are cut.
+
+    What is left at the end is a piece; under 14 m it belongs to the piece before it, and under 8 m it is dropped.  A line that
+    is not longer than ``most`` is one piece, whatever its length, and so is every line if ``most`` is under 8 m.  Points
+    that repeat the one before them are left out; a point where a cut falls is that cut.
+    """
+    spans = _spans(verts)
+    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / most)) if most >= DROPPED_TAIL else F.lit(1).cast("long")
+    tail = F.col("total") - (F.col("n") - 1) * most
+    t = spans.withColumn("n", n).withColumn("dropped", (F.col("n") > 1) & (tail < DROPPED_TAIL)).withColumn("merged", (F.col("n") > 1) & ~F.col("dropped") & (tail < MERGED_TAIL))
+    shared = ("line_id", "n", "dropped", "merged")
+    first = F.floor(F.col("cum") / most).cast("long") + 1
+    # Cuts behind the start of a segment up to its end; the next segment has those at its own start.
+    cuts = t.withColumn("lo", first).withColumn("hi", F.least(F.floor(F.col("cum1") / most).cast("long"), F.col("n") - 1)).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    w = (F.col("k") * most - F.col("cum")) / (F.col("cum1") - F.col("cum"))
+    cuts = cuts.select(*shared, (F.col("k") * most).alias("at"), (F.col("x") + w * (F.col("x1") - F.col("x"))).alias("px"), (F.col("y") + w * (F.col("y1") - F.col("y"))).alias("py"), F.array(F.col("k") - 1, "k").alias("in"))
+    on_cut = lambda c: (F.abs(F.col(c) / most - F.round(F.col(c) / most)) * most <= 1e-9) & (F.round(F.col(c) / most) >= 1) & (F.round(F.col(c) / most) < F.col("n"))
+    within = lambda c: F.array(F.least(F.floor(F.col(c) / most).cast("long"), F.col("n") - 1))
+    starts = t.where(~on_cut("cum")).select(*shared, F.col("cum").alias("at"), F.col("x").alias("px"), F.col("y").alias("py"), within("cum").alias("in"))
+    ends = t.where("cum1 = total").select(*shared, F.col("cum1").alias("at"), F.col("x1").alias("px"), F.col("y1").alias("py"), F.array(F.col("n") - 1).alias("in"))
+    points = starts.unionByName(cuts).unionByName(ends).select(*shared, "at", F.col("px").alias("x"), F.col("py").alias("y"), F.explode("in").alias("k"))
+    kept = points.where(~(F.col("dropped") & (F.col("k") == F.col("n") - 1)))
+    chunk = F.when(F.col("merged") & (F.col("k") == F.col("n") - 1), F.col("k") - 1).otherwise(F.col("k"))
+    once = kept.select("line_id", chunk.alias("chunk"), "at", "x", "y").dropDuplicates(["line_id", "chunk", "at"])
+    lone = verts.join(spans.select("line_id").distinct(), "line_id", "left_anti").groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p"))
+    once = once.unionByName(lone.select("line_id", F.lit(0).cast("long").alias("chunk"), F.lit(0.0).alias("at"), "p.x", "p.y"))
+    return once.select("line_id", "chunk", (F.row_number().over(Window.partitionBy("line_id", "chunk").orderBy("at")) - 1).cast("long").alias("seq"), "x", "y")
 
 
 def chaikin(verts: DataFrame, rounds: int = 1) -> DataFrame:

@@ -107,9 +107,9 @@ def t_junction_match(spark, d):
     return t.withColumn("j", best).where("j = 1").select(F.col("a_id").alias("id"), F.col("b_id").alias("seg"), r4("dist").alias("dist"))
 
 
-@query("endpoint_bridge_match", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x1-b.x0,2)+pow(a.y1-b.y0,2)) AS dist, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0-a.x1 AS tx, b.y0-a.y1 AS ty FROM sg a JOIN sg b ON a.id <> b.id AND a.id % 5 <> b.id % 5 WHERE sqrt(pow(a.x1-b.x0,2)+pow(a.y1-b.y0,2)) BETWEEN 20 AND 200),
+@query("endpoint_bridge_candidates", "seg", f"""WITH {_S8}, p AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x1-b.x0,2)+pow(a.y1-b.y0,2)) AS dist, a.x1-a.x0 AS rx, a.y1-a.y0 AS ry, b.x0-a.x1 AS tx, b.y0-a.y1 AS ty FROM sg a JOIN sg b ON a.id <> b.id AND a.id % 5 <> b.id % 5 WHERE sqrt(pow(a.x1-b.x0,2)+pow(a.y1-b.y0,2)) BETWEEN 20 AND 200),
     s AS (SELECT a, b, round(dist - 120 * CASE WHEN sqrt(rx*rx+ry*ry) <= 1e-6 THEN 0 ELSE (rx*tx+ry*ty)/(sqrt(rx*rx+ry*ry)*dist) END, 4) AS score FROM p) SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score, b) AS k FROM s) WHERE k <= 8""")
-def endpoint_bridge_match(spark, d):
+def endpoint_bridge_candidates(spark, d):
     s = _segs(spark, d)
     a = s.select("id", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x1") - F.col("x0")).alias("rx"), (F.col("y1") - F.col("y0")).alias("ry"))
     t = sp.within_distance(a, s.select(F.col("id").alias("b"), F.col("x0").alias("x"), F.col("y0").alias("y")), 200.0).where("id <> b and id % 5 <> b % 5 and dist >= 20")
@@ -119,6 +119,28 @@ def endpoint_bridge_match(spark, d):
     return t.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("score", "b"))).where("k <= 8").select(F.col("id").alias("a"), "b", "score")
 
 
+@query("endpoint_bridge_match", "seg", """RECURSIVE WITH l AS (SELECT *, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS length FROM seg), e AS (SELECT id, id % 5 AS lineage, length >= 150 AS source, 0::BIGINT AS side, x0 AS x, y0 AS y, CASE WHEN length <= 1e-6 THEN 0 ELSE (x0-x1)/length END AS hx, CASE WHEN length <= 1e-6 THEN 0 ELSE (y0-y1)/length END AS hy FROM l
+      UNION ALL SELECT id, id % 5, length >= 150, 1, x1, y1, CASE WHEN length <= 1e-6 THEN 0 ELSE (x1-x0)/length END, CASE WHEN length <= 1e-6 THEN 0 ELSE (y1-y0)/length END FROM l),
+    c AS (SELECT *, floor(x/200)::BIGINT AS cx, floor(y/200)::BIGINT AS cy FROM e),
+    q AS (SELECT a.id AS a, a.side AS a_end, b.id AS b, b.side AS b_end, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dist, (b.x-a.x)/sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dx, (b.y-a.y)/sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dy, a.hx, a.hy, b.hx AS tx, b.hy AS ty
+      FROM (SELECT *, unnest([cx-1, cx, cx+1]) AS gx FROM c WHERE source) a JOIN c b ON b.cx = a.gx AND b.cy BETWEEN a.cy - 1 AND a.cy + 1 AND a.id <> b.id AND a.lineage <> b.lineage WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) BETWEEN 20 AND 200),
+    s AS (SELECT id AS a, row_number() OVER (ORDER BY length DESC, id) AS n FROM l WHERE length >= 150),
+    k AS MATERIALIZED (SELECT n, a, a_end, b, b_end, a*2+a_end AS e1, b*2+b_end AS e2, round(dist - 120 * (greatest(0, hx*dx+hy*dy) + greatest(0, -(tx*dx)-ty*dy)), 6) AS score FROM q JOIN s USING (a)),
+    r(n, used, pick) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::STRUCT(score DOUBLE, a_end BIGINT, b BIGINT, b_end BIGINT, a BIGINT) UNION ALL
+      SELECT n, CASE WHEN pick IS NULL THEN used ELSE list_concat(used, [pick.a*2+pick.a_end, pick.b*2+pick.b_end]) END, pick FROM (
+        SELECT r.n + 1 AS n, any_value(r.used) AS used, min({'score': k.score, 'a_end': k.a_end, 'b': k.b, 'b_end': k.b_end, 'a': k.a}) FILTER (k.n IS NOT NULL AND NOT list_contains(r.used, k.e1) AND NOT list_contains(r.used, k.e2)) AS pick
+        FROM r LEFT JOIN k ON k.n = r.n + 1 WHERE r.n < (SELECT count(*) FROM s) GROUP BY r.n))
+    SELECT pick.a AS a, pick.a_end AS a_end, pick.b AS b, pick.b_end AS b_end, round(pick.score, 3) AS score FROM r WHERE pick IS NOT NULL""")
+def endpoint_bridge_match(spark, d):
+    """Bridges from the ends of long segments, each end in one at most."""
+    from meridion.operators import matching
+
+    point = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    long = g.distance("x0", "y0", "x1", "y1")
+    lines = _segs(spark, d).select("id", F.array(point(0), point(1)).alias("path"), (F.col("id") % 5).alias("lineage"), long.alias("length"), (long >= 150).alias("source"))
+    return matching.bridge_matches(lines, 20.0, 200.0).select("a", "a_end", "b", "b_end", F.round("score", 3).alias("score"))
+
+
 @query("raster_lookup", "pts cells", "SELECT p.id, c.h FROM pts p LEFT JOIN cells c ON c.ix = floor(p.x/500) AND c.iy = floor(p.y/500)")
 def raster_lookup(spark, d):
     at = lambda c: F.floor(F.col(c) / 500).cast("long")

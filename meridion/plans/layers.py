@@ -107,3 +107,37 @@ def stream_ring_buffer(spark, d):
     t = _streamed(spark, d, lambda s: (feeds.ring_buffer(s, 5), "update"))
     last = t.groupBy("run_id").agg(F.max_by(F.struct("seqs", "dropped"), "total").alias("s"))
     return last.where(F.size("s.seqs") >= 5).select("run_id", F.explode("s.seqs").alias("seq"), F.col("s.dropped").alias("dropped"))
+
+
+@query("stream_event_meta", "runlog", "SELECT run_id, seq, kind, strlen(props)::BIGINT AS payload_bytes FROM runlog")
+def stream_event_meta(spark, d):
+    """What each event is about, without its payload, as a stream."""
+    t = _streamed(spark, d, lambda s: (s.select("run_id", "seq", "kind", F.octet_length("props").cast("long").alias("payload_bytes")), "append"))
+    return t
+
+
+@query("stream_latest_state", "runlog", """WITH k AS (SELECT run_id, (event_id % 9)::VARCHAR AS entity, max(seq) FILTER (kind <> 'purchase') AS open_seq, max(seq) FILTER (kind = 'purchase') AS done_seq, count(*) FILTER (kind = 'purchase') AS completions, max(seq) AS seq, arg_max(kind, seq) AS value FROM runlog GROUP BY ALL)
+    SELECT run_id, entity, CASE WHEN done_seq IS NULL OR open_seq > done_seq THEN 'partial' ELSE 'complete' END AS state, seq, value, completions FROM k""")
+def stream_latest_state(spark, d):
+    """Entities of each run with their latest event; those that a purchase completes are no longer partial."""
+    from meridion.streaming import stateful
+
+    stateful.use_rocksdb(spark)
+    marked = lambda s: s.select("run_id", "seq", "ts", (F.col("event_id") % 9).cast("string").alias("entity"), F.col("kind").alias("value"), (F.col("kind") == "purchase").alias("complete"))
+    t = _streamed(spark, d, lambda s: (stateful.fold_latest_state(marked(s)), "update"))
+    last = t.groupBy("run_id", "entity").agg(F.max(F.struct("completions", "seq", "state", "value")).alias("m"))
+    return last.select("run_id", "entity", "m.state", "m.seq", "m.value", "m.completions")
+
+
+@query("stream_flush_batches", "runlog", """RECURSIVE WITH e AS (SELECT run_id, seq, epoch_ms(ts) AS at, level = 'ERROR' AS urgent FROM runlog),
+    r(run_id, seq, n, since, batch, reason) AS (SELECT run_id, 0::BIGINT, 0::BIGINT, min(at), 0::BIGINT, NULL::VARCHAR FROM e GROUP BY run_id UNION ALL
+      SELECT run_id, seq, CASE WHEN reason IS NULL THEN n ELSE 0 END, CASE WHEN reason IS NULL THEN since ELSE at END, CASE WHEN reason IS NULL THEN batch ELSE batch + 1 END, reason FROM (
+        SELECT e.run_id, e.seq, r.n + 1 AS n, r.since, r.batch, e.at, CASE WHEN e.urgent THEN 'urgent' WHEN r.n + 1 >= 8 THEN 'full' WHEN e.at - r.since >= 14400000 THEN 'interval' END AS reason FROM r JOIN e ON e.run_id = r.run_id AND e.seq = r.seq + 1))
+    SELECT run_id, batch - 1 AS batch, seq AS last_seq, seq - coalesce(lag(seq) OVER (PARTITION BY run_id ORDER BY seq), 0) AS n, reason FROM r WHERE reason IS NOT NULL""")
+def stream_flush_batches(spark, d):
+    """Batches of at most 8 events or four hours, at once when one is an error."""
+    from meridion.streaming import stateful
+
+    stateful.use_rocksdb(spark)
+    t = _streamed(spark, d, lambda s: (stateful.flush_batches(s.withColumn("urgent", F.col("level") == "ERROR"), 8, 14_400_000), "append"))
+    return t.where("reason <> 'timer'").select("run_id", "batch", F.element_at("seqs", -1).alias("last_seq"), "n", "reason")

@@ -71,10 +71,17 @@ def resample(spark, d):
     return p.resample(v.verts(spark, d), 150.0).select("line_id", "k", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
-@query("chunk_by_length", "verts", f"""WITH {_CUM}, t AS (SELECT line_id, max(cum) AS total FROM cu GROUP BY 1), k AS (SELECT *, unnest(range(greatest(1, ceil(total/900))::BIGINT)) AS chunk FROM t)
-    SELECT line_id, chunk, round(least(900.0, total - chunk*900), 3) AS length FROM k""")
+@query("chunk_by_length", "verts", f"""WITH {_CUM}, t AS (SELECT line_id, max(cum) AS total, greatest(1, ceil(max(cum)/600))::BIGINT AS n FROM cu GROUP BY 1),
+    m AS (SELECT *, n > 1 AND total - (n-1)*600 < 8 AS dropped, n > 1 AND total - (n-1)*600 >= 8 AND total - (n-1)*600 < 14 AS merged FROM t),
+    g AS (SELECT sp.*, n, dropped, merged FROM sp JOIN m USING (line_id) WHERE cum1 > cum),
+    c AS (SELECT *, unnest(range((floor(cum/600) + 1)::BIGINT, least(floor(cum1/600)::BIGINT, n-1) + 1)) AS k FROM g),
+    p AS (SELECT line_id, k*600.0::DOUBLE AS pos, x + (k*600.0::DOUBLE-cum)/(cum1-cum)*(x1-x) AS x, y + (k*600.0::DOUBLE-cum)/(cum1-cum)*(y1-y) AS y, unnest([k-1, k]) AS k, n, dropped, merged FROM c
+      UNION ALL SELECT line_id, cum, x, y, least(floor(cum/600)::BIGINT, n-1), n, dropped, merged FROM g WHERE NOT (cum % 600 = 0 AND cum > 0)
+      UNION ALL SELECT line_id, cum1, x1, y1, n-1, n, dropped, merged FROM g WHERE cum1 = total),
+    d AS (SELECT DISTINCT line_id, pos, first_value(x) OVER w AS x, first_value(y) OVER w AS y, CASE WHEN merged AND k = n-1 THEN k-1 ELSE k END AS chunk FROM p WHERE NOT (dropped AND k = n-1) WINDOW w AS (PARTITION BY line_id, pos, CASE WHEN merged AND k = n-1 THEN k-1 ELSE k END))
+    SELECT line_id, chunk, row_number() OVER (PARTITION BY line_id, chunk ORDER BY pos) - 1 AS seq, round(x, 2) AS x, round(y, 2) AS y FROM d""")
 def chunk_by_length(spark, d):
-    return p.chunks(v.verts(spark, d), 900.0).select("line_id", "chunk", F.round("length", 3).alias("length"))
+    return p.chunks(v.verts(spark, d), 600.0).select("line_id", "chunk", "seq", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @query("chaikin_smooth", "verts", """WITH l AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w AS n FROM verts WINDOW w AS (PARTITION BY line_id ORDER BY seq)),

@@ -301,55 +301,52 @@ def cost_distance(spark, d):
     return r.cost_distance(c, c.orderBy("iy", "ix").limit(1), 1 + F.abs(F.col("h2") - F.col("h")) / 5000.0).select("ix", "iy", r4("cost").alias("cost"))
 
 
-_DEGREE = "minor_local", "arterial"
-_FACTORS = [routes.ROUTE_FACTORS[k] for k in _DEGREE]
+_SLOPE_WEIGHT, _WATER = routes.ROUTE_FACTORS["minor_local"]
 
 
 def _route_cells(spark, d):
-    """The open cells of the surface for two road classes: field, ix, iy, rate, toll."""
+    """The open cells of the surface: field, ix, iy, rate, toll."""
     s = v.surface(spark, d)
     steep = r.slope(s.select("ix", "iy", "h"), 20.0).select("ix", "iy", "h", "slope")
     top = steep.agg(F.max("slope").alias("top"))
     t = steep.join(s.where("open").select("ix", "iy"), ["ix", "iy"]).join(F.broadcast(top)).withColumn("steep", F.col("slope") / (F.col("top") + 1e-9))
-    kinds = F.array(*(F.struct(F.lit(k).cast("long").alias("field"), routes.route_rate(F.col("steep"), a).alias("rate"), F.when(F.col("h") < 30, b).otherwise(0.0).alias("toll")) for k, (a, b) in enumerate(_FACTORS)))
-    return t.select("ix", "iy", F.explode(kinds).alias("k")).select("k.field", "ix", "iy", "k.rate", "k.toll")
+    return t.select(F.lit(0).cast("long").alias("field"), "ix", "iy", routes.route_rate(F.col("steep"), _SLOPE_WEIGHT).alias("rate"), F.when(F.col("h") < 30, _WATER).otherwise(0.0).alias("toll"))
 
 
 def _route_sources(spark, d):
-    """The first open cell of the surface for the one class, the last for the other."""
-    cell = F.struct("iy", "ix")
-    t = v.surface(spark, d).where("open").agg(F.array(F.struct(F.lit(0).cast("long").alias("field"), F.min(cell).alias("c")), F.struct(F.lit(1).cast("long").alias("field"), F.max(cell).alias("c"))).alias("s"))
-    return t.select(F.explode("s").alias("s")).select("s.field", "s.c.ix", "s.c.iy")
+    """The first open cell of the surface."""
+    t = v.surface(spark, d).where("open").agg(F.min(F.struct("iy", "ix")).alias("c"))
+    return t.select(F.lit(0).cast("long").alias("field"), "c.ix", "c.iy")
 
 
 _ROUTES = f"""RECURSIVE WITH g AS (SELECT ix, iy, h, open, CASE WHEN e IS NOT NULL AND w IS NOT NULL THEN (e - w) / 40.0::DOUBLE WHEN e IS NOT NULL THEN (e - h) / 20.0::DOUBLE WHEN w IS NOT NULL THEN (h - w) / 20.0::DOUBLE ELSE 0.0 END AS gx,
       CASE WHEN s IS NOT NULL AND n IS NOT NULL THEN (s - n) / 40.0::DOUBLE WHEN s IS NOT NULL THEN (s - h) / 20.0::DOUBLE WHEN n IS NOT NULL THEN (h - n) / 20.0::DOUBLE ELSE 0.0 END AS gy
       FROM (SELECT *, lead(h) OVER a AS e, lag(h) OVER a AS w, lead(h) OVER b AS s, lag(h) OVER b AS n FROM surface WINDOW a AS (PARTITION BY iy ORDER BY ix), b AS (PARTITION BY ix ORDER BY iy))),
     p AS MATERIALIZED (SELECT *, sqrt(gx * gx + gy * gy) / ((SELECT max(sqrt(gx * gx + gy * gy)) FROM g) + 1e-9::DOUBLE) AS steep FROM g WHERE open),
-    c AS MATERIALIZED (SELECT field, ix, iy, 1.0::DOUBLE + factor * (steep * steep) AS rate, CASE WHEN h < 30 THEN water ELSE 0.0::DOUBLE END AS toll FROM p, (VALUES {", ".join(f"({k}::BIGINT, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(_FACTORS))}) k(field, factor, water)),
-    s AS (SELECT 0::BIGINT AS field, m.ix, m.iy FROM (SELECT min({{'iy': iy, 'ix': ix}}) AS m FROM p) UNION ALL SELECT 1, m.ix, m.iy FROM (SELECT max({{'iy': iy, 'ix': ix}}) AS m FROM p)),
+    c AS MATERIALIZED (SELECT ix, iy, 1.0::DOUBLE + {_SLOPE_WEIGHT}::DOUBLE * (steep * steep) AS rate, CASE WHEN h < 30 THEN {_WATER}::DOUBLE ELSE 0.0::DOUBLE END AS toll FROM p),
+    s AS (SELECT m.ix, m.iy FROM (SELECT min({{'iy': iy, 'ix': ix}}) AS m FROM p)),
     o AS (SELECT dx, dy, CASE WHEN dx <> 0 AND dy <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0 END AS len FROM {_OFF}),
-    r(field, ix, iy, cost) USING KEY (field, ix, iy) AS (SELECT field, ix, iy, 0.0::DOUBLE FROM s UNION
-      SELECT n.field, n.ix, n.iy, n.cost FROM (SELECT c.field, c.ix, c.iy, min(r.cost + (o.len * c.rate + c.toll)) AS cost FROM r, o JOIN c ON c.field = r.field AND c.ix = r.ix + o.dx AND c.iy = r.iy + o.dy GROUP BY ALL) n
-      LEFT JOIN recurring.r old ON old.field = n.field AND old.ix = n.ix AND old.iy = n.iy WHERE old.cost IS NULL OR n.cost < old.cost)"""
+    st AS MATERIALIZED (SELECT a.iy * 100000 + a.ix AS k, c.iy * 100000 + c.ix AS j, o.len * c.rate + c.toll AS step FROM c a, o JOIN c ON c.ix = a.ix + o.dx AND c.iy = a.iy + o.dy),
+    w(k, cost) USING KEY (k) AS (SELECT iy * 100000 + ix, 0.0::DOUBLE FROM s UNION
+      SELECT n.j, n.cost FROM (SELECT st.j, min(w.cost + st.step) AS cost FROM w JOIN st ON st.k = w.k GROUP BY st.j) n LEFT JOIN recurring.w old ON old.k = n.j WHERE old.cost IS NULL OR n.cost < old.cost),
+    r AS MATERIALIZED (SELECT k, cost FROM w)"""
 
 
-@query("route_costs", "surface", f"{_ROUTES} SELECT field, ix, iy, round(cost, 4) AS cost FROM r")
+@query("route_costs", "surface", f"{_ROUTES} SELECT k % 100000 AS ix, k // 100000 AS iy, round(cost, 4) AS cost FROM r")
 def route_costs(spark, d):
-    return routes.route_costs(_route_cells(spark, d), _route_sources(spark, d)).select("field", "ix", "iy", r4("cost").alias("cost"))
+    return routes.route_costs(_route_cells(spark, d), _route_sources(spark, d)).select("ix", "iy", r4("cost").alias("cost"))
 
 
-@query("route_paths", "surface", f"""{_ROUTES}, b AS MATERIALIZED (SELECT field, ix, iy, from_x, from_y FROM (SELECT c.field, c.ix, c.iy, r.ix AS from_x, r.iy AS from_y, row_number() OVER (PARTITION BY c.field, c.ix, c.iy ORDER BY r.cost + (o.len * c.rate + c.toll), r.iy, r.ix) AS k
-      FROM r, o JOIN c ON c.field = r.field AND c.ix = r.ix + o.dx AND c.iy = r.iy + o.dy) WHERE k = 1 AND (field, ix, iy) NOT IN (SELECT field, ix, iy FROM s)),
-    q AS (SELECT s_suppkey * 2 + field AS path, field, (s_suppkey * 7919) % w AS ix, (s_suppkey * 104729) % w AS iy FROM supplier, (SELECT floor(sqrt(count(*) * 4))::BIGINT AS w FROM orders), (VALUES (0::BIGINT), (1)) f(field)),
-    t(path, n, field, ix, iy) AS (SELECT path, 0::BIGINT, field, ix, iy FROM q WHERE (field, ix, iy) IN (SELECT field, ix, iy FROM r) UNION ALL SELECT path, n + 1, t.field, b.from_x, b.from_y FROM t JOIN b ON b.field = t.field AND b.ix = t.ix AND b.iy = t.iy)
-    SELECT path, max(n) OVER (PARTITION BY path) - n AS seq, t.ix, t.iy, round(cost, 4) AS cost FROM t JOIN r USING (field, ix, iy)""")
+@query("route_paths", "surface", f"""{_ROUTES}, b AS MATERIALIZED (SELECT j, k FROM (SELECT st.j, st.k, row_number() OVER (PARTITION BY st.j ORDER BY r.cost + st.step, st.k) AS n FROM st JOIN r ON r.k = st.k) WHERE n = 1 AND j NOT IN (SELECT iy * 100000 + ix FROM s)),
+    q AS (SELECT s_suppkey AS path, (s_suppkey * 104729) % w * 100000 + (s_suppkey * 7919) % w AS k FROM supplier, (SELECT floor(sqrt(count(*) * 4))::BIGINT AS w FROM orders)),
+    t(path, n, k) AS (SELECT path, 0::BIGINT, k FROM q WHERE k IN (SELECT k FROM r) UNION ALL SELECT path, n + 1, b.k FROM t JOIN b ON b.j = t.k)
+    SELECT path, max(n) OVER (PARTITION BY path) - n AS seq, t.k % 100000 AS ix, t.k // 100000 AS iy, round(cost, 4) AS cost FROM t JOIN r USING (k)""")
 def route_paths(spark, d):
-    """The ways to every supplier's cell for two road classes."""
+    """The ways to every supplier's cell."""
     width = v.table(spark, d, "orders").agg(F.floor(F.sqrt(F.count("*") * 4)).cast("long").alias("w"))
     k = F.col("s_suppkey").cast("long")
-    goals = v.table(spark, d, "supplier").join(F.broadcast(width)).select(k.alias("k"), (k * 7919 % F.col("w")).alias("ix"), (k * 104729 % F.col("w")).alias("iy"), F.explode(F.array(*(F.lit(f).cast("long") for f in (0, 1)))).alias("field"))
-    t = routes.route_paths(_route_cells(spark, d), _route_sources(spark, d), goals.select((F.col("k") * 2 + F.col("field")).alias("path"), "field", "ix", "iy"))
+    goals = v.table(spark, d, "supplier").join(F.broadcast(width)).select(k.alias("path"), F.lit(0).cast("long").alias("field"), (k * 7919 % F.col("w")).alias("ix"), (k * 104729 % F.col("w")).alias("iy"))
+    t = routes.route_paths(_route_cells(spark, d), _route_sources(spark, d), goals)
     return t.select("path", "seq", "ix", "iy", r4("cost").alias("cost"))
 
 
