@@ -129,10 +129,10 @@ def stream_latest_state(spark, d):
     return last.select("run_id", "entity", "m.state", "m.seq", "m.value", "m.completions")
 
 
-@query("stream_flush_batches", "runlog", """RECURSIVE WITH e AS (SELECT run_id, seq, epoch_ms(ts) AS at, level = 'ERROR' AS urgent FROM runlog),
-    r(run_id, seq, n, since, batch, reason) AS (SELECT run_id, 0::BIGINT, 0::BIGINT, min(at), 0::BIGINT, NULL::VARCHAR FROM e GROUP BY run_id UNION ALL
-      SELECT run_id, seq, CASE WHEN reason IS NULL THEN n ELSE 0 END, CASE WHEN reason IS NULL THEN since ELSE at END, CASE WHEN reason IS NULL THEN batch ELSE batch + 1 END, reason FROM (
-        SELECT e.run_id, e.seq, r.n + 1 AS n, r.since, r.batch, e.at, CASE WHEN e.urgent THEN 'urgent' WHEN r.n + 1 >= 8 THEN 'full' WHEN e.at - r.since >= 14400000 THEN 'interval' END AS reason FROM r JOIN e ON e.run_id = r.run_id AND e.seq = r.seq + 1))
+@query("stream_flush_batches", "runlog", """RECURSIVE WITH e AS (SELECT run_id, seq, epoch_ms(ts) AS ms, level = 'ERROR' AS urgent FROM runlog),
+    r(run_id, seq, n, since, batch, reason) AS (SELECT run_id, 0::BIGINT, 0::BIGINT, min(ms), 0::BIGINT, NULL::VARCHAR FROM e GROUP BY run_id UNION ALL
+      SELECT run_id, seq, CASE WHEN reason IS NULL THEN n ELSE 0 END, CASE WHEN reason IS NULL THEN since ELSE ms END, CASE WHEN reason IS NULL THEN batch ELSE batch + 1 END, reason FROM (
+        SELECT e.run_id, e.seq, r.n + 1 AS n, r.since, r.batch, e.ms, CASE WHEN e.urgent THEN 'urgent' WHEN r.n + 1 >= 8 THEN 'full' WHEN e.ms - r.since >= 14400000 THEN 'interval' END AS reason FROM r JOIN e ON e.run_id = r.run_id AND e.seq = r.seq + 1))
     SELECT run_id, batch - 1 AS batch, seq AS last_seq, seq - coalesce(lag(seq) OVER (PARTITION BY run_id ORDER BY seq), 0) AS n, reason FROM r WHERE reason IS NOT NULL""")
 def stream_flush_batches(spark, d):
     """Batches of at most 8 events or four hours, at once when one is an error."""
