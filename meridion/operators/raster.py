@@ -114,6 +114,21 @@ def river_mask(accumulated: DataFrame, share: float) -> DataFrame:
     return accumulated.join(F.broadcast(top), F.col("acc") >= F.col("least")).drop("least")
 
 
+def adaptive_threshold(accumulated: DataFrame, start: float, low: float = 0.1, high: float = 0.3, tries: int = 4) -> DataFrame:
+    """(tries, threshold, coverage, fits): a share of the largest count at which between ``low`` and ``high`` of the cells are rivers.
+
+    From ``start`` on it is lowered to three quarters where they cover too little and raised by 15 % (to 0.25 at most)
+    where too much, ``tries`` times at most; each try is one pass over the counts.
+    """
+    acc = materialize(accumulated.select("acc"))
+    top, threshold, n = acc.agg(F.max("acc")).head()[0] or 0, start, 0
+    while True:
+        covered = acc.agg(F.avg((F.col("acc") >= threshold * top).cast("double"))).head()[0] or 0.0
+        if low <= covered <= high or n == tries:
+            return accumulated.sparkSession.createDataFrame([(n, threshold, covered, low <= covered <= high)], "tries long, threshold double, coverage double, fits boolean")
+        threshold, n = (max(1e-5, threshold * 0.75) if covered < low else min(0.25, threshold * 1.15)), n + 1
+
+
 def trace_chains(rivers: DataFrame, min_cells: int = 2) -> DataFrame:
     """(head, seq, ix, iy, flow): from each river cell that no river cell drains into, down to the outlet.
 

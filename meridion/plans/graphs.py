@@ -8,6 +8,7 @@ from meridion.operators import graph as g
 from meridion.operators import stats
 from meridion.operators.components import connected_components as cc
 from meridion.plans import views as v
+from meridion.plans.joins import _BENT, _bent_streets
 from meridion.plans.registry import query
 from meridion.session import table
 
@@ -34,20 +35,24 @@ def node_degree(spark, d):
     return g.degrees(v.edges(spark, d))
 
 
-@query("dead_ends", "edges", f"WITH t AS (SELECT * FROM edges WHERE weight < 6), a AS (SELECT u AS node FROM t UNION ALL SELECT v FROM t) SELECT node FROM a GROUP BY node HAVING count(*) = 1")
+_STREETS = f"WITH {_BENT}, st AS (SELECT b.id, b.x::BIGINT || ':' || b.y::BIGINT AS u, b.xe::BIGINT || ':' || b.ye::BIGINT AS v, b.id % 3 AS class, b.id % 4 = 0 AS cul, sum(len) AS length FROM bs b JOIN sl USING (id) GROUP BY ALL), dg AS (SELECT node, count(*) AS n FROM (SELECT u AS node FROM st UNION ALL SELECT v FROM st) GROUP BY 1)"
+
+
+@query("dead_ends", "seg", f"{_STREETS} SELECT node FROM dg WHERE n = 1")
 def dead_ends(spark, d):
-    return g.dead_ends(v.edges(spark, d).where("weight < 6"))
+    """Nodes of the streets with one edge."""
+    return g.dead_ends(_bent_streets(spark, d)[1])
 
 
-@query("connected_components", "edges", f"{_CC.replace('FROM edges', 'FROM edges WHERE weight < 12')} SELECT node, component FROM comp")
+@query("connected_components", "edges", f"{_CC} SELECT node, component FROM comp")
 def connected_components(spark, d):
-    return cc(v.edges(spark, d).where("weight < 12"))
+    return cc(v.edges(spark, d))
 
 
-@query("largest_component_ratio", "edges hubs", f"{_CC.replace('FROM edges', 'FROM edges WHERE weight < 12')} SELECT round(max(n) / (SELECT count(*) FROM hubs)::DOUBLE, 6) AS ratio FROM (SELECT component, count(*) AS n FROM comp GROUP BY 1)")
+@query("largest_component_ratio", "trade", f"{_CC.replace('FROM edges', 'FROM trade')} SELECT round(max(n) / (SELECT count(*) FROM comp)::DOUBLE, 6) AS ratio FROM (SELECT component, count(*) AS n FROM comp GROUP BY 1)")
 def largest_component_ratio(spark, d):
-    t = cc(v.edges(spark, d).where("weight < 12")).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    return t.join(F.broadcast(v.hubs(spark, d).agg(F.count("*").alias("all")))).select(F.round(F.col("n") / F.col("all"), 6).alias("ratio"))
+    t = cc(v.trade(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+    return t.agg(F.round(F.max("n") / F.sum("n"), 6).alias("ratio"))
 
 
 @query("network_metrics", "edges", f"""{_CC}, dg AS (SELECT node, count(*) AS n FROM adj GROUP BY 1) SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(weight), 4) FROM edges) AS mean_weight,
@@ -84,8 +89,9 @@ def backbone(spark, d):
 
 @query("bridge_components", "edges")
 def bridge_components(spark, d):
+    """The arterials, and the other edges that connect their parts."""
     e = v.edges(spark, d)
-    return g.bridge_components(e.where("weight < 12"), v.hubs(spark, d), e.select("u", "v", "weight"))
+    return g.bridge_components(e.where("road_class = 'arterial'"), v.hubs(spark, d), e.select("u", "v", "weight"))
 
 
 _BET = f"""{_SP}, {"cn(n, src, node, k) AS (SELECT 0, src, src, 1.0::DOUBLE FROM sp WHERE src = node UNION ALL SELECT cn.n + 1, cn.src, adj.other, cn.k FROM cn JOIN adj ON adj.node = cn.node JOIN sp a ON a.src = cn.src AND a.node = cn.node JOIN sp b ON b.src = cn.src AND b.node = adj.other WHERE abs(a.dist + adj.weight - b.dist) < 1e-9 AND cn.n < 26)"},
@@ -104,9 +110,13 @@ def width_guidance(spark, d):
     return g.width_guidance(g.edge_betweenness(v.edges(spark, d)).withColumn("score", r4("score"))).select("u", "v", "guidance")
 
 
-@query("prune_dangles", "edges", "WITH t AS (SELECT * FROM edges WHERE weight < 25), d AS (SELECT node, count(*) AS n FROM (SELECT u AS node FROM t UNION ALL SELECT v FROM t) GROUP BY 1) SELECT t.id FROM t JOIN d a ON a.node = u JOIN d b ON b.node = v WHERE NOT ((a.n = 1 OR b.n = 1) AND road_class <> 'arterial' AND NOT (list_contains(flags, 'culdesac') OR (road_class = 'minor_local' AND length_m >= 25)) AND length_m < 200)")
+@query("prune_dangles", "seg", f"{_STREETS} SELECT id FROM st JOIN dg a ON a.node = u JOIN dg b ON b.node = v WHERE NOT ((a.n = 1 OR b.n = 1) AND class <> 0 AND NOT (cul OR (class = 2 AND length >= 25)) AND length < 200)")
 def prune_dangles(spark, d):
-    return g.prune_dangles(v.edges(spark, d).where("weight < 25"), 200.0).select("id")
+    """The streets without their short dead ends."""
+    from meridion.operators.topology import path_length
+
+    edges = _bent_streets(spark, d)[1]
+    return g.prune_dangles(edges.withColumn("length_m", path_length(F.col("path"))), 200.0).select("id")
 
 
 _INC = "inc AS (SELECT node, id FROM (SELECT id, u AS node FROM edges UNION ALL SELECT id, v FROM edges))"

@@ -229,6 +229,22 @@ def dedupe_overlaps(spark, d):
     return o.where(share > 0.5).select("a", "b", F.round(share, 3).alias("share"))
 
 
+@query("distinct_zones", "zones", """RECURSIVE WITH q AS (SELECT zone_id AS id, floor(cx / 500) * 500 AS x, floor(cy / 500) * 500 AS y, 500 + half AS h FROM zones), k AS (SELECT *, 4 * h * h AS area, row_number() OVER (ORDER BY id) AS n FROM q),
+    p AS MATERIALIZED (SELECT b.n, a.id AS before FROM k a JOIN k b ON a.x = b.x AND a.y = b.y AND a.id < b.id WHERE abs(a.area - b.area) / greatest(a.area, b.area) <= 0.02),
+    r(n, kept, id) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+      SELECT n, CASE WHEN keep THEN list_append(kept, id) ELSE kept END, CASE WHEN keep THEN id END FROM (
+        SELECT k.n, any_value(r.kept) AS kept, k.id, count(*) FILTER (p.before IS NOT NULL AND list_contains(r.kept, p.before)) = 0 AS keep FROM r JOIN k ON k.n = r.n + 1 LEFT JOIN p ON p.n = k.n GROUP BY k.n, k.id))
+    SELECT id AS zone_id FROM r WHERE id IS NOT NULL""")
+def distinct_zones(spark, d):
+    """Squares on a lattice of 500 m without those that nearly cover one before them."""
+    from meridion.operators import matching
+
+    at = lambda c: F.floor(F.col(c) / 500) * 500.0
+    z, h = v.zones(spark, d), F.lit(500.0) + F.col("half")
+    boxes = z.select(F.col("zone_id").alias("id"), (at("cx") - h).alias("min_x"), (at("cy") - h).alias("min_y"), (at("cx") + h).alias("max_x"), (at("cy") + h).alias("max_y"))
+    return matching.distinct_boxes(boxes, 1000.0).select(F.col("id").alias("zone_id"))
+
+
 _ZT = "coalesce(least(1.0, greatest(0.0, ((z.cx-s.x0)*(s.x1-s.x0)+(z.cy-s.y0)*(s.y1-s.y0)) / nullif((s.x1-s.x0)*(s.x1-s.x0)+(s.y1-s.y0)*(s.y1-s.y0), 0))), 0)"
 
 

@@ -361,14 +361,14 @@ def structure_tensor(spark, d):
     return t.join(v.cells(spark, d), ["ix", "iy"]).select("ix", "iy", r4(angle).alias("angle"), r4(aniso).alias("anisotropy"))
 
 
-@query("adaptive_threshold", "cells")
+@query("adaptive_threshold", "surface", f"""{_ACC.replace("cells", "surface")}, top AS (SELECT max(acc) AS top, count(*) AS n FROM a),
+    th(tries, threshold, coverage) AS (SELECT 0::BIGINT, 0.2::DOUBLE, (SELECT count(*) FROM a, top WHERE acc >= 0.2::DOUBLE * top) / (SELECT n FROM top)::DOUBLE UNION ALL
+      SELECT tries + 1, t, (SELECT count(*) FROM a, top WHERE acc >= t * top) / (SELECT n FROM top)::DOUBLE FROM (SELECT tries, CASE WHEN coverage < 0.1 THEN greatest(1e-5, threshold * 0.75::DOUBLE) ELSE least(0.25, threshold * 1.15::DOUBLE) END AS t FROM th WHERE tries < 4 AND NOT coverage BETWEEN 0.1 AND 0.3))
+    SELECT tries, round(threshold, 9) AS threshold, round(coverage, 9) AS coverage, coverage BETWEEN 0.1 AND 0.3 AS fits FROM th ORDER BY tries DESC LIMIT 1""")
 def adaptive_threshold(spark, d):
-    """Up to four tries until the river's share of cells is between 0.10 and 0.30; the candidates are counted at once."""
-    acc = r.flow_accumulation(r.flow_direction(v.cells(spark, d)))
-    tries = [0.3 * f for f in (1.0, 0.75, 0.5625, 0.421875, 1.15, 1.3225, 1.520875)]
-    top = acc.join(F.broadcast(acc.agg(F.max("acc").alias("top")))).withColumn("share", F.col("acc") / F.col("top"))
-    one = top.agg(*(F.avg((F.col("share") >= t).cast("double")).alias(f"c{k}") for k, t in enumerate(tries)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"c{k}").alias("coverage")) for k, t in enumerate(tries)))).alias("t")).select("t.*").withColumn("fits", F.col("coverage").between(0.1, 0.3))
+    """The share of the largest flow at which rivers cover 10 to 30 % of the surface, after four tries at most."""
+    t = r.adaptive_threshold(r.flow_accumulation(r.flow_direction(v.surface(spark, d))), 0.2)
+    return t.select("tries", F.round("threshold", 9).alias("threshold"), F.round("coverage", 9).alias("coverage"), "fits")
 
 
 @query("fallback_layers", "cells", """SELECT ix, iy, round(coalesce(CASE WHEN (ix + iy) % 3 = 0 THEN h END, norm * 100), 4) AS flood, (ix + iy) % 3 <> 0 AS degraded FROM (SELECT *, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) AS norm FROM cells)""")
