@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridion.functions import geometry as g
+from meridion.operators import stats
 from meridion.operators.components import connected_components
 from meridion.session import materialize
 
@@ -172,25 +173,53 @@ def incident_pairs(edges: DataFrame) -> DataFrame:
     return t.join(t.withColumnRenamed("a", "b"), "node").where("a <> b")
 
 
-# Degrees by which a street may turn and still go on; factor for a change of class.
+# Degrees by which a street may turn and still go on, by class and with a spine; factor for a change of
+# class; share of the wider by which widths may differ; factor for two spines; length from which a run is a spine.
 MAX_TURN = {"arterial": 15.0, "major_local": 18.0}
 LOCAL_TURN = 22.0
+SPINE_TURN = 12.0
 CLASS_MISMATCH = 0.3
+WIDTH_TOLERANCE = 0.35
+SPINE_BONUS = 1.5
+SPINE_LENGTH = 500.0
 
 
-def continuation_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, a, b, score): how straight b goes on from a, by angle and class; too sharp a turn for both has none."""
-    xy = nodes.select(F.col("id").alias("n"), "x", "y")
-    far = adjacency(edges.select("id", "u", "v", "road_class"))
-    far = far.join(xy.select(F.col("n").alias("node"), F.col("x").alias("x0"), F.col("y").alias("y0")), "node").join(xy.select(F.col("n").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1")), "other")
-    far = far.select("node", "id", "road_class", (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
+def edge_ends(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, id, road_class, width_m, spine, dx, dy): both ends of each edge with the direction in which it leaves.
+
+    An edge with a ``path`` of points leaves along its first part, one without (then ``nodes`` are needed) along the
+    straight line.  Without a ``width_m`` all are equally wide, without ``flags`` none is a spine.
+    """
+    has = edges.columns
+    width = F.col("width_m").cast("double") if "width_m" in has else F.lit(1.0)
+    spine = F.coalesce(F.array_contains("flags", "local_spine"), F.lit(False)) if "flags" in has else F.lit(False)
+    t = edges.select("id", "u", "v", "road_class", width.alias("width_m"), spine.alias("spine"), *(["path"] if "path" in has else []))
+    if "path" in has:
+        step = lambda a, b, c: F.element_at("path", b)[c] - F.element_at("path", a)[c]
+        ways = [("u", step(1, 2, "x"), step(1, 2, "y")), ("v", step(-1, -2, "x"), step(-1, -2, "y"))]
+    else:
+        at = lambda e: nodes.select(F.col("id").alias(e), F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"))
+        t = t.join(at("u"), "u").join(at("v"), "v")
+        ways = [("u", F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")), ("v", F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"))]
+    ends = F.array(*(F.struct(F.col(e).alias("node"), F.lit(e).alias("side"), dx.alias("dx"), dy.alias("dy")) for e, dx, dy in ways))
+    return t.withColumn("e", F.explode(ends)).select("e.node", "id", "road_class", "width_m", "spine", "e.side", "e.dx", "e.dy")
+
+
+def continuation_scores(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, a, b, score, turn): how well b goes on from a, by angle, class, width and spine; pairs that score nothing have none."""
+    far = edge_ends(edges, nodes).drop("side")
     a, b = far.select(*(F.col(c).alias(f"a_{c}") for c in far.columns)), far.select(*(F.col(c).alias(f"b_{c}") for c in far.columns))
     t = a.join(b, (F.col("a_node") == F.col("b_node")) & (F.col("a_id") != F.col("b_id")))
     turn = 180 - g.angle_between("a_dx", "a_dy", "b_dx", "b_dy", 0.0)
-    most = lambda c: F.coalesce(*(F.when(c == k, x) for k, x in MAX_TURN.items()), F.lit(LOCAL_TURN))
+    local = F.when(F.col("a_spine") | F.col("b_spine"), SPINE_TURN).otherwise(LOCAL_TURN)
+    most = lambda c: F.coalesce(*(F.when(c == k, x) for k, x in MAX_TURN.items()), local)
     t = t.withColumn("turn", turn).withColumn("most", F.greatest(most(F.col("a_road_class")), most(F.col("b_road_class"))))
+    wider = F.greatest("a_width_m", "b_width_m")
+    width = F.when(wider > 0, F.greatest(F.lit(0.0), 1 - F.abs(F.col("a_width_m") - F.col("b_width_m")) / wider / WIDTH_TOLERANCE)).otherwise(1.0)
     score = (1 - F.col("turn") / F.col("most")) * F.when(F.col("a_road_class") == F.col("b_road_class"), 1.0).otherwise(CLASS_MISMATCH)
-    return t.where("turn < most").select(F.col("a_node").alias("node"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(score, 6).alias("score"))
+    score = score * width * F.when(F.col("a_spine") & F.col("b_spine"), SPINE_BONUS).otherwise(1.0)
+    t = t.where("turn < most").select(F.col("a_node").alias("node"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(score, 6).alias("score"), "turn")
+    return t.where("score > 0")
 
 
 def mutual_best(candidates: DataFrame) -> DataFrame:
@@ -200,12 +229,52 @@ def mutual_best(candidates: DataFrame) -> DataFrame:
     return best.join(back, ["node", "a", "b"], "left_semi").where("a < b")
 
 
-def strokes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def continuations(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, a, b, turn): the pairs of edges that go on in each other, with the degrees of the bend; written once."""
+    t = materialize(continuation_scores(edges, nodes))
+    return materialize(mutual_best(t).join(t.select("node", "a", "b", "turn"), ["node", "a", "b"]))
+
+
+def strokes(edges: DataFrame, nodes: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """(id, stroke): edges chained over mutually best continuations; a stroke is named by its smallest edge."""
-    joined = connected_components(mutual_best(continuation_scores(edges, nodes)), "a", "b")
+    links = mutual_best(continuation_scores(edges, nodes)) if links is None else links
+    joined = connected_components(links, "a", "b")
     return edges.select("id").join(joined, edges["id"] == joined["node"], "left").select("id", F.coalesce("component", "id").alias("stroke"))
 
 
+def stroke_summary(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(stroke, n_edges, length_m, road_class, bearing, deflection, spine, flags), a row for each stroke.
+
+    ``road_class`` has most of the length (ties: the smaller name), ``bearing`` is the circular mean of the directions
+    in which edges leave their first node, ``deflection`` the sum of the bends between edges.  A stroke is a spine by
+    the flag of an edge or by its length; one by length gets the flag ``local_spine_run``.
+    """
+    links = continuations(edges, nodes)
+    of = materialize(strokes(edges, nodes, links))
+    t = edges.select("id", "road_class", "length_m", "flags").join(of, "id")
+    way = edge_ends(edges, nodes).where("side = 'u'").select("id", F.degrees(F.atan2("dy", "dx")).alias("way"))
+    bearing = stats.circular_mean(way.join(of, "id"), ["stroke"], "way").withColumnRenamed("mean", "bearing")
+    bends = links.join(of, F.col("a") == F.col("id")).groupBy("stroke").agg(F.sum("turn").alias("deflection"))
+    # Flags are few kinds: each stroke's kinds are made distinct before they are listed.
+    kinds = t.select("stroke", F.explode("flags").alias("flag")).distinct().groupBy("stroke").agg(F.collect_set("flag").alias("flags"))
+    s = t.groupBy("stroke").agg(F.count("*").alias("n_edges"), F.sum("length_m").alias("length_m"))
+    s = s.join(stats.dominant(t, ["stroke"], "road_class", F.col("length_m")).select("stroke", F.col("dominant").alias("road_class")), "stroke")
+    s = s.join(bearing, "stroke").join(bends, "stroke", "left").join(kinds, "stroke", "left")
+    flags = F.coalesce("flags", F.array().cast("array<string>"))
+    flagged = F.array_contains(flags, "local_spine")
+    spine = flagged | (F.col("length_m") >= SPINE_LENGTH)
+    flags = F.array_sort(F.when(spine & ~flagged, F.array_union(flags, F.array(F.lit("local_spine_run")))).otherwise(flags))
+    return s.select("stroke", "n_edges", "length_m", "road_class", "bearing", F.coalesce("deflection", F.lit(0.0)).alias("deflection"), spine.alias("spine"), flags.alias("flags"))
+
+
+def stroke_metrics(summary: DataFrame, low: float = 1000.0, high: float = 2000.0) -> DataFrame:
+    """(scope, n, p50, p90, p99, mean_edges, deflection_p90, in_band) over all strokes, spines, and each class."""
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("spine"), "spine"), F.col("road_class")))
+    t = summary.withColumn("scope", F.explode(scopes))
+    rest = t.groupBy("scope").agg(F.count("*").alias("n"), F.avg("n_edges").alias("mean_edges"), F.percentile("deflection", 0.9).alias("deflection_p90"), F.avg(F.when(F.col("length_m").between(low, high), 1.0).otherwise(0.0)).alias("in_band"))
+    return stats.percentiles(t, ["scope"], "length_m").join(rest, "scope")
+
+
 def prune_dangles(edges: DataFrame, min_length: float) -> DataFrame:
     """Without short dead-end edges of local classes; culdesacs stay, and minor_local from 25 m on."""
     d = degrees(edges)

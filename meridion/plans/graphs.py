@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from meridion.operators import graph as g
 from meridion.operators import stats
 from meridion.operators.components import connected_components as cc
+from meridion.operators.topology import path_length
 from meridion.plans import views as v
 from meridion.plans.joins import _BENT, _bent_streets
 from meridion.plans.registry import query
-from meridion.session import table
+from meridion.session import materialize, table
 
 
 def r4(c):
@@ -127,49 +128,69 @@ def incident_pairs(spark, d):
     return g.incident_pairs(v.edges(spark, d))
 
 
-_CONT = """fr AS (SELECT a.node, a.id, e.road_class, h2.x - h1.x AS dx, h2.y - h1.y AS dy FROM (SELECT id, u AS node, v AS other FROM edges UNION ALL SELECT id, v, u FROM edges) a JOIN edges e USING (id) JOIN hubs h1 ON h1.id = a.node JOIN hubs h2 ON h2.id = a.other),
-    sc AS (SELECT a.node, a.id AS a, b.id AS b, 180 - degrees(acos(least(1.0, greatest(-1.0, (a.dx*b.dx+a.dy*b.dy) / (sqrt(a.dx*a.dx+a.dy*a.dy)*sqrt(b.dx*b.dx+b.dy*b.dy)))))) AS turn, greatest(CASE a.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE 22 END, CASE b.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE 22 END)::DOUBLE AS mt, CASE WHEN a.road_class = b.road_class THEN 1.0 ELSE 0.3 END AS m FROM fr a JOIN fr b ON a.node = b.node AND a.id <> b.id),
-    co AS (SELECT node, a, b, round((1 - turn/mt) * m::DOUBLE, 6) AS score FROM sc WHERE turn < mt), be AS (SELECT node, a, arg_min(b, (-score, b)) AS b FROM co GROUP BY ALL),
+def _lanes(spark, d):
+    """Streets upwards over a lattice of 100 m, with a bend, a width and flags: three directions, so that some go on in others."""
+    k = F.col("id")
+    dx = k % 3 - 1
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.floor(F.col("x0") / 100) * 100, F.floor(F.col("y0") / 100) * 100
+    name = lambda x, y: (x * 1000000 + y).cast("long")
+    path = F.array(at(x, y), at(x + dx * 40 + k % 7, y + 50), at(x + dx * 100, y + 100))
+    c = F.floor(k / 3).cast("long") % 3
+    flags = F.array_compact(F.array(F.when(k % 4 == 0, "culdesac"), F.when(F.floor(k / 9).cast("long") % 5 < 2, "local_spine")))
+    t = v.seg(spark, d).select(
+        "id", name(x, y).alias("u"), name(x + dx * 100, y + 100).alias("v"), path.alias("path"), (6 + F.floor(k / 45).cast("long") % 5).cast("double").alias("width_m"), flags.alias("flags"),
+        F.when(c == 0, "arterial").when(c == 1, "major_local").otherwise("minor_local").alias("road_class"),
+    )
+    return t.withColumn("length_m", path_length(F.col("path")))
+
+
+_LANES = """ln AS (SELECT id, x * 1000000 + y AS u, (x + dx * 100) * 1000000 + y + 100 AS v, x, y, dx, id % 7 AS m, (6 + id // 45 % 5)::DOUBLE AS width_m, id // 9 % 5 < 2 AS sp, id % 4 = 0 AS cul, CASE id // 3 % 3 WHEN 0 THEN 'arterial' WHEN 1 THEN 'major_local' ELSE 'minor_local' END AS road_class
+      FROM (SELECT id, floor(x0/100)::BIGINT*100 AS x, floor(y0/100)::BIGINT*100 AS y, id % 3 - 1 AS dx FROM seg)),
+    le AS (SELECT *, sqrt(pow(dx*40+m,2)+2500) + sqrt(pow(dx*60-m,2)+2500) AS length_m FROM ln)"""
+_CONT = f"""{_LANES}, fr AS (SELECT u AS node, id, road_class, width_m, sp, (dx*40+m)::DOUBLE AS dx, 50.0::DOUBLE AS dy FROM ln UNION ALL SELECT v, id, road_class, width_m, sp, (m-dx*60)::DOUBLE, -50.0::DOUBLE FROM ln),
+    sc AS (SELECT a.node, a.id AS a, b.id AS b, 180 - degrees(acos(least(1.0, greatest(-1.0, (a.dx*b.dx+a.dy*b.dy) / (sqrt(a.dx*a.dx+a.dy*a.dy)*sqrt(b.dx*b.dx+b.dy*b.dy)))))) AS turn,
+      greatest(CASE a.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE CASE WHEN a.sp OR b.sp THEN 12 ELSE 22 END END, CASE b.road_class WHEN 'arterial' THEN 15 WHEN 'major_local' THEN 18 ELSE CASE WHEN a.sp OR b.sp THEN 12 ELSE 22 END END)::DOUBLE AS mt,
+      CASE WHEN a.road_class = b.road_class THEN 1.0 ELSE 0.3 END::DOUBLE AS m, greatest(0.0, 1 - abs(a.width_m - b.width_m) / greatest(a.width_m, b.width_m) / 0.35::DOUBLE) AS w, CASE WHEN a.sp AND b.sp THEN 1.5 ELSE 1.0 END::DOUBLE AS bonus FROM fr a JOIN fr b ON a.node = b.node AND a.id <> b.id),
+    co AS (SELECT node, a, b, turn, round((1 - turn/mt) * m * w * bonus, 6) AS score FROM sc WHERE turn < mt AND round((1 - turn/mt) * m * w * bonus, 6) > 0), be AS (SELECT node, a, arg_min(b, (-score, b)) AS b FROM co GROUP BY ALL),
     mb AS (SELECT x.node, x.a, x.b FROM be x JOIN be y ON x.node = y.node AND x.a = y.b AND x.b = y.a WHERE x.a < x.b)"""
 
 
-@query("continuation_score", "edges hubs", f"WITH {_CONT} SELECT node, a, b, round(score, 4) AS score FROM co")
+@query("continuation_score", "seg", f"WITH {_CONT} SELECT node, a, b, score, round(turn, 4) AS turn FROM co")
 def continuation_score(spark, d):
-    return g.continuation_scores(v.edges(spark, d), v.hubs(spark, d)).withColumn("score", r4("score"))
+    return g.continuation_scores(_lanes(spark, d)).select("node", "a", "b", "score", r4("turn").alias("turn"))
 
 
-@query("mutual_best", "edges hubs", f"WITH {_CONT} SELECT node, a, b FROM mb")
+@query("mutual_best", "seg", f"WITH {_CONT} SELECT node, a, b FROM mb")
 def mutual_best(spark, d):
-    return g.mutual_best(g.continuation_scores(v.edges(spark, d), v.hubs(spark, d)))
+    return g.mutual_best(g.continuation_scores(_lanes(spark, d)))
 
 
-_STROKE = f"RECURSIVE WITH {_CONT}, sy AS (SELECT a, b FROM mb UNION ALL SELECT b, a FROM mb), wk(id, c) AS (SELECT id, id FROM edges UNION SELECT sy.b, wk.c FROM wk JOIN sy ON sy.a = wk.id), st AS (SELECT id, min(c) AS stroke FROM wk GROUP BY 1)"
+_STROKE = f"RECURSIVE WITH {_CONT}, sy AS (SELECT a, b FROM mb UNION ALL SELECT b, a FROM mb), wk(id, c) AS (SELECT id, id FROM ln UNION SELECT sy.b, wk.c FROM wk JOIN sy ON sy.a = wk.id), st AS (SELECT id, min(c) AS stroke FROM wk GROUP BY 1)"
 
 
-@query("build_strokes", "edges hubs", f"{_STROKE} SELECT id, stroke FROM st")
+@query("build_strokes", "seg", f"{_STROKE} SELECT id, stroke FROM st")
 def build_strokes(spark, d):
-    return g.strokes(v.edges(spark, d), v.hubs(spark, d))
+    return g.strokes(_lanes(spark, d))
 
 
-def _strokes(spark, d):
-    e = v.edges(spark, d)
-    return e.join(g.strokes(e, v.hubs(spark, d)), "id")
+_RUNS = f"""{_STROKE}, j AS (SELECT * FROM le JOIN st USING (id)), dm AS (SELECT stroke, arg_min(road_class, (-n, road_class)) AS dominant FROM (SELECT stroke, road_class, sum(length_m) AS n FROM j GROUP BY ALL) GROUP BY 1),
+    df AS (SELECT stroke, sum(turn) AS deflection FROM mb JOIN co USING (node, a, b) JOIN st ON st.id = mb.a GROUP BY 1),
+    rs AS (SELECT stroke, count(*) AS n_edges, sum(length_m) AS length_m, any_value(dominant) AS road_class, degrees(atan2(sum(50 / sqrt(pow(dx*40+m,2)+2500)), sum((dx*40+m) / sqrt(pow(dx*40+m,2)+2500)))) AS bearing, coalesce(any_value(deflection), 0.0) AS deflection, bool_or(sp) OR sum(length_m) >= 500 AS spine,
+      concat(CASE WHEN bool_or(cul) THEN 'culdesac ' ELSE '' END, CASE WHEN bool_or(sp) THEN 'local_spine' WHEN sum(length_m) >= 500 THEN 'local_spine_run' ELSE '' END) AS flags FROM j JOIN dm USING (stroke) LEFT JOIN df USING (stroke) GROUP BY stroke)"""
 
 
-@query("stroke_summary", "edges hubs", f"""{_STROKE}, j AS (SELECT * FROM edges JOIN st USING (id)), dm AS (SELECT stroke, arg_min(road_class, (-n, road_class)) AS dominant FROM (SELECT stroke, road_class, count(*) AS n FROM j GROUP BY ALL) GROUP BY 1)
-    SELECT stroke, count(*) AS n_edges, round(sum(length_m), 4) AS length, any_value(dominant) AS dominant, sum(length_m) >= 500 AS spine FROM j JOIN dm USING (stroke) GROUP BY stroke""")
+@query("stroke_summary", "seg", f"{_RUNS} SELECT stroke, n_edges, round(length_m, 4) AS length, road_class AS dominant, round(bearing, 4) AS bearing, round(deflection, 4) AS deflection, spine, trim(flags) AS flags FROM rs")
 def stroke_summary(spark, d):
-    t = _strokes(spark, d)
-    s = t.groupBy("stroke").agg(F.count("*").alias("n_edges"), r4(F.sum("length_m")).alias("length"), (F.sum("length_m") >= 500).alias("spine"))
-    return s.join(stats.dominant(t, ["stroke"], "road_class").select("stroke", "dominant"), "stroke")
+    s = g.stroke_summary(_lanes(spark, d))
+    return s.select("stroke", "n_edges", r4("length_m").alias("length"), F.col("road_class").alias("dominant"), r4("bearing").alias("bearing"), r4("deflection").alias("deflection"), "spine", F.concat_ws(" ", "flags").alias("flags"))
 
 
-@query("stroke_metrics", "edges hubs", f"""{_STROKE}, l AS (SELECT stroke, sum(length_m) AS len FROM edges JOIN st USING (id) GROUP BY 1) SELECT count(*) AS n, round(quantile_cont(len, 0.5), 4) AS p50, round(quantile_cont(len, 0.9), 4) AS p90, round(quantile_cont(len, 0.99), 4) AS p99, round(avg(CASE WHEN len BETWEEN 300 AND 900 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS in_band FROM l""")
+@query("stroke_metrics", "seg", f"""{_RUNS}, sk AS (SELECT *, unnest(CASE WHEN spine THEN ['all', 'spine', road_class] ELSE ['all', road_class] END) AS scope FROM rs)
+    SELECT scope, count(*) AS n, round(quantile_cont(length_m, 0.5), 4) AS p50, round(quantile_cont(length_m, 0.9), 4) AS p90, round(quantile_cont(length_m, 0.99), 4) AS p99, round(avg(n_edges), 4) AS mean_edges, round(quantile_cont(deflection, 0.9), 4) AS deflection_p90, round(avg(CASE WHEN length_m BETWEEN 1000 AND 2000 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS in_band FROM sk GROUP BY scope""")
 def stroke_metrics(spark, d):
-    t = _strokes(spark, d).groupBy("stroke").agg(F.sum("length_m").alias("len")).withColumn("k", F.lit(1))
-    p = stats.percentiles(t, ["k"], "len")
-    b = stats.band_rates(t, ["k"], "len", 300.0, 900.0)
-    return t.groupBy("k").agg(F.count("*").alias("n")).join(p, "k").join(b, "k").select("n", r4("p50").alias("p50"), r4("p90").alias("p90"), r4("p99").alias("p99"), "in_band")
+    m = g.stroke_metrics(materialize(g.stroke_summary(_lanes(spark, d))))
+    return m.select("scope", "n", *(r4(c).alias(c) for c in ("p50", "p90", "p99", "mean_edges", "deflection_p90")), F.round("in_band", 6).alias("in_band"))
 
 
 _OD = """nh AS (SELECT a.id, a.tier, arg_min(b.id, (sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), b.id)) AS higher FROM hubs a JOIN hubs b ON b.tier < a.tier GROUP BY ALL),
