@@ -165,3 +165,29 @@ def transitions(samples: DataFrame, flag: str) -> DataFrame:
     was = F.lag(flag).over(_line())
     t = samples.withColumn("turned", F.when(was.isNotNull() & (was != F.col(flag)), 1).otherwise(0))
     return t.groupBy("line_id").agg(F.sum("turned").alias("changes")).select("line_id", "changes", F.expr("changes div 2").alias("crossings"))
+
+
+def segment_costs(segments: DataFrame, cells: DataFrame, size: float, extent: float, slope_penalty: float, crossing_penalty: float) -> DataFrame:
+    """(line_id, seq, length, slope, crossings, cost) of segments (line_id, seq, x0, y0, x1, y1, len) over a raster.
+
+    ``cells``: ix, iy, slope, wet, of ``size`` metres; a missing cell is flat and dry.  A segment is sampled at 8 steps at
+    least, and one for each 64th of ``extent``; ``slope`` is the mean of its samples by the raster's greatest, two
+    changes between wet and dry are a crossing.  The samples of one segment are all that meets in one window.
+    """
+    steps = F.greatest(F.lit(8), F.floor(F.col("len") / max(extent / 64, 1.0)).cast("int"))
+    t = segments.where("len > 1e-6").withColumn("_n", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    share = F.col("_k") / F.col("_n")
+    cell = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * share) / size).cast("long")
+    t = t.withColumns({"ix": cell("x0", "x1"), "iy": cell("y0", "y1")}).join(cells.select("ix", "iy", "slope", "wet"), ["ix", "iy"], "left")
+    wet = F.coalesce("wet", F.lit(False))
+    was = F.lag(wet).over(Window.partitionBy("line_id", "seq").orderBy("_k"))
+    t = t.withColumn("_turn", F.when(was != wet, 1).otherwise(0))
+    t = t.groupBy("line_id", "seq").agg(F.first("len").alias("length"), F.avg(F.coalesce("slope", F.lit(0.0))).alias("slope"), F.expr("sum(_turn) div 2").alias("crossings"))
+    most = cells.agg(F.coalesce(F.max("slope"), F.lit(0.0)).alias("_most"))
+    t = t.join(F.broadcast(most)).withColumn("slope", F.col("slope") / (F.col("_most") + 1e-9)).drop("_most")
+    return t.withColumn("cost", F.col("length") * (1 + slope_penalty * F.col("slope")) + F.col("crossings") * crossing_penalty)
+
+
+def line_costs(costs: DataFrame) -> DataFrame:
+    """(line_id, length, crossings, cost): the sums of ``segment_costs``."""
+    return costs.groupBy("line_id").agg(F.sum("length").alias("length"), F.sum("crossings").alias("crossings"), F.sum("cost").alias("cost"))

@@ -92,6 +92,25 @@ def band_rates(df: DataFrame, by: list[str], value: str, low: float, high: float
     return df.groupBy(*by).agg(share(c < low).alias("short"), share(c.between(low, high)).alias("in_band"), share(c > high).alias("long"))
 
 
+# Reasons for which a trace may end early.
+EXEMPT_REASONS = ("river_blocked", "block_exit", "near_network", "road_too_far", "boundary")
+
+
+def trace_rates(df: DataFrame, by: list[str], low: float, high: float, small_block: float) -> DataFrame:
+    """Shares of traces (length_m, culdesac, reason, block_axis) that are short, in the band, long, over 1 and 3 km.
+
+    ``culdesac_short``: of the culdesacs.  ``strict_band``: of the traces that had no excuse: no culdesac, a block that
+    is not small, no exempt reason.  A share of nothing is 0.
+    """
+    m, cul = F.col("length_m"), F.col("culdesac")
+    strict = ~cul & (F.coalesce("block_axis", F.lit(0.0)) >= small_block) & ~F.coalesce(F.col("reason").isin(*EXEMPT_REASONS), F.lit(False))
+    share = lambda c, of=F.lit(True): F.coalesce(F.avg(F.when(of, F.when(c, 1.0).otherwise(0.0))), F.lit(0.0))
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), share(m < low).alias("short"), share(m.between(low, high)).alias("in_band"), share(m > high).alias("long"), share(m > 1000).alias("over_1km"),
+        share(m > 3000).alias("over_3km"), share(m < low, cul).alias("culdesac_short"), share(m.between(low, high), strict).alias("strict_band")
+    )
+
+
 def dominant(df: DataFrame, by: list[str], category: str, weight: Column | None = None) -> DataFrame:
     """The category with the most rows (or weight) of each group; ties to the smallest name."""
     n = F.count("*") if weight is None else F.sum(weight)

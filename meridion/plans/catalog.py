@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.plans import aggregates, graphs, joins, layers, logs, polylines, rasters, scalars  # noqa: F401
+from meridion.plans import aggregates, graphs, joins, layers, logs, polylines, rasters, scalars, zoning  # noqa: F401
 from meridion.plans.registry import ORACLES, QUERIES
 
 

@@ -245,35 +245,6 @@ def distinct_zones(spark, d):
     return matching.distinct_boxes(boxes, 1000.0).select(F.col("id").alias("zone_id"))
 
 
-_ZT = "coalesce(least(1.0, greatest(0.0, ((z.cx-s.x0)*(s.x1-s.x0)+(z.cy-s.y0)*(s.y1-s.y0)) / nullif((s.x1-s.x0)*(s.x1-s.x0)+(s.y1-s.y0)*(s.y1-s.y0), 0))), 0)"
-
-
-@query("classify_zones", "zones sites hubs seg", f"""WITH q AS (SELECT zone_id, min(sqrt(pow(cx-s.x,2)+pow(cy-s.y,2))) AS river, sum(CASE s.kind WHEN 0 THEN 0.35 WHEN 1 THEN 0.7 WHEN 2 THEN 1.0 ELSE 0.25 END::DOUBLE * greatest(0.0, 1 - sqrt(pow(cx-s.x,2)+pow(cy-s.y,2)) / 1050) * quality) AS res FROM zones, sites s GROUP BY 1),
-    w AS (SELECT zone_id, min(d) AS hub, arg_min(tier, (d, -id)) AS tier FROM (SELECT zone_id, h.id, h.tier, sqrt(pow(cx-h.x,2)+pow(cy-h.y,2)) AS d FROM zones, hubs h) GROUP BY 1),
-    r AS (SELECT z.zone_id, s.id % 3 AS c, min(sqrt(pow(z.cx-(s.x0+{_ZT}*(s.x1-s.x0)),2)+pow(z.cy-(s.y0+{_ZT}*(s.y1-s.y0)),2))) AS d FROM zones z, seg s GROUP BY ALL),
-    a AS (SELECT z.zone_id, z.area, river, res, hub, tier, r0.d AS art, r1.d AS col, r2.d AS loc FROM zones z JOIN q USING (zone_id) JOIN w USING (zone_id) JOIN r r0 ON r0.zone_id = z.zone_id AND r0.c = 0 JOIN r r1 ON r1.zone_id = z.zone_id AND r1.c = 1 JOIN r r2 ON r2.zone_id = z.zone_id AND r2.c = 2)
-    SELECT zone_id, CASE WHEN river < 12 THEN 'green_candidate' WHEN area > 20000 AND art < 30 AND hub > 180 THEN 'industrial_candidate' WHEN (art < 35 OR col < 24) AND tier <= 2 AND area > 1200 THEN 'commercial_candidate'
-    WHEN area > 6000 AND (res > 0.45 OR hub < 160) THEN 'public_facility_candidate' WHEN loc > 65 AND col > 55 AND area > 8000 THEN 'green_candidate' ELSE 'residential_candidate' END AS land_use FROM a""")
-def classify_zones(spark, d):
-    from meridion.operators.landuse import KIND_SHARES, land_use, resource_score
-
-    z, h = v.zones(spark, d), v.hubs(spark, d)
-    p = z.select(F.col("zone_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    t = z.select(F.col("zone_id").alias("id"), "area").join(sp.nearest_distance(p, v.sites(spark, d).select("id", "x", "y"), 500.0, v.EXTENT).withColumnRenamed("dist", "river"), "id")
-    kind = F.element_at(F.array(*map(F.lit, KIND_SHARES)), (F.col("kind") + 1).cast("int"))
-    s = v.sites(spark, d).select(F.col("id").alias("site"), "x", "y", "quality", "radius", kind.alias("kind"))
-    near = sp.within_distance(p, s, 1050.0).groupBy("id").agg(F.sum(resource_score(F.col("kind"), F.col("dist"), F.col("quality"), F.col("radius"))).alias("res"))
-    # Hubs get numbers of their own, so that none is taken for the zone itself.
-    hub = sp.knn_join(p, h.select((-1 - F.col("id")).alias("other"), "x", "y"), 1, 1000.0).select("id", F.col("dist").alias("hub"), (-1 - F.col("other")).alias("hub_id"))
-    t = t.join(near, "id", "left").join(hub.join(h.select(F.col("id").alias("hub_id"), "tier"), "hub_id"), "id")
-    for k, name in enumerate(("arterial", "collector", "local")):  # the segments' road classes
-        road = v.seg(spark, d).withColumn("road_class", F.col("id") % 3).where(F.col("road_class") == k)
-        road = road.select(F.col("id").alias("seg"), "x0", "y0", "x1", "y1")
-        t = t.join(sp.nearest_segment(p, road, 200.0).select("id", F.col("dist").alias(name)), "id")
-    use = land_use(F.lit(0.0), F.col("river"), F.col("arterial"), F.col("collector"), F.col("local"), F.lit(1e9), F.col("hub"), F.col("tier"), F.coalesce("res", F.lit(0.0)), F.col("area"))
-    return t.select(F.col("id").alias("zone_id"), use.alias("land_use"))
-
-
 _TOLERANCE = 0.6
 _CULDESAC = "CASE WHEN id % 4 = 0 THEN '-cul' ELSE '' END"
 

@@ -369,9 +369,3 @@ def adaptive_threshold(spark, d):
     """The share of the largest flow at which rivers cover 10 to 30 % of the surface, after four tries at most."""
     t = r.adaptive_threshold(r.flow_accumulation(r.flow_direction(v.surface(spark, d))), 0.2)
     return t.select("tries", F.round("threshold", 9).alias("threshold"), F.round("coverage", 9).alias("coverage"), "fits")
-
-
-@query("fallback_layers", "cells", """SELECT ix, iy, round(coalesce(CASE WHEN (ix + iy) % 3 = 0 THEN h END, norm * 100), 4) AS flood, (ix + iy) % 3 <> 0 AS degraded FROM (SELECT *, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) AS norm FROM cells)""")
-def fallback_layers(spark, d):
-    c = v.cells(spark, d).withColumn("real", F.when((F.col("ix") + F.col("iy")) % 3 == 0, F.col("h")))
-    return r.normalize(c).select("ix", "iy", r4(F.coalesce("real", F.col("norm") * 100)).alias("flood"), F.col("real").isNull().alias("degraded"))
