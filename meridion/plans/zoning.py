@@ -96,12 +96,12 @@ def trace_rates(spark, d):
 
 @query("fallback_layers", "surface", """WITH s AS (SELECT ix, iy, h AS suit, (ix * 31 + iy * 17) % 101 AS accum, CASE WHEN (ix + iy) % 3 = 0 THEN h / 1000 END AS flood, CASE WHEN ix % 2 = 0 THEN 0.5 END::DOUBLE AS population, NULL::DOUBLE AS green FROM surface),
     n AS (SELECT ix, iy, flood, population, (suit - min(suit) OVER ()) / greatest(1e-6, max(suit) OVER () - min(suit) OVER ())::DOUBLE AS su, (accum - min(accum) OVER ()) / greatest(1e-6, max(accum) OVER () - min(accum) OVER ())::DOUBLE AS ac FROM s)
-    SELECT ix, iy, round(coalesce(flood, ac), 4) AS flood, round(coalesce(population, 0.75 * su + 0.25 * (1 - ac)), 4) AS population, round(0.55 * ac + 0.45 * (1 - su), 4) AS green, CASE WHEN flood IS NULL THEN 'flood ' ELSE '' END || CASE WHEN population IS NULL THEN 'population ' ELSE '' END || 'green' AS degraded FROM n""")
+    SELECT ix, iy, round(coalesce(flood, ac), 6) AS flood, round(coalesce(population, 0.75 * su + 0.25 * (1 - ac)), 6) AS population, round(0.55 * ac + 0.45 * (1 - su), 6) AS green, CASE WHEN flood IS NULL THEN 'flood ' ELSE '' END || CASE WHEN population IS NULL THEN 'population ' ELSE '' END || 'green' AS degraded FROM n""")
 def fallback_layers(spark, d):
     x, y = F.col("ix"), F.col("iy")
     made = {"suit": F.col("h"), "accum": ((x * 31 + y * 17) % 101).cast("double"), "flood": F.when((x + y) % 3 == 0, F.col("h") / 1000), "population": F.when(x % 2 == 0, 0.5), "green": F.lit(None).cast("double")}
     t = landuse.fallback_layers(v.surface(spark, d).select("ix", "iy", *(c.alias(n) for n, c in made.items())))
-    return t.select("ix", "iy", r4("flood").alias("flood"), r4("population").alias("population"), r4("green").alias("green"), F.concat_ws(" ", "degraded").alias("degraded"))
+    return t.select("ix", "iy", *(F.round(n, 6).alias(n) for n in ("flood", "population", "green")), F.concat_ws(" ", "degraded").alias("degraded"))
 
 
 @query("fallback_traffic", "edges", """WITH e AS (SELECT *, 1 - (weight - least(min(weight) OVER (), 0)) / greatest(1e-6, greatest(max(weight) OVER (), 1) - least(min(weight) OVER (), 0))::DOUBLE AS light FROM edges),
