@@ -411,26 +411,29 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     encoded = tables.put(rows.mapInArrow(_encode(id_type), f"batch long, ids array<{ddl}>, held array<boolean>, lens array<long>, tokens binary, words array<string>, counts array<long>, looks array<int>"))
 
-    # Every batch's words with their counts over all batches, by one shuffle of words.
+    # Words with their counts over all batches: tasks add up their own first, so a common word is one row of each task.
     each = encoded.select("batch", F.posexplode(F.arrays_zip("words", "counts", "looks")).alias("at", "w")).select("batch", "at", "w.words", "w.counts", "w.looks")
-    of_word = Window.partitionBy("words")
-    counted = each.select("batch", "at", "words", "looks", F.sum("counts").over(of_word).alias("c"), F.row_number().over(of_word.orderBy("batch")).alias("k"))
-    counted = tables.put(counted)
-    types = counted.where("k = 1 and c > 0")
-    total, n_types = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    often = types.where(F.col("c") * most_words >= F.lit(total)).select("words", "c")  # most_words at most
+    types = tables.put(each.groupBy("words").agg(F.sum("counts").alias("c"), F.max("looks").alias("looks")))
+    learned = types.where("c > 0")
+    total, n_types = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
+    often = learned.where(F.col("c") * most_words >= F.lit(total)).select("words", "c")  # most_words at most
     names = [(r.words, n, r.c) for n, r in enumerate(often.orderBy(F.desc("c"), "words").collect())]
     n_words = len(names)
-    numbered = spark.createDataFrame([x[:2] for x in names], "words string, number int")
-    met = counted.join(F.broadcast(numbered), "words", "left").select("batch", "at", "c", F.coalesce("number", F.lit(-1)).alias("number"), "looks", "k", F.xxhash64("words").alias("key"))
-    rest = {r.looks: (r.n, r.v) for r in met.where("number < 0 and k = 1 and c > 0").groupBy("looks").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    numbered = F.broadcast(spark.createDataFrame(names, "words string, number int, c long"))
+    # Batches get the counts of frequent words without a shuffle, those of the others by one.
+    met = each.select("batch", "at", "words")
+    rare = met.join(numbered.select("words"), "words", "left_anti").join(types.select("words", "c"), "words")
+    met = met.join(numbered, "words").unionByName(rare.withColumn("number", F.lit(-1)))
+    met = met.select(F.col("batch").alias("batch"), "at", "c", "number", F.xxhash64("words").alias("key"))
+    others = learned.join(numbered.select("words"), "words", "left_anti")
+    rest = {r.looks: (r.n, r.v) for r in others.groupBy("looks").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
 
     longs = "array<long>"
     symbols = tables.put(
-        encoded.select("batch", "ids", "held", "lens", "tokens", "looks").groupBy("batch").cogroup(met.select("batch", "at", "c", "number", "key").groupBy("batch"))
+        encoded.select("batch", "ids", "held", "lens", "tokens", "looks").groupBy("batch").cogroup(met.groupBy("batch"))
         .applyInArrow(_number(total, n_types, n_words, id_type), f"batch long, ids array<{ddl}>, held array<boolean>, lens {longs}, known {longs}, base array<double>, counted array<double>, tokens binary, symbols binary, keys binary, once binary")
     )
-    entries = counted.count()
+    entries = encoded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).head().n
     tables.drop(0)
     tables.drop(1)
 
