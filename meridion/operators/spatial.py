@@ -24,7 +24,11 @@ def _covered(df: DataFrame, box: tuple[Column, Column, Column, Column], size: fl
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows dealt by cell: the join needs that where no side is small, and a small table is not left to one task."""
+    """Rows dealt by cell: the join needs that where no side is small, and a small table is not left to one task.
+
+    The other side is joined by a merge: Spark sees the size of a table before it is filed under many cells, and would send
+    it through the driver.
+    """
     return df.repartition("_cx", "_cy")
 
 
@@ -33,7 +37,7 @@ def bbox_join(a: DataFrame, b: DataFrame, size: float, pad: float = 0.0) -> Data
     left = _covered(a, tuple(F.col(f"a_{c}") for c in ("min_x", "min_y", "max_x", "max_y")), size)
     right = _covered(b, tuple(F.col(f"b_{c}") + s * pad for c, s in (("min_x", -1), ("min_y", -1), ("max_x", 1), ("max_y", 1))), size)
     own = (F.col("_cx") == F.greatest(_cell(F.col("a_min_x"), size), _cell(F.col("b_min_x") - pad, size))) & (F.col("_cy") == F.greatest(_cell(F.col("a_min_y"), size), _cell(F.col("b_min_y") - pad, size)))
-    return _spread(left).join(right, ["_cx", "_cy"]).where(g.boxes_overlap("a_", "b_", pad + g.TINY) & own).drop("_cx", "_cy")
+    return _spread(left).join(right.hint("merge"), ["_cx", "_cy"]).where(g.boxes_overlap("a_", "b_", pad + g.TINY) & own).drop("_cx", "_cy")
 
 
 def boxed(segments: DataFrame, prefix: str) -> DataFrame:
@@ -60,7 +64,7 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, size: float | Non
     left = a.withColumn("_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
     right = b.withColumnsRenamed({"x": "bx", "y": "by"}).withColumn("_dx", around).withColumn("_dy", around)
     right = right.withColumn("_cx", _cell(F.col("bx"), size) + F.col("_dx")).withColumn("_cy", _cell(F.col("by"), size) + F.col("_dy")).drop("_dx", "_dy")
-    return left.join(right, ["_cx", "_cy"]).withColumn("dist", g.distance("x", "y", "bx", "by")).where(F.col("dist") <= radius).drop("_cx", "_cy")
+    return left.join(right.hint("merge"), ["_cx", "_cy"]).withColumn("dist", g.distance("x", "y", "bx", "by")).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
 def _rings(a: DataFrame, near, enough, first: float, limit: float) -> DataFrame:
@@ -149,18 +153,46 @@ def snap(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:
     return points.join(best.select("id", "anchor", "bx", "by"), "id", "left").select("id", F.coalesce("bx", "x").alias("x"), F.coalesce("by", "y").alias("y"), "anchor")
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """(id, zone_id): the first zone (zone_id, ring) that holds each point; points in none are left out."""
+def _inside(ring: Column, x: Column, y: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    passes = F.zip_with(ring, following, lambda a, b: F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]), 1).otherwise(0))
+    return F.aggregate(passes, F.lit(0), lambda n, p: n + p) % 2 == 1
+
+
+def _covers_cell(ring: Column, size: float) -> Column:
+    """Whether the ring holds the whole cell _cx, _cy: no side of it comes near the cell, and the middle is inside."""
+    pad = size * 1e-6
+    x0, y0, x1, y1 = F.col("_cx") * size - pad, F.col("_cy") * size - pad, (F.col("_cx") + 1) * size + pad, (F.col("_cy") + 1) * size + pad
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    def touches(a, b):
+        side = [(b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) for x in (x0, x1) for y in (y0, y1)]
+        apart = (F.least(a["x"], b["x"]) > x1) | (F.greatest(a["x"], b["x"]) < x0) | (F.least(a["y"], b["y"]) > y1) | (F.greatest(a["y"], b["y"]) < y0)
+        return F.when(apart | (F.least(*side) > 0) | (F.greatest(*side) < 0), 0).otherwise(1)
+
+    met = F.aggregate(F.zip_with(ring, following, touches), F.lit(0), lambda n, p: n + p)
+    return (met == 0) & _inside(ring, (x0 + x1) / 2, (y0 + y1) / 2)
+
+
+def zones_by_cell(zones: DataFrame, size: float) -> DataFrame:
+    """A row per cell and zone (zone_id, ring, box, _cx, _cy), in each cell up to the first zone that holds it whole.
+
+    No later one can be the first for a point there, so where zones lie on each other a cell's rows do not grow with them.
+    """
     ring = F.col("ring")
     ends = lambda f, k: f(F.transform(ring, lambda p: p[k]))
     box = [ends(f, k).alias(f"_{n}{k}") for f, n in ((F.array_min, "lo"), (F.array_max, "hi")) for k in ("x", "y")]
     filed = _covered(zones.select("zone_id", "ring", *box), tuple(F.col(c) for c in ("_lox", "_loy", "_hix", "_hiy")), size)
+    filed = filed.withColumn("_whole", F.min(F.when(_covers_cell(ring, size), F.col("zone_id"))).over(Window.partitionBy("_cx", "_cy")))
+    return filed.where(F.col("_whole").isNull() | (F.col("zone_id") <= F.col("_whole"))).drop("_whole")
+
+
+def points_in_zones(points: DataFrame, zones: DataFrame, size: float) -> DataFrame:
+    """(id, zone_id): the first zone (zone_id, ring) that holds each point; points in none are left out."""
     at = points.select("id", "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    passes = F.zip_with(ring, following, lambda a, b: F.when(((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]), 1).otherwise(0))
-    inside = F.aggregate(passes, F.lit(0), lambda n, p: n + p) % 2 == 1
     boxed_in = F.col("x").between(F.col("_lox"), F.col("_hix")) & F.col("y").between(F.col("_loy"), F.col("_hiy"))
-    return _spread(at).join(filed, ["_cx", "_cy"]).where(boxed_in & inside).groupBy("id").agg(F.min("zone_id").alias("zone_id"))
+    met = _spread(at).join(zones_by_cell(zones, size).hint("merge"), ["_cx", "_cy"]).where(boxed_in & _inside(F.col("ring"), F.col("x"), F.col("y")))
+    return met.groupBy("id").agg(F.min("zone_id").alias("zone_id"))
 
 
 def rasterize(segments: DataFrame, size: float, radius: float) -> DataFrame:
