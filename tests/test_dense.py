@@ -31,3 +31,12 @@ def test_a_slanted_ring_does_not_hold_cells_that_it_cuts(spark):
     points = [(k, -59.3 + k % 12 * 10, -59.5 + k // 12 * 10) for k in range(144)]
     got = {r.id: r.zone_id for r in sp.points_in_zones(spark.createDataFrame(points, "id long, x double, y double"), zones, 10.0).collect()}
     assert got == {k: 1 if abs(x) + abs(y) < 50 else 2 for k, x, y in points}
+
+
+def test_shared_cells_without_a_row_per_cell(spark):
+    rng = random.Random(6)
+    blocks = [(k, x := rng.randrange(20), y := rng.randrange(20), x + rng.randrange(8), y + rng.randrange(8)) for k in range(40)]
+    cells = {k: {(x, y) for x in range(a, c + 1) for y in range(b, d + 1)} for k, a, b, c, d in blocks}
+    want = {(a, b): round(len(cells[a] & cells[b]) / min(len(cells[a]), len(cells[b])), 9) for a in cells for b in cells if a < b and cells[a] & cells[b]}
+    df = spark.createDataFrame(blocks, "zone_id long, min_x long, min_y long, max_x long, max_y long")
+    assert {(r.a, r.b): round(r.share, 9) for r in sp.shared_cells(df, 5).collect()} == want
