@@ -216,23 +216,31 @@ def rasterize(segments: DataFrame, size: float, radius: float) -> DataFrame:
 def spaced_top_k(points: DataFrame, radius: float, k: int, max_rounds: int = 1000) -> DataFrame:
     """(id, x, y, score): best score first, without any point nearer than ``radius`` to one that is kept; k at most.
 
-    Iterative: in each round a point that no undecided neighbour outranks is kept and its neighbours are dropped, which
-    is what one pass over all points in the order of their scores does.
+    Iterative, and gives what one pass over all points in the order of their scores does: in each round the best open
+    points of cells are looked at, those that outrank the best of all cells in reach are kept, and points near them are
+    dropped.  So no pairs of points are made; rounds end when k are kept that outrank all that is open.
     """
-    t = materialize(points.where("score > 0").select("id", "x", "y", "score"))
-    b = t.select(F.col("id").alias("other"), "x", "y", F.col("score").alias("s2"))
-    near = within_distance(t, b, radius).where((F.col("id") != F.col("other")) & (F.col("dist") < radius))
-    outranks = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.col("other") < F.col("id")))
-    near = materialize(near.select("id", "other", outranks.alias("up")))
-    left, kept = t.select("id"), None
+    cell = lambda c: _cell(F.col(c), radius)
+    rank = F.struct(F.when(F.isnan("score"), float("-inf")).otherwise(-F.col("score")).alias("s"), "id")
+    left = materialize(points.where("score > 0").select("id", "x", "y", "score", cell("x").alias("_cx"), cell("y").alias("_cy")))
+    around = lambda df: df.withColumn("_cx", F.explode(F.array(*(F.col("_cx") + i for i in (-1, 0, 1))))).withColumn("_cy", F.explode(F.array(*(F.col("_cy") + i for i in (-1, 0, 1)))))
+    kept = None
     for n in range(max_rounds):
-        beaten = near.where("up").join(left, "id", "left_semi").join(left.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
-        won = materialize(left.join(beaten, "id", "left_anti"))
-        kept = won if kept is None else kept.unionByName(won)
-        if n % 8 == 7:
-            kept = materialize(kept)
-        gone = near.join(won.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
-        left = materialize(left.join(won, "id", "left_anti").join(gone, "id", "left_anti"))
-        if left.isEmpty():
-            return t.join(kept, "id", "left_semi").orderBy(F.desc("score"), "id").limit(k)
+        best = materialize(left.groupBy("_cx", "_cy").agg(F.min(F.struct(rank.alias("r"), "x", "y", "score")).alias("m")).select("_cx", "_cy", "m.*"))
+        if best.isEmpty():
+            return (left.select("id", "x", "y", "score") if kept is None else kept).orderBy(F.desc("score"), "id").limit(k)
+        if kept is not None:
+            last = kept.orderBy(F.desc("score"), "id").select(rank.alias("r")).limit(k).agg(F.max("r").alias("r"), F.count("*").alias("n"))
+            if not last.where(F.col("n") == k).join(best.agg(F.min("r").alias("b")), F.col("r") < F.col("b")).isEmpty():
+                return kept.orderBy(F.desc("score"), "id").limit(k)
+        ahead = around(best.select("_cx", "_cy", "r")).groupBy("_cx", "_cy").agg(F.min("r").alias("ahead"))
+        won = best.join(ahead, ["_cx", "_cy"]).where(F.col("r") == F.col("ahead")).select(F.col("r.id").alias("id"), "x", "y", "score", "_cx", "_cy")
+        won = materialize(won)
+        chosen = won.select("id", "x", "y", "score")
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        kept = materialize(kept) if n % 8 == 7 else kept
+        # Of the cells around one winner none has another, so a point has four to be compared with at most.
+        out = around(won.select(F.col("id").alias("_w"), F.col("x").alias("_wx"), F.col("y").alias("_wy"), "_cx", "_cy"))
+        gone = left.join(out, ["_cx", "_cy"]).where((F.col("id") == F.col("_w")) | (g.distance("x", "y", "_wx", "_wy") < radius)).select("id").distinct()
+        left = materialize(left.join(gone, "id", "left_anti"))
     raise RuntimeError("spaced selection did not settle")

@@ -33,6 +33,18 @@ def test_a_slanted_ring_does_not_hold_cells_that_it_cuts(spark):
     assert got == {k: 1 if abs(x) + abs(y) < 50 else 2 for k, x, y in points}
 
 
+def test_spaced_points_are_those_of_one_pass_and_rounds_are_few(spark):
+    rng = random.Random(5)
+    rows = [(k, float(rng.randrange(300)), float(rng.randrange(300)), float(rng.randrange(1, 40))) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, score double")
+    kept = []
+    for k, x, y, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all(math.hypot(x - a, y - b) >= 40 for _, a, b in kept):
+            kept.append((k, x, y))
+    assert [r.id for r in sp.spaced_top_k(df, 40.0, 10).collect()] == [k for k, _, _ in kept[:10]]
+    assert {r.id for r in sp.spaced_top_k(df, 40.0, 1000, max_rounds=30).collect()} == {k for k, _, _ in kept}
+
+
 def test_shared_cells_without_a_row_per_cell(spark):
     rng = random.Random(6)
     blocks = [(k, x := rng.randrange(20), y := rng.randrange(20), x + rng.randrange(8), y + rng.randrange(8)) for k in range(40)]
