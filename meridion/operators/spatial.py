@@ -6,6 +6,8 @@ that has been searched in full; only the other rows go on to a ring twice as wid
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,20 +79,33 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, size: float | Non
     return left.join(right.hint("merge"), ["_cx", "_cy"]).withColumn("dist", g.distance("x", "y", "bx", "by")).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
+# Fixed value: rows still open that are sent to all tasks, so that a late ring does not deal all others again.
+FEW = 4096
+
+
 def _rings(a: DataFrame, near, enough, first: float, limit: float) -> DataFrame:
     """Widen until each row's answer is proved: ``near(rows, radius)`` searches, ``enough(found, radius)`` proves."""
-    open_rows, radius, done = a, first, None
+    open_rows, radius, done, few = a, min(first, limit), None, False
     while True:
-        found = materialize(near(open_rows, radius))
+        found = materialize(near(F.broadcast(open_rows) if few else open_rows, radius))
         last = radius >= limit
         good = found if last else enough(found, radius)
         done = good if done is None else done.unionByName(good)
         if last:
             return done
         open_rows = materialize(open_rows.join(good.select("id").distinct(), "id", "left_anti"))
-        if open_rows.isEmpty():
+        left = open_rows.count()
+        if not left:
             return done
-        radius *= 2
+        radius, few = min(2 * radius, limit), left <= FEW
+
+
+def _start(n: int, width: float, height: float, length: float, k: int, first: float) -> float:
+    """A radius in which about 4 * k (16 at least) of ``n`` shapes lie, were they spread evenly; ``first`` at most."""
+    if not n:
+        return first
+    each = max(width, 1e-6) * max(height, 1e-6) / n * max(16, 4 * k)
+    return min(first, max(2 * each / (2 * length + math.sqrt(4 * length * length + 4 * math.pi * each)), first * 2.0**-20))
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, first: float, limit: float = 1e9) -> DataFrame:
@@ -132,28 +147,47 @@ def _nearest(a: DataFrame, b: DataFrame, first: float) -> DataFrame:
     return _rings(a.select("id", "x", "y"), near, lambda found, _: found, first, far)
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, first: float, k: int = 1) -> DataFrame:
-    """(id, seg, dist, px, py, t, rank): the k nearest segments (seg, x0, y0, x1, y1) of each point; ties by seg."""
+def _along(segments: DataFrame, radius: float, size: float) -> DataFrame:
+    """A row per cell in reach of the segment, as _cx, _cy: column by column those beside its part over the column."""
+    reach = radius + g.TINY
+    t = segments.withColumn("_cx", F.explode(F.sequence(_cell(F.least("x0", "x1") - reach, size), _cell(F.greatest("x0", "x1") + reach, size))))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    share = lambda x, level: F.when(F.abs(dx) > g.TINY, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x0")) / dx))).otherwise(level)
+    one = F.col("y0") + share(F.col("_cx") * size - reach, 0.0) * dy
+    two = F.col("y0") + share((F.col("_cx") + 1) * size + reach, 1.0) * dy
+    return t.withColumn("_cy", F.explode(F.sequence(_cell(F.least(one, two) - reach, size), _cell(F.greatest(one, two) + reach, size))))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, first: float, k: int = 1, limit: float | None = None, accept: Column | None = None) -> DataFrame:
+    """(id, seg, dist, px, py, t, rank): the k nearest segments (seg, x0, y0, x1, y1) of each point; ties by seg.
+
+    ``accept`` (of px, py and the segment's columns) leaves out others; none is farther than ``limit``.  The search
+    begins with what holds a few segments at their mean density, ``first`` at most, and segments are filed under cells
+    of an eighth of their length, so candidates do not grow with the square of a denser table.
+    """
     order = Window.partitionBy("id").orderBy("dist", "seg")
     s = materialize(segments.select("seg", "x0", "y0", "x1", "y1"))
-    e = s.agg(F.min(F.least("x0", "x1")), F.max(F.greatest("x0", "x1")), F.min(F.least("y0", "y1")), F.max(F.greatest("y0", "y1"))).head()
+    size = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    *e, n, length = s.agg(F.min(F.least("x0", "x1")), F.max(F.greatest("x0", "x1")), F.min(F.least("y0", "y1")), F.max(F.greatest("y0", "y1")), F.count("*"), F.avg(size)).head()
     p = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
     far = first + sum(max(abs((m or 0) - (n or 0)) for m in p[i : i + 2] for n in e[i : i + 2]) for i in (0, 2))
-    ends = (F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"))
+    began = _start(n, (e[1] or 0) - (e[0] or 0), (e[3] or 0) - (e[2] or 0), length or 0.0, k, first)
 
     def near(rows, radius):
-        filed = _covered(s, (ends[0] - radius, ends[1] - radius, ends[2] + radius, ends[3] + radius), radius)
-        at = rows.select("id", "x", "y", _cell(F.col("x"), radius).alias("_cx"), _cell(F.col("y"), radius).alias("_cy"))
-        met = _spread(at).join(filed, ["_cx", "_cy"]).withColumn("dist", g.segment_distance("x", "y", "x0", "y0", "x1", "y1")).where(F.col("dist") <= radius)
+        cell = max(radius, min(first, (length or 0.0) / 8))
+        filed = _along(s, radius, cell)
+        at = rows.select("id", "x", "y", _cell(F.col("x"), cell).alias("_cx"), _cell(F.col("y"), cell).alias("_cy"))
+        met = _spread(at).join(filed.hint("merge"), ["_cx", "_cy"]).withColumn("dist", g.segment_distance("x", "y", "x0", "y0", "x1", "y1")).where(F.col("dist") <= radius)
         t = g.along_segment("x", "y", "x0", "y0", "x1", "y1")
         met = met.withColumn("t", t).withColumn("px", F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0"))).withColumn("py", F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0")))
+        met = met if accept is None else met.where(accept)
         return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "seg", "dist", "px", "py", "t", "rank")
 
     def enough(found, _):
         full = found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == k)
         return found.join(full.select("id"), "id", "left_semi")
 
-    return _rings(points.select("id", "x", "y"), near, enough, first, far)
+    return _rings(points.select("id", "x", "y"), near, enough, began, far if limit is None else min(limit, far))
 
 
 def snap(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:

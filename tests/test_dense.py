@@ -33,6 +33,37 @@ def test_a_slanted_ring_does_not_hold_cells_that_it_cuts(spark):
     assert got == {k: 1 if abs(x) + abs(y) < 50 else 2 for k, x, y in points}
 
 
+def _segments(rng, n, span):
+    return [(k, *(p := (rng.uniform(0, span), rng.uniform(0, span))), p[0] + rng.uniform(-60, 60), p[1] + rng.uniform(-60, 60) * (k % 7 > 0)) for k in range(n)]
+
+
+def _away(x, y, s):
+    _, x0, y0, x1, y1 = s
+    n = (x1 - x0) ** 2 + (y1 - y0) ** 2
+    t = min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n)) if n else 0.0
+    return math.hypot(x - x0 - t * (x1 - x0), y - y0 - t * (y1 - y0)), x0 + t * (x1 - x0), y0 + t * (y1 - y0)
+
+
+def test_segments_are_filed_along_their_course(spark):
+    one = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 5.0, 0.0, 5.0, 100.0)], "seg long, x0 double, y0 double, x1 double, y1 double")
+    n = {r.seg: r["count"] for r in sp._along(one, 1.0, 10.0).groupBy("seg").count().collect()}
+    assert n[1] < 50 and n[2] < 15  # the box of the first has 144 cells
+
+
+def test_nearest_segments_equal_all_pairs(spark):
+    rng = random.Random(2)
+    rows = _segments(rng, 300, 200)
+    s = spark.createDataFrame(rows, "seg long, x0 double, y0 double, x1 double, y1 double")
+    points = [(k, rng.uniform(-100, 300), rng.uniform(-100, 300)) for k in range(60)] + [(60, 2500.0, -900.0)]
+    p = spark.createDataFrame(points, "id long, x double, y double")
+    got = {}
+    for r in sp.nearest_segment(p, s, 100.0, 5).collect():
+        got.setdefault(r.id, {})[r.rank] = r.seg
+    for k, x, y in points:
+        assert [got[k][i] for i in range(1, 6)] == [q[0] for q in sorted(rows, key=lambda q: (_away(x, y, q)[0], q[0]))[:5]]
+    assert sp._start(300, 200.0, 200.0, 40.0, 1, 100.0) < 30  # 100 m would meet most of the table
+
+
 def test_spaced_points_are_those_of_one_pass_and_rounds_are_few(spark):
     rng = random.Random(5)
     rows = [(k, float(rng.randrange(300)), float(rng.randrange(300)), float(rng.randrange(1, 40))) for k in range(900)]
