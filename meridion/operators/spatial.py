@@ -190,6 +190,21 @@ def nearest_segment(points: DataFrame, segments: DataFrame, first: float, k: int
     return _rings(points.select("id", "x", "y"), near, enough, began, far if limit is None else min(limit, far))
 
 
+def first_class_segment(points: DataFrame, segments: DataFrame, first: float, limit: float, accept: Column | None = None) -> DataFrame:
+    """(id, seg, dist, ..): of the segments (seg, class, ..) in reach the nearest of the lowest class; ties by seg.
+
+    Classes take turns, each with the points that none before has answered; there should be few of them.
+    """
+    left, done = points.select("id", "x", "y"), None
+    for c in sorted(r[0] for r in segments.select("class").distinct().collect()):
+        found = materialize(nearest_segment(left, segments.where(F.col("class") == c), first, 1, limit, accept))
+        done = found if done is None else done.unionByName(found)
+        left = materialize(left.join(found.select("id"), "id", "left_anti"))
+        if left.isEmpty():
+            break
+    return nearest_segment(left, segments, first, 1, limit, accept) if done is None else done
+
+
 def snap(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:
     """(id, x, y, anchor): points moved to the nearest anchor (anchor, rank, x, y) in reach; ties by rank, then anchor."""
     order = Window.partitionBy("id").orderBy("dist", "rank", "anchor")

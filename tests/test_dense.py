@@ -64,6 +64,21 @@ def test_nearest_segments_equal_all_pairs(spark):
     assert sp._start(300, 200.0, 200.0, 40.0, 1, 100.0) < 30  # 100 m would meet most of the table
 
 
+def test_the_lowest_class_in_reach_goes_before_a_nearer_one(spark):
+    rng = random.Random(3)
+    rows = _segments(rng, 120, 400)
+    s = spark.createDataFrame(rows, "seg long, x0 double, y0 double, x1 double, y1 double").withColumn("class", F.col("seg") % 3)
+    points = [(k, rng.uniform(0, 400), rng.uniform(0, 400)) for k in range(50)]
+    inner = (F.hypot(F.col("px") - F.col("x0"), F.col("py") - F.col("y0")) > 5) & (F.hypot(F.col("px") - F.col("x1"), F.col("py") - F.col("y1")) > 5)
+    found = sp.first_class_segment(spark.createDataFrame(points, "id long, x double, y double"), s, 100.0, 30.0, inner)
+    want = {}
+    for k, x, y in points:
+        fit = [(q[0] % 3, d, q[0]) for q in rows for d, px, py in [_away(x, y, q)] if d <= 30 and math.hypot(px - q[1], py - q[2]) > 5 and math.hypot(px - q[3], py - q[4]) > 5]
+        if fit:
+            want[k] = min(fit)[2]
+    assert {r.id: r.seg for r in found.collect()} == want and len(want) > 20
+
+
 def test_spaced_points_are_those_of_one_pass_and_rounds_are_few(spark):
     rng = random.Random(5)
     rows = [(k, float(rng.randrange(300)), float(rng.randrange(300)), float(rng.randrange(1, 40))) for k in range(900)]
