@@ -207,9 +207,23 @@ def first_class_segment(points: DataFrame, segments: DataFrame, first: float, li
 
 def snap(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:
     """(id, x, y, anchor): points moved to the nearest anchor (anchor, rank, x, y) in reach; ties by rank, then anchor."""
-    order = Window.partitionBy("id").orderBy("dist", "rank", "anchor")
-    best = within_distance(points.select("id", "x", "y"), anchors.select("anchor", "rank", "x", "y"), radius).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return points.join(best.select("id", "anchor", "bx", "by"), "id", "left").select("id", F.coalesce("bx", "x").alias("x"), F.coalesce("by", "y").alias("y"), "anchor")
+    best = nearest_anchor(points, anchors, radius).select("id", "anchor", "bx", "by")
+    return points.join(best, "id", "left").select("id", F.coalesce("bx", "x").alias("x"), F.coalesce("by", "y").alias("y"), "anchor")
+
+
+def nearest_anchor(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:
+    """(id, dist, rank, anchor, bx, by): the nearest anchor (anchor, rank, x, y) no farther than ``radius``; ties by rank, then anchor.
+
+    The search begins with what holds a few anchors at their mean density, so it meets no more pairs where they are dense.
+    """
+    b = materialize(anchors.select("anchor", "rank", "x", "y"))
+    n, width, height = b.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
+
+    def near(rows, reach):
+        met = within_distance(rows.select("id", "x", "y"), b, reach).groupBy("id").agg(F.min(F.struct("dist", "rank", "anchor", "bx", "by")).alias("m"))
+        return met.select("id", "m.*")
+
+    return _rings(points.select("id", "x", "y"), near, lambda found, _: found, _start(n, width or 0.0, height or 0.0, 0.0, 1, radius), radius)
 
 
 def _inside(ring: Column, x: Column, y: Column) -> Column:

@@ -79,6 +79,19 @@ def test_the_lowest_class_in_reach_goes_before_a_nearer_one(spark):
     assert {r.id: r.seg for r in found.collect()} == want and len(want) > 20
 
 
+def test_points_go_to_the_nearest_anchor_in_reach_only(spark):
+    rng = random.Random(4)
+    anchors = [(k, k % 3, float(rng.randrange(60)), float(rng.randrange(60))) for k in range(500)]
+    points = [(k, float(rng.randrange(-40, 100)), float(rng.randrange(-40, 100))) for k in range(80)]
+    found = sp.snap(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(anchors, "anchor long, rank long, x double, y double"), 25.0)
+    want = {}
+    for k, x, y in points:
+        d, _, a = min((math.hypot(x - ax, y - ay), r, a) for a, r, ax, ay in anchors)
+        want[k] = a if d <= 25 else None
+    assert {r.id: r.anchor for r in found.collect()} == want
+    assert sp._start(500, 60.0, 60.0, 0.0, 1, 25.0) < 10
+
+
 def test_spaced_points_are_those_of_one_pass_and_rounds_are_few(spark):
     rng = random.Random(5)
     rows = [(k, float(rng.randrange(300)), float(rng.randrange(300)), float(rng.randrange(1, 40))) for k in range(900)]
