@@ -115,12 +115,15 @@ def mix(
     bits = min(_DIGEST_BITS, max(0, -(-(n_docs or 0) // numbered) - 1).bit_length())
     digest = F.md5(F.coalesce("key", F.lit("")))
     head = F.conv(F.substring(digest, 1, _DIGEST_BITS // 4), 16, 10).cast("long")
-    rows = rows.select("row", "site", "key", "size", digest.alias("digest"), F.shiftright(head, _DIGEST_BITS - bits).alias("range"))
-    by_range = rows.groupBy("site", "range").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("site").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_range.select(F.col("site").alias("o_site"), F.col("range").alias("o_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    up_to_here = F.sum("size").over(Window.partitionBy("site", "range").orderBy("digest", F.asc_nulls_first("key"), F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("within", up_to_here - F.col("size")).join(offsets, F.col("site").eqNullSafe(F.col("o_site")) & (F.col("range") == F.col("o_range")))
+    # A name that is never null, so that the join by it finds the rows dealt as the window left them: rows are dealt once.
+    named = F.when(F.col("site").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("site")))
+    # The hash is taken before, so that the columns of a row that nobody asks for need not be dealt.
+    rows = rows.select("row", "site", named.alias("named"), "key", "size", digest.alias("digest"), F.xxhash64("row").alias("hash"), F.shiftright(head, _DIGEST_BITS - bits).alias("range"))
+    by_range = rows.groupBy("named", "range").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("named").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_range.select("named", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    up_to_here = F.sum("size").over(Window.partitionBy("named", "range").orderBy("digest", F.asc_nulls_first("key"), "hash").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("within", up_to_here - F.col("size")).join(offsets, ["named", "range"])
     at = F.col("before") + F.col("within")
     placed = placed.select("row", "site", F.floor(at / block_bytes).cast("long").alias("block"), (at % block_bytes).cast("long").alias("place"))
 

@@ -81,3 +81,18 @@ def test_any_number_of_digest_ranges_gives_one_order(spark):
     docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('x', int(id % 7)) AS text")
     few, many = (mix(docs, numbered=n, block_bytes=4096).select("row.doc_id", "site", "block", "epoch", "slot", "place") for n in (40_000, 1))
     assert few.exceptAll(many).isEmpty() and few.count() == many.count() >= 40_000
+
+
+def test_rows_are_dealt_once_whatever_the_joins(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 3}" if k % 4 else None, "a" * (k % 50)) for k in range(400)], "doc_id long, source string, text string")
+    plans = {}
+    for size in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            df = mix(docs, numbered=20).select("row.doc_id", "slot")
+            plans[size] = df._jdf.queryExecution().executedPlan().toString(), sorted(tuple(r) for r in df.collect())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    one, other = plans.values()
+    assert one[1] == other[1] and len(one[1]) >= 400
+    assert "SortMergeJoin [named" in one[0] and "hashpartitioning(coalesce(site" not in one[0]
