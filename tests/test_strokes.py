@@ -1,6 +1,7 @@
 """Strokes: scores by angle, class, width and spine, and what is told of each run."""
 
 import math
+import random
 
 from meridion.operators import graph
 
@@ -51,3 +52,20 @@ def test_summary_and_metrics(spark):
     m = {r.scope: r for r in graph.stroke_metrics(s, 700.0, 900.0).collect()}
     assert {k: r.n for k, r in m.items()} == {"all": 3, "spine": 2, "arterial": 2, "minor_local": 1}
     assert m["arterial"].p50 == 85.0 and m["spine"].in_band == 0.5
+
+
+def test_best_continuations_are_those_of_all_pairs(spark):
+    """Many edges that leave a node alike, a few loops; kinds of ends are compared, not edges."""
+    rng, rows = random.Random(9), []
+    at = {n: (100.0 * n, 0.0) for n in range(4)}
+    for k in range(240):
+        u, v = rng.randrange(4), rng.randrange(4)
+        (x, y), (p, q) = at[u], at[v]
+        path = [(x, y), (x + rng.choice([-10, 10]), y + rng.choice([-3, 0, 3])), (p + rng.choice([-10, 10]), q + rng.choice([-3, 0, 3])), (p, q)]
+        rows.append(_edge(k, u, v, path, rng.choice(["arterial", "minor_local"]), rng.choice([8.0, 9.0]), rng.choice([[], ["local_spine"]])))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for r in graph.continuation_scores(df).collect():
+        want[r.node, r.a] = min(want.get((r.node, r.a), (9, 0)), (-r.score, r.b))
+    found = {(r.node, r.a): (-r.score, r.b) for r in graph.best_continuations(df).collect()}
+    assert found == want and len(want) > 200
