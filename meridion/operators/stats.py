@@ -80,10 +80,25 @@ def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The value at the half-even rounded place (n - 1) * q of each group, without collecting the group."""
-    part = Window.partitionBy(*by)
-    t = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(part.orderBy(value)) - 1).alias("_k"), F.count("*").over(part).alias("_n"))
-    return t.where(F.col("_k") == F.rint((F.col("_n") - 1) * q)).select(*by, F.col(value).alias("q"))
+    """The value at the half-even rounded place (n - 1) * q of each group.
+
+    Equal values are counted first; the counts are ranged over tasks by group and value and added up range by range, so
+    neither a group with most rows nor one with many values has to pass one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    t = materialize(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    sums = t.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*(F.col(c) for c in by))
+    sums = sums.withColumn("_n", F.sum("_s").over(group)).withColumn("_before", F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
+    place = F.rint((F.col("_n") - 1) * q)
+    hit = sums.where((place >= F.col("_before")) & (place < F.col("_before") + F.col("_s")))  # a row for each group
+    hit = hit.select(*(F.col(c).alias(f"_h{k}") for k, c in enumerate(by)), F.col("_part").alias("_at"), (place - F.col("_before")).alias("_k"))
+    same = F.col("_part") == F.col("_at")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_h{k}"))
+    rows = t.join(hit, same).select(*by, F.col(value).alias("q"), "_c", "_k")
+    upto = F.sum("_c").over(group.orderBy("q").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", upto).where((F.col("_k") >= F.col("_upto") - F.col("_c")) & (F.col("_k") < F.col("_upto"))).select(*by, "q")
 
 
 def band_rates(df: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
