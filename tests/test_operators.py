@@ -361,3 +361,16 @@ def test_no_folder_of_one_machine_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_dense_crossings_that_cannot_cut_are_left_out_and_counted(spark):
+    from meridion.operators.topology import crossing_points, split_at_points, straight_network
+
+    rng = random.Random(15)
+    rows = [(k, *(rng.random() * 12 for _ in range(4)), "arterial", []) for k in range(90)]
+    nodes, e = straight_network(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, road_class string, flags array<string>"))
+    every, few = crossing_points(e, 0.6), crossing_points(e, 0.6, gap=0.6)
+    n = every.count()
+    assert few.count() < n == few.agg(F.sum("n")).head()[0]
+    pieces = lambda cuts: sorted((r.id, r.u, r.v, round(r.length_m, 9)) for r in split_at_points(nodes, e, cuts, 0.6)[1].collect())
+    assert pieces(few) == pieces(every) == pieces(every.drop("along"))
