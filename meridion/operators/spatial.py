@@ -127,7 +127,10 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, first: float, limit: float = 1e
 
 
 def nearest_distance(a: DataFrame, b: DataFrame, first: float, otherwise: float) -> DataFrame:
-    """(id, dist): distance from each point to the nearest of b; ``otherwise`` where there is none."""
+    """(id, dist): distance from each point to the nearest of b; ``otherwise`` where there is none.
+
+    The search begins with what holds a few points of b at their mean density, ``first`` at most.
+    """
     b = b.select(F.col("id").alias("other"), "x", "y")
     if b.isEmpty():
         return a.select("id", F.lit(otherwise).alias("dist"))
@@ -137,14 +140,15 @@ def nearest_distance(a: DataFrame, b: DataFrame, first: float, otherwise: float)
 
 def _nearest(a: DataFrame, b: DataFrame, first: float) -> DataFrame:
     b = materialize(b)
-    box = lambda t: t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    box = lambda t: t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).head()
     p, q = box(a), box(b)
+    n = q[4]
     far = first + sum(max(abs((m or 0) - (n or 0)) for m in p[i : i + 2] for n in q[i : i + 2]) for i in (0, 2))
 
     def near(rows, radius):
         return within_distance(rows.select("id", "x", "y"), b, radius).groupBy("id").agg(F.min("dist").alias("dist"))
 
-    return _rings(a.select("id", "x", "y"), near, lambda found, _: found, first, far)
+    return _rings(a.select("id", "x", "y"), near, lambda found, _: found, _start(n, (q[1] or 0) - (q[0] or 0), (q[3] or 0) - (q[2] or 0), 0.0, 1, first), far)
 
 
 def filed_along(segments: DataFrame, radius: float, size: float) -> DataFrame:

@@ -111,3 +111,18 @@ def test_shared_cells_without_a_row_per_cell(spark):
     want = {(a, b): round(len(cells[a] & cells[b]) / min(len(cells[a]), len(cells[b])), 9) for a in cells for b in cells if a < b and cells[a] & cells[b]}
     df = spark.createDataFrame(blocks, "zone_id long, min_x long, min_y long, max_x long, max_y long")
     assert {(r.a, r.b): round(r.share, 9) for r in sp.shared_cells(df, 5).collect()} == want
+
+
+def test_nearest_distance_widens_from_the_mean_density(spark):
+    rng = random.Random(16)
+    b = [(k, rng.random() * 50, rng.random() * 50) for k in range(300)] + [(300, 4000.0, 4000.0)]
+    a = [(k, rng.random() * 60, rng.random() * 60) for k in range(80)] + [(80, 2000.0, 2000.0), (81, -900.0, 10.0)]
+    radii, near = [], sp.within_distance
+    sp.within_distance = lambda p, q, radius, *more: radii.append(radius) or near(p, q, radius, *more)
+    try:
+        rows = sp.nearest_distance(*(spark.createDataFrame(t, "id long, x double, y double") for t in (a, b)), 5000.0, -1.0).collect()
+    finally:
+        sp.within_distance = near
+    want = {i: min(((x - p) ** 2 + (y - q) ** 2) ** 0.5 for _, p, q in b) for i, x, y in a}
+    assert all(abs(r.dist - want[r.id]) < 1e-9 for r in rows) and len(rows) == len(a)
+    assert radii[0] < 1500
