@@ -55,3 +55,34 @@ def test_batches_go_when_full_late_or_urgent(feed):
     assert run(flush, "append") == [(1, 2, [6, 7], 2, "interval")]
     add(at(1, 300, run=2))
     assert (1, 3, [8], 1, "timer") in run(flush, "append") + run(flush, "append")
+
+
+class _Calls:
+    """State that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.held = 0, {}
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.n += 1
+            if name in ("containsKey", "getValue"):
+                return key in self.held if name == "containsKey" else self.held[key]
+            if name == "updateValue":
+                self.held[key] = value
+            return bool(self.held)
+
+        return call
+
+
+def test_an_entity_costs_no_more_calls_for_more_events():
+    import pandas as pd
+
+    def calls(n: int) -> int:
+        p = stateful.LatestState(1000)
+        p.partial, p.done, p.completed, p.expires, p.handle = (_Calls() for _ in range(5))
+        t = pd.DataFrame({"seq": range(n), "ts": pd.Timestamp(T0), "entity": "e", "value": "v", "complete": [k % 2 == 0 for k in range(n)]})
+        assert [tuple(r) for f in p.handleInputRows((1,), iter([t]), None) for r in f.to_numpy().tolist()] == [(1, "e", "partial" if n % 2 == 0 else "complete", n - 1, "v", (n + 1) // 2)]
+        return sum(s.n for s in (p.partial, p.done, p.completed, p.expires, p.handle))
+
+    assert calls(100) == calls(4)
