@@ -136,3 +136,13 @@ def test_rivers_are_smoothed_and_short_ones_go(spark):
     assert [p[1] for p in got] == [5.0, 10.0, 20.0, 30.0, 40.0, 50.0, 55.0]
     assert {p[3:] for p in got} == {(1.0, 50.0)}
     assert r.river_lines(df, 10.0, 60.0).count() == 0
+
+
+def test_a_route_within_one_tile_takes_two_rounds(spark, monkeypatch):
+    """A corridor of 200 cells crosses no tile of the default size: its tile and what its rim adds are all that is run."""
+    written = []
+    monkeypatch.setattr(routes, "materialize", lambda df, plain=routes.materialize: written.append(1) or plain(df))
+    cells = spark.range(200).selectExpr("0L AS field", "id AS ix", "0L AS iy", "1.0D AS rate", "0.0D AS toll")
+    got = routes.route_costs(cells, cells.where("ix = 0").select("field", "ix", "iy"))
+    assert {(r.ix, r.cost) for r in got.collect()} == {(k, float(k)) for k in range(200)}
+    assert len(written) <= 2 + 2 * 3
