@@ -126,3 +126,34 @@ def test_nearest_distance_widens_from_the_mean_density(spark):
     want = {i: min(((x - p) ** 2 + (y - q) ** 2) ** 0.5 for _, p, q in b) for i, x, y in a}
     assert all(abs(r.dist - want[r.id]) < 1e-9 for r in rows) and len(rows) == len(a)
     assert radii[0] < 1500
+
+
+def test_clusters_of_points_equal_brute_force(spark):
+    from meridion.operators.spatial import clustered_cells
+
+    rng = random.Random(5)
+    heaps = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(45)]
+    points = [(x + rng.gauss(0, 0.8), y + rng.gauss(0, 0.8)) for x, y in heaps for _ in range(6)] + [(0.0, 200.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)]
+    # the nearest points of two cells need not be outermost ones
+    points += [(300 + x, y) for x, y in ((0.0, 0.0), (1.3, 0.7), (1.3, -0.7), (1.35, 0.0), (0.7, 1.3), (3.3, 0.0), (3.9, 1.3), (3.9, -1.3))]
+    got = clustered_cells(spark.createDataFrame(points, "x double, y double"), 2.0).collect()
+    cell = lambda p: (math.floor(p[0] / 1.4), math.floor(p[1] / 1.4))
+    plain = [p for p in points if p[0] is not None and math.isfinite(p[0])]
+    name = {p: p for p in plain}
+
+    def top(p):
+        while name[p] != p:
+            p = name[p]
+        return p
+
+    for p in plain:
+        for q in plain:
+            if math.dist(p, q) <= 2.0:
+                name[top(p)] = top(q)
+    parts = {}
+    for p in plain:
+        parts.setdefault(top(p), set()).add(cell(p))
+    found = {}
+    for r in got:
+        found.setdefault(r.cluster, set()).add((r.cell.x, r.cell.y))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts.values())) and len(parts) > 3
