@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,13 +296,55 @@ def contour_lines(segments: DataFrame) -> DataFrame:
     return along(t.select("id", "u", "v")).join(points, "n").select("chain.level_no", F.col("chain").alias("line"), "seq", "p.x", "p.y")
 
 
+# Fixed value: a tile has this many cells each way.
+TILE = 128
+
+
+def _tile_labels(ix: np.ndarray, iy: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The smallest key of the region of each cell, of cells that lie in one tile."""
+    order = np.argsort(k, kind="stable")
+    x, y, k = ix[order] % TILE, iy[order] % TILE, k[order]
+    place = np.full((TILE + 1, TILE + 1), -1)
+    place[y, x] = np.arange(len(k))
+    a = np.tile(place[y, x], 2)
+    b = np.concatenate([place[y, x + 1], place[y + 1, x]])
+    a, b, root = a[b >= 0], b[b >= 0], np.arange(len(k))
+    while True:
+        low, after = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        while not np.array_equal(after, after[after]):
+            after = after[after]
+        if np.array_equal(after, root):
+            break
+        root = after
+    labels = np.empty(len(k), dtype=np.int64)
+    labels[order] = k[root[place[y, x]]]
+    return labels
+
+
 def label_zones(mask: DataFrame) -> DataFrame:
-    """(ix, iy, zone): connected regions of cells (4 neighbours), named by their smallest cell."""
+    """(ix, iy, zone): connected regions of cells (4 neighbours), named by their smallest cell.
+
+    Regions are found in tiles first; only their parts that meet at the sides of tiles are joined over rounds.
+    """
     key = F.col("iy") * 1_000_000_007 + F.col("ix")
-    t = mask.select("ix", "iy", key.alias("k"))
-    near = t.select("k", F.explode(F.array(F.struct((F.col("ix") + 1).alias("ix"), F.col("iy").alias("iy")), F.struct(F.col("ix").alias("ix"), (F.col("iy") + 1).alias("iy")))).alias("n")).select("k", "n.ix", "n.iy")
-    edges = near.join(t.withColumnRenamed("k", "k2"), ["ix", "iy"]).select(F.col("k").alias("u"), F.col("k2").alias("v"))
-    return t.join(connected_components(edges), t["k"] == F.col("node"), "left").select("ix", "iy", F.coalesce("component", "k").alias("zone"))
+
+    def parts(table: pa.Table) -> pa.Table:
+        if table.column("k").null_count:  # a group of cells without a place
+            return table.rename_columns(["ix", "iy", "part"])
+        return pa.table({"ix": table.column("ix"), "iy": table.column("iy"), "part": _tile_labels(*(table.column(c).to_numpy() for c in ("ix", "iy", "k")))})
+
+    cells = mask.select(*(F.col(c).cast("long").alias(c) for c in ("ix", "iy"))).withColumn("k", key)
+    t = materialize(cells.groupBy(F.floor(F.col("ix") / TILE), F.floor(F.col("iy") / TILE)).applyInArrow(parts, "ix long, iy long, part long"))
+    mod = lambda c: F.pmod(F.col(c), F.lit(TILE))
+    met = None
+    for c in ("ix", "iy"):
+        last = t.where(mod(c) == TILE - 1).select(*((F.col(n) + int(n == c)).alias(n) for n in ("ix", "iy")), F.col("part").alias("u"))
+        both = last.join(t.where(mod(c) == 0), ["ix", "iy"]).select("u", F.col("part").alias("v"))
+        met = both if met is None else met.unionByName(both)
+    whole = connected_components(met.distinct()).select(F.col("node").alias("part"), "component")
+    return t.join(whole, "part", "left").select("ix", "iy", F.coalesce("component", "part").alias("zone"))
 
 
 def zone_summary(zones: DataFrame, size: float) -> DataFrame:

@@ -146,3 +146,31 @@ def test_a_route_within_one_tile_takes_two_rounds(spark, monkeypatch):
     got = routes.route_costs(cells, cells.where("ix = 0").select("field", "ix", "iy"))
     assert {(r.ix, r.cost) for r in got.collect()} == {(k, float(k)) for k in range(200)}
     assert len(written) <= 2 + 2 * 3
+
+
+def test_zones_over_tiles_equal_brute_force(spark):
+    rng = random.Random(11)
+    cells = {(x, y) for x in range(-140, 140) for y in range(120, 136) if rng.random() < 0.62} | {(x, -500) for x in range(-300, 300)}
+    name, seen = {}, {}
+    for start in sorted(cells, key=lambda c: c[1] * 1_000_000_007 + c[0]):
+        todo = [start] if start not in name else []
+        while todo:
+            c = todo.pop()
+            if c in cells and c not in name:
+                name[c] = start[1] * 1_000_000_007 + start[0]
+                todo += [(c[0] + 1, c[1]), (c[0] - 1, c[1]), (c[0], c[1] + 1), (c[0], c[1] - 1)]
+    rows = [*cells, *list(cells)[:20], (None, 3)]
+    got = r.label_zones(spark.createDataFrame(rows, "ix long, iy long"))
+    # the rounds see parts of tiles that meet, not cells
+    for p in got.collect():
+        assert p.zone == name.get((p.ix, p.iy))
+        seen[p.ix, p.iy] = seen.get((p.ix, p.iy), 0) + 1
+    assert set(seen) == cells | {(None, 3)} and sum(seen.values()) == len(rows) and len(set(name.values())) > 20
+
+
+def test_zones_are_joined_by_tiles_and_not_by_cells(spark, monkeypatch):
+    met = []
+    whole = r.connected_components
+    monkeypatch.setattr(r, "connected_components", lambda e, *a: (met.append(e.count()), whole(e, *a))[1])
+    mask = spark.range(256 * 256).selectExpr("id % 256 as ix", "id div 256 as iy")
+    assert r.label_zones(mask).select("zone").distinct().count() == 1 and met[0] <= 4
