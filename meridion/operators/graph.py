@@ -39,21 +39,24 @@ def simple(edges: DataFrame) -> DataFrame:
 def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, u, v, weight) of the tree's edges (ties by u, v).
 
-    Boruvka: in each round every component takes its cheapest edge to another one, so their number halves at least.
+    Boruvka: in each round every component takes its cheapest edge to another one, so their number halves at least.  A round
+    goes on with what is left between the new components, for each two of them the cheapest edge, so rounds get smaller.
     """
-    e = materialize(simple(edges))
-    label = materialize(e.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("c", F.col("node")))
-    tree = None
+    # (weight, u, v) is the order that edges are taken in; a and b are the components that an edge joins.
+    e = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "weight", "id")
+    e, tree = materialize(e.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("weight", "u", "v", "id").alias("e"))), None
     for _ in range(max_rounds):
-        cross = e.join(label.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(label.withColumnsRenamed({"node": "v", "c": "cv"}), "v").where("cu <> cv")
-        pick = cross.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("weight", "u", "v", "id", "cu", "cv").alias("e")).groupBy("c").agg(F.min("e").alias("e"))
-        took = materialize(pick.select("e.*").distinct())
+        pick = e.select(F.explode(F.array("a", "b")).alias("c"), F.struct("e", "a", "b").alias("m")).groupBy("c").agg(F.min("m").alias("m"))
+        took = materialize(pick.select("m.*").distinct())
+        new = took.select("e.id", "e.u", "e.v", "e.weight")
+        tree = new if tree is None else tree.unionByName(new)
         if took.isEmpty():
-            return tree if tree is not None else took.select("id", "u", "v", "weight")
-        new = took.select("id", "u", "v", "weight")
-        tree = materialize(new if tree is None else tree.unionByName(new))
-        merged = connected_components(took, "cu", "cv")
-        label = materialize(label.join(merged, label["c"] == merged["node"], "left").select(label["node"], F.coalesce("component", "c").alias("c")))
+            return tree
+        merged = materialize(connected_components(took, "a", "b"))
+        for c in "ab":  # every component has taken an edge, so it is among the merged
+            e = e.join(merged.withColumnsRenamed({"node": c, "component": f"_{c}"}), c).drop(c).withColumnRenamed(f"_{c}", c)
+        e = e.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+        e = materialize(e)
     raise RuntimeError("the tree did not settle")
 
 

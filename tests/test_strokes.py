@@ -69,3 +69,18 @@ def test_best_continuations_are_those_of_all_pairs(spark):
         want[r.node, r.a] = min(want.get((r.node, r.a), (9, 0)), (-r.score, r.b))
     found = {(r.node, r.a): (-r.score, r.b) for r in graph.best_continuations(df).collect()}
     assert found == want and len(want) > 200
+
+
+def test_rounds_of_a_spanning_tree_get_smaller(spark, monkeypatch):
+    sizes = []
+    whole = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: (sizes.append(whole(df).count() if "v" not in df.columns and {"a", "b", "e"} == set(df.columns) else None), whole(df))[1])
+    rows = [(u * 100 + v, u, v, float((u * 37 + v * 61) % 89)) for u in range(30) for v in range(30)]  # both directions and loops
+    tree = graph.minimum_spanning_tree(spark.createDataFrame(rows, "id long, u long, v long, weight double")).collect()
+    sizes = [n for n in sizes if n]
+    took, name = [], list(range(30))
+    for w, u, v, k in sorted((w, min(u, v), max(u, v), k) for k, u, v, w in rows if u != v):
+        if name[u] != name[v]:
+            took.append((k, u, v, w))
+            name = [name[u] if n == name[v] else n for n in name]
+    assert sorted(map(tuple, tree)) == sorted(took) and sizes[0] == 30 * 29 and all(n <= 15 * 14 // 2 for n in sizes[2::2])
