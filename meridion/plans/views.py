@@ -10,6 +10,8 @@ from meridion.session import table
 CELL = 500
 #: The study area is [0, EXTENT] squared.
 EXTENT = 10240.0
+# Fixed value: rows whose repeats are looked for in one task.
+TASK_ROWS = 1_000_000
 
 
 def _hashed(key: str) -> tuple:
@@ -70,7 +72,10 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
     """undirected network of suppliers (even nodes) and the parts that they sold (odd nodes): id, u, v, weight; grows with the tables."""
-    t = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p")).distinct()
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p"))
+    # Dealt before repeats are looked for, to as many tasks as the rows need: a task's table of them does not grow with a file.
+    tasks = t.count() // TASK_ROWS + 1
+    t = (t.repartition(tasks, "s", "p") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else t.repartition("s", "p")).distinct()
     return t.select((F.col("s") * 10000000000 + F.col("p")).alias("id"), (F.col("s") * 2).alias("u"), (F.col("p") * 2 + 1).alias("v"), (1 + (F.col("s") * 31 + F.col("p") * 17) % 97).cast("double").alias("weight"))
 
 

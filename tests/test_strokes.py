@@ -84,3 +84,13 @@ def test_rounds_of_a_spanning_tree_get_smaller(spark, monkeypatch):
             took.append((k, u, v, w))
             name = [name[u] if n == name[v] else n for n in name]
     assert sorted(map(tuple, tree)) == sorted(took) and sizes[0] == 30 * 29 and all(n <= 15 * 14 // 2 for n in sizes[2::2])
+
+
+def test_trade_is_dealt_to_tasks_by_its_rows(spark, sf_dir, monkeypatch):
+    from meridion.plans import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    rows = views.table(spark, sf_dir, "lineitem").count()
+    t = views.trade(spark, sf_dir)
+    assert t.rdd.getNumPartitions() > rows // 500 and max(t.rdd.glom().map(len).collect()) < 750
+    assert t.count() == views.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().count()
