@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridion.functions import geometry as g
-from meridion.session import materialize
 
 
 def _line() -> Window:
@@ -129,25 +130,43 @@ def drop_repeats(verts: DataFrame, eps: float = 1e-6) -> DataFrame:
     return t.where(~F.col("again")).drop("again")
 
 
-def simplify(verts: DataFrame, eps: float, max_rounds: int = 64) -> DataFrame:
-    """Douglas-Peucker: the vertices that are kept.  Rounds split every interval at its farthest vertex, if beyond eps."""
-    v = materialize(verts.select("line_id", "seq", "x", "y"))
-    ends = v.groupBy("line_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    kept = ends.select("line_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("seq"))
-    open_ = materialize(ends)
-    for _ in range(max_rounds):
-        a = v.select("line_id", F.col("seq").alias("lo"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-        b = v.select("line_id", F.col("seq").alias("hi"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-        t = open_.join(a, ["line_id", "lo"]).join(b, ["line_id", "hi"]).join(v, "line_id").where("seq > lo and seq < hi")
-        n = g.distance("x0", "y0", "x1", "y1")
-        off = F.when(n <= g.TINY, g.distance("x", "y", "x0", "y0")).otherwise(F.abs(g.cross(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))) / n)
-        far = t.groupBy("line_id", "lo", "hi").agg(F.max(F.struct(off.alias("d"), (-F.col("seq")).alias("s"))).alias("m")).where(F.col("m.d") > eps)
-        cut = materialize(far.select("line_id", "lo", "hi", (-F.col("m.s")).alias("seq")))
-        if cut.isEmpty():
-            return v.join(kept, ["line_id", "seq"], "left_semi")
-        kept = materialize(kept.unionByName(cut.select("line_id", "seq")))
-        open_ = materialize(cut.select("line_id", "lo", F.col("seq").alias("hi")).unionByName(cut.select("line_id", F.col("seq").alias("lo"), "hi")))
-    raise RuntimeError("simplification did not settle")
+def _farthest_kept(eps: float):
+    """Douglas-Peucker over one line's table (line_id, seq, x, y); ties to the smallest seq, and a stack instead of recursion."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        seq, gone = table.column("seq").to_numpy(), np.zeros(table.num_rows, dtype=bool)
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        for c in "xy":
+            gone |= np.asarray(table.column(c).is_null())
+        kept, todo = {seq[0], seq[-1]}, [(0, len(seq) - 1)]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo < 2:
+                continue
+            i, j = np.searchsorted(seq, seq[lo], "right"), np.searchsorted(seq, seq[hi], "left")
+            if i >= j or gone[lo] or gone[hi]:
+                continue
+            dx, dy, px, py = x[hi] - x[lo], y[hi] - y[lo], x[i:j] - x[lo], y[i:j] - y[lo]
+            n = np.sqrt(dx * dx + dy * dy)
+            off = np.sqrt(px * px + py * py) if n <= g.TINY else np.abs(dx * py - dy * px) / n
+            off = np.where(gone[i:j], -1.0, np.where(np.isnan(off), np.inf, off))
+            far = int(np.argmax(off))
+            if off[far] > eps:
+                kept.add(seq[i + far])
+                todo += [(lo, i + far), (i + far, hi)]
+        return table.filter(pa.array(np.isin(seq, list(kept))))
+
+    return keep
+
+
+def simplify(verts: DataFrame, eps: float) -> DataFrame:
+    """Douglas-Peucker: the vertices that are kept.  Intervals are split at their farthest vertex, if beyond eps.
+
+    Lines are dealt once, to no other tasks if they were dealt before; a line's vertices have to fit a task.
+    """
+    v = verts.select("line_id", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("line_id is not null and seq is not null")
+    return v.groupBy("line_id").applyInArrow(_farthest_kept(eps), v.schema)
 
 
 def turns(verts: DataFrame, most: float) -> DataFrame:

@@ -374,3 +374,24 @@ def test_dense_crossings_that_cannot_cut_are_left_out_and_counted(spark):
     assert few.count() < n == few.agg(F.sum("n")).head()[0]
     pieces = lambda cuts: sorted((r.id, r.u, r.v, round(r.length_m, 9)) for r in split_at_points(nodes, e, cuts, 0.6)[1].collect())
     assert pieces(few) == pieces(every) == pieces(every.drop("along"))
+
+
+def test_simplify_deals_lines_once_and_ends_at_any_depth(spark, monkeypatch):
+    # every split takes one vertex off, which 64 rounds did not reach
+    rows = [(1, k, float(k), 0.0 if k == 0 else 10.0 * 1.3 ** (150 - k)) for k in range(150)]
+    rows += [(2, k, float(k), float("nan") if k == 3 else 0.0) for k in range(7)] + [(3, 0, 5.0, 5.0), (4, 0, 0.0, 0.0), (4, 1, 4.0, None), (4, 2, 9.0, 0.0), (None, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "line_id long, seq long, x double, y double")
+
+    def keep(a, b):
+        (_, _, x0, y0), (_, _, x1, y1) = rows[a], rows[b]
+        n = math.hypot(x1 - x0, y1 - y0)
+        off = [(-abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / n, k) for _, k, x, y in rows[a + 1 : b]]
+        return keep(a, min(off)[1]) | {min(off)[1]} | keep(min(off)[1], b) if off and -min(off)[0] > 0.01 else set()
+
+    got = polyline.simplify(df, 0.01)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.line_id, set()).add(r.seq)
+    assert found[1] == keep(0, 149) | {0, 149} and len(found[1]) > 100
+    assert found[2] == {0, 1, 2, 3, 4, 6} and found[3] == {0} and found[4] == {0, 2} and len(found) == 4
+    assert str(polyline.simplify(df, 0.01)._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning") == 1
