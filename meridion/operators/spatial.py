@@ -153,10 +153,13 @@ def _start(n: int, width: float, height: float, length: float, k: int, first: fl
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, first: float, limit: float = 1e9) -> DataFrame:
-    """(id, other, dist, rank): the k nearest points of b (other, x, y) for each of a (id, x, y); ties by other."""
+    """(id, other, dist, rank): the k nearest points of b (other, x, y) for each of a (id, x, y); ties by other.
+
+    The search begins with what holds a few times k points of b at their mean density, ``first`` at most.
+    """
     order = Window.partitionBy("id").orderBy("dist", "other")
     b = materialize(b.select("other", "x", "y"))
-    span = b.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
+    *span, n = b.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).head()
     reach = a.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.min("y")).head()
     far = 2 * sum(float(x or 0) for x in (*span, *reach)) + first
 
@@ -167,7 +170,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, first: float, limit: float = 1e
         full = found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == k)
         return found.join(full.select("id"), "id", "left_semi")
 
-    return _rings(a, near, enough, first, min(limit, far))
+    return _rings(a, near, enough, _start(n, span[0] or 0.0, span[1] or 0.0, 0.0, k, first), min(limit, far))
 
 
 def nearest_distance(a: DataFrame, b: DataFrame, first: float, otherwise: float) -> DataFrame:
@@ -206,6 +209,9 @@ def filed_along(segments: DataFrame, radius: float, size: float) -> DataFrame:
     return t.withColumn("_cy", F.explode(F.sequence(_cell(F.least(one, two) - reach, size), _cell(F.greatest(one, two) + reach, size))))
 
 
+_along = filed_along  # its name before
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, first: float, k: int = 1, limit: float | None = None, accept: Column | None = None) -> DataFrame:
     """(id, seg, dist, px, py, t, rank): the k nearest segments (seg, x0, y0, x1, y1) of each point; ties by seg.
 

@@ -157,3 +157,18 @@ def test_clusters_of_points_equal_brute_force(spark):
     for r in got:
         found.setdefault(r.cluster, set()).add((r.cell.x, r.cell.y))
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts.values())) and len(parts) > 3
+
+
+def test_nearest_points_begin_with_a_few(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(1500)] + [(1500, 900.0, -400.0)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    radii, plain = [], sp.within_distance
+    monkeypatch.setattr(sp, "within_distance", lambda p, q, radius, size=None: radii.append(radius) or plain(p, q, radius, size))
+    got = {}
+    for r in sp.knn_join(a, a.withColumnRenamed("id", "other"), 4, 400.0).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.other
+    for k, x, y in rows[::50]:
+        want = sorted((math.hypot(x - p, y - q), j) for j, p, q in rows if j != k)[:4]
+        assert [got[k][i] for i in range(1, 5)] == [j for _, j in want]
+    assert radii[0] < 100  # 400 m would meet the whole square
