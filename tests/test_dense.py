@@ -172,3 +172,35 @@ def test_nearest_points_begin_with_a_few(spark, monkeypatch):
         want = sorted((math.hypot(x - p, y - q), j) for j, p, q in rows if j != k)[:4]
         assert [got[k][i] for i in range(1, 5)] == [j for _, j in want]
     assert radii[0] < 100  # 400 m would meet the whole square
+
+
+def test_runs_of_crossings_are_one_row_and_cut_as_all_do(spark):
+    from meridion.operators.topology import crossing_points, split_at_points, straight_network
+
+    rng = random.Random(9)
+    rows = [(k, *(rng.random() * 20 for _ in range(4)), "arterial", []) for k in range(150)]
+    nodes, e = straight_network(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, road_class string, flags array<string>"))
+    every, few = crossing_points(e, 0.6).collect(), crossing_points(e, 0.6, gap=0.6).collect()
+    want = []
+    for k in range(150):
+        at = sorted(r.along for r in every if r.id == k)
+        starts = [a for i, a in enumerate(at) if i == 0 or a - at[i - 1] > 0.6]
+        want += [(k, a, sum(1 for z in at if a <= z < b)) for a, b in zip(starts, [*starts[1:], math.inf])]
+    got = {}
+    for r in sorted(few, key=lambda r: (r.id, r.along)):  # tiles that an edge crosses have runs of their own
+        last = got.setdefault(r.id, [])
+        if last and r.along - last[-1][2] <= 0.6:
+            last[-1] = (last[-1][0], last[-1][1] + r.n, max(last[-1][2], r.until))
+        else:
+            last.append((r.along, r.n, r.until))
+    assert sorted((k, a, n) for k, v in got.items() for a, n, _ in v) == want and len(few) < len(every) / 3
+    # a cut inside a run is no cut, though none of the run's rows is near it
+    k, (start, _, until) = next((k, c) for k, v in got.items() for c in v if c[2] - c[0] > 2)
+    edge, mid = rows[k], (start + until) / 2
+    long = math.hypot(edge[3] - edge[1], edge[4] - edge[2])
+    x, y = (edge[1 + i] + mid / long * (edge[3 + i] - edge[1 + i]) for i in (0, 1))
+    schema = "id long, seg long, t double, x double, y double, along double, until double, n long"
+    more = spark.createDataFrame([(k, 0, mid / long, x, y, mid, None, 1)], schema)
+    pieces = lambda cuts: sorted((r.id, r.u, r.v) for r in split_at_points(nodes, e, cuts, 0.6)[1].where(F.col("parent") == k).collect())
+    cuts = spark.createDataFrame([tuple(r) for r in few if r.id == k], schema)
+    assert pieces(cuts.unionByName(more)) == pieces(cuts)
