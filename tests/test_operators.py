@@ -395,3 +395,20 @@ def test_simplify_deals_lines_once_and_ends_at_any_depth(spark, monkeypatch):
     assert found[1] == keep(0, 149) | {0, 149} and len(found[1]) > 100
     assert found[2] == {0, 1, 2, 3, 4, 6} and found[3] == {0} and found[4] == {0, 2} and len(found) == 4
     assert str(polyline.simplify(df, 0.01)._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning") == 1
+
+
+def test_rounds_of_paths_neither_shuffle_nor_sort_the_network(spark):
+    rng = random.Random(3)
+    rows = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a != b})
+    e = spark.createDataFrame([(i, u, v, float(1 + (u * 7 + v) % 5)) for i, (u, v) in enumerate(rows)], "id long, u long, v long, weight double")
+    adj = graph._dealt(graph.adjacency(e).select("node", "other", "weight"))
+    plan = spark.range(3).withColumnRenamed("id", "node").join(adj.hint("merge"), "node")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # both for the other side
+    far = {(s, n): 0.0 if s == n else math.inf for s in (0, 5) for n in range(40)}
+    for _ in range(40):
+        for u, v in rows:
+            for a, b in ((u, v), (v, u)):
+                for s in (0, 5):
+                    far[s, b] = min(far[s, b], far[s, a] + 1 + (u * 7 + v) % 5)
+    got = graph.shortest_paths(e, spark.createDataFrame([(0,), (5,)], "node long")).collect()
+    assert {(r.src, r.node): r.dist for r in got} == {k: d for k, d in far.items() if d < math.inf}
