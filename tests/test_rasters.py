@@ -1,6 +1,7 @@
 """Routes, contours, chains and zone widths against plain versions on small inputs."""
 
 import heapq
+import math
 import random
 from collections import defaultdict
 
@@ -174,3 +175,25 @@ def test_zones_are_joined_by_tiles_and_not_by_cells(spark, monkeypatch):
     monkeypatch.setattr(r, "connected_components", lambda e, *a: (met.append(e.count()), whole(e, *a))[1])
     mask = spark.range(256 * 256).selectExpr("id % 256 as ix", "id div 256 as iy")
     assert r.label_zones(mask).select("zone").distinct().count() == 1 and met[0] <= 4
+
+
+def test_a_tile_is_settled_along_its_way_and_not_as_a_whole_each_step():
+    import time
+
+    import pandas as pd
+    from meridion.operators.routes import _settle
+
+    way = []  # there and back on every other line
+    for y in range(0, 256, 2):
+        line = range(256) if y % 4 == 0 else range(255, -1, -1)
+        way += [(x, y) for x in line] + ([(255 if y % 4 == 0 else 0, y + 1)] if y < 254 else [])
+    t = pd.DataFrame(way, columns=["ix", "iy"]).assign(cost=math.inf, rate=1.0, toll=0.5, known=False)
+    t.loc[0, "cost"] = 0.0
+    began = time.time()
+    got = _settle(256)((0, 0, 0), t)
+    assert time.time() - began < 25  # 32,000 steps; looking at all 65,536 cells in each took minutes
+    cost = {(r.ix, r.iy): r.cost for r in got.itertuples()}
+    assert len(cost) == len(way)
+    # each of the 127 turns is two diagonal steps
+    assert abs(cost[way[-1]] - (1.5 * (2 * 254 + 126 * 253) + 254 * (2**0.5 + 0.5))) < 1e-6
+    assert all(cost[a] < cost[b] for a, b in zip(way[:255], way[1:255]))
