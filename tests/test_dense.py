@@ -204,3 +204,24 @@ def test_runs_of_crossings_are_one_row_and_cut_as_all_do(spark):
     pieces = lambda cuts: sorted((r.id, r.u, r.v) for r in split_at_points(nodes, e, cuts, 0.6)[1].where(F.col("parent") == k).collect())
     cuts = spark.createDataFrame([tuple(r) for r in few if r.id == k], schema)
     assert pieces(cuts.unionByName(more)) == pieces(cuts)
+
+
+def test_crossings_are_those_of_all_pairs_and_no_pairs_are_joined(spark):
+    rng = random.Random(12)
+    rows = [(k, *(float(rng.randrange(60)) for _ in range(4))) for k in range(160)]
+    rows += [(160, 0.0, 0.0, 59.0, 59.0), (161, 5.0, 5.0, 5.0, 5.0), (162, float("nan"), 0.0, 9.0, 9.0), (163, 0.0, 9.0, math.inf, 9.0), (164, None, 0.0, 9.0, 9.0), (None, 0.0, 50.0, 50.0, 0.0), (165, -4000.0, 30.5, 9000.0, 31.0)]
+
+    def point(a, b):
+        (_, ax, ay, bx, by), (_, cx, cy, dx, dy) = a, b
+        den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+        if abs(den) <= 1e-6 or {(ax, ay), (bx, by)} & {(cx, cy), (dx, dy)}:
+            return None
+        t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+        return (round(ax + t * (bx - ax), 6), round(ay + t * (by - ay), 6)) if -1e-6 <= t <= 1 + 1e-6 and -1e-6 <= u <= 1 + 1e-6 else None
+
+    plain = [r for r in rows if r[0] is not None and r[0] not in (162, 163, 164)]
+    want = sorted((a[0], b[0], *p) for a in plain for b in plain if a[0] < b[0] and (p := point(a, b)))
+    found = sp.crossing_join(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double"), 4.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a, r.b, round(r.x, 6), round(r.y, 6)) for r in found.collect()) == want and len(want) > 2000
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
